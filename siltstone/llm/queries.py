@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, minhash, toxicity
+from siltstone.llm import bpe, chat, minhash, suffix_dedup, toxicity
 from siltstone.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,8 +63,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash": op2_minhash, "op3_chat": op3_chat, "op6_toxicity": op6_toxicity, "op9_bpe": op9_bpe}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op3_chat": op3_chat, "op6_toxicity": op6_toxicity, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": op2_minhash, "op3_chat": OP3_SQL}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op3_chat": OP3_SQL}
