@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, minhash, suffix_dedup, toxicity
+from siltstone.llm import bpe, chat, cross_polytope, minhash, suffix_dedup, toxicity, vafile
 from siltstone.llm.common import table
 
 
@@ -51,20 +52,65 @@ FROM said
 """
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+#: Of op5: all pairs, and reachability by recursion.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
+), reach AS (
+  SELECT x, x AS y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), low AS (SELECT x, min(y) AS m FROM reach GROUP BY x), degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN low ON low.x = vec_id LEFT JOIN degree ON degree.x = vec_id
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(toxicity.sample(docs, table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op7_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
+#: Of op7: every query against every row.
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, tokenizer_path(), decoded="decoded"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op3_chat": op3_chat, "op6_toxicity": op6_toxicity, "op9_bpe": op9_bpe}
+    return {
+        "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_minhash": op2_minhash,
+        "op3_chat": op3_chat,
+        "op5_cross_polytope": op5_cross_polytope,
+        "op6_toxicity": op6_toxicity,
+        "op7_vafile": op7_vafile,
+        "op9_bpe": op9_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op3_chat": OP3_SQL}
+    return {"op3_chat": OP3_SQL, "op5_cross_polytope": OP5_SQL, "op7_vafile": OP7_SQL}
