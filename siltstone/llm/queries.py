@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, cross_polytope, minhash, suffix_dedup, toxicity, vafile
+from siltstone.llm import bpe, chat, cross_polytope, html_density, minhash, mixing, pii, suffix_dedup, toxicity, vafile
 from siltstone.llm.common import table
 
 
@@ -52,6 +52,10 @@ FROM said
 """
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.result(html_density.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -95,20 +99,33 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs).select("doc_id", F.size("pii").cast("long").alias("n_entities"), "text", "pii")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, tokenizer_path(), decoded="decoded"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal weights for all sources, in blocks of 64 documents."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_minhash": op2_minhash,
         "op3_chat": op3_chat,
+        "op4_html": op4_html,
         "op5_cross_polytope": op5_cross_polytope,
         "op6_toxicity": op6_toxicity,
         "op7_vafile": op7_vafile,
+        "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
+        "op10_mixing": op10_mixing,
     }
 
 
