@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.plans import text_queries
+
 FLAGSHIP = "hybrid_search"
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES: tuple = ()
+FAMILIES = (text_queries,)
 
 
 def queries() -> dict[str, Query]:
