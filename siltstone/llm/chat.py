@@ -50,7 +50,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) for every node of every root-to-leaf path; up: steps from the leaf."""
     work = Scratch(nodes.sparkSession, "paths")
     # Null trees compare as equal through this key.
-    key = [F.col("tree").isNull().alias("none"), F.coalesce(F.col("tree"), F.lit(0)).alias("tree")]
+    key = [F.col("tree").isNull().alias("none"), F.coalesce(F.col("tree"), F.lit("0").cast(nodes.schema["tree"].dataType)).alias("tree")]
     all_nodes = nodes.select(*key, "node")
     links = nodes.where(F.col("parent").isNotNull()).select(*key, "node", F.col("parent").alias("to"))
     on = ["none", "tree", "node"]

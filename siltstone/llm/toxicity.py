@@ -125,6 +125,8 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
     got = rows.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    if got is None:  # no row, no task
+        return fit([], [])
     return np.frombuffer(got["weights"], np.float32), got["bias"]
 
 
