@@ -35,8 +35,10 @@ LENGTH = 100
 ANCHOR = 32
 FREQUENT = 1000
 #: Bytes of text in a batch, and buckets of pieces for each batch.
-BATCH, SPLIT = 4 << 20, 4
+BATCH, SPLIT = 2 << 20, 2
 LEAST_BATCHES = 64
+#: Bytes of pieces in one suffix index.
+INDEX = 256 << 10
 
 _LAST = np.int64(2**63 - 1)
 _BYTE = np.random.default_rng(77).integers(1, 2**63, 256).astype(np.uint64)
@@ -70,11 +72,15 @@ class _Batch:
         n = len(self.data)
         self.up, self.down = _power(n + 1)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * self.up[:n], out=self.total[1:])
+        terms = _BYTE[self.data]
+        terms *= self.up[:n]
+        np.cumsum(terms, out=self.total[1:])
+        del terms
         size = np.maximum(np.diff(self.offsets) - length + 1, 0)
         ends = np.cumsum(size)
-        self.starts = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.offsets[:-1] - (ends - size), size)
-        self.row = np.repeat(np.arange(len(self.docs)), size)  # of each window
+        self.starts = np.arange(int(ends[-1]) if len(ends) else 0)
+        self.starts += np.repeat(self.offsets[:-1] - (ends - size), size)
+        self.row = np.repeat(np.arange(len(self.docs), dtype=np.int32), size)  # of each window
 
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
@@ -86,12 +92,18 @@ class _Batch:
         n = len(self.data) - ANCHOR + 1
         gram = mix64((self.total[ANCHOR:] - self.total[:n]) * self.down[:n])
         bits = np.uint64(n.bit_length())
-        low = (gram >> bits << bits) | np.arange(n, dtype=np.uint64)
+        low = gram >> bits
+        low <<= bits
+        low |= np.arange(n, dtype=np.uint64)
         span, width = 1, self.length - ANCHOR + 1
         while 2 * span <= width:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
-        anchor = (np.minimum(low[self.starts], low[self.starts + width - span]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        anchor = low[self.starts]
+        np.minimum(anchor, low[width - span :][self.starts], out=anchor)
+        del low
+        anchor &= (np.uint64(1) << bits) - np.uint64(1)
+        anchor = anchor.view(np.int64)
         new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (self.row[1:] != self.row[:-1])))
         return new, np.append(new[1:], len(anchor)), gram[anchor[new]]
 
@@ -178,6 +190,14 @@ def _tell_counts(kind: int, frequent: int):
     return run
 
 
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _send_pieces(number: int, batch: _Batch, replies: dict, buckets: int, split: int) -> pa.Table:
     p = batch.pieces(replies, buckets)
     cut = _cuts(p["anchor"], split)
@@ -189,15 +209,34 @@ def _send_pieces(number: int, batch: _Batch, replies: dict, buckets: int, split:
         text = b"".join(batch.data[s : s + c + batch.length - 1].tobytes() for s, c in zip(at[x:y].tolist(), count[x:y].tolist(), strict=True))
         head = np.array([y - x], np.int64).tobytes()
         out["bucket"].append(b)
-        out["data"].append(head + p["anchor"][x:y].tobytes() + p["own"][x:y].tobytes() + batch.docs[row[x:y]].tobytes() + (at[x:y] - batch.offsets[row[x:y]]).tobytes() + count[x:y].tobytes() + text)
+        out["data"].append(_pack(head + p["anchor"][x:y].tobytes() + p["own"][x:y].tobytes() + batch.docs[row[x:y]].tobytes() + (at[x:y] - batch.offsets[row[x:y]]).tobytes() + count[x:y].tobytes() + text))
     return _calls(3, [number] * len(out["data"]), out["bucket"], out["data"])
 
 
+def _classes(text: np.ndarray, begin: np.ndarray, size: np.ndarray, count: np.ndarray, anchor: np.ndarray, pick: np.ndarray, length: int) -> np.ndarray:
+    """Classes of equal windows of the picked pieces (in order of anchor). Equal windows have one anchor, so an index takes
+    the pieces of some anchors at a time, ``INDEX`` bytes or the pieces of one anchor."""
+    cuts, run = [0], np.append(0, np.cumsum(size[pick]))
+    for i in np.append(np.flatnonzero(anchor[pick][1:] != anchor[pick][:-1]) + 1, len(pick)).tolist():
+        total = int(run[i] - run[cuts[-1]])
+        if total >= INDEX or i == len(pick):
+            cuts.append(i)
+    out, base = [], 0
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        some = pick[a:b]
+        place = np.cumsum(np.append(0, size[some]))
+        index = np.arange(int(place[-1])) + np.repeat(begin[some] - place[:-1], size[some])
+        group = equal_windows(text[index], place, count[some], length)
+        out.append(group + base)
+        base += int(place[-1]) + len(some) + 1  # more than there are classes
+    return np.concatenate(out)
+
+
 def _find_first(length: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """For each batch: the first places of its pieces' windows, where they are not the batch's own first ones."""
         heads, texts, source = [], [], []
-        for i, x in enumerate(rows.column("data").to_pylist()):
+        for i, x in enumerate(map(_unpack, rows.column("data").to_pylist())):
             n = int(np.frombuffer(x, np.int64, 1)[0])
             heads.append(np.frombuffer(x, np.int64, 5 * n, 8).reshape(5, n))
             texts.append(np.frombuffer(x, np.uint8, -1, 8 + 40 * n))
@@ -222,10 +261,7 @@ def _find_first(length: int):
         several[1:] |= same
         several[:-1] |= same
         if several.any():
-            pick = lead[several]
-            place = np.cumsum(np.append(0, size[pick]))
-            index = np.arange(int(place[-1])) + np.repeat(ends[pick] - size[pick] - place[:-1], size[pick])
-            group = equal_windows(text[index], place, count[pick], length)
+            group = _classes(text, ends - size, size, count, anchor, lead[several], length)
             mine = np.flatnonzero(np.repeat(several, windows))
             by = np.lexsort((w_start[mine], w_doc[mine], group))
             head = np.append(True, group[by][1:] != group[by][:-1])
