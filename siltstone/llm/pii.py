@@ -1,7 +1,7 @@
 """PII: detected entities get keyed surrogates of the same type, format, script and gender, equal for equal entities.
 
 Kinds: e-mail addresses, phone numbers, payment cards (by check digit), IPv4 addresses, IBANs, national ids of the form 3-2-4,
-secrets (``password=``, ``token = "..."``, private keys of known shapes) and names after a form of address. A surrogate is made from an HMAC of the
+secrets of any length (``password=``, ``token = "..."``, keys that tell their kind), PEM blocks of private keys and names after a form of address. A surrogate is made from an HMAC of the
 entity's canonical form, so one entity has one surrogate in every document and spelling ("+1 (212) 555-0100" and
 "+12125550100" keep their own punctuation), digits stay digits, letters keep their case and script, cards keep their check
 digit and first digit, addresses stay valid and names keep their gender.
@@ -53,10 +53,13 @@ NAMES = {
 }
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _CAP = r"[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+(?:-[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+)?"
+_PEM = r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"
 _FIND = {
+    # To the block's own end; without one, as far as lines of base64 go.
+    "private_key": re.compile(_PEM + r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{32,}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]+(?:={1,2}|(?=[ \t]*(?:[\r\n]|\Z))))?)"),
     "secret": re.compile(
-        r"""(?i:\b(?:password|passwd|pwd|passwort|contraseña|token|secret|api[_-]?key|access[_-]?key|auth)\b["']?\s{0,3}[:=]\s{0,3}["']?)(?P<secret>[A-Za-z0-9+/_.\-]{8,512})"""
-        r"|\b(?P<key>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128}|xox[abprs]-[A-Za-z0-9-]{10,128})\b"
+        r"""(?i:\b(?:password|passwd|pwd|passwort|contraseña|token|secret|api[_-]?key|access[_-]?key|auth)\b["']?\s{0,3}[:=]\s{0,3}["']?)(?P<secret>(?=[A-Za-z0-9+/_.\-]{8})(?:[A-Za-z0-9+/_.]++|-(?!----BEGIN ))++)"""
+        r"|\b(?P<key>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})\b"
     ),
     "email": re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -67,9 +70,10 @@ _FIND = {
     "name": re.compile(r"\b(?P<title>" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")\.? (?P<name>" + _CAP + r"(?: " + _CAP + r")?)"),
 }
 #: What a text must hold for a kind to be worth a search.
-_HINT = {"email": re.compile("@"), "name": re.compile("|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)))}
+_HINT = {"private_key": re.compile("PRIVATE KEY"), "email": re.compile("@"), "name": re.compile("|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)))}
 _MARK = re.compile(r"(?:AKIA|gh[pousr]_|sk-|xox[abprs]-)?")
 _DIGITS = re.compile(r"\d")
+_FRAME = re.compile(r"(-----[A-Z0-9 ]+-----|\\[nr])")
 
 
 def _digits(x: str) -> str:
@@ -94,10 +98,14 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             a, b = m.span()
             x = m[0]
-            if kind == "secret":
+            if kind == "private_key":
+                if sum(map(str.isalnum, _FRAME.sub("", x))) < 16:  # a frame without a key
+                    continue
+                form = x
+            elif kind == "secret":
                 a, b = m.span("secret") if m["secret"] else m.span("key")
                 x = text[a:b]
-                if m["secret"] and not (_DIGITS.search(x) or len(x) >= 16):
+                if m["secret"] and not (_DIGITS.search(x) or len(x) >= 16 and any(map(str.isalnum, x))):
                     continue
                 form = x
             elif kind == "email":
@@ -170,6 +178,8 @@ def surrogate(kind: str, form: str, attempt: int = 0) -> str:
         if kind == "secret":
             mark = _MARK.match(form)[0]  # what tells the kind of a key stays
             out = mark + _like(form[len(mark) :], s, hexadecimal=re.fullmatch("[0-9a-f]+", form) is not None)
+        elif kind == "private_key":
+            out = "".join(x if i % 2 else _like(x, s) for i, x in enumerate(_FRAME.split(form)))  # its first and last line and escaped line ends stay
         elif kind == "email":
             local, _, domain = form.partition("@")
             host, _, top = domain.rpartition(".")

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import html as stdlib
+import random
 import re
+import string
 import struct
 import zlib
 
@@ -115,6 +117,29 @@ def test_surrogates():
     assert new.endswith("; v1.2.3.4.5, 3.14159265, 2024-01-02") and pii.replace(PERSON, {}) == (new, spans)
 
 
+@pytest.mark.parametrize("n", [500, 800, 6000])
+def test_long_secrets(n):
+    rng = random.Random(n)
+    draw = lambda k, abc=string.ascii_letters + string.digits: "".join(rng.choice(abc) for _ in range(k))
+    body = "\n".join(draw(64) for _ in range(n // 64)) + "\n" + draw(9) + "=="
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    secrets = {
+        "token = {}": draw(n), 'password: "{}"': draw(n), "api_key={}": f"{draw(n)}.{draw(n)}-{draw(n)}_{draw(9)}", "{}": "sk-" + draw(n),
+        "x {} y": f"sk-{draw(n)}-{draw(n)}", "k {}": f"xoxb-{draw(n)}-{draw(n)}", "<{}>": pem, '{{"key": "{}"}}': pem.replace("\n", "\\n"), "secret: {}": pem, "cut {}": pem[: pem.rindex("\n")],
+    }
+    for frame, secret in secrets.items():
+        text = "before " + frame.format(secret) + " after words"
+        new, spans = pii.replace(text, {})
+        assert len(new) == len(text) and len(spans) == 1, frame
+        _, a, b = spans[0]
+        assert text[a:b] == secret and new[:a] == text[:a] and new[b:] == text[b:], frame
+        assert not any(secret[i : i + 12] in new for i in range(40, len(secret) - 60)), frame
+        assert new[a : a + 31] == pem[:31] or "BEGIN" not in secret
+    assert [k for _, _, k, _ in pii.find(f"token=abcdefgh1{pem}{pem}")] == ["secret", "private_key", "private_key"]
+    assert pii.find("password: ________________ -----BEGIN PRIVATE KEY----- ... -----END PRIVATE KEY-----") == []
+    assert pii.find("-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----") == []
+
+
 def test_pii_distinct(spark):
     rows = [(i, f"Mr. Aa{chr(97 + i % 26)}{chr(97 + i // 26)} wrote from 10.1.{i % 250}.{i // 250 + 1}") for i in range(600)] + [(900, None), (901, ""), (902, "clean text"), (0, "again Mr. Aaaa")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pii", F.lit("old"))
