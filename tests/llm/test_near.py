@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import re
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -172,3 +173,41 @@ def test_mixing(spark):
     for s in ("a", "b", "c", None):
         assert [r["mix_block"] for r in got if r["source"] == s] == sorted(r["mix_block"] for r in got if r["source"] == s)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_exact_targets():
+    """Every source stays within a block of its unrounded share, over many cycles and in every phase."""
+    cases = [({f"s{i}": 1 for i in range(3)}, 30_000), ({f"s{i}": 1 for i in range(19)}, 5_000), ({"a": 0.7, "b": 0.2999, "c": 0.0001}, 40_000), ({"a": 1 / 3, "b": 2 / 7, "c": 1e-9}, 3_000), ({"a": 1, "b": 1e-300}, 50)]
+    for weights, n in cases:
+        counts = {s: n + 7 * k for k, s in enumerate(weights)}
+        total = sum(Fraction(str(w)) for w in weights.values())
+        target = {s: Fraction(str(w)) / total for s, w in weights.items()}
+        had, seen = collections.Counter(), {}
+        for t, row in enumerate(mixing.placed(counts, weights)):
+            s, i, phase, slot, release, due = row
+            assert slot == t and i == had[s] and release <= t < due
+            had[s] += 1
+            seen[s, i] = (phase, slot, release, due)
+            if not phase and t % 97 < 3:
+                assert all(abs(had[x] - target[x] * (t + 1)) < 1 for x in weights), (weights, t)
+        assert had == counts
+        phases = mixing.plan(counts, weights, 10**6)
+        for p, ph in enumerate(phases):
+            for s, m in ph["taken"].items():
+                mine = [(k, *o) for k, o in enumerate(ph["order"]) if o[0] == s]
+                for b in range(m):
+                    k, _, i, release, due = mine[b % ph["share"][s]]
+                    base = ph["slot"] + b // ph["share"][s] * ph["cycle"]
+                    assert seen[s, ph["first"][s] + b] == (p, base + k, base + release, base + min(due, mixing.FAR))
+
+
+def test_mixing_by_table(spark, monkeypatch):
+    rows = [(i, s) for s, n in (("a", 200), ("b", 90), ("c", 7), (None, 33)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    for weights in (None, {"a": 3, "b": 0.1, None: 1e-300}):
+        one = sorted(map(str, mixing.mix(df, weights, block=4).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "MOST_SOURCES", 3)
+            m.setattr(mixing, "PLAN_ROWS", 40)
+            assert sorted(map(str, mixing.mix(df, weights, block=4).collect())) == one
+    assert len(one) == len(rows)
