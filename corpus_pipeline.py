@@ -1,5 +1,5 @@
 """A corpus from documents: toxic ones go, one of each group of near copies stays, personal data becomes surrogates,
-sources are interleaved to equal weights, and texts become token ids (with the text they decode to).
+sources are interleaved to equal weights, and texts become token ids (with the text they decode to) and their place in the mix.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again for the next. All but the
 last return the columns of documents. Rows with a null doc_id pass every stage; a stage of an empty table is empty.
@@ -7,7 +7,7 @@ last return the columns of documents. Rows with a null doc_id pass every stage;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, minhash, mixing, pii, toxicity
@@ -36,14 +36,25 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: files and rows follow the schedule."""
+    """All documents, in the order of the mix: files, by name, and rows follow the schedule."""
     return mixing.mix(docs).orderBy("mix_place").select(*docs.columns)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs, read from files, with place: the number of the row in the order of file names and of rows within a file.
+    A scan may return rows in any order, so the place comes from where a row stands, not from when it is read."""
+    at = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = at.groupBy("_file").agg(F.count("*").alias("_rows"))  # a row for each file
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).try_cast("long")  # beyond 99,999 the names are longer
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select(F.col("_file").alias("_of"), before.alias("_before"))
+    return at.join(F.broadcast(files), F.col("_file") == F.col("_of")).select(*docs.columns, (F.col("_before") + F.col("_row")).alias("place"))
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids (little-endian 32-bit) and the text that they decode to."""
-    out = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path(), decoded="decoded")
-    return out.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+    """place (from 0, in the order of the files of docs), doc_id, source, n_tokens, ids (little-endian 32-bit) and the text that they decode to."""
+    out = bpe.encode(placed(docs).select("place", "doc_id", "source", "text"), tokenizer_path(), decoded="decoded")
+    return out.select("place", "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("toxicity", keep_clean), ("near_dedup", keep_one), ("pii", hide_private), ("mixing", interleave), ("bpe", tokenize)]

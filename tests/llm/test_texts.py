@@ -12,7 +12,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, html_density, pii, queries, toxicity
+from siltstone.llm import bpe, chat, html_density, mixing, pii, queries, toxicity
 from siltstone.llm.common import table
 from tests.llm.test_near import brute_texts
 
@@ -184,6 +184,29 @@ def test_pipeline(spark, sf):
         assert stage(spark, docs.limit(0), sf).columns == docs.columns, name
 
 
+def test_pipeline_keeps_the_mix(spark, sf, tmp_path, monkeypatch):
+    """place follows the schedule, though the files of the mixed table are of very unequal size and are read largest first."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    many = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = corpus_pipeline.run(spark, sf).select("place", "doc_id", "source").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", many)
+    want = [(r["doc_id"], r["source"]) for r in mixing.mix(table(spark, sf, "documents")).orderBy("mix_place").collect()]
+    assert sorted(r["place"] for r in out) == list(range(len(want)))
+    assert [(r["doc_id"], r["source"]) for r in sorted(out, key=lambda r: r["place"])] == want
+    path = str(tmp_path / "t")
+    for a, b in ((0, 10), (10, 5000), (5000, 5001), (5001, 60_000)):
+        spark.range(a, b, numPartitions=1).write.parquet(f"{path}/{a}")
+    files = sorted((f for d in (0, 10, 5000, 5001) for f in (tmp_path / "t" / str(d)).glob("*.parquet")), key=lambda f: int(f.parent.name))
+    for i, f in enumerate(files):
+        f.rename(tmp_path / "t" / f"part-{99_998 + i:05d}-x.parquet")
+    assert corpus_pipeline.placed(spark.read.parquet(f"{path}/*.parquet")).where("place <> id").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered(name):
     assert re.fullmatch(r"op\d+_\w+", name)
