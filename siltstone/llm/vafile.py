@@ -3,8 +3,8 @@
 Vectors are integers, floor(256 * x) by component. The approximation of a vector is its cell: each component's range is cut
 into ``2 ** BITS`` equal parts. The scan reads cells only, block of queries by block of rows, and gets bounds of every score (inner
 product) from the cell's edges; rows whose upper bound is below the k-th best lower bound are out. Exact vectors are then
-read in the order of their upper bounds: first the best ``FIRST`` of each query, then those whose bound still reaches the
-k-th exact score, after which the result is certain.
+read in the order of their upper bounds: first the best ``FIRST`` (k + 1, if that is more) of each query, then those whose
+bound still reaches the k-th exact score, after which the result is certain.
 
 Equal integer vectors are one class and only the k + 1 smallest ids of a class can be in a result, so a vector with very
 many copies costs no more than any other.
@@ -120,10 +120,11 @@ def search(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
         pairs = candidates.join(asking, "q").join(classes.withColumnRenamed("v", "cv"), "class")
         return pairs.select("q", "ids", F.aggregate(F.zip_with("qv", "cv", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
 
-    early = work.table(read(left.where(F.col("at") <= FIRST)), "early")
+    first = max(FIRST, most)  # a query with fewer than most candidates has none after them
+    early = work.table(read(left.where(F.col("at") <= first)), "early")
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
     certain = early.withColumn("nth", nth).where(F.col("nth") == most).select("q", F.col("score").alias("kth"))
-    late = left.where(F.col("at") > FIRST).join(certain, "q").where(F.col("most") >= F.col("kth")).drop("kth")
+    late = left.where(F.col("at") > first).join(certain, "q").where(F.col("most") >= F.col("kth")).drop("kth")
     scored = early.unionByName(read(late)).select("q", "score", F.explode("ids").alias("vec_id"))
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     top = scored.withColumn("nth", best).where(F.col("nth") <= most).drop("nth")

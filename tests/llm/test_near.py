@@ -144,6 +144,16 @@ def test_search(spark):
     assert vafile.search(df.limit(0), F.col("vec_id") == 0, 5).count() == 0
 
 
+def test_search_of_many(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=8) / 3).tolist()) for i in range(300)]
+    ints = np.array([[math.floor(256 * x) for x in v] for _, v in rows])
+    for k in (15, 16, 20):
+        want = [(q, r, v, int(ints[q] @ ints[v])) for q in range(0, 300, 50) for r, v in enumerate(sorted((v for v in range(300) if v != q), key=lambda v: (-(ints[q] @ ints[v]), v))[:k], 1)]
+        got = vafile.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_pfair():
     rng = np.random.default_rng(7)
     for _ in range(60):
