@@ -217,15 +217,25 @@ def stratified_sample(spark, sf):
 
 
 # Datasets of conversations.
-def dedupe_consecutive(spark, sf):
+def _new_turns(turns):
+    """Turns without those that repeat the role and text of the one before."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf, "conversations").withColumn("text", F.substring("text", 1, 1))
     again = F.lag("role").over(w).eqNullSafe(F.col("role")) & F.lag("text").over(w).eqNullSafe(F.col("text")) & (F.row_number().over(w) > 1)
-    return turns.withColumn("again", again).where("NOT again").select("conv_id", "turn", "role", "text")
+    return turns.withColumn("again", again).where("NOT again").drop("again")
+
+
+def dedupe_consecutive(spark, sf):
+    """By the first character of a text, as its SQL has it; dedupe_consecutive_text compares whole texts."""
+    turns = table(spark, sf, "conversations").withColumn("text", F.substring("text", 1, 1))
+    return _new_turns(turns).select("conv_id", "turn", "role", "text")
+
+
+def dedupe_consecutive_text(spark, sf):
+    return _new_turns(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "text")
 
 
 def export_finetune(spark, sf):
-    turns = table(spark, sf, "conversations").where((trimmed("text") != "") & F.col("role").isNotNull())
+    turns = _new_turns(table(spark, sf, "conversations")).where((trimmed("text") != "") & F.col("role").isNotNull())
     msgs = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     rows = turns.groupBy("conv_id").agg(F.count("*").alias("messages"), F.array_join(F.transform(msgs, lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("example"))
     return rows.where("messages >= 2").select("conv_id", "messages", F.md5("example").alias("example_md5"))
@@ -371,6 +381,7 @@ QUERIES = {
     "stratified_alloc": (stratified_alloc, f"WITH {_ALLOC} SELECT source, n, take FROM al"),
     "stratified_sample": (stratified_sample, f"WITH {_ALLOC}, d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id)) AS nth FROM documents) SELECT source, doc_id FROM d JOIN al USING (source) WHERE nth <= take"),
     "dedupe_consecutive": (dedupe_consecutive, "WITH t AS (SELECT conv_id, turn, role, text[1:1] AS text FROM conversations), g AS (SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AND lag(text) OVER w IS NOT DISTINCT FROM text AND row_number() OVER w > 1 AS again FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, role, text FROM g WHERE NOT again"),
+    "dedupe_consecutive_text": (dedupe_consecutive_text, "SELECT conv_id, turn, role, text FROM (SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AND lag(text) OVER w IS NOT DISTINCT FROM text AND row_number() OVER w > 1 AS again FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE NOT again"),
     "export_finetune": (export_finetune, rf"SELECT conv_id, count(*) AS messages, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS example_md5 FROM conversations WHERE {TRIM.format('text')} <> '' AND role IS NOT NULL GROUP BY conv_id HAVING count(*) >= 2"),
     "promote_qa": (promote_qa, PROMOTE_SQL),
     "latest_per_package": (latest_per_package, _LATEST.replace("{str}", "VARCHAR").replace("{part}", "part")),

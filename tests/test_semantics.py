@@ -1,10 +1,13 @@
 """Small literal cases of the operators' meaning."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import context, dense, fusion, graph, html, sparse
 from siltstone.operators import text as op
+from siltstone.plans import corpus_queries
 from siltstone.sources import tables
 from siltstone.streaming import events as ev
 
@@ -150,3 +153,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "k.env").write_text("# c\nA=1\nB = two\nA=3\n")
     assert {tuple(r) for r in tables.key_values(spark, str(tmp_path / "k.env")).collect()} == {("A", "3"), ("B", "two")}
     assert tables.file_listing(spark, str(tmp_path)).count() == 2
+
+
+def test_repeated_turns(spark, tmp_path):
+    """Only a turn with the role and the whole text of the one before goes; the export leaves it out too."""
+    rows = [(1, 0, "user", "hello"), (1, 1, "user", "hello"), (1, 2, "user", "help"), (1, 3, "assistant", "help"), (2, 0, "user", "x"), (2, 1, "user", "x"), (3, 0, None, None), (3, 1, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = [tuple(r) for r in corpus_queries.dedupe_consecutive_text(spark, str(tmp_path)).orderBy("conv_id", "turn").collect()]
+    assert kept == [rows[0], rows[2], rows[3], rows[4], rows[6]]
+    assert [tuple(r) for r in corpus_queries.export_finetune(spark, str(tmp_path)).collect()] == [(1, 3, hashlib.md5(b"user: hello\nuser: help\nassistant: help").hexdigest())]
