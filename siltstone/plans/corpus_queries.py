@@ -27,9 +27,9 @@ def both(text: str, *names: str, spark_text: str | None = None):
 
 
 # Graph: facts are (supplier, returnflag, brand) of line items, a passage is an order, a schema (nation, flag, first word of the part's type).
-def _mentions(spark, sf):
+def _mentions(spark, sf, where="l_orderkey < 400"):
     line, part, supp = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
-    rows = line.where("l_orderkey < 400").join(part, F.col("l_partkey") == F.col("p_partkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = line.where(where).join(part, F.col("l_partkey") == F.col("p_partkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
         F.concat_ws("|", F.col("s_nationkey").cast("string"), "l_returnflag", F.substring_index("p_type", " ", 1)).alias("schema"),
@@ -44,16 +44,16 @@ mentions AS (SELECT * FROM (SELECT l_orderkey * 100 + l_linenumber AS seq, s_nat
 _FACTS = "facts AS (SELECT fact, min_by(schema, seq) AS schema, count(DISTINCT passage) AS passages, count(*) AS mentions FROM mentions GROUP BY fact)"
 
 
-def schema_frequency(spark, sf):
-    return graph.encode(_mentions(spark, sf))[0]
+def schema_frequency(spark, sf, *where):
+    return graph.encode(_mentions(spark, sf, *where))[0]
 
 
-def fact_table(spark, sf):
-    return graph.encode(_mentions(spark, sf))[1]
+def fact_table(spark, sf, *where):
+    return graph.encode(_mentions(spark, sf, *where))[1]
 
 
-def ontology_filter(spark, sf):
-    return graph.frequent(_mentions(spark, sf), 5).select("seq", "schema", "fact")
+def ontology_filter(spark, sf, *where):
+    return graph.frequent(_mentions(spark, sf, *where), 5).select("seq", "schema", "fact")
 
 
 def _members(spark, sf):
@@ -71,21 +71,21 @@ def fact_adjacency(spark, sf):
     return graph.neighbours(_members(spark, sf)).groupBy("src").agg(F.count("*").alias("degree"), F.min("dst").alias("first"))
 
 
-def _edges(spark, sf):
+def _edges(spark, sf, where="c_custkey < 200"):
     """Regions, nations, suppliers and customers as nodes, foreign keys as edges."""
     nation, supp, cust = (table(spark, sf, t) for t in ("nation", "supplier", "customer"))
     e = nation.selectExpr("concat('n', n_nationkey) AS src", "concat('r', n_regionkey) AS dst", "'in' AS rel")
     e = e.union(supp.selectExpr("concat('s', s_suppkey)", "concat('n', s_nationkey)", "'of'")).union(nation.selectExpr("concat('r', n_regionkey)", "concat('n', n_nationkey)", "'has'"))
-    return e.union(cust.where("c_custkey < 200").selectExpr("concat('n', c_nationkey)", "concat('c', c_custkey)", "'buyer'"))
+    return e.union(cust.where(where).selectExpr("concat('n', c_nationkey)", "concat('c', c_custkey)", "'buyer'"))
 
 
 _EDGES = """edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'in' AS rel FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'of' FROM supplier
   UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'has' FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'buyer' FROM customer WHERE c_custkey < 200)"""
 
 
-def graph_bfs(spark, sf):
+def graph_bfs(spark, sf, *where):
     seeds = spark.createDataFrame([("s1",), ("s2",)], "node string")
-    return graph.walk(_edges(spark, sf), seeds, 3).select("src", "dst", "rel", F.col("hop").cast("long"))
+    return graph.walk(_edges(spark, sf, *where), seeds, 3).select("src", "dst", "rel", F.col("hop").cast("long"))
 
 
 BFS_SQL = f"""
@@ -141,8 +141,8 @@ def memgraph_retrieve(spark, sf):
 _PASS = f"{_ppr_sql()}, pp AS (SELECT passage, sum(score) * 0.5 AS score FROM p{graph.STEPS} JOIN (SELECT DISTINCT fact AS node, passage FROM mentions) USING (node) WHERE score > 0.01 GROUP BY passage)"
 
 
-def cascade_prune(spark, sf):
-    m = _mentions(spark, sf)
+def cascade_prune(spark, sf, *where):
+    m = _mentions(spark, sf, *where)
     facts = graph.encode(m)[1].select("fact", "schema")
     links = m.select("fact", "passage").distinct()
     gone = m.where("passage % 4 = 1").select("passage").distinct()
@@ -401,3 +401,8 @@ QUERIES = {
     "session_gaps": (session_gaps, _SESSION),
     "tumbling_counts": (tumbling_counts, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
 }
+
+#: The same over whole tables.
+_ROWS = {"schema_frequency": " WHERE l_orderkey < 400", "fact_table": " WHERE l_orderkey < 400", "ontology_filter": " WHERE l_orderkey < 400", "cascade_prune": " WHERE l_orderkey < 400", "graph_bfs": " WHERE c_custkey < 200"}
+QUERIES |= {f"{name}_all": (lambda spark, sf, run=QUERIES[name][0]: run(spark, sf, "true"), QUERIES[name][1].replace(cut, "")) for name, cut in _ROWS.items()}
+QUERIES["queue_order_all"] = both(f"SELECT id, row_number() OVER (ORDER BY band, size DESC, updated_at, id) AS place FROM {_QUEUE} WHERE status = 'pending'", "orders")

@@ -162,3 +162,13 @@ def test_repeated_turns(spark, tmp_path):
     kept = [tuple(r) for r in corpus_queries.dedupe_consecutive_text(spark, str(tmp_path)).orderBy("conv_id", "turn").collect()]
     assert kept == [rows[0], rows[2], rows[3], rows[4], rows[6]]
     assert [tuple(r) for r in corpus_queries.export_finetune(spark, str(tmp_path)).collect()] == [(1, 3, hashlib.md5(b"user: hello\nuser: help\nassistant: help").hexdigest())]
+
+
+def test_whole_tables(spark, sf):
+    """The queries over whole tables reach every row."""
+    run = lambda name: corpus_queries.QUERIES[name][0](spark, sf)
+    lines, pending = tables.table(spark, sf, "lineitem"), tables.table(spark, sf, "orders").where("o_orderstatus = 'O'").count()
+    n = lines.select("l_orderkey", "l_linenumber").distinct().count()
+    assert run("schema_frequency_all").agg(F.sum("frequency")).first()[0] == n == run("fact_table_all").agg(F.sum("mentions")).first()[0]
+    assert pending > 500 and run("queue_order_all").count() == pending
+    assert "400" not in corpus_queries.QUERIES["fact_table_all"][1] and "200" not in corpus_queries.QUERIES["graph_bfs_all"][1]
