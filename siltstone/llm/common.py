@@ -74,6 +74,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Bytes in a string column over all rows: one pass, one number to the driver."""
     from pyspark.sql import functions as F

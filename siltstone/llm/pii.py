@@ -1,17 +1,23 @@
 """PII: detected entities get keyed surrogates of the same type, format, script and gender, equal for equal entities.
 
 Kinds: e-mail addresses, phone numbers, payment cards (by check digit), IPv4 addresses, IBANs, national ids of the form 3-2-4,
-secrets of any length (``password=``, ``token = "..."``, keys that tell their kind), PEM blocks of private keys and names after a form of address. A surrogate is made from an HMAC of the
-entity's canonical form, so one entity has one surrogate in every document and spelling ("+1 (212) 555-0100" and
+secrets of any length (``password=``, ``token = "..."``, keys that tell their kind), PEM blocks of private keys, and names: after a form of
+address, and wherever the full name or its last word stands again in the same text. A surrogate is made from an HMAC, under the caller's
+key, of the entity's canonical form, so one entity has one surrogate in every document and spelling ("+1 (212) 555-0100" and
 "+12125550100" keep their own punctuation), digits stay digits, letters keep their case and script, cards keep their check
-digit and first digit, addresses stay valid and names keep their gender.
+digit and first digit, addresses stay valid and given names keep their gender.
 
-Distinctness is checked, not assumed: the distinct entities of the corpus are listed, and where two share a surrogate, or a
-surrogate equals another entity that occurs, all but the first (by canonical form) get another try, until none collide.
-Only entities that needed a second try are carried back; up to ``MOST_RETRIED`` of them as a broadcast table, more by a join.
+The words of a name are entities of their own: the last word is a surname, whatever the title, the words before it are given names of
+the gender that a title in the text tells. So "Mr John Smith", "Dr Smith" and a later "John Smith" get the same surname.
+
+Distinctness is checked, not assumed: the distinct entities of the corpus are listed, and where two have the same surrogate as
+it is printed, or a surrogate is another entity that occurs, all but the first (by canonical form) get another try, until none collide. Later tries have
+more syllables or letters to choose from, so small spaces do not run out; after ``MOST_TRIES`` tries (a corpus that holds nearly all numbers of a fixed
+format) a ValueError says so. Only entities that needed a second try are carried back; up to ``MOST_RETRIED`` of them as a broadcast table, more by a join.
 
 Defined cases: null stays null and empty stays empty; overlapping finds go to the leftmost, then to the kind named first above;
-texts without entities are returned as they are; extra columns pass through, columns called like new ones are replaced.
+texts without entities are returned as they are; very long texts are read whole; rows that repeat get the same text; extra columns pass
+through whatever their names, one called like the new column is replaced.
 """
 
 from __future__ import annotations
@@ -19,17 +25,19 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import Scratch
+from siltstone.llm.common import Scratch, unused
 
-KEY = b"siltstone-surrogates-v1"
 MOST_RETRIED = 20_000
+MOST_TRIES = 64
 
 #: Forms of address by gender, and surrogate given and family names by script (fixed values).
 TITLES = {
@@ -37,20 +45,23 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "Signora", "госпожа", "г-жа"),
     "n": ("Dr", "Prof", "Professor", "Doktor", "Docteur"),
 }
+#: Given names by script and gender for first tries, and the syllables and endings that later ones and surnames are made of (fixed values).
 NAMES = {
     "latin": {
         "m": "Adam Bruno Carl David Erik Felix Georg Henri Ivan Jonas Karl Louis Martin Nils Oscar Paul Robert Simon Thomas Victor".split(),
         "f": "Alice Berta Clara Diana Elena Flora Greta Helen Irene Julia Karin Laura Maria Nina Olga Paula Rosa Sofia Teresa Vera".split(),
         "n": "Alex Robin Sascha Kim Andrea Dominique Noel Jo".split(),
-        "last": "Abel Berg Conti Dahl Engel Faber Grant Holm Ibsen Jansen Keller Lang Moreau Novak Olsen Petit Quinn Rossi Stein Torres Unger Vidal Weber Young Zeller".split(),
     },
     "cyrillic": {
         "m": "Антон Борис Виктор Глеб Денис Игорь Лев Максим Олег Павел".split(),
         "f": "Алла Вера Галина Дарья Елена Инна Лариса Мария Нина Ольга".split(),
         "n": "Саша Женя Валя".split(),
-        "last": "Абрамов Беляев Волков Громов Данилов Ершов Зайцев Ильин Киселев Лебедев".split(),
     },
 }
+SYLLABLES = {
+    "latin": ("b br c d dr f g gr h j k l m n p r s st t tr v w".split(), "a e i o u".split(), {"m": "an o us ek in".split(), "f": "a ia ina ella etta".split(), "n": "e y el is".split(), "last": "mann berg son well ter ler ner ard ens itz".split()}),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х".split(), "а е и о у".split(), {"m": "ан ор ин слав".split(), "f": "а ина ия ана".split(), "n": "я ни".split(), "last": "ов ев ин ский".split()}),
+}
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _CAP = r"[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+(?:-[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+)?"
 _PEM = r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"
@@ -61,23 +72,26 @@ _FIND = {
         r"""(?i:\b(?:password|passwd|pwd|passwort|contraseña|token|secret|api[_-]?key|access[_-]?key|auth)\b["']?\s{0,3}[:=]\s{0,3}["']?)(?P<secret>(?=[A-Za-z0-9+/_.\-]{8})(?:[A-Za-z0-9+/_.]++|-(?!----BEGIN ))++)"""
         r"|\b(?P<key>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})\b"
     ),
-    "email": re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"),
+    "email": re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}\b"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w])"),
     "nid": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w]|[.,]\d)|(?<![\w.])\+\d{8,15}(?!\w)"),
-    "name": re.compile(r"\b(?P<title>" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")\.? (?P<name>" + _CAP + r"(?: " + _CAP + r")?)"),
+    "name": re.compile(r"\b(?P<title>" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")\.? (?P<name>(?:[^\W\d_]\. )?" + _CAP + r"(?:(?: [^\W\d_]\.)? " + _CAP + r")?)"),
 }
 #: What a text must hold for a kind to be worth a search.
 _HINT = {"private_key": re.compile("PRIVATE KEY"), "email": re.compile("@"), "name": re.compile("|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)))}
+_WORD = re.compile(r"\b" + _CAP)
+_INITIAL = re.compile(r"[^\W\d_]\.")
 _MARK = re.compile(r"(?:AKIA|gh[pousr]_|sk-|xox[abprs]-)?")
 _DIGITS = re.compile(r"\d")
 _FRAME = re.compile(r"(-----[A-Z0-9 ]+-----|\\[nr])")
 
 
 def _digits(x: str) -> str:
-    return "".join(c for c in x if c.isdigit())
+    """The decimal digits of x, of any script, as 0 to 9."""
+    return "".join(str(unicodedata.decimal(c)) for c in x if c.isdecimal())
 
 
 def luhn(digits: str) -> bool:
@@ -90,7 +104,7 @@ def luhn(digits: str) -> bool:
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of each entity, in order, without overlaps."""
-    found = []
+    found, people = [], {}
     digits = _DIGITS.search(text) is not None
     for rank, (kind, pattern) in enumerate(_FIND.items()):
         if kind in _HINT and not _HINT[kind].search(text) or kind in ("iban", "ip", "card", "nid", "phone") and not digits:
@@ -126,10 +140,20 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             elif kind == "name":
                 a, b = m.span("name")
                 x = text[a:b]
-                form = f"{_GENDER[m['title']]}:{x}"
-            else:
+                if x[0].islower():
+                    continue
+                gender = _GENDER[m["title"]]
+                if people.get(x, "n") == "n":
+                    people[x] = gender
                 form = x
+            elif kind == "ip":
+                form = ".".join(str(int(n)) for n in x.split("."))
+            else:
+                form = _digits(x) if kind == "nid" else x
             found.append((a, -b, rank, kind, form))
+    if people:
+        found += _mentions(text, people, len(_FIND))
+        found = [(a, b, rank, kind, f"{people.get(form) or 'n'}:{form}" if kind == "name" else form) for a, b, rank, kind, form in found]
     out, end = [], -1
     for a, b, _, kind, form in sorted(found):
         if a >= end:
@@ -138,52 +162,115 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _mentions(text: str, people: dict[str, str], rank: int) -> Iterator[tuple[int, int, int, str, str]]:
+    """Where full names of people, or their last words, stand without a title."""
+    full, last = {}, {}
+    for name in people:
+        words = name.split(" ")
+        last.setdefault(words[-1], words[-1])
+        if len(words) > 1:
+            full.setdefault(words[0], []).append(name)
+    for m in _WORD.finditer(text):
+        for name in full.get(m[0], ()):
+            b = m.start() + len(name)
+            if text.startswith(name, m.start()) and not text[b : b + 1].isalnum():
+                yield m.start(), -b, rank, "name", name
+        if m[0] in last and len(m[0]) > 2:
+            yield m.start(), -m.end(), rank, "name", m[0]
+
+
+def parts(kind: str, form: str) -> list[tuple[str, str]]:
+    """What gets a surrogate of its own: the entity, or the words of a name in lower case. Initials stay."""
+    if kind != "name":
+        return [(kind, form)]
+    gender, _, full = form.partition(":")
+    *given, last = full.lower().split(" ")
+    return [("given", f"{gender}:{x}") for x in given if not _INITIAL.fullmatch(x)] + [("surname", last)]
+
+
 class _Stream:
-    """Keyed pseudo-random numbers for one entity and try."""
+    """Pseudo-random numbers under a key for one entity and try."""
 
-    def __init__(self, *what: str) -> None:
-        self.what, self.count, self.pool = "\0".join(what).encode(), 0, b""
+    def __init__(self, key: bytes, *what: str) -> None:
+        self.key, self.what, self.count, self.pool = key, "\0".join(what).encode(), 0, b""
 
     def below(self, n: int) -> int:
         if len(self.pool) < 4:
-            self.pool = hmac.new(KEY, self.what + b"\0%d" % self.count, hashlib.sha256).digest()
+            self.pool = hmac.new(self.key, self.what + b"\0%d" % self.count, hashlib.sha256).digest()
             self.count += 1
         x, self.pool = int.from_bytes(self.pool[:4], "big"), self.pool[4:]
         return x % n
 
 
+@lru_cache(maxsize=4096)
+def _letters(page: int, script: str, category: str) -> tuple[str, ...]:
+    """Letters of a script and category among the 256 code points of a page, without marks where there are enough."""
+    found = [c for c in map(chr, range(page << 8, (page + 1) << 8)) if unicodedata.category(c) == category and unicodedata.name(c, "").split(" ")[0] == script]
+    plain = [c for c in found if not re.search(r" (?:WITH|SYMBOL|LETTER FINAL|FORM)", unicodedata.name(c)) and unicodedata.normalize("NFKC", c) == c]
+    return tuple(plain if len(plain) > 4 else found)
+
+
+def _letter(c: str, stream: _Stream) -> str:
+    """A letter of the same script and case."""
+    if c < "\u0250":
+        return chr((65 if c.isupper() else 97) + stream.below(26))
+    if "\u0400" <= c <= "\u04ff":
+        return chr((0x410 if c.isupper() else 0x430) + stream.below(32))
+    if "\u0370" <= c <= "\u03ff":
+        new = "αβγδεζηθικλμνξοπρστυφχψω"[stream.below(24)]
+        return new.upper() if c.isupper() else new
+    among = _letters(ord(c) >> 8, unicodedata.name(c, "").split(" ")[0], unicodedata.category(c))
+    return among[stream.below(len(among))] if among else c
+
+
 def _like(x: str, stream: _Stream, hexadecimal: bool = False) -> str:
-    """Another string of the same shape: digits for digits, letters of the same case and script for letters."""
+    """Another string of the same shape: digits for digits and letters for letters, of the same script and case."""
     out = []
     for c in x:
         if hexadecimal and c in "0123456789abcdef":
             out.append("0123456789abcdef"[stream.below(16)])
-        elif c.isdigit():
-            out.append(str(stream.below(10)))
-        elif "a" <= c <= "z" or c.islower() and c < "\u0250":
-            out.append(chr(97 + stream.below(26)))
-        elif c.isupper() and c < "\u0250":
-            out.append(chr(65 + stream.below(26)))
-        elif "\u0400" <= c <= "\u04ff":
-            out.append(chr((0x430 if c.islower() else 0x410) + stream.below(32)))
+        elif c.isdecimal():
+            out.append(chr(ord(c) - unicodedata.decimal(c) + stream.below(10)))
         else:
-            out.append(c)
+            out.append(_letter(c, stream) if c.isalpha() else c)
     return "".join(out)
 
 
-def surrogate(kind: str, form: str, attempt: int = 0) -> str:
-    """The canonical surrogate of an entity; never the entity itself."""
-    for again in range(1000):
-        s = _Stream(kind, form, str(attempt), str(again))
+def _script(x: str) -> str | None:
+    """The script of a name that has syllables here."""
+    c = next((c for c in x if c.isalpha()), "a")
+    return "latin" if c < "\u0250" or "\u1e00" <= c <= "\u1eff" else "cyrillic" if "\u0400" <= c <= "\u04ff" else None
+
+
+def _name(form: str, stream: _Stream, role: str, attempt: int) -> str:
+    """A name, in lower case, in the script of form. role: a gender, or last."""
+    pick = lambda among: among[stream.below(len(among))]
+    script = _script(form)
+    if script is None:  # of other scripts, as many letters; later tries have more
+        return _like(form + form[-1] * max(0, attempt - 2), stream)
+    if role in NAMES[script] and not attempt:
+        return pick(NAMES[script][role]).lower()
+    onsets, vowels, endings = SYLLABLES[script]
+    made = "".join(pick(onsets) + pick(vowels) for _ in range(2 + attempt // 3)) + pick(onsets) + pick(endings[role])
+    if script == "cyrillic" and role == "last" and form[-1] in "ая":
+        made = made[:-2] + "ая" if made.endswith("ий") else made + "а"
+    return made
+
+
+def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
+    """The canonical surrogate of an entity (a part of one, see ``parts``); never the entity itself."""
+    for again in range(MOST_TRIES):
+        s = _Stream(key, kind, form, str(attempt), str(again))
+        more = "".join(chr(97 + s.below(26)) for _ in range(max(0, attempt - 2, again - 8)))  # later tries are longer
         if kind == "secret":
             mark = _MARK.match(form)[0]  # what tells the kind of a key stays
-            out = mark + _like(form[len(mark) :], s, hexadecimal=re.fullmatch("[0-9a-f]+", form) is not None)
+            out = mark + _like(form[len(mark) :], s, hexadecimal=re.fullmatch("[0-9a-f]+", form) is not None) + more
         elif kind == "private_key":
             out = "".join(x if i % 2 else _like(x, s) for i, x in enumerate(_FRAME.split(form)))  # its first and last line and escaped line ends stay
         elif kind == "email":
             local, _, domain = form.partition("@")
             host, _, top = domain.rpartition(".")
-            out = f"{_like(local, s)}@{_like(host, _Stream('domain', host, str(attempt), str(again)))}.{top}"
+            out = f"{_like(local, s)}{more}@{_like(host, _Stream(key, 'domain', host, str(attempt), str(again)))}.{top}"
         elif kind == "iban":
             body = _like(form[4:], s)
             check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{form[:2]}00")) % 97
@@ -193,29 +280,33 @@ def surrogate(kind: str, form: str, attempt: int = 0) -> str:
             out = ".".join([str(first if first in (10, 127) else 11 + s.below(100)), *(str(1 + s.below(254)) for _ in range(3))])
         elif kind == "card":
             body = form[0] + _like(form[1:-1], s)
-            good = [str(d) for d in range(10) if luhn(f"{body}{d}")]
-            out = body + (good[0] if luhn(form) else next(str(d) for d in range(s.below(9), 10) if str(d) != good[0]) if good[0] != "9" else str(s.below(9)))
-        elif kind == "name":
-            gender, _, full = form.partition(":")
-            names = NAMES["cyrillic" if "\u0400" <= full[0] <= "\u04ff" else "latin"]
-            parts = full.split(" ")
-            last = names["last"][s.below(len(names["last"]))]
-            extra = [names["last"][s.below(len(names["last"]))] for _ in range(min(attempt, 6))]  # later tries: double names
-            last = "-".join([last, *extra])
-            out = f"{gender}:" + (f"{names[gender][s.below(len(names[gender]))]} {last}" if len(parts) > 1 else last)
+            good = next(d for d in range(10) if luhn(f"{body}{d}"))
+            out = body + str(good if luhn(form) else (good + 1 + s.below(9)) % 10)
+        elif kind in ("given", "surname"):
+            role, _, own = form.rpartition(":")
+            made = _name(own, s, role or "last", max(attempt, again // 4))
+            out = f"{role}:{made}" if role else made
         else:
             out = _like(form, s)
             if out[0] == "0" and form[0] != "0":
                 out = str(1 + s.below(9)) + out[1:]
         if out != form:
             return out
-    return out
+    raise ValueError(f"no surrogate for an entity of the kind {kind}")
 
 
-def render(kind: str, original: str, made: str) -> str:
-    """The surrogate in the spelling of the original."""
+def printed(kind: str, made: str) -> str:
+    """A surrogate, or a canonical form, as readers see it but for upper case: genders do not show."""
+    return made.rpartition(":")[2] if kind == "given" else made
+
+
+def render(kind: str, original: str, made: list[str]) -> str:
+    """The surrogate, given for each of the entity's parts, in the spelling of the original."""
     if kind == "name":
-        return made.partition(":")[2]
+        rest = iter(made)
+        new = (x if _INITIAL.fullmatch(x) else printed("given", next(rest)) for x in original.split(" "))
+        return " ".join(n.upper() if len(o) > 1 and o.isupper() else n[:1].upper() + n[1:] for o, n in zip(original.split(" "), new, strict=True))
+    made = made[0]
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, made, strict=True)) if len(original) == len(made) else made
     if kind in ("card", "phone", "nid"):
@@ -223,8 +314,8 @@ def render(kind: str, original: str, made: str) -> str:
         head = len(_digits(original)) - len(_digits(made))  # a country code that the canonical form leaves out
         out, seen = [], 0
         for c in original:
-            if c.isdigit():
-                out.append(c if seen < head else next(digits))
+            if c.isdecimal():
+                out.append(c if seen < head else chr(ord(c) - unicodedata.decimal(c) + int(next(digits))))
                 seen += 1
             else:
                 out.append(c)
@@ -238,42 +329,46 @@ def render(kind: str, original: str, made: str) -> str:
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
-            seen = {(kind, form) for t in batch.column(0).slice(a, 512).to_pylist() if t for _, _, kind, form in find(t)}
+            seen = {p for t in batch.column(0).slice(a, 512).to_pylist() if t for _, _, kind, form in find(t) for p in parts(kind, form)}
             if seen:
                 kinds, forms = zip(*sorted(seen), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(forms)], names=["kind", "form"])
 
 
-def _surrogates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(*r) for r in rows], pa.string())], names=["kind", "form", "attempt", "made"])
+def retried(texts: DataFrame, work: Scratch, key: bytes) -> DataFrame:
+    """(kind, form, attempt) of the entities whose first surrogate collided; texts: one column."""
 
+    def surrogates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            shown = [printed(k, surrogate(k, f, n, key)) for k, f, n in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown, pa.string())], names=["kind", "form", "attempt", "shown"])
+
+    def tried(entities: DataFrame) -> DataFrame:
+        return entities.select("kind", "form", "attempt").mapInArrow(surrogates, "kind string, form string, attempt int, shown string")
 
-def retried(texts: DataFrame, work: Scratch) -> DataFrame:
-    """(kind, form, attempt) of the entities whose first surrogate collided; texts: one column."""
-    schema = "kind string, form string, attempt int, made string"
     known = work.table(texts.mapInArrow(_entities, "kind string, form string").distinct(), "entities")
-    current = work.table(known.withColumn("attempt", F.lit(0)).mapInArrow(_surrogates, schema), "surrogates")
-    while True:
-        first = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "form"))
-        taken = known.select(F.col("kind").alias("k"), F.col("form").alias("f"))
-        # A clash: not the first of a surrogate, or a surrogate that is itself an entity of the corpus.
-        checked = current.withColumn("nth", first).join(taken, (F.col("kind") == F.col("k")) & (F.col("made") == F.col("f")), "left")
-        clash = (F.col("nth") > 1) | F.col("f").isNotNull()
-        checked = checked.withColumn("attempt", F.col("attempt") + clash.cast("int")).select("kind", "form", "attempt", "made", clash.alias("clash"))
-        checked = work.table(checked, "checked")
-        again = checked.where("clash")
+    # Given names of either gender are one and the same to a reader.
+    taken = known.select("kind", F.when(F.col("kind") == "given", F.substring("form", 3, 1 << 30)).otherwise(F.col("form")).alias("shown")).distinct()
+    current = work.table(tried(known.withColumn("attempt", F.lit(0))), "surrogates")
+    for attempt in range(1, MOST_TRIES + 1):
+        # Each surrogate goes to the one that has had it longest: rows of a new try have a greater attempt than all others.
+        first = current.groupBy("kind", "shown").agg(F.min(F.struct("attempt", "form")).alias("w")).select("kind", "shown", "w.form")
+        good = work.table(first.join(taken, ["kind", "shown"], "left_anti").select("kind", "form"), "settled")
+        again = work.table(current.join(good, ["kind", "form"], "left_anti").select("kind", "form", F.lit(attempt).alias("attempt")), "again")
         if again.isEmpty():
             return current.where("attempt > 0").select("kind", "form", "attempt")
-        current = work.table(checked.where("NOT clash").drop("clash").unionByName(again.select("kind", "form", "attempt").mapInArrow(_surrogates, schema)), "surrogates")
+        if attempt < MOST_TRIES:
+            current = work.table(current.join(good, ["kind", "form"], "left_semi").unionByName(tried(again)), "surrogates")
+    kinds = sorted(r["kind"] for r in again.select("kind").distinct().collect())
+    raise ValueError(f"after {MOST_TRIES} tries, entities of these kinds have no surrogate of their own: {', '.join(kinds)}")
 
 
-def replace(text: str, attempts: dict[tuple[str, str], int]) -> tuple[str, list[tuple[str, int, int]]]:
+def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and (kind, start, end) of each in the result."""
     out, at, size, spans = [], 0, 0, []
     for a, b, kind, form in find(text):
-        new = render(kind, text[a:b], surrogate(kind, form, attempts.get((kind, form), 0)))
+        new = render(kind, text[a:b], [surrogate(*p, attempts.get(p, 0), key) for p in parts(kind, form)])
         out += [text[at:a], new]
         size += a - at
         spans.append((kind, size, size + len(new)))
@@ -283,44 +378,49 @@ def replace(text: str, attempts: dict[tuple[str, str], int]) -> tuple[str, list[
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def pseudonymize(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
-    """df with surrogates in its text and the column spans: kind, start and end of each in the new text."""
+def pseudonymize(df: DataFrame, key: bytes, text: str = "text", spans: str = "pii") -> DataFrame:
+    """df with surrogates under the key in its text, and the column spans: kind, start and end of each in the new text.
+    Whoever has the key can tell which surrogate belongs to a known entity: keep it apart from the result."""
+    if not key:
+        raise ValueError("surrogates need a key")
     work = Scratch(df.sparkSession, "pii")
     df = df.drop(spans)
-    retry = work.table(retried(df.select(F.col(text).alias("text")), work), "retried")
+    retry = work.table(retried(df.select(F.col(text).alias("text")), work, key), "retried")
     few = retry.limit(MOST_RETRIED + 1).collect()
     schema = T.StructType([*df.schema.fields, T.StructField(spans, _SPANS)])
-    extra, shared = None, None
+    shared, tries = None, unused(df, "tries")
     if len(few) <= MOST_RETRIED:
         shared = df.sparkSession.sparkContext.broadcast({(r["kind"], r["form"]): r["attempt"] for r in few})
     else:
         # Too many for a broadcast: each text gets the retried entities that it holds.
         def mentions(batches):
             for batch in batches:
-                rows = [(h, k, f) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for k, f in {x[2:] for x in find(t)}]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["_h", "kind", "form"])
+                found = [(h, *p) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for p in {p for x in find(t) for p in parts(*x[2:])}]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["hash", "kind", "form"])
 
-        df = df.withColumn("_h", F.xxhash64(F.col(text)))
-        held = df.select("_h", F.col(text).alias("text")).mapInArrow(mentions, "_h long, kind string, form string").distinct().join(retry, ["kind", "form"])
-        extra = held.groupBy("_h").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("_tries"))
-        df = df.join(extra, "_h", "left").drop("_h")
+        hashed = unused(df, "hash")
+        df = df.withColumn(hashed, F.xxhash64(F.col(text)))
+        held = df.select(F.col(hashed).alias("hash"), F.col(text).alias("text")).mapInArrow(mentions, "hash long, kind string, form string").distinct().join(retry, ["kind", "form"])
+        extra = held.groupBy(F.col("hash").alias(hashed)).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(tries))
+        df = df.join(extra, hashed, "left").drop(hashed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempts = shared.value if shared is not None else {}
         for batch in batches:
-            i, tries = batch.schema.get_field_index(text), batch.schema.get_field_index("_tries")
+            names = batch.schema.names
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                rows = part.column(tries).to_pylist() if tries >= 0 else None
+                rows = part.column(names.index(tries)).to_pylist() if tries in names else None
                 out = []
-                for k, t in enumerate(part.column(i).to_pylist()):
+                for k, t in enumerate(part.column(names.index(text)).to_pylist()):
                     if rows is not None:
                         attempts = {(r["kind"], r["form"]): r["attempt"] for r in rows[k] or []}
-                    out.append(replace(t, attempts) if t else (t, []))
-                columns = [pa.array([o[0] for o in out], pa.string()) if f.name == text else part.column(j) for j, f in enumerate(part.schema) if f.name != "_tries"]
-                columns.append(pa.array([[{"kind": k, "start": x, "end": y} for k, x, y in o[1]] for o in out], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))))
+                    out.append(replace(t, attempts, key) if t else (t, []))
+                columns = [pa.array([o[0] for o in out], pa.string()) if n == text else part.column(j) for j, n in enumerate(names) if n != tries]
+                columns.append(pa.array([[{"kind": k, "start": x, "end": y} for k, x, y in o[1]] for o in out], _ARROW_SPANS))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)

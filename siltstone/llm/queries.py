@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of surrogates, from the session's ``spark.siltstone.pii.key``; synthetic tables do without a secret one."""
+    return spark.conf.get("spark.siltstone.pii.key", "synthetic tables only").encode()
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -101,7 +106,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymize(docs).select("doc_id", F.size("pii").cast("long").alias("n_entities"), "text", "pii")
+    return pii.pseudonymize(docs, pii_key(spark)).select("doc_id", F.size("pii").cast("long").alias("n_entities"), "text", "pii")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

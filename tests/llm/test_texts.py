@@ -7,6 +7,7 @@ import random
 import re
 import string
 import struct
+import unicodedata
 import zlib
 
 import pytest
@@ -105,8 +106,11 @@ def test_toxicity_without_labels(spark):
 PERSON = "Mr. John Smith met Frau Anna Müller; Mr. John Smith (j.smith@Foo-Bar.org, +1 (212) 555-0100, 212-555-0100), SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00, card 4111 1111 1111 1111, host 10.0.0.1, password=3da3a2ce706927ddf6; v1.2.3.4.5, 3.14159265, 2024-01-02"
 
 
+KEY = b"tests"
+
+
 def test_surrogates():
-    new, spans = pii.replace(PERSON, {})
+    new, spans = pii.replace(PERSON, {}, KEY)
     parts = [(k, new[a:b]) for k, a, b in spans]
     assert [k for k, _ in parts] == ["name", "name", "name", "email", "phone", "phone", "nid", "iban", "card", "ip", "secret"]
     assert parts[0] == parts[2] and parts[0][1].split()[0] in pii.NAMES["latin"]["m"] and parts[1][1].split()[0] in pii.NAMES["latin"]["f"]
@@ -114,7 +118,7 @@ def test_surrogates():
     assert digits(parts[4][1])[-10:] == digits(parts[5][1]) and parts[4][1].startswith("+1 (")
     assert pii.luhn(digits(parts[8][1])) and parts[8][1][0] == "4"
     assert not any(x in new for x in ("Smith", "555-0100", "123-45-6789", "4111 1111", "3da3a2ce"))
-    assert new.endswith("; v1.2.3.4.5, 3.14159265, 2024-01-02") and pii.replace(PERSON, {}) == (new, spans)
+    assert new.endswith("; v1.2.3.4.5, 3.14159265, 2024-01-02") and pii.replace(PERSON, {}, KEY) == (new, spans)
 
 
 @pytest.mark.parametrize("n", [500, 800, 6000])
@@ -129,7 +133,7 @@ def test_long_secrets(n):
     }
     for frame, secret in secrets.items():
         text = "before " + frame.format(secret) + " after words"
-        new, spans = pii.replace(text, {})
+        new, spans = pii.replace(text, {}, KEY)
         assert len(new) == len(text) and len(spans) == 1, frame
         _, a, b = spans[0]
         assert text[a:b] == secret and new[:a] == text[:a] and new[b:] == text[b:], frame
@@ -143,7 +147,7 @@ def test_long_secrets(n):
 def test_pii_distinct(spark):
     rows = [(i, f"Mr. Aa{chr(97 + i % 26)}{chr(97 + i // 26)} wrote from 10.1.{i % 250}.{i // 250 + 1}") for i in range(600)] + [(900, None), (901, ""), (902, "clean text"), (0, "again Mr. Aaaa")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pii", F.lit("old"))
-    got = pii.pseudonymize(df).collect()
+    got = pii.pseudonymize(df, KEY).collect()
     assert len(got) == len(rows)
     made, back = {}, {}
     for r in got:
@@ -157,12 +161,74 @@ def test_pii_distinct(spark):
     assert len(made) > 1000 and not {x for _, x in made} & {x for _, x in back}
 
 
+def test_pii_of_every_script():
+    for text in ("mail 李@例子.com now", "αβγ@δελτα.gr", "_@_.com", "Mr 王小明 called", "Mr Γιώργος Παπαδόπουλος called", "г-жа Анна Иванова", "nid ۱۲۳-۴۵-۶۷۸۹", "Mr محمد called"):
+        new, spans = pii.replace(text, {}, KEY)
+        (_, a, b), (x, y, _, _) = spans[0], pii.find(text)[0]
+        assert len(spans) == 1 and new[a:b] != text[x:y] and new[:a] == text[:x] and new[b:] == text[y:]
+        scripts = lambda s: [unicodedata.name(c).split()[0] for c in s if c.isalpha()]
+        assert set(scripts(new[a:b])) == set(scripts(text[x:y])) or text.startswith("_")
+    assert pii.replace("Mr John Smith", {}, b"one") != pii.replace("Mr John Smith", {}, b"two")
+    with pytest.raises(ValueError):
+        pii.pseudonymize(None, b"")
+
+
+def test_pii_people():
+    """One person keeps one name, with a title or without; a doctor's gender comes from another title in the text."""
+    text = "Mr John Smith met Frau Smith. John Smith left, Dr John Smith came, SMITH stayed; Smithson and John did not. Mr. J. Smith"
+    new, spans = pii.replace(text, {}, KEY)
+    said = [new[a:b] for _, a, b in spans]
+    first, last = said[0].split(" ")
+    assert said == [f"{first} {last}", last, f"{first} {last}", f"{first} {last}", f"J. {last}"] and first in pii.NAMES["latin"]["m"]
+    assert "SMITH stayed; Smithson and John did not" in new
+    upper = pii.replace("Mr SMITH", {}, KEY)[0]
+    assert upper == f"Mr {last.upper()}"
+
+
+def checked(spark, rows):
+    """The surrogates of rows are stable, distinct as printed, and none is an entity of rows; returns how many there are."""
+    got = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), KEY).collect()}
+    made, back = {}, {}
+    for i, t in rows:
+        for (a, b, kind, _), s in zip(pii.find(t), got[i]["pii"], strict=True):
+            was, now = t[a:b], got[i]["text"][s["start"] : s["end"]]
+            for old, new in zip(was.split(" "), now.split(" "), strict=True) if kind == "name" else [(was, now)]:
+                assert made.setdefault((kind, old), new) == new and back.setdefault((kind, new), old) == old
+    assert not {x for _, x in made} & {x for _, x in back}
+    return len(made)
+
+
+def test_pii_small_spaces(spark):
+    """All e-mail addresses of one letter at one letter, and many more people than given names, get surrogates of their own."""
+    abc = string.ascii_lowercase
+    assert checked(spark, [(i, f"write to {abc[i // 26]}@{abc[i % 26]}.com") for i in range(676)]) == 676
+    rng = random.Random(3)
+    name = lambda: rng.choice(abc).upper() + "".join(rng.choice(abc) for _ in range(5))
+    rows = [(i, f"{rng.choice(['Mr', 'Frau'])} {name()} {name()} wrote from {rng.randrange(1, 250)}.{i % 250}.{i // 250}.7, +1 212 555 {i:04d}") for i in range(2600)]
+    assert checked(spark, rows) > 10_000
+
+
+def test_pii_without_end_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_TRIES", 3)
+    monkeypatch.setattr(pii, "surrogate", lambda kind, form, attempt, key: "same")
+    with pytest.raises(ValueError, match="email"):
+        pii.pseudonymize(spark.createDataFrame([(1, "a@b.com c@d.com")], "doc_id long, text string"), KEY)
+
+
+def test_pii_long_text(spark):
+    text = "word " * 400_000 + "a@b.com " + "x" * 1_000_000 + " c@d.com"
+    df = spark.createDataFrame([(1, text), (1, text), (None, None)], "hash long, text string").withColumn("tries", F.lit(7))
+    rows = pii.pseudonymize(df, KEY).collect()
+    assert [len(r["pii"]) for r in rows if r["text"]] == [2, 2] and {r["tries"] for r in rows} == {7} and rows[0]["text"][:9] == "word word"
+
+
 def test_pii_by_join_equals_broadcast(spark, monkeypatch):
     rows = [(i, f"Mr. Bb{chr(97 + i % 26)}{chr(97 + i // 26)} is here") for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    one = {r["doc_id"]: r["text"] for r in pii.pseudonymize(df).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"hash": F.lit(1), "tries": F.lit(2)})
+    one = {r["doc_id"]: r["text"] for r in pii.pseudonymize(df, KEY).collect()}
     monkeypatch.setattr(pii, "MOST_RETRIED", 0)
-    assert {r["doc_id"]: r["text"] for r in pii.pseudonymize(df).collect()} == one
+    joined = pii.pseudonymize(df, KEY)
+    assert joined.columns == [*df.columns, "pii"] and {r["doc_id"]: r["text"] for r in joined.collect()} == one
 
 
 def test_pipeline(spark, sf):
@@ -178,7 +244,7 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} == kept.keys()
     for r in out:
-        want = pii.replace(kept[r["doc_id"]], {})[0]
+        want = pii.replace(kept[r["doc_id"]], {}, queries.pii_key(spark))[0]
         assert r["decoded"] == want and r["n_tokens"] * 4 == len(r["ids"])
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).columns == docs.columns, name
