@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, minhash, mixing, pii, toxicity
-from siltstone.llm.common import Scratch, table
-from siltstone.llm.queries import tokenizer_path
+from siltstone.llm.common import Scratch, table, unused
+from siltstone.llm.queries import pii_key, tokenizer_path
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows the text."""
-    out = pii.pseudonymize(docs, spans="_pii")
+    out = pii.pseudonymize(docs, pii_key(spark), spans=unused(docs, "pii"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
