@@ -5,16 +5,21 @@ with C characters, T tags, LC characters in links and LT link tags below it, and
 
     density = C / T * log base ln(C / notLC * LC + lc / c * C + e) of (C / LC * T / LT)
 
-(counts of 0 taken as 1), as in the published method. A node's score is the sum of its children's densities. The threshold is
-the least density on the path from the body to the densest node; the subtree with the largest score among nodes that reach the threshold
-is the main content, widened to an ``article`` or ``main`` that encloses it, since a page that names its article is taken at
-its word. Inside it, what is not the article goes: menus, headers and footers of the page, sidebars, notices, adverts,
-forms, scripts, styles, comments of readers and hidden parts, told by tag, role, class or id.
+(tags, link tags and characters outside links of 0 taken as 1, link characters of 0 as a half), as in the published method. A node's score is the sum of its
+children's densities; text that stands in the node itself, with its text-level elements (``b``, ``a``, ``br`` ...), counts as one child. What says of itself that it
+is no part of an article (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, comments of readers
+and hidden parts, told by tag, role, class or id) is no candidate, adds to no score and is left out of the text.
+
+The threshold is the least density on the path from the body to the densest node; the subtree with the largest score among
+nodes that reach the threshold is the main content (of equal scores an ``article`` or ``main``, then the longer text). It widens to its parent below
+the body as long as most of the text that this adds is the article's own kind: headings and paragraphs, or parts that reach the
+threshold and have a score of ``ALIKE`` of the main content's at least, such as its other sections.
 
 Text is read block by block: white space inside a block becomes one space, blocks are trimmed and joined by one space.
 
-Defined cases: null and empty pages, and pages without text, give an empty text; without a body the whole page is the body;
-plain text is its own article; character references are decoded once; an unclosed script or style ends with the page.
+Defined cases: null and empty pages, pages without text and pages whose text is all in links give an empty text; without a body the whole page is the body;
+plain text is its own article; character references are decoded once; an unclosed script or style ends with the page; very long and very deep pages are
+read whole; rows that repeat give the same text.
 """
 
 from __future__ import annotations
@@ -57,18 +62,23 @@ _APART_NAMES = re.compile(
     r"footer|foot|header|masthead|menu|nav\w*|sidebar|side|rail|widget|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|pagination|pager|skip|toolbar|hidden)(?:$|[\s_-])|sidebar|navbar|advert|newsletter",
     re.I,
 )
+#: Children of a widened part that are taken at their word (fixed values of the language).
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl blockquote pre table figure".split())
+#: The share of the main content's score that another part has to reach to be its like.
+ALIKE = 0.2
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "score", "end")
+    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "line", "density", "score")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None") -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.items: list = []  # texts and nodes, in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.line = False  # text-level, without blocks below
         self.density = self.score = 0.0
 
 
@@ -132,6 +142,11 @@ def apart(node: Node) -> bool:
     return node.tag not in ("html", "body", "article", "main") and bool(_APART_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
+def apart_in(node: Node) -> bool:
+    """The same for a node inside an article, whose own header belongs to it."""
+    return apart(node) and not (node.tag == "header" and node.parent.tag in ("article", "main"))
+
+
 def measure(root: Node) -> list[Node]:
     """Counts of every node, children before parents; the nodes in that order."""
     order, stack = [], [root]
@@ -141,59 +156,67 @@ def measure(root: Node) -> list[Node]:
         stack += [x for x in node.items if isinstance(x, Node) and x.tag not in RAW]
     order.reverse()
     for node in order:
-        link = node.tag == "a"
+        node.line = node.tag not in BLOCKS or node.tag in ("br", "hr")
         for x in node.items:
             if not isinstance(x, Node):
                 node.chars += len("".join(x.split()))
             elif x.tag not in RAW:
+                node.line &= x.line
                 node.chars += x.chars
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags + (x.tag == "a")
-        if link:
+        if node.tag == "a":
             node.link_chars = node.chars
     return order
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    if not chars:
+        return 0.0
+    links, t = link_chars or 0.5, max(tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * links + share * chars + math.e)
+    return chars / t * math.log(max(chars / links * t / max(link_tags, 1), 1.0)) / math.log(base)
+
+
 def densities(order: list[Node], body: Node) -> None:
+    """Density and score of each node; order: children before parents."""
     share = body.link_chars / max(body.chars, 1)
     for node in order:
-        c, lc, t, lt = node.chars, max(node.link_chars, 1), max(node.tags, 1), max(node.link_tags, 1)
-        if c:
-            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + share * c + math.e)
-            node.density = c / t * max(math.log(max(c / lc * t / lt, 1.0)), 0.0) / max(math.log(base), 1e-9) if base > 1.0000001 else c / t
-        node.score = sum(x.density for x in node.items if isinstance(x, Node))
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        parts = [x for x in node.items if isinstance(x, Node) and x.tag not in RAW and not x.line]
+        own = (node.chars, node.tags, node.link_chars, node.link_tags)
+        if parts:
+            below = [sum(c) for c in zip(*((x.chars, x.tags + 1, x.link_chars, x.link_tags + (x.tag == "a")) for x in parts), strict=True)]
+            own = tuple(a - b for a, b in zip(own, below, strict=True))
+        node.score = density(*own, share) + sum(x.density for x in parts if not apart(x))
 
 
-def content(root: Node) -> Node:
-    """The subtree with the largest density sum above the threshold of the body's path."""
+def content(root: Node) -> Node | None:
+    """The subtree with the largest density sum above the threshold of the body's path; None if nothing has a density."""
     order = measure(root)
     body = next((x for x in reversed(order) if x.tag == "body"), root)
     inside, stack = [], [body]
     while stack:
         node = stack.pop()
-        if node is not body and apart(node):
-            continue
         inside.append(node)
-        stack += [x for x in node.items if isinstance(x, Node)]
+        stack += [x for x in node.items if isinstance(x, Node) and not x.line and not apart(x)]
     densities(order, body)
-    densest = max(inside, key=lambda x: x.density)
-    least = densest.density
-    node = densest
+    node = max(inside, key=lambda x: x.density)
+    least = node.density
     while node is not body:
         node = node.parent
         least = min(least, node.density)
-    best = max((x for x in inside if x.density >= least), key=lambda x: (x.score, x.chars), default=body)
-    if not best.score:
-        best = body
-    up = best
-    while up is not None and up is not body:
-        if up.tag in ("article", "main") or up.attrs.get("role", "").lower() in ("article", "main"):
-            return up
-        up = up.parent
-    # A page that has one article, beside the densest part, means that.
-    named = [x for x in inside if x.tag in ("article", "main") and x.chars]
-    return max(named, key=lambda x: x.chars) if named else best
+    best = max((x for x in inside if x.density >= least), key=lambda x: (x.score, x.tag in ("article", "main"), x.chars))
+    if best.score <= 0:
+        return None
+    while best is not body and best.parent is not body and best.parent is not None:
+        others = [x for x in best.parent.items if isinstance(x, Node) and x is not best and x.tag not in RAW and not apart_in(x)]
+        alike = sum(x.chars for x in others if x.tag in PROSE or x.tag == "header" or x.density >= least and x.score >= ALIKE * best.score)
+        if 2 * alike < sum(x.chars for x in others):
+            break
+        best = best.parent
+    return best
 
 
 def blocks(node: Node) -> list[str]:
@@ -214,7 +237,7 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif not isinstance(x, Node):
             now.append(x)
-        elif x is node or not apart(x) or (x.tag == "header" and x.parent.tag in ("article", "main")):
+        elif x is node or not apart_in(x):
             block = x.tag in BLOCKS
             if block:
                 flush()
@@ -227,7 +250,8 @@ def blocks(node: Node) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html or not html.strip():
         return ""
-    return " ".join(blocks(content(parse(html))))
+    found = content(parse(html))
+    return " ".join(blocks(found)) if found else ""
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

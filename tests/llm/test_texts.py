@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html as stdlib
+import math
 import random
 import re
 import string
@@ -71,6 +72,76 @@ PAGE = """<html><body><header><a href=/>Site</a></header><div class="sidebar"><p
 <footer>foot</footer><script>var a='<p>x</p>'</script></body></html>"""
 
 
+def drawn(rng, depth):
+    """A random tree: tag, attributes, children (trees and texts)."""
+    tag = rng.choice(["div", "section", "p", "ul", "span", "b", "a", "br"] if depth else ["div", "section"])
+    if tag == "br":
+        return (tag, "", [])
+    inner = [rng.choice(["", "word ", "some longer text here. " * rng.randrange(1, 9)]) if rng.random() < 0.5 or depth > 3 else drawn(rng, depth + 1) for _ in range(rng.randrange(1, 5))]
+    lines = ("span", "b", "a")
+    return (tag, rng.choice(["", "", "", ' class="advert"']) if tag not in lines else "", inner if tag in ("div", "section") else [x for x in inner if isinstance(x, str) or x[0] in lines and tag != "a" or x[0] == "br"])
+
+
+def written(x):
+    return x if isinstance(x, str) else f"<{x[0]}>" if x[0] == "br" else f"<{x[0]}{x[1]}>{''.join(map(written, x[2]))}</{x[0]}>"
+
+
+def brute_density(x, share, links=False):
+    """(density, score) of a tree by its definition, each count taken anew."""
+    all_ = lambda y: [y] + [z for c in y[2] if not isinstance(c, str) for z in all_(c)]
+    text = lambda y: "".join(c if isinstance(c, str) else text(c) for c in y[2])
+    size = lambda t: len(re.sub(r"\s", "", t))
+    line = lambda y: all(z[0] in ("span", "b", "a", "br") for z in all_(y))
+
+    def value(trees, texts, whole):
+        c = sum(size(text(t)) for t in trees) + sum(map(size, texts))
+        tags = sum(len(all_(t)) for t in trees)
+        anchors = [z for t in trees for z in all_(t) if z[0] == "a"]
+        lc = c if whole else sum(size(text(z)) for z in anchors)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * (lc or 0.5) + share * c + math.e)
+        return c / max(tags, 1) * math.log(max(c / (lc or 0.5) * max(tags, 1) / max(len(anchors), 1), 1)) / math.log(base)
+
+    trees, texts = [c for c in x[2] if not isinstance(c, str)], [c for c in x[2] if isinstance(c, str)]
+    blocks = [t for t in trees if not line(t)]
+    score = value([t for t in trees if line(t)], texts, False) + sum(brute_density(t, share)[0] for t in blocks if not t[1])
+    return value(trees, texts, x[0] == "a"), score
+
+
+def test_densities():
+    rng = random.Random(5)
+    for _ in range(150):
+        tree = drawn(rng, 0)
+        root = html_density.parse(f"<body>{written(tree)}</body>")
+        order = html_density.measure(root)
+        body = next(x for x in order if x.tag == "body")
+        html_density.densities(order, body)
+        share = body.link_chars / max(body.chars, 1)
+
+        def same(node, x):
+            if not node.line:
+                assert (node.density, node.score) == pytest.approx(brute_density(x, share))
+            below = [y for y in x[2] if not isinstance(y, str)]
+            for a, b in zip([y for y in node.items if isinstance(y, html_density.Node)], below, strict=True):
+                same(a, b)
+
+        same(next(x for x in body.items if not isinstance(x, str)), tree)
+
+
+def test_html_is_chosen_by_density(spark, sf, monkeypatch):
+    """Pages that do not name their article give the same texts; without densities there are none."""
+    pages = [r["html"] for r in table(spark, sf.replace("sf0.001", "sf0.01"), "pages").collect()]
+    for h in pages:
+        assert html_density.main_text(re.sub(r"<(/?)article\b", r"<\1div", h)) == html_density.main_text(h) != ""
+    p = lambda w, n: f"<p>{w * n}</p>"
+    parts = f"<h1>Title here</h1><section>{p('word ', 60)}{p('other ', 50)}</section><section>{p('third ', 40)}{p('fourth ', 40)}</section><p>end</p>"
+    wrapped = f"<body><div><div>Buy our things</div><div>{parts}</div><div><a href=x>more</a> <a href=y>of this</a></div></div></body>"
+    assert html_density.main_text(wrapped) == html_density.main_text(f"<article>{parts}</article>")
+    monkeypatch.setattr(html_density, "density", lambda *a: 0.0)
+    assert {html_density.main_text(h) for h in pages} == {""}
+
+
 def test_html(spark, sf):
     def plain(h):
         a = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", re.search(r"<article>(.*?)</article>", h, re.S)[1]))
@@ -81,8 +152,10 @@ def test_html(spark, sf):
     want = {r["page_id"]: plain(r["html"]) for r in pages.collect()}
     assert got == {i: (t, len(t)) for i, t in want.items()}
     assert html_density.main_text(PAGE) == "Title & more First para with link text and words in it, long enough. Second para line two one two"
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "plain  text"), (4, "<p>a"), (5, "<div"), (6, "<script>x"), (7, "<div>" * 3000 + "deep"), (None, "<p>&lt;b&gt;</p>")], "page_id long, html string").withColumns({"url": F.lit("u"), "text": F.lit(5)})
-    assert {r["page_id"]: r["text"] for r in html_density.extract(odd).collect()} == {1: "", 2: "", 3: "plain text", 4: "a", 5: "", 6: "", 7: "deep", None: "<b>"}
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "plain  text"), (4, "<p>a"), (5, "<div"), (6, "<script>x"), (7, "<div>" * 3000 + "deep"), (None, "<p>&lt;b&gt;</p>"), (8, "<a href=x>all a link</a>"), (9, "<p>long " + "text " * 300_000), (4, "<p>a")], "page_id long, html string").withColumns({"url": F.lit("u"), "text": F.lit(5)})
+    rows = html_density.extract(odd).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {1: "", 2: "", 3: "plain text", 4: "a", 5: "", 6: "", 7: "deep", None: "<b>", 8: "", 9: ("long " + "text " * 300_000).strip()}
+    assert len(rows) == 11
     assert html_density.extract(odd.limit(0)).count() == 0
 
 
