@@ -46,11 +46,11 @@ class Scratch:
         self.path = f"{scratch_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; the plan that made it is forgotten."""
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write df, in a folder for each value of by, and read it back; the plan that made it is forgotten."""
         self.count += 1
         path = f"{self.path}/{self.count:02d}-{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         release(self.spark)

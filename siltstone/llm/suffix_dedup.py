@@ -3,7 +3,7 @@
 The suffix index is built in buckets, each small enough for one task, so that equal windows (strings of ``length`` bytes)
 always meet in one bucket:
 
-1. Texts are dealt into batches by a hash of doc_id. Every window belongs to one anchor: its ``ANCHOR``-byte gram of least
+1. Texts are dealt evenly into batches, each packed into one row. Every window belongs to one anchor: its ``ANCHOR``-byte gram of least
    hash (leftmost first), which depends on the window's bytes alone. A batch sends each distinct anchor hash once; buckets
    of hashes report which anchors occur more than once anywhere. Windows of the other anchors cannot repeat.
 2. Windows of very frequent anchors (over ``FREQUENT`` places: common lines in ever new surroundings) take part in a second round
@@ -14,11 +14,16 @@ always meet in one bucket:
    expansion on the Burrows-Wheeler transform (``siltstone.llm.bwt``). Each window's first place goes back to its batches.
 4. The batch marks windows that start after their first place and cuts the bytes they cover.
 
+Hashes of anchors are mixed once more before they are dealt, so that buckets, which are equal ranges of hashes, are even though
+anchors are least hashes. A bucket stands for ``BUCKET`` bytes of input and works on ``PART`` windows at a time. A batch sends a bucket one
+message, and at most one for each of its own anchors, so messages grow with the input and not with batches times buckets.
+
 Pieces are told apart by their anchor's and their own 64-bit hash. Places are ordered by doc_id, then start.
 
 Defined cases: null and empty texts have no bytes; rows with a null doc_id come after all others; of rows that repeat a
-doc_id none is earlier than another at the same start; texts shorter than ``length`` lose nothing; a text of one repeated byte
-keeps its first ``length`` bytes; extra columns play no part.
+doc_id none is earlier than another at the same start, and they may be in any batch; texts shorter than ``length`` lose nothing; a text of one repeated byte
+keeps its first ``length`` bytes; extra columns play no part. A batch needs about 100 bytes of memory for each of its bytes; a text that is longer than
+``BATCH`` makes a batch of its own size.
 """
 
 from __future__ import annotations
@@ -34,9 +39,11 @@ from siltstone.llm.common import Scratch, as_bytes, blob_column, input_bytes, mi
 LENGTH = 100
 ANCHOR = 32
 FREQUENT = 1000
-#: Bytes of text in a batch, and buckets of pieces for each batch.
-BATCH, SPLIT = 2 << 20, 2
+#: Bytes of input for each batch and for each bucket; the least number of either.
+BATCH, BUCKET = 2 << 20, 32 << 20
 LEAST_BATCHES = 64
+#: Windows that a bucket looks at together, or those of one anchor.
+PART = 1 << 20
 #: Bytes of pieces in one suffix index.
 INDEX = 256 << 10
 
@@ -105,7 +112,7 @@ class _Batch:
         anchor &= (np.uint64(1) << bits) - np.uint64(1)
         anchor = anchor.view(np.int64)
         new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (self.row[1:] != self.row[:-1])))
-        return new, np.append(new[1:], len(anchor)), gram[anchor[new]]
+        return new, np.append(new[1:], len(anchor)), mix64(gram[anchor[new]], 5)
 
     def asked(self, hashes: np.ndarray, replies: list[tuple[int, bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct hashes, places of hashes in them, what buckets said of each: 0 single, 1 repeated, 2 frequent)."""
@@ -113,7 +120,7 @@ class _Batch:
         said = np.zeros(len(distinct), np.uint8)
         cut = _cuts(distinct, buckets)
         for bucket, data in replies:
-            said[cut[bucket] : cut[bucket + 1]] = np.frombuffer(data, np.uint8)
+            said[slice(*cut[bucket])] = np.frombuffer(data, np.uint8)
         return distinct, where, said
 
     def pieces(self, replies: dict[int, list[tuple[int, bytes]]], buckets: int) -> dict[str, np.ndarray]:
@@ -146,9 +153,13 @@ class _Batch:
         return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(f - (ends - size), size)
 
 
-def _cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's hashes begin among sorted hashes: buckets are equal ranges of the upper 32 bits."""
-    return np.searchsorted((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+def _cuts(distinct: np.ndarray, buckets: int) -> dict[int, tuple[int, int]]:
+    """The range of each bucket that is not empty among sorted hashes: buckets are equal ranges of the upper 32 bits."""
+    if not len(distinct):
+        return {}
+    bucket = (distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return dict(zip(bucket[start].tolist(), zip(start.tolist(), np.append(start[1:], len(bucket)).tolist(), strict=True), strict=True))
 
 
 def _calls(kind: int, batch: list, bucket: list, data: list[bytes]) -> pa.Table:
@@ -166,10 +177,9 @@ def _said(calls: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
 def _ask(batch: int, hashes: np.ndarray, buckets: int, kind: int) -> pa.Table:
     distinct, count = np.unique(hashes, return_counts=True)
     cut = _cuts(distinct, buckets)
-    some = np.flatnonzero(cut[1:] > cut[:-1])
     count = np.minimum(count, 65535).astype(np.uint16)
-    data = [distinct[cut[b] : cut[b + 1]].tobytes() + count[cut[b] : cut[b + 1]].tobytes() for b in some]
-    return _calls(kind, [batch] * len(some), some.tolist(), data)
+    data = [distinct[x:y].tobytes() + count[x:y].tobytes() for x, y in cut.values()]
+    return _calls(kind, [batch] * len(cut), list(cut), data)
 
 
 def _tell_counts(kind: int, frequent: int):
@@ -198,14 +208,24 @@ def _unpack(data: bytes) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
 
 
-def _send_pieces(number: int, batch: _Batch, replies: dict, buckets: int, split: int) -> pa.Table:
+def _batch_row(number: int, rows: pa.Table) -> pa.Table:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return _calls(0, [number], [-1], [sink.getvalue().to_pybytes()])
+
+
+def _read_batch(rows: pa.Table, length: int) -> _Batch:
+    return _Batch(pa.ipc.open_stream(rows.column("data")[0].as_buffer()).read_all(), length)
+
+
+def _send_pieces(number: int, batch: _Batch, replies: dict, buckets: int) -> pa.Table:
     p = batch.pieces(replies, buckets)
-    cut = _cuts(p["anchor"], split)
+    cut = _cuts(p["anchor"], buckets)
     at, count = batch.starts[p["first"][p["chosen"]]], p["count"][p["chosen"]]
     row = batch.row[p["first"][p["chosen"]]]
     out = {k: [] for k in ("bucket", "data")}
-    for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-        x, y = cut[b], cut[b + 1]
+    for b, (x, y) in cut.items():
         text = b"".join(batch.data[s : s + c + batch.length - 1].tobytes() for s, c in zip(at[x:y].tolist(), count[x:y].tolist(), strict=True))
         head = np.array([y - x], np.int64).tobytes()
         out["bucket"].append(b)
@@ -232,80 +252,87 @@ def _classes(text: np.ndarray, begin: np.ndarray, size: np.ndarray, count: np.nd
     return np.concatenate(out)
 
 
+def _first_places(text, begin, size, count, anchor, doc, start, lead, length):
+    """(piece of lead, first window, windows, doc, start) of runs of windows of distinct pieces whose first places go on side by side."""
+    windows = count[lead]
+    ends = np.cumsum(windows)
+    step = np.arange(int(ends[-1])) - np.repeat(ends - windows, windows)
+    w_doc, w_start = np.repeat(doc[lead], windows), np.repeat(start[lead], windows) + step
+    several = np.zeros(len(lead), bool)
+    same = anchor[lead][1:] == anchor[lead][:-1]
+    several[1:] |= same
+    several[:-1] |= same
+    if several.any():
+        group = _classes(text, begin, size, count, anchor, lead[several], length)
+        mine = np.flatnonzero(np.repeat(several, windows))
+        by = np.lexsort((w_start[mine], w_doc[mine], group))
+        head = np.append(True, group[by][1:] != group[by][:-1])
+        low = mine[by][head][np.cumsum(head) - 1]
+        to_doc, to_start = w_doc.copy(), w_start.copy()
+        to_doc[mine[by]], to_start[mine[by]] = w_doc[low], w_start[low]
+        w_doc, w_start = to_doc, to_start
+    runs = np.flatnonzero(np.append(True, (w_doc[1:] != w_doc[:-1]) | (w_start[1:] != w_start[:-1] + 1)) | (step == 0))
+    piece = np.repeat(np.arange(len(lead)), windows)[runs]
+    return piece, step[runs], np.append(runs[1:], len(step)) - runs, w_doc[runs], w_start[runs]
+
+
 def _find_first(length: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """For each batch: the first places of its pieces' windows, where they are not the batch's own first ones."""
-        heads, texts, source = [], [], []
+        heads, texts, source, number = [], [], [], []
         for i, x in enumerate(map(_unpack, rows.column("data").to_pylist())):
             n = int(np.frombuffer(x, np.int64, 1)[0])
             heads.append(np.frombuffer(x, np.int64, 5 * n, 8).reshape(5, n))
             texts.append(np.frombuffer(x, np.uint8, -1, 8 + 40 * n))
             source.append(np.full(n, i))
+            number.append(np.arange(n))
         anchor, own, doc, start, count = np.concatenate(heads, axis=1)
-        text, source = np.concatenate(texts), np.concatenate(source)
+        text, source, number = np.concatenate(texts), np.concatenate(source), np.concatenate(number)
+        del heads, texts
         size = count + length - 1
-        ends = np.cumsum(size)
+        begin = np.cumsum(size) - size
         # One string for equal pieces, at its first place.
         order = np.lexsort((start, doc, own, anchor))
         a, c = anchor[order], own[order]
         new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
+        at = np.append(np.flatnonzero(new), len(order))
         lead = order[new]
-        windows = count[lead]
-        w_ends = np.cumsum(windows)
-        step = np.arange(int(w_ends[-1])) - np.repeat(w_ends - windows, windows)
-        w_doc, w_start = np.repeat(doc[lead], windows), np.repeat(start[lead], windows) + step
-        several = np.zeros(len(lead), bool)
-        same = anchor[lead][1:] == anchor[lead][:-1]
-        several[1:] |= same
-        several[:-1] |= same
-        if several.any():
-            group = _classes(text, ends - size, size, count, anchor, lead[several], length)
-            mine = np.flatnonzero(np.repeat(several, windows))
-            by = np.lexsort((w_start[mine], w_doc[mine], group))
-            head = np.append(True, group[by][1:] != group[by][:-1])
-            low = mine[by][head][np.cumsum(head) - 1]
-            to_doc, to_start = w_doc.copy(), w_start.copy()
-            to_doc[mine[by]], to_start[mine[by]] = w_doc[low], w_start[low]
-            w_doc, w_start = to_doc, to_start
-        # Runs of first places that go on side by side.
-        brk = np.append(True, (w_doc[1:] != w_doc[:-1]) | (w_start[1:] != w_start[:-1] + 1)) | (step == 0)
-        runs = np.flatnonzero(brk)
-        piece = np.repeat(np.arange(len(lead)), windows)[runs]
-        till = np.append(runs[1:], len(brk))
-        r_at = np.searchsorted(piece, np.arange(len(lead) + 1))
-        out_batch, out_data = [], []
-        batches = rows.column("batch").to_pylist()
-        i_at = np.searchsorted(source, np.arange(len(batches) + 1))
-        for i, number in enumerate(batches):
-            w = which[i_at[i] : i_at[i + 1]]
+        cuts, run_ = [0], np.append(0, np.cumsum(count[lead]))
+        for i in np.append(np.flatnonzero(anchor[lead][1:] != anchor[lead][:-1]) + 1, len(lead)).tolist():
+            if run_[i] - run_[cuts[-1]] >= PART or i == len(lead):
+                cuts.append(i)
+        told, to = [], []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            piece, j, many, w_doc, w_start = _first_places(text, begin, size, count, anchor, doc, start, lead[x:y], length)
+            r_at = np.searchsorted(piece, np.arange(y - x + 1))
+            members = order[at[x] : at[y]]
+            w = np.repeat(np.arange(y - x), np.diff(at[x : y + 1]))
             n = r_at[w + 1] - r_at[w]
             e = np.cumsum(n)
             r = np.arange(int(e[-1])) + np.repeat(r_at[w] - (e - n), n)
             got = np.empty(len(r), _FIRST)
-            got["i"] = np.repeat(np.arange(len(w)), n)
-            got["j"], got["count"] = step[runs[r]], (till - runs)[r]
-            got["doc"], got["start"] = w_doc[runs[r]], w_start[runs[r]]
-            x = slice(i_at[i], i_at[i + 1])
-            alone = (n == 1) & (w_doc[runs[r_at[w]]] == doc[x]) & (w_start[runs[r_at[w]]] == start[x])
-            got = got[np.repeat(~alone, n)]
-            if len(got):
-                out_batch.append(number)
-                out_data.append(got.tobytes())
-        return _calls(3, out_batch, [key[0].as_py()] * len(out_batch), out_data)
+            got["i"], got["j"], got["count"], got["doc"], got["start"] = np.repeat(number[members], n), j[r], many[r], w_doc[r], w_start[r]
+            alone = (n == 1) & (w_doc[r_at[w]] == doc[members]) & (w_start[r_at[w]] == start[members])
+            keep = np.repeat(~alone, n)
+            told.append(got[keep])
+            to.append(np.repeat(source[members], n)[keep])
+        got, to = np.concatenate(told), np.concatenate(to)
+        by = np.argsort(to, kind="stable")
+        got, at = got[by], np.searchsorted(to[by], np.arange(rows.num_rows + 1))
+        some = np.flatnonzero(at[1:] > at[:-1])
+        return _calls(3, rows.column("batch").take(pa.array(some)).to_pylist(), [key[0].as_py()] * len(some), [got[at[i] : at[i + 1]].tobytes() for i in some])
 
     return run
 
 
-def _cut(batch: _Batch, replies: dict, buckets: int, split: int) -> pa.Table:
+def _cut(batch: _Batch, replies: dict, buckets: int) -> pa.Table:
     """doc_id, n_bytes, spans and kept bytes of each text."""
     p = batch.pieces(replies, buckets)
     n = len(batch.data)
     cover = np.zeros(n + 1, np.int32)
     if len(p["first"]):
-        cut = _cuts(p["anchor"], split)
-        told = [(cut[b], np.frombuffer(x, _FIRST)) for b, x in replies.get(3, [])]
+        cut = _cuts(p["anchor"], buckets)
+        told = [(cut[b][0], np.frombuffer(x, _FIRST)) for b, x in replies.get(3, [])]
         first = np.concatenate([x for _, x in told]) if told else np.zeros(0, _FIRST)
         piece = np.concatenate([x["i"] + base for base, x in told]) if told else np.zeros(0, np.int64)
         lead = p["chosen"]
@@ -345,39 +372,44 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < ANCHOR:
         raise ValueError(f"length has to be {ANCHOR} at least")
     work = Scratch(documents.sparkSession, "suffix")
-    batches = max(LEAST_BATCHES, -(-input_bytes(documents, "text") // BATCH))
-    split = SPLIT * batches
-    place = F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(batches))).otherwise(F.pmod(F.xxhash64("text"), F.lit(batches))).alias("batch")
+    total = input_bytes(documents, "text")
+    batches, buckets = max(LEAST_BATCHES, -(-total // BATCH)), max(LEAST_BATCHES, -(-total // BUCKET))
+    # Which batch a row is in changes no result, so rows that repeat an id, or have none, are spread as well.
+    place = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(batches)).alias("batch")
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(place, "doc_id", "text").groupBy("batch")
 
-    def anchors(key: tuple, rows: pa.Table) -> pa.Table:
-        return _ask(key[0].as_py(), _Batch(rows, length).runs()[2], batches, 1)
+    def deal(key: tuple, rows: pa.Table) -> pa.Table:
+        """The batch as one row, and the anchors that it asks for."""
+        number, rows = key[0].as_py(), rows.select(["doc_id", "text"])
+        return pa.concat_tables([_batch_row(number, rows), _ask(number, _Batch(rows, length).runs()[2], buckets, 1)])
 
     def often(key: tuple, rows: pa.Table, calls: pa.Table) -> pa.Table:
         if not rows.num_rows or not calls.num_rows:
             return _calls(2, [], [], [])
-        batch = _Batch(rows, length)
+        batch = _read_batch(rows, length)
         first, end, anchor = batch.runs()
-        _, where, said = batch.asked(anchor, _said(calls)[1], batches)
+        _, where, said = batch.asked(anchor, _said(calls)[1], buckets)
         found = batch.starts[batch.frequent(first, end, said[where])]
-        return _ask(key[0].as_py(), batch.hashed(found, found + length), batches, 2)
+        return _ask(key[0].as_py(), batch.hashed(found, found + length), buckets, 2)
 
     def pieces(key: tuple, rows: pa.Table, calls: pa.Table) -> pa.Table:
         if not rows.num_rows or not calls.num_rows:
             return _calls(3, [], [], [])
-        return _send_pieces(key[0].as_py(), _Batch(rows, length), _said(calls), batches, split)
+        return _send_pieces(key[0].as_py(), _read_batch(rows, length), _said(calls), buckets)
 
     def cut(key: tuple, rows: pa.Table, calls: pa.Table) -> pa.Table:
-        return _cut(_Batch(rows, length), _said(calls), batches, split)
+        return _cut(_read_batch(rows, length), _said(calls), buckets)
 
-    one = work.table(texts.applyInArrow(anchors, _CALL).groupBy("bucket").applyInArrow(_tell_counts(1, FREQUENT), _CALL), "repeated")
-    two = texts.cogroup(one.groupBy("batch")).applyInArrow(often, _CALL)
+    dealt = work.table(texts.applyInArrow(deal, _CALL), "dealt", by="kind")
+    packed = dealt.where("kind = 0").groupBy("batch")
+    one = work.table(dealt.where("kind = 1").groupBy("bucket").applyInArrow(_tell_counts(1, FREQUENT), _CALL), "repeated")
+    two = packed.cogroup(one.groupBy("batch")).applyInArrow(often, _CALL)
     two = work.table(two.groupBy("bucket").applyInArrow(_tell_counts(2, 2**62), _CALL), "frequent")
     said = one.unionByName(two)
-    three = texts.cogroup(said.groupBy("batch")).applyInArrow(pieces, _CALL)
+    three = packed.cogroup(said.groupBy("batch")).applyInArrow(pieces, _CALL)
     three = work.table(three.groupBy("bucket").applyInArrow(_find_first(length), _CALL), "first")
     said = said.unionByName(three)
-    return texts.cogroup(said.groupBy("batch")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return packed.cogroup(said.groupBy("batch")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def digests(out: DataFrame) -> DataFrame:

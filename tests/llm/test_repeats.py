@@ -35,7 +35,7 @@ def brute(rows, length=L):
     return sorted(out, key=str)
 
 
-def by_hand(rows, batches=5, split=4, frequent=3):
+def by_hand(rows, batches=5, buckets=4, frequent=3):
     """The operator's steps, without Spark."""
     whole = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
     parts = {i: whole.filter(pa.array([(r[0] or 0) % batches == i for r in rows])) for i in range(batches)}
@@ -50,19 +50,20 @@ def by_hand(rows, batches=5, split=4, frequent=3):
     def told(calls, i):
         return S._said(calls.filter(pa.array([x == i for x in calls.column("batch").to_pylist()], pa.bool_())))
 
-    one = reduce([S._ask(i, S._Batch(p, L).runs()[2], batches, 1) for i, p in parts.items()], S._tell_counts(1, frequent))
+    read = lambda i, p: S._read_batch(S._batch_row(i, p), L)
+    one = reduce([S._ask(i, S._Batch(p, L).runs()[2], buckets, 1) for i, p in parts.items()], S._tell_counts(1, frequent))
     two = []
     for i, p in parts.items():
-        b = S._Batch(p, L)
+        b = read(i, p)
         first, end, anchor = b.runs()
-        _, where, said = b.asked(anchor, told(one, i).get(1, []), batches)
+        _, where, said = b.asked(anchor, told(one, i).get(1, []), buckets)
         found = b.starts[b.frequent(first, end, said[where])]
-        two.append(S._ask(i, b.hashed(found, found + L), batches, 2))
+        two.append(S._ask(i, b.hashed(found, found + L), buckets, 2))
     said = pa.concat_tables([one, reduce(two, S._tell_counts(2, 2**62))])
-    three = reduce([S._send_pieces(i, S._Batch(p, L), told(said, i), batches, split) for i, p in parts.items()], S._find_first(L))
+    three = reduce([S._send_pieces(i, read(i, p), told(said, i), buckets) for i, p in parts.items()], S._find_first(L))
     said, out = pa.concat_tables([said, three]), []
     for i, p in parts.items():
-        got = S._cut(S._Batch(p, L), told(said, i), batches, split)
+        got = S._cut(read(i, p), told(said, i), buckets)
         for d, n, s, k in zip(*(got.column(c).to_pylist() for c in ("doc_id", "n_bytes", "spans", "kept")), strict=True):
             out.append((d, n, sum(x["end"] - x["start"] for x in s), len(s), hashlib.sha256(k).hexdigest()))
     return sorted(out, key=str)
@@ -83,6 +84,7 @@ def test_lcp(seed):
 @pytest.mark.parametrize(("frequent", "index"), [(3, 500), (1000, 1 << 18), (1, 1)])
 def test_steps(frequent, index, monkeypatch):
     monkeypatch.setattr(S, "INDEX", index)
+    monkeypatch.setattr(S, "PART", index)
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
     passage = " ".join(words[:40])
@@ -93,10 +95,27 @@ def test_steps(frequent, index, monkeypatch):
 
 
 def test_operator(spark, sf):
-    docs = table(spark, sf, "documents").where("length(text) < 9000")  # the brute force is slow; the query takes whole tables
+    docs = table(spark, sf, "documents")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     extra = spark.createDataFrame([(None, rows[0][1]), (10_001, None), (10_002, ""), (10_003, "z" * 5000)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(extra).withColumns({"batch": F.lit(1), "bucket": F.lit("x"), "data": F.lit(2)})
     got = sorted((tuple(r) for r in S.digests(S.remove_repeats(both)).collect()), key=str)
     assert got == brute(rows + [tuple(r) for r in extra.collect()])
     assert S.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_buckets_are_even(spark, sf):
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "text").toArrow()
+    hashes = np.unique(S._Batch(docs, L).runs()[2])
+    for buckets in (64, 15_000):
+        sizes = np.array([y - x for x, y in S._cuts(hashes, buckets).values()])
+        assert sizes.sum() == len(hashes) and sizes.max() < 4 * len(hashes) / buckets
+    assert len(S._cuts(hashes[:10], 1 << 31)) <= 10  # no work for buckets that are empty
+
+
+def test_many_of_one_id(spark):
+    """Rows that repeat an id or have none are spread over batches and keep their defined order."""
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(300))
+    rows = [(None, text)] * 30 + [(5, text)] * 30 + [(6, text + "tail")]
+    got = sorted((tuple(r) for r in S.digests(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()), key=str)
+    assert got == brute(rows)
