@@ -12,8 +12,11 @@ Steps, none of which brings the rows of a group together:
 4. each member of a table is paired with the table's smallest member; pairs whose sizes or sketches rule a link out go
    (the number of bits that differ never exceeds the number of differing shingles, so no link is lost), the others are
    confirmed on the full sets, and confirmed links give components;
-5. tables that still hold several components pair their members across components, under the same exact filters, and
-   these pairs are confirmed too. Members of one component need no further confirmation.
+5. in tables that still hold several components, the members outside the table's largest component are paired with the members of other
+   components, under the same exact filters, and these pairs are confirmed too. Members of one component need no further confirmation.
+
+Pairs meet in a table, and sets in a confirmation, in parts: the work of a table or of a document with many partners is split by
+its size, which is counted first.
 
 Defined cases: null, empty and white-space texts have an empty set and are linked with nothing; one to four words are a single
 shingle; rows with a null doc_id are linked with nothing and kept; rows that repeat a doc_id all get the component of
@@ -37,6 +40,8 @@ SIDE, ROWS = 12, 2
 #: A link: SIMILAR[0] * union <= SIMILAR[1] * intersection.
 SIMILAR = (75, 100)
 SKETCH = 16  # 64-bit words
+#: Partners of a document, and comparisons in a cell, that one task takes.
+PARTNERS, COMPARED = 64, 4_000_000
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256).astype(np.uint64)
@@ -160,26 +165,48 @@ def _possible(x: str, y: str) -> Column:
 
 
 def confirm(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (x, y) whose full sets are similar enough."""
-    partners = pairs.groupBy(F.col("x").alias("id"), (F.xxhash64("x", "y") % 8).alias("part")).agg(F.collect_list("y").alias("ys"))
-    wanted = partners.select("id", "ys").unionByName(pairs.select(F.col("y").alias("id")).distinct().withColumn("ys", F.array().cast("array<long>")))
+    """Those of pairs (x, y) whose full sets are similar enough. Of a pair, the document with more partners is the hub, whose set goes to
+    as many parts as it has ``PARTNERS`` partners; the other's set is sent to one of them."""
     work = Scratch(documents.sparkSession, "confirm")
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_merge"), "id").select("id", "ys", "text")
+    ends = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).groupBy("id").agg(F.count("*").alias("partners"))
+    ends = work.table(ends, "ends")
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ends.select("id").hint("shuffle_merge"), "id").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = as_bytes(batch.column(2))
+            data, offsets = as_bytes(batch.column(1))
             for x, y in slices(offsets, 2 << 20):
                 sets, at = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
                 got = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), got], names=["id", "ys", "set"])
-
-    sets = work.table(texts.mapInArrow(run, "id long, ys array<long>, set array<long>"), "sets")
-    left = sets.where(F.size("ys") > 0).select(F.col("id").alias("x"), F.explode("ys").alias("y"), F.col("set").alias("sx"))
-    right = sets.where(F.size("ys") == 0).select(F.col("id").alias("y"), F.col("set").alias("sy"))
-    both = left.join(right, "y").withColumn("common", F.size(F.array_intersect("sx", "sy")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), got], names=["id", "set"])
+
+    sets = work.table(texts.mapInArrow(run, "id long, set array<long>"), "sets")
+    busy = ends.where(F.col("partners") > PARTNERS)
+    both = pairs.join(busy.toDF("x", "px"), "x", "left").join(busy.toDF("y", "py"), "y", "left")
+    turn = F.coalesce("px", F.lit(0)) > F.coalesce("py", F.lit(0))
+    parts = F.ceil(F.greatest(F.coalesce("px", F.lit(1)), F.coalesce("py", F.lit(1))) / PARTNERS).cast("long")
+    both = both.select("x", "y", F.when(turn, F.col("y")).otherwise(F.col("x")).alias("spoke"), F.when(turn, F.col("x")).otherwise(F.col("y")).alias("hub"), parts.alias("parts"))
+    both = work.table(both.select("*", F.pmod(F.xxhash64("spoke"), "parts").alias("part")), "met")
+    hubs = both.select("hub", "parts").distinct().join(sets.select(F.col("id").alias("hub"), F.col("set").alias("sy")), "hub")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "sy")
+    left = both.select("x", "y", "spoke", "hub", "part").join(sets.select(F.col("id").alias("spoke"), F.col("set").alias("sx")), "spoke")
+    out = left.join(hubs, ["hub", "part"]).withColumn("common", F.size(F.array_intersect("sx", "sy")))
     s, t = SIMILAR
-    return both.where(F.col("common") * t >= (F.size("sx") + F.size("sy") - F.col("common")) * s).select("x", "y").distinct()
+    return out.where(F.col("common") * t >= (F.size("sx") + F.size("sy") - F.col("common")) * s).select("x", "y").distinct()
+
+
+def across(members: DataFrame) -> DataFrame:
+    """members (cell, doc, part, n, bits): the distinct possible pairs (x > y) of documents of a cell in different parts. Only members outside the
+    largest part meet all others, so a cell costs its size times what stands apart; it is dealt to tasks by that product."""
+    sizes = members.groupBy("cell", "part").agg(F.count("*").alias("m"))
+    cells = sizes.groupBy("cell").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all"))
+    deal = F.ceil((F.col("all") - F.col("top.m")) * F.col("all") / COMPARED).cast("long")
+    cells = cells.select("cell", F.col("top.part").alias("main"), deal.alias("deal")).where("deal > 0")
+    dealt = members.join(cells, "cell")
+    few = dealt.where("part <> main").select("cell", F.pmod(F.xxhash64("doc"), "deal").alias("at"), F.col("doc").alias("a"), F.col("part").alias("pa"), F.col("main"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
+    all_ = dealt.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1)).alias("at"), F.col("doc").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("bits").alias("bitsb"))
+    met = few.join(all_, ["cell", "at"]).where((F.col("pa") != F.col("pb")) & ((F.col("pb") == F.col("main")) | (F.col("a") > F.col("b"))) & _possible("a", "b"))
+    return met.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -214,12 +241,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     placed = work.table(placed, "placed")
     mixed = placed.groupBy("cell").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("cell")
     members = work.table(placed.join(mixed, "cell", "left_semi").join(about, "doc"), "mixed")
-    x = members.select("cell", F.col("doc").alias("x"), F.col("part").alias("px"), F.col("n").alias("nx"), F.col("bits").alias("bitsx"))
-    y = members.select("cell", F.col("doc").alias("y"), F.col("part").alias("py"), F.col("n").alias("ny"), F.col("bits").alias("bitsy"))
-    across = x.join(y, "cell").where((F.col("x") > F.col("y")) & (F.col("px") != F.col("py")) & _possible("x", "y")).select("x", "y").distinct()
-    across = work.table(across.join(pairs, ["x", "y"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = work.table(confirm(documents, across), "more")
+    apart = work.table(across(members).join(pairs, ["x", "y"], "left_anti"), "across")
+    if not apart.isEmpty():
+        more = work.table(confirm(documents, apart), "more")
         if not more.isEmpty():
             found = components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")), work)
 

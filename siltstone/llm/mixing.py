@@ -18,7 +18,8 @@ row's number is its place in its part plus the rows of the parts and less those
 (``MOST_PARTS`` at most) are broadcast, those of sources gathered, and broadcast up to ``MOST_SOURCES``.
 
 Defined cases: sources are compared as text; a null source is a source of its own; null and repeated ids are ordered by the row's hash; weights that are missing, null, zero or
-negative put a source behind all others with weights; an empty table gives no rows; extra columns pass through.
+negative put a source behind all others with weights; an empty table gives no rows; extra columns pass through whatever their names, those called like new ones
+are replaced.
 """
 
 from __future__ import annotations
@@ -162,31 +163,33 @@ def placed(counts: dict, weights: dict) -> Iterator[tuple]:
         phase, start = phase + 1, start + t + 1
 
 
-def numbered(df: DataFrame, source: str, order: str, work: Scratch, rows: int, starts: list[tuple]) -> DataFrame:
-    """df with _n: the row's number (from 0) within its source. starts: (source, rows of the sources before it)."""
-    keyed = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map" not in kind and "variant" not in kind]))
-    sort = [F.col(f"`{source}`").asc_nulls_last(), F.col(f"`{order}`").asc_nulls_last(), F.col("_tie")]
+def numbered(keyed: DataFrame, work: Scratch, rows: int, starts: list[tuple]) -> DataFrame:
+    """keyed (source, order, tie, row) -> (source, row, n): the row's number (from 0) within its source. starts: (source, rows of the sources before it)."""
+    sort = [F.col(c).asc_nulls_last() for c in ("source", "order", "tie")]
     parts = min(MOST_PARTS, -(-rows // PART))
     ranged = keyed.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
-    ranged = work.table(ranged.drop("_tie").withColumn("_id", F.monotonically_increasing_id()), "ranged")
-    ranged = ranged.withColumn("_part", F.shiftright("_id", 33))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))  # MOST_PARTS rows at most
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("_part").alias("_of"), before.alias("_before"))
-    first = df.sparkSession.createDataFrame(starts, T.StructType([T.StructField("_source", T.StringType()), T.StructField("_start", T.LongType())]))
-    out = ranged.join(F.broadcast(offsets), F.col("_part") == F.col("_of")).join(F.broadcast(first) if len(starts) <= MOST_SOURCES else first, F.col(source).eqNullSafe(F.col("_source")))
-    number = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) - F.col("_start")
-    return out.withColumn("_n", number.cast("long")).drop("_id", "_part", "_of", "_before", "_source", "_start")
+    ranged = work.table(ranged.select("source", "row", F.monotonically_increasing_id().alias("id")), "ranged")
+    ranged = ranged.withColumn("part", F.shiftright("id", 33))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("rows"))  # MOST_PARTS rows at most
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("part").alias("of"), before.alias("before"))
+    first = keyed.sparkSession.createDataFrame(starts, T.StructType([T.StructField("name", T.StringType()), T.StructField("start", T.LongType())]))
+    out = ranged.join(F.broadcast(offsets), F.col("part") == F.col("of")).join(F.broadcast(first) if len(starts) <= MOST_SOURCES else first, F.col("source").eqNullSafe(F.col("name")))
+    number = F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) - F.col("start")
+    return out.select("source", "row", number.cast("long").alias("n"))
 
 
 def mix(df: DataFrame, weights: dict | None = None, source: str = "source", order: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """df with mix_block (number within the source), mix_phase, mix_release, mix_deadline and mix_slot (of the block, in the
     whole mix), and mix_place (of the row: slot * block + its number in the block). weights: source -> target; None: equal."""
     new = ["mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_place"]
-    df = df.drop(*(c for c in df.columns if c in new or c.startswith("_")))
+    df = df.drop(*new)
     spark = df.sparkSession
     work = Scratch(spark, "mixing")
-    totals = df.groupBy(F.col(source).cast("string")).agg(F.count("*").alias("n")).collect()
+    named = lambda c: F.col(f"`{c}`")
+    tie = F.xxhash64(*[named(c) for c, kind in df.dtypes if "map" not in kind and "variant" not in kind])
+    keyed = df.select(named(source).cast("string").alias("source"), named(order).alias("order"), tie.alias("tie"), F.struct(*map(named, df.columns)).alias("row"))
+    totals = keyed.groupBy("source").agg(F.count("*").alias("n")).collect()
     counts = {r[0]: -(-r["n"] // block) for r in totals}
     rows = sum(r["n"] for r in totals)
     if not rows:
@@ -195,13 +198,12 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", orde
     phases = plan(counts, weights) if len(totals) <= MOST_SOURCES else None
     ordered = sorted(totals, key=lambda r: (r[0] is None, b"" if r[0] is None else str(r[0]).encode()))  # as Spark sorts text
     starts = list(zip((r[0] for r in ordered), itertools.accumulate((r["n"] for r in ordered), initial=0)))
-    out = numbered(df.withColumn(source, F.col(source).cast("string")), source, order, work, rows, starts).withColumn("mix_block", F.floor(F.col("_n") / block))
-    out = _by_block(out, source, counts, weights, work) if phases is None else _by_cycle(out, source, phases)
-    out = out.withColumn("mix_place", F.col("mix_slot") * block + F.col("_n") % block)
-    return out.select(*df.columns, *new)
+    out = numbered(keyed, work, rows, starts).withColumn("mix_block", F.floor(F.col("n") / block))
+    out = _by_block(out, counts, weights, work) if phases is None else _by_cycle(out, phases)
+    return out.withColumn("mix_place", F.col("mix_slot") * block + F.col("n") % block).select("row.*", *new)
 
 
-def _by_block(out: DataFrame, source: str, counts: dict, weights: dict, work: Scratch) -> DataFrame:
+def _by_block(out: DataFrame, counts: dict, weights: dict, work: Scratch) -> DataFrame:
     """out with the columns of its blocks, from a table of all blocks."""
     long = T.LongType()
     schema = T.StructType([T.StructField("_t", T.StringType()), *[T.StructField(c, long) for c in ("_b", "mix_phase", "mix_slot", "mix_release", "mix_deadline")]])
@@ -209,10 +211,10 @@ def _by_block(out: DataFrame, source: str, counts: dict, weights: dict, work: Sc
     while part := list(itertools.islice(rows, PLAN_ROWS)):
         out.sparkSession.createDataFrame(part, schema).write.mode("append").parquet(path)
     blocks = out.sparkSession.read.schema(schema).parquet(path)
-    return out.join(blocks, F.col(source).eqNullSafe(F.col("_t")) & (F.col("mix_block") == F.col("_b")))
+    return out.join(blocks, F.col("source").eqNullSafe(F.col("_t")) & (F.col("mix_block") == F.col("_b")))
 
 
-def _by_cycle(out: DataFrame, source: str, phases: list[dict]) -> DataFrame:
+def _by_cycle(out: DataFrame, phases: list[dict]) -> DataFrame:
     """out with the columns of its blocks, from the cycles of a plan's phases."""
     spark, kind, long = out.sparkSession, T.StringType(), T.LongType()
     cells, spans = [], []
@@ -224,7 +226,7 @@ def _by_cycle(out: DataFrame, source: str, phases: list[dict]) -> DataFrame:
     # MOST_PLAN rows at most.
     cell_rows = spark.createDataFrame(cells, T.StructType([T.StructField("_p", long), T.StructField("_s", kind), T.StructField("_i", long), *[T.StructField(c, long) for c in ("_k", "_release", "_due", "_cycle")]]))
     span_rows = spark.createDataFrame(spans, T.StructType([T.StructField("_q", long), T.StructField("_t", kind), *[T.StructField(c, long) for c in ("_first", "_end", "_slot", "_share")]]))
-    inside = F.col(source).eqNullSafe(F.col("_t")) & (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_end"))
+    inside = F.col("source").eqNullSafe(F.col("_t")) & (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_end"))
     out = out.join(F.broadcast(span_rows), inside).withColumn("_b", F.col("mix_block") - F.col("_first"))
     here = (F.col("_q") == F.col("_p")) & F.col("_t").eqNullSafe(F.col("_s")) & (F.col("_b") % F.col("_share") == F.col("_i"))
     out = out.join(F.broadcast(cell_rows), here)

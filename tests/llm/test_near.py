@@ -64,6 +64,36 @@ def test_texts(spark, sf):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_cell_with_an_outsider(spark):
+    """A cell of 50,000 documents of one part and a single other: work in proportion to the cell, and the one possible pair is found."""
+    bits = F.array(*[F.lit(0).cast("long")] * minhash.SKETCH)
+    far = F.array(*[F.lit(-1).cast("long")] * minhash.SKETCH)
+    cell = spark.range(50_000).select(F.lit(1).cast("long").alias("cell"), F.col("id").alias("doc"), F.lit(0).cast("long").alias("part"), F.lit(20).cast("long").alias("n"), F.when(F.col("id") == 777, bits).otherwise(far).alias("bits"))
+    other = spark.range(1).select(F.lit(1).cast("long").alias("cell"), F.lit(60_000).cast("long").alias("doc"), F.lit(60_000).cast("long").alias("part"), F.lit(20).cast("long").alias("n"), bits.alias("bits"))
+    assert [tuple(r) for r in minhash.across(cell.union(other)).collect()] == [(60_000, 777)]
+
+
+def test_pairs_across_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "COMPARED", 50)
+    rng = np.random.default_rng(9)
+    rows = [(int(c), int(d), int(p)) for d in range(120) for c, p in [(rng.integers(0, 4), rng.choice([0, 0, 0, 1, 2, 3 + d]))]]
+    bits = F.array(*[F.lit(5).cast("long")] * minhash.SKETCH)
+    members = spark.createDataFrame(rows, "cell long, doc long, part long").withColumns({"n": F.lit(9).cast("long"), "bits": bits})
+    want = {(x, y) for a, x, p in rows for b, y, q in rows if a == b and p != q and x > y}
+    assert {tuple(r) for r in minhash.across(members).collect()} == want
+
+
+def test_confirm_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PARTNERS", 3)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base + f" t{i}" if i % 3 else f"o{i} " * 60 + str(i)) for i in range(40)]
+    pairs = [(i, 0) for i in range(1, 30)] + [(39, i) for i in range(1, 39)] + [(1, 31)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {(x, y) for x, y in pairs if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])}
+    got = minhash.confirm(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(pairs, "x long, y long"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_chance_of_a_miss():
     s = 0.75**minhash.ROWS
     assert 1 - (1 - (1 - s) ** minhash.SIDE) ** 2 < 2e-4
@@ -154,6 +184,35 @@ def test_search_of_many(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_search_of_huge_values(spark):
+    """Finite components of any size take part; scores are exact, in order, and held within a long."""
+    rng = np.random.default_rng(10)
+    big = [1e30, -1e30, 1.7e308, -1.7e308, 3e15, -3e15, 2.0**55, 5e-324, 0.0, -0.0]
+    rows = [(i, [float(x) for x in rng.choice(big, 6)]) for i in range(80)] + [(100 + i, (rng.normal(size=6) * 10.0 ** rng.integers(-2, 18)).tolist()) for i in range(80)]
+    rows += [(300, rows[3][1]), (300, rows[3][1]), (301, rows[3][1])]
+    ints = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    want = []
+    for q in sorted(ints):
+        if q % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(ints[q], ints[v], strict=True)), v) for v in ints if v != q)[:5]
+            want += [(q, r, v, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, v) in enumerate(best, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"q": F.lit(1), "v": F.lit("x"), "class": F.lit(2), "key": F.lit(3)})
+    got = vafile.search(df, F.col("vec_id") % 10 == 0, 5)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_cell_edges():
+    rng = np.random.default_rng(11)
+    for scale in (1, 0.01, 1e5, 1e9, 1e200, 1.7e308):
+        v = rng.uniform(-1, 1, (4000, 3)) * scale
+        v = np.where(np.abs(v) < 2**44, np.floor(v * 256) / 256, v)
+        low, high = np.minimum(v.min(0), 0), np.maximum(v.max(0), 0)
+        step, least, most = vafile.cell_edges(low, high)
+        code = np.clip(np.floor(v / step - low / step), 0, 63).astype(int)
+        d = np.arange(3)
+        assert (least[code, d] <= v).all() and (v <= most[code, d]).all() and (scale < 1 or code.max() >= 60)
+
+
 def test_pfair():
     rng = np.random.default_rng(7)
     for _ in range(60):
@@ -221,3 +280,48 @@ def test_mixing_by_table(spark, monkeypatch):
             m.setattr(mixing, "PLAN_ROWS", 40)
             assert sorted(map(str, mixing.mix(df, weights, block=4).collect())) == one
     assert len(one) == len(rows)
+
+
+def test_mixing_of_many_sources(spark):
+    """1,001 sources over 100,000 blocks: less than a block off the exact targets at any time."""
+    weights = {f"s{i}": 1 + i % 7 for i in range(1001)}
+    total = sum(weights.values())
+    had, t = collections.Counter(), 0
+    for s, *_ in mixing.placed({s: 10**6 for s in weights}, weights):
+        had[s] += 1
+        t += 1
+        assert abs(had[s] - Fraction(weights[s] * t, total)) < 1
+        if t % 10_007 == 0:
+            assert all(abs(had[x] - Fraction(w * t, total)) < 1 for x, w in weights.items())
+        if t == 100_000:
+            break
+
+
+def test_mixing_keeps_columns_and_odd_weights(spark):
+    rows = [(i, s) for s in "abcd" for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumns({"_extra": F.lit(1), "n": F.lit("x"), "row": F.lit(2), "_id": F.lit(3), "tie": F.lit(4), "part": F.lit(5)})
+    got = mixing.mix(df, {"a": None, "b": 0, "c": -2, "d": 5}, block=5)
+    assert got.columns[:8] == df.columns and {(r["_extra"], r["n"], r["row"], r["_id"], r["tie"], r["part"]) for r in got.collect()} == {(1, "x", 2, 3, 4, 5)}
+    order = [r["source"] for r in got.orderBy("mix_place").collect()]
+    assert order[:20] == ["d"] * 20 and len(order) == 80
+
+
+def test_registered_mixing(spark, sf):
+    """op10 against a plain earliest-deadline-first loop over exact fractions."""
+    from siltstone.llm import queries
+
+    docs = collections.defaultdict(list)
+    for r in table(spark, sf, "documents").collect():
+        docs[r["source"]].append(r["doc_id"])
+    left, done, want, slot = {s: -(-len(x) // mixing.BLOCK) for s, x in docs.items()}, collections.Counter(), {}, 0
+    while left:
+        w, start, had = Fraction(1, len(left)), slot, collections.Counter()
+        while all(left.values()):
+            t = slot - start
+            ready = [s for s in left if math.floor(had[s] / w) <= t]
+            s = min(ready, key=lambda s: (math.ceil((had[s] + 1) / w), (had[s] + 1) / w % 1 == 0, s))
+            for k, doc in enumerate(sorted(docs[s])[mixing.BLOCK * done[s] : mixing.BLOCK * (done[s] + 1)]):
+                want[doc] = slot * mixing.BLOCK + k
+            had[s], done[s], left[s], slot = had[s] + 1, done[s] + 1, left[s] - 1, slot + 1
+        left = {s: n for s, n in left.items() if n}
+    assert {r["doc_id"]: r["mix_place"] for r in queries.op10_mixing(spark, sf).collect()} == want
