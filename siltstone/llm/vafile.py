@@ -53,7 +53,7 @@ def cell_edges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarra
     parts = 1 << BITS
     with np.errstate(over="ignore"):
         step = np.maximum((high / parts - low / parts) * (1 + 2**-40), 1 / 256)
-        edge = low + np.arange(parts + 1)[:, None] * step
+        edge = (low / parts + np.arange(parts + 1)[:, None] * (step / parts)) * parts  # the range itself may be beyond a double
         pad = step * 2**-20 + np.maximum(np.abs(low), np.abs(high)) * 2**-48
         # Whole numbers of 1/256 lie between the edges; beyond what doubles tell apart, the edges are widened.
         near = np.maximum(np.abs(low), np.abs(high)) < 1 << 24

@@ -205,7 +205,7 @@ def test_cell_edges():
     rng = np.random.default_rng(11)
     for scale in (1, 0.01, 1e5, 1e9, 1e200, 1.7e308):
         v = rng.uniform(-1, 1, (4000, 3)) * scale
-        v = np.where(np.abs(v) < 2**44, np.floor(v * 256) / 256, v)
+        v = np.where(np.abs(v) < 2**44, np.floor(np.clip(v, -(2.0**44), 2.0**44) * 256) / 256, v)
         low, high = np.minimum(v.min(0), 0), np.maximum(v.max(0), 0)
         step, least, most = vafile.cell_edges(low, high)
         code = np.clip(np.floor(v / step - low / step), 0, 63).astype(int)
