@@ -58,10 +58,16 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df.scratch_path)
+
+    def drop_part(self, df: DataFrame, folder: str) -> None:
+        """Delete a folder of a table written by a column."""
+        self._delete(f"{df.scratch_path}/{folder}")
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -177,8 +177,9 @@ def _said(calls: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
 def _ask(batch: int, hashes: np.ndarray, buckets: int, kind: int) -> pa.Table:
     distinct, count = np.unique(hashes, return_counts=True)
     cut = _cuts(distinct, buckets)
-    count = np.minimum(count, 65535).astype(np.uint16)
-    data = [distinct[x:y].tobytes() + count[x:y].tobytes() for x, y in cut.values()]
+    # 40 bits of a hash beside its bucket: another hash with the same ones is asked for in vain, which changes no result.
+    low, count = distinct.view(np.uint8).reshape(-1, 8)[:, :5], np.minimum(count, 255).astype(np.uint8)
+    data = [low[x:y].tobytes() + count[x:y].tobytes() for x, y in cut.values()]
     return _calls(kind, [batch] * len(cut), list(cut), data)
 
 
@@ -186,10 +187,11 @@ def _tell_counts(kind: int, frequent: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """For each batch that asked: 0, 1 or 2 for each of its hashes; nothing if all are single."""
         data = rows.column("data").to_pylist()
-        size = np.array([len(x) // 10 for x in data])
-        hashes = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(data, size, strict=True)])
-        count = np.concatenate([np.frombuffer(x, np.uint16, n, 8 * n) for x, n in zip(data, size, strict=True)])
-        _, where = np.unique(hashes, return_inverse=True)
+        size = np.array([len(x) // 6 for x in data])
+        hashes = np.zeros((int(size.sum()), 8), np.uint8)
+        hashes[:, :5] = np.concatenate([np.frombuffer(x, np.uint8, 5 * n) for x, n in zip(data, size, strict=True)]).reshape(-1, 5)
+        count = np.concatenate([np.frombuffer(x, np.uint8, n, 5 * n) for x, n in zip(data, size, strict=True)])
+        _, where = np.unique(hashes.view(np.uint64).ravel(), return_inverse=True)
         total = np.bincount(where, count)[where]
         said = np.where(total > frequent, 2, np.where(total > 1, 1, 0)).astype(np.uint8)
         ends = np.cumsum(size)
@@ -201,7 +203,7 @@ def _tell_counts(kind: int, frequent: int):
 
 
 def _pack(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -403,6 +405,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = work.table(texts.applyInArrow(deal, _CALL), "dealt", by="kind")
     packed = dealt.where("kind = 0").groupBy("batch")
     one = work.table(dealt.where("kind = 1").groupBy("bucket").applyInArrow(_tell_counts(1, FREQUENT), _CALL), "repeated")
+    work.drop_part(dealt, "kind=1")
     two = packed.cogroup(one.groupBy("batch")).applyInArrow(often, _CALL)
     two = work.table(two.groupBy("bucket").applyInArrow(_tell_counts(2, 2**62), _CALL), "frequent")
     said = one.unionByName(two)
