@@ -46,6 +46,17 @@ def holds_any(x: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [x.contains(w) for w in words])
 
 
+def title_case(x: str | Column) -> Column:
+    """Each run of letters with its first letter in upper case, the rest in lower; what is no letter ends a run."""
+    runs = F.regexp_extract_all(col(x), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
+
+
+def let(x: Column, use) -> Column:
+    """use(x) with x evaluated once per row, however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def count_of(x: Column, part: str) -> Column:
     """Occurrences of part that do not overlap."""
     return ((F.length(x) - F.length(F.replace(x, F.lit(part), F.lit("")))) / len(part)).cast("long")

@@ -1,14 +1,14 @@
 """Dense search by cosine similarity, exact: top k first, threshold and payload after.
 
-The query set is a table; its size is checked before it is broadcast, and beyond ``MOST_QUERIES`` queries the scan is a join of
-blocks instead. Scores are computed once, in a projection below the top k."""
+The query set is a table; its rows are counted before it is broadcast (a query is one vector), and beyond ``MOST_QUERIES`` queries the scan goes by blocks: queries
+are dealt into blocks of that many, and each part of the points meets each block in a task of its own. Scores are computed once, in a projection below the top k."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_QUERIES = 5_000
+MOST_QUERIES, MOST_POINTS = 5_000, 50_000
 
 
 def doubles(v: str | Column) -> Column:
@@ -27,11 +27,14 @@ def scores(points: DataFrame, queries: DataFrame) -> DataFrame:
     """points (id, vector), queries (query_id, vector) -> (query_id, id, score); vectors without length or of another size are out."""
     p = points.select("id", doubles("vector").alias("v")).withColumn("vn", norm(F.col("v"))).where("vn > 0")
     q = queries.select("query_id", doubles("vector").alias("q")).withColumn("qn", norm(F.col("q"))).where("qn > 0")
-    if q.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+    asked = q.count()
+    if asked <= MOST_QUERIES:
         pairs = p.crossJoin(F.broadcast(q))
     else:
-        blocks = 16
-        pairs = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "block")
+        blocks, parts = -(-asked // MOST_QUERIES), -(-points.count() // MOST_POINTS)
+        deal = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        pairs = p.withColumn("part", deal("id", parts)).withColumn("block", each(blocks)).join(q.withColumn("block", deal("query_id", blocks)).withColumn("part", each(parts)), ["block", "part"])
     return pairs.where(F.size("v") == F.size("q")).select("query_id", "id", (dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn"))).alias("score"))
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import cut
+
 DAMPING, STEPS, LEAST = 0.85, 20, 0.01
-#: Edges that one task walks; larger graphs are walked by joins.
-MOST_LOCAL = 1_000_000
+#: Words to look up that are broadcast.
+MOST_WORDS = 10_000
 
 
 def encode(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -25,83 +25,83 @@ def frequent(mentions: DataFrame, least: int = 2) -> DataFrame:
     return mentions.join(keep, "schema", "left_semi")
 
 
-def neighbours(members: DataFrame) -> DataFrame:
-    """members (fact, group) -> distinct (src, dst) of facts that share a group, both ways."""
-    a, b = members.toDF("src", "g"), members.toDF("dst", "g")
-    return a.join(b, "g").where("src <> dst").select("src", "dst").distinct()
+def links(facts: DataFrame, members: DataFrame) -> DataFrame:
+    """facts (fact, schema), members (fact, passage) -> distinct (src, dst) of facts of different schemas that share a passage, both ways. A passage holds a
+    bounded number of facts; facts of one schema, of which there may be very many, are all neighbours and never paired."""
+    m = members.distinct().join(facts.select("fact", "schema"), "fact")
+    a, b = m.toDF("src", "passage", "s"), m.toDF("dst", "passage", "t")
+    return a.join(b, "passage").where("s <> t").select("src", "dst").distinct()
+
+
+def degrees(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, degree, first): how many facts share a schema or a passage with each, and the least of them; facts without any are left out."""
+    low = facts.groupBy("schema").agg(F.min("fact").alias("low"), F.count("*").alias("n"))
+    second = facts.join(low, "schema").where("fact <> low").groupBy("schema").agg(F.min("fact").alias("next"))
+    own = facts.join(low, "schema").join(second, "schema", "left").select(F.col("fact").alias("src"), (F.col("n") - 1).alias("same"), F.when(F.col("fact") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("near"))
+    far = pairs.groupBy("src").agg(F.count("*").alias("other"), F.min("dst").alias("far"))
+    out = own.join(far, "src", "left").withColumn("degree", F.col("same") + F.coalesce("other", F.lit(0)))
+    return out.where("degree > 0").select("src", "degree", F.least("near", "far").alias("first"))
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """edges (src, dst, rel), seeds (node): edges within depth hops of a seed along their direction, with the hop at which they
-    are first met. Nodes that have been reached are not entered again."""
+    are first met. Nodes that have been reached are not entered again. Each hop is written, so plans do not grow."""
     seen = seeds.select("node").distinct()
     frontier, out = seen, None
     for hop in range(1, depth + 1):
-        found = edges.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").withColumn("hop", F.lit(hop))
+        found = cut(edges.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").withColumn("hop", F.lit(hop)))
         out = found if out is None else out.unionByName(found)
-        frontier = found.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = seen.unionByName(frontier)
+        if hop < depth:
+            frontier = cut(found.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+            seen = seen.unionByName(frontier)
     return out.groupBy("src", "dst", "rel").agg(F.min("hop").alias("hop"))
 
 
 def seeds_by_name(nodes: DataFrame, words: DataFrame, limit: int = 10) -> DataFrame:
-    """nodes (id, name), words (word): nodes whose lower-case name holds a word; words are the small side."""
-    return nodes.join(F.broadcast(words.limit(1000)), F.contains(F.lower("name"), F.col("word"))).select("word", "id", "name")
+    """nodes (id, name), words (word): for each word the first limit nodes, by id, whose lower-case name holds it. Words are the small side: they are
+    counted before they are broadcast."""
+    words = words.distinct()
+    hint = F.broadcast if words.limit(MOST_WORDS + 1).count() <= MOST_WORDS else (lambda x: x)
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("id"))
+    found = nodes.join(hint(words), F.contains(F.lower("name"), F.col("word"))).withColumn("nth", nth)
+    return found.where(F.col("nth") <= limit).select("word", "id", "name")
 
 
-def pagerank(adjacency: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING, local_edges: int = MOST_LOCAL) -> DataFrame:
-    """adjacency (src, dst), seeds (node, weight) -> (node, score) above ``LEAST``.
+def pagerank(pairs: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING, least: float = LEAST, groups: DataFrame | None = None) -> DataFrame:
+    """pairs (src, dst), seeds (node, weight), groups (node, g: at most one each) -> (node, score) above least.
 
+    Neighbours are those of pairs and, without a pair being built, all others of the same group: what a group gives is its sum less a node's own share.
     As the reference computes it: teleport = weight / sum of all weights, also of seeds outside the graph; what nodes without
-    neighbours hold goes to every node in equal parts, undamped. A graph of at most local_edges edges (counted first) is
-    one task's NumPy loop; a larger one takes one join and one aggregate a step, with a checkpoint after each.
+    neighbours hold goes to every node in equal parts, undamped. A step is two aggregates and two joins; each is written.
     """
-    edges = adjacency.select("src", "dst").distinct()
+    edges = cut(pairs.select("src", "dst").distinct())
     total = seeds.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
     share = seeds.groupBy("node").agg((F.sum("weight") / total).alias("t"))
-    kind = edges.schema["src"].dataType.simpleString()
-    if edges.limit(local_edges + 1).count() <= local_edges:
-        return _pagerank_local(edges, share, steps, damping, kind)
-    spark: SparkSession = adjacency.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        raise ValueError("set spark.checkpoint.dir: a large walk cuts its lineage at each step")
-    edges = edges.checkpoint()
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    n = nodes.count()
-    base = nodes.join(share, "node", "left").join(degree.withColumnRenamed("src", "node"), "node", "left")
-    base = base.select("node", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("deg", F.lit(0)).alias("deg")).checkpoint()
-    links = edges.join(degree, "src").select("src", "dst", "deg").checkpoint()
-    score = base.select("node", F.col("t").alias("score"))
+    if groups is None:
+        base = nodes.withColumns({"g": F.lit(None).cast("string"), "many": F.lit(0).cast("long")})
+    else:
+        several = groups.groupBy("g").agg((F.count("*") - 1).alias("many")).where("many > 0")
+        grouped = groups.join(several, "g").select("node", "g", "many")
+        base = nodes.join(grouped, "node", "full_outer").select("node", "g", F.coalesce("many", F.lit(0)).alias("many"))
+    base = base.join(share, "node", "left").join(degree, "node", "left")
+    t = F.coalesce("t", F.lit(0.0))
+    state = cut(base.select("node", "g", t.alias("t"), (F.coalesce("out", F.lit(0)) + F.col("many")).cast("double").alias("deg"), t.alias("score")))
+    size = state.agg(F.count("*").alias("n"), F.count_if(F.col("deg") == 0).alias("ends")).first()
     for _ in range(steps):
-        lost = base.where("deg = 0").join(score, "node").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost")).first()["lost"]
-        flow = links.join(score.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("deg")).alias("flow"))
-        score = base.join(flow, "node", "left")
-        score = score.select("node", ((1 - damping) * F.col("t") + damping * F.coalesce("flow", F.lit(0.0)) + lost / n).alias("score")).checkpoint()
-    return score.where(F.col("score") > LEAST)
-
-
-def _pagerank_local(edges: DataFrame, share: DataFrame, steps: int, damping: float, kind: str) -> DataFrame:
-    """All steps in one task over (src, dst) rows, and (null, node, share) rows for the seeds."""
-    rows = edges.select("src", "dst", F.lit(None).cast("double").alias("t"))
-    seeds = share.join(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "node", "left_semi")
-    rows = rows.unionByName(seeds.select(F.lit(None).cast(kind).alias("src"), F.col("node").alias("dst"), "t"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_edge = pdf["t"].isna().to_numpy()
-        e = pdf[is_edge]
-        names, code = np.unique(np.concatenate([e["src"].to_numpy(), e["dst"].to_numpy()]), return_inverse=True)
-        n, src, dst = len(names), code[: len(e)], code[len(e) :]
-        teleport = np.zeros(n)
-        teleport[np.searchsorted(names, pdf["dst"].to_numpy()[~is_edge])] = pdf["t"].to_numpy()[~is_edge]
-        degree = np.bincount(src, minlength=n)
-        score = teleport.copy()
-        for _ in range(steps):
-            flow = np.bincount(dst, score[src] / degree[src], minlength=n)
-            score = (1 - damping) * teleport + damping * flow + score[degree == 0].sum() / max(n, 1)
-        return pd.DataFrame({"node": names, "score": score})
-
-    return rows.withColumn("all", F.lit("x")).groupBy("all").applyInPandas(run, f"node {kind}, score double").where(F.col("score") > LEAST)
+        lost = state.where("deg = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"] if size["ends"] else 0.0
+        given = F.when(F.col("deg") > 0, F.col("score") / F.col("deg")).otherwise(0.0)
+        flow = edges.join(state.select(F.col("node").alias("src"), given.alias("given")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("given").alias("flow"))
+        after = state.join(flow, "node", "left")
+        if groups is not None:
+            sums = state.where("g IS NOT NULL").groupBy("g").agg(F.sum(given).alias("all"))
+            after = after.join(sums, "g", "left")
+            got = F.coalesce("flow", F.lit(0.0)) + F.coalesce(F.col("all") - given, F.lit(0.0))
+        else:
+            got = F.coalesce("flow", F.lit(0.0))
+        state = cut(after.select("node", "g", "t", "deg", ((1 - damping) * F.col("t") + damping * got + lost / max(size["n"], 1)).alias("score")))
+    return state.where(F.col("score") > least).select("node", "score")
 
 
 def prune(passages: DataFrame, links: DataFrame, facts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

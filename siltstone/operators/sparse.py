@@ -7,10 +7,11 @@ collections. Queries are the small side: postings are cut down to their terms be
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
+from siltstone.sources.tables import cut, spread
 
 K1, B = 1.5, 0.75
 
@@ -30,24 +31,29 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def index(docs: DataFrame, terms: DataFrame | None = None, small: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of docs (collection, id, text), read and cut into words once. terms (term): the only ones whose postings are kept,
+    broadcast if small. Every document also leaves one row without a term, from which the statistics come."""
+    sized = lengths(spread(docs))
+    counts = sized.select("collection", "id", "length", F.explode(F.array_append("terms", F.lit(None).cast("string"))).alias("term"))
+    if terms is not None:
+        kept = counts.join((F.broadcast(terms) if small else terms).withColumn("wanted", F.lit(True)), "term", "left").where("wanted OR term IS NULL").drop("wanted")
+    else:
+        kept = counts
+    rows = cut(kept.groupBy("collection", "id", "length", "term").agg(F.count("*").alias("tf")))
+    return rows.where("term IS NOT NULL"), rows.where("term IS NULL").groupBy("collection").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int, most_query_terms: int = 100_000) -> DataFrame:
     """(query_id, collection, id, score, rank): the k best documents of each query in each collection, scores above 0."""
-    sized = lengths(docs)
-    stats = sized.groupBy("collection").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     wanted = query_terms(queries)
-    terms = wanted.select("term").distinct()
     small = wanted.limit(most_query_terms + 1).count() <= most_query_terms
     hint = F.broadcast if small else (lambda x: x)
-    exploded = sized.select("collection", "id", "length", F.explode("terms").alias("term")).join(hint(terms), "term", "left_semi")
-    found = exploded.groupBy("collection", "id", "length", "term").agg(F.count("*").alias("tf"))
+    found, stats = index(docs, wanted.select("term").distinct(), small)
     df = found.groupBy("collection", "term").agg(F.count("*").alias("df"))
-    scored = found.join(df, ["collection", "term"]).join(F.broadcast(stats), "collection").join(hint(wanted), "term")
+    scored = found.join(df, ["collection", "term"]).join(stats, "collection").join(hint(wanted), "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     totals = scored.groupBy("query_id", "collection", "id").agg(F.sum(part).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id", "collection").orderBy(F.round("score", 9).desc(), "id"))
     return totals.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def collections(docs: DataFrame, by: Column) -> DataFrame:
-    return docs.withColumn("collection", by)

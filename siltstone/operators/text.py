@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import col, count_of, holds_any, lines, none_if_blank, split_words, trimmed, word_overlap
+from siltstone.functions.text import col, count_of, holds_any, let, lines, none_if_blank, split_words, trimmed, word_overlap
 
 # Patterns and word lists of the retrieval policy (fixed values).
 GREETING = r"(?i)^(hi|hello|hey|howdy|thanks|thank you|good morning|good afternoon|good evening|good night)\b"
@@ -100,31 +100,34 @@ def drop_boilerplate(text: str | Column) -> Column:
     return trimmed(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
-def chunk_strategy(kind: Column, path: Column, text: Column) -> Column:
-    """How a text should be cut: recursive, sentence, semantic, token or code."""
-    t = trimmed(text)
-    rows = lines(t)
-    head = F.slice(rows, 1, 120)
-    code_share = F.size(F.filter(head, lambda x: x.rlike(CODE_LINE))) / F.size(head)
-    full = F.filter(rows, lambda x: trimmed(x) != "")
-    mean = F.aggregate(full, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.size(full)
-    breaks = count_of(t, "\n\n")
-    junk = ((breaks == 0) & (mean > 160)) | ((breaks <= 1) & (F.size(full) > 40) & (mean > 120))
-    table = t.rlike(r"(?m)^\|.+\|\s*$") & t.rlike(r"(?m)^\|[\s\-:|]+\|\s*$")
-    marked = t.rlike(r"(?m)^---\s*\n") | t.rlike(r"(?m)^#{1,6}\s+\S") | table | (breaks >= 3)
-    low_path, head_text = F.lower(path), F.lower(F.substring(t, 1, 4000))
-    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    markers = sum(head_text.contains(m).cast("int") for m in ACADEMIC)
-    academic = (kind == "pdf") & (low_path.contains("arxiv") | stem.rlike(r"(?i)^\d{4}\.\d{4,5}(v\d+)?$") | (markers >= 2))
-    return (
-        F.when((t == "") | (kind == "corpus_jsonl"), "recursive")
-        .when((count_of(t, "```") >= 2) | (code_share >= 0.25), "code")
-        .when(junk, "token")
-        .when(low_path.endswith(".md") | marked, "recursive")
-        .when(academic, "semantic")
-        .when(kind.isin("pdf", "zim", "text"), "sentence")
-        .otherwise("recursive")
-    )
+def chunk_strategy(kind: Column, path: Column, text: Column, trim: bool = True) -> Column:
+    """How a text should be cut: recursive, sentence, semantic, token or code. The text is trimmed (unless it is already) and split into lines once."""
+    def of_lines(t: Column, rows: Column) -> Column:
+        head = F.slice(rows, 1, 120)
+        code_share = F.size(F.filter(head, lambda x: x.rlike(CODE_LINE))) / F.size(head)
+        return let(F.filter(rows, lambda x: x.rlike(r"\S")), lambda full: decide(t, code_share, full))
+
+    def decide(t: Column, code_share: Column, full: Column) -> Column:
+        mean = F.aggregate(full, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.size(full)
+        junk = lambda breaks: ((breaks == 0) & (mean > 160)) | ((breaks <= 1) & (F.size(full) > 40) & (mean > 120))
+        table = t.rlike(r"(?m)^\|.+\|\s*$") & t.rlike(r"(?m)^\|[\s\-:|]+\|\s*$")
+        marked = lambda breaks: (breaks >= 3) | t.rlike(r"(?m)^---\s*\n") | t.rlike(r"(?m)^#{1,6}\s+\S") | table
+        low_path, head_text = F.lower(path), F.lower(F.substring(t, 1, 4000))
+        stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+        markers = sum(head_text.contains(m).cast("int") for m in ACADEMIC)
+        academic = (kind == "pdf") & (low_path.contains("arxiv") | stem.rlike(r"(?i)^\d{4}\.\d{4,5}(v\d+)?$") | (markers >= 2))
+        return let(
+            count_of(t, "\n\n"),
+            lambda breaks: F.when((t == "") | (kind == "corpus_jsonl"), "recursive")
+            .when((count_of(t, "```") >= 2) | (code_share >= 0.25), "code")
+            .when(junk(breaks), "token")
+            .when(low_path.endswith(".md") | marked(breaks), "recursive")
+            .when(academic, "semantic")
+            .when(kind.isin("pdf", "zim", "text"), "sentence")
+            .otherwise("recursive"),
+        )
+
+    return let(trimmed(text) if trim else text, lambda t: let(lines(t), lambda rows: of_lines(t, rows)))
 
 
 def windows(df: DataFrame, text: str = "text", size: int = 512, overlap: int = 64) -> DataFrame:

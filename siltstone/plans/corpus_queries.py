@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import trimmed
-from siltstone.operators import graph
+from siltstone.operators import graph, queue
 from siltstone.operators import text as op
 from siltstone.plans.text_queries import _SMELLS, _WINDOWS, TRIM
-from siltstone.sources.tables import sql, table
+from siltstone.sources.tables import cut, sql, table
 from siltstone.streaming import events as ev
 
 NOW = "TIMESTAMP '1998-12-01 00:00:00'"
@@ -27,9 +27,9 @@ def both(text: str, *names: str, spark_text: str | None = None):
 
 
 # Graph: facts are (supplier, returnflag, brand) of line items, a passage is an order, a schema (nation, flag, first word of the part's type).
-def _mentions(spark, sf, where="l_orderkey < 400"):
+def _mentions(spark, sf):
     line, part, supp = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
-    rows = line.where(where).join(part, F.col("l_partkey") == F.col("p_partkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
         F.concat_ws("|", F.col("s_nationkey").cast("string"), "l_returnflag", F.substring_index("p_type", " ", 1)).alias("schema"),
@@ -40,27 +40,26 @@ def _mentions(spark, sf, where="l_orderkey < 400"):
 
 _MENTIONS = """
 mentions AS (SELECT * FROM (SELECT l_orderkey * 100 + l_linenumber AS seq, s_nationkey || '|' || l_returnflag || '|' || string_split(p_type, ' ')[1] AS schema, l_suppkey || '|' || l_returnflag || '|' || p_brand AS fact, l_orderkey AS passage
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey < 400) QUALIFY row_number() OVER (PARTITION BY seq ORDER BY schema, fact) = 1)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey) QUALIFY row_number() OVER (PARTITION BY seq ORDER BY schema, fact) = 1)"""
 _FACTS = "facts AS (SELECT fact, min_by(schema, seq) AS schema, count(DISTINCT passage) AS passages, count(*) AS mentions FROM mentions GROUP BY fact)"
 
 
-def schema_frequency(spark, sf, *where):
-    return graph.encode(_mentions(spark, sf, *where))[0]
+def schema_frequency(spark, sf):
+    return graph.encode(_mentions(spark, sf))[0]
 
 
-def fact_table(spark, sf, *where):
-    return graph.encode(_mentions(spark, sf, *where))[1]
+def fact_table(spark, sf):
+    return graph.encode(_mentions(spark, sf))[1]
 
 
-def ontology_filter(spark, sf, *where):
-    return graph.frequent(_mentions(spark, sf, *where), 5).select("seq", "schema", "fact")
+def ontology_filter(spark, sf):
+    return graph.frequent(_mentions(spark, sf), 5).select("seq", "schema", "fact")
 
 
-def _members(spark, sf):
-    """(fact, group): groups are schemas and passages."""
-    m = _mentions(spark, sf)
-    facts = graph.encode(m)[1]
-    return facts.select("fact", F.concat(F.lit("s"), F.col("schema")).alias("g")).union(m.select("fact", F.concat(F.lit("p"), F.col("passage").cast("string"))).distinct())
+def _facts(spark, sf):
+    """Facts with their schema, and (fact, passage) rows, of all mentions, which are computed once."""
+    m = cut(_mentions(spark, sf))
+    return graph.encode(m)[1], m.select("fact", "passage").distinct()
 
 
 _ADJ = f"""{_MENTIONS}, {_FACTS}, members AS (SELECT fact, 's' || schema AS g FROM facts UNION SELECT fact, 'p' || passage FROM mentions),
@@ -68,24 +67,25 @@ adj AS (SELECT DISTINCT a.fact AS src, b.fact AS dst FROM members a JOIN members
 
 
 def fact_adjacency(spark, sf):
-    return graph.neighbours(_members(spark, sf)).groupBy("src").agg(F.count("*").alias("degree"), F.min("dst").alias("first"))
+    facts, members = _facts(spark, sf)
+    return graph.degrees(facts, graph.links(facts, members))
 
 
-def _edges(spark, sf, where="c_custkey < 200"):
+def _edges(spark, sf):
     """Regions, nations, suppliers and customers as nodes, foreign keys as edges."""
     nation, supp, cust = (table(spark, sf, t) for t in ("nation", "supplier", "customer"))
     e = nation.selectExpr("concat('n', n_nationkey) AS src", "concat('r', n_regionkey) AS dst", "'in' AS rel")
     e = e.union(supp.selectExpr("concat('s', s_suppkey)", "concat('n', s_nationkey)", "'of'")).union(nation.selectExpr("concat('r', n_regionkey)", "concat('n', n_nationkey)", "'has'"))
-    return e.union(cust.where(where).selectExpr("concat('n', c_nationkey)", "concat('c', c_custkey)", "'buyer'"))
+    return e.union(cust.selectExpr("concat('n', c_nationkey)", "concat('c', c_custkey)", "'buyer'"))
 
 
 _EDGES = """edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'in' AS rel FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'of' FROM supplier
-  UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'has' FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'buyer' FROM customer WHERE c_custkey < 200)"""
+  UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'has' FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'buyer' FROM customer)"""
 
 
-def graph_bfs(spark, sf, *where):
+def graph_bfs(spark, sf):
     seeds = spark.createDataFrame([("s1",), ("s2",)], "node string")
-    return graph.walk(_edges(spark, sf, *where), seeds, 3).select("src", "dst", "rel", F.col("hop").cast("long"))
+    return graph.walk(_edges(spark, sf), seeds, 3).select("src", "dst", "rel", F.col("hop").cast("long"))
 
 
 BFS_SQL = f"""
@@ -101,48 +101,50 @@ def graph_seed_match(spark, sf):
 
 
 def _ppr(spark, sf):
-    adj = graph.neighbours(_members(spark, sf).where("g < 'p9'"))
-    seeds = graph.encode(_mentions(spark, sf))[1].where("mentions >= 3").select(F.col("fact").alias("node"), F.col("mentions").cast("double").alias("weight"))
-    return graph.pagerank(adj, seeds)
+    """Scores of all facts, and (node, passage) rows. The walk starts at the five facts that are mentioned most."""
+    facts, members = _facts(spark, sf)
+    seeds = facts.orderBy(F.desc("mentions"), "fact").limit(5).select(F.col("fact").alias("node"), F.col("mentions").cast("double").alias("weight"))
+    groups = facts.select(F.col("fact").alias("node"), F.col("schema").alias("g"))
+    return graph.pagerank(graph.links(facts, members), seeds, least=0.0, groups=groups), members.withColumnRenamed("fact", "node")
 
 
 def ppr_scores(spark, sf):
-    return _ppr(spark, sf).select("node", F.round("score", 6).alias("score"))
+    return _ppr(spark, sf)[0].select("node", F.round("score", 9).alias("score"))
 
 
 def _ppr_sql() -> str:
-    steps = [f"""WITH {_ADJ.replace("a.fact <> b.fact)", "a.fact <> b.fact AND g < 'p9')")}, deg AS (SELECT src, count(*) AS deg FROM adj GROUP BY src), nodes AS (SELECT src AS node FROM adj UNION SELECT dst FROM adj),
-seed AS (SELECT fact AS node, mentions AS w FROM facts WHERE mentions >= 3), base AS MATERIALIZED (SELECT node, coalesce(w, 0) / (SELECT sum(w) FROM seed) AS t FROM nodes LEFT JOIN seed USING (node)), links AS MATERIALIZED (SELECT adj.src, dst, deg FROM adj JOIN deg USING (src)),
+    steps = [f"""WITH {_ADJ}, deg AS (SELECT src, count(*) AS deg FROM adj GROUP BY src), nodes AS (SELECT src AS node FROM adj UNION SELECT dst FROM adj),
+seed AS (SELECT fact AS node, mentions AS w FROM facts ORDER BY mentions DESC, fact LIMIT 5), base AS MATERIALIZED (SELECT node, coalesce(w, 0) / (SELECT sum(w) FROM seed) AS t FROM nodes LEFT JOIN seed USING (node)), links AS MATERIALIZED (SELECT adj.src, dst, deg FROM adj JOIN deg USING (src)),
 p0 AS MATERIALIZED (SELECT node, t AS score FROM base)"""]
     for i in range(graph.STEPS):
         steps.append(f"p{i + 1} AS MATERIALIZED (SELECT base.node, 0.15 * t + 0.85 * coalesce(flow, 0) AS score FROM base LEFT JOIN (SELECT dst AS node, sum(score / deg) AS flow FROM links JOIN p{i} ON node = src GROUP BY dst) USING (node))")
     return ", ".join(steps)
 
 
-PPR_SQL = f"{_ppr_sql()} SELECT node, round(score, 6) AS score FROM p{graph.STEPS} WHERE score > 0.01"
+PPR_SQL = f"{_ppr_sql()} SELECT node, round(score, 9) AS score FROM p{graph.STEPS} WHERE score > 0"
 
 
 def _passages(spark, sf):
-    facts = _mentions(spark, sf).select(F.col("fact").alias("node"), "passage").distinct()
-    return _ppr(spark, sf).join(facts, "node").groupBy("passage").agg((F.sum("score") * 0.5).alias("score"))
+    scores, members = _ppr(spark, sf)
+    return scores.join(members, "node").groupBy("passage").agg((F.sum("score") * 0.5).alias("score"))
 
 
 def passage_from_facts(spark, sf):
-    return _passages(spark, sf).select("passage", F.round("score", 6).alias("score"))
+    return _passages(spark, sf).select("passage", F.round("score", 9).alias("score"))
 
 
 def memgraph_retrieve(spark, sf):
     """Seeds, walk, passages, the five best."""
-    rank = F.row_number().over(Window.orderBy(F.round("score", 6).desc(), "passage"))
-    top = _passages(spark, sf).orderBy(F.round("score", 6).desc(), "passage").limit(5)
-    return top.withColumn("rank", rank.cast("long")).select("rank", "passage", F.round("score", 6).alias("score"))
+    rank = F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "passage"))
+    top = _passages(spark, sf).orderBy(F.round("score", 9).desc(), "passage").limit(5)
+    return top.withColumn("rank", rank.cast("long")).select("rank", "passage", F.round("score", 9).alias("score"))
 
 
-_PASS = f"{_ppr_sql()}, pp AS (SELECT passage, sum(score) * 0.5 AS score FROM p{graph.STEPS} JOIN (SELECT DISTINCT fact AS node, passage FROM mentions) USING (node) WHERE score > 0.01 GROUP BY passage)"
+_PASS = f"{_ppr_sql()}, pp AS (SELECT passage, sum(score) * 0.5 AS score FROM p{graph.STEPS} JOIN (SELECT DISTINCT fact AS node, passage FROM mentions) USING (node) WHERE score > 0 GROUP BY passage)"
 
 
-def cascade_prune(spark, sf, *where):
-    m = _mentions(spark, sf, *where)
+def cascade_prune(spark, sf):
+    m = _mentions(spark, sf)
     facts = graph.encode(m)[1].select("fact", "schema")
     links = m.select("fact", "passage").distinct()
     gone = m.where("passage % 4 = 1").select("passage").distinct()
@@ -191,14 +193,14 @@ def chunk_stats(spark, sf):
 
 
 def stratified_alloc(spark, sf):
-    """Shares of 100 samples: half-even rounding, at least 1, as long as the target lasts, largest sources first."""
+    """Shares of 100 samples: half-even rounding, at least 1, as long as the target lasts, largest sources first; with fewer samples than sources, one each."""
     return _alloc(spark, sf).select("source", "n", F.col("take").cast("long"))
 
 
 def _alloc(spark, sf, target=100):
     counts = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    rows = counts.withColumn("want", F.greatest(F.lit(1), F.bround(target * F.col("n") / total)).cast("long"))
+    total, strata = F.sum("n").over(Window.partitionBy()), F.count("*").over(Window.partitionBy())
+    rows = counts.withColumn("want", F.when(strata > target, 1).otherwise(F.greatest(F.lit(1), F.bround(target * F.col("n") / total))).cast("long"))
     w = Window.orderBy(F.desc("n"), "source").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("want").over(w), F.lit(0)))
     return rows.withColumn("take", F.greatest(F.lit(0), F.least(F.col("want"), target - F.col("before")))).where("take > 0")
@@ -225,12 +227,6 @@ def _new_turns(turns):
 
 
 def dedupe_consecutive(spark, sf):
-    """By the first character of a text, as its SQL has it; dedupe_consecutive_text compares whole texts."""
-    turns = table(spark, sf, "conversations").withColumn("text", F.substring("text", 1, 1))
-    return _new_turns(turns).select("conv_id", "turn", "role", "text")
-
-
-def dedupe_consecutive_text(spark, sf):
     return _new_turns(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "text")
 
 
@@ -281,26 +277,42 @@ _QUEUE = f"""(SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending
   CASE {_BAND} WHEN 'high' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END AS band, o_orderdate AS updated_at, CAST(floor(o_totalprice) AS BIGINT) AS size, o_custkey AS chunks FROM {{orders}}) AS q"""
 
 
+def _queued(spark, sf):
+    return sql(spark, sf, f"SELECT id, status, band, updated_at, size, concat('f', id % 97) AS file_name FROM {_QUEUE} WHERE status = 'pending'", "orders")
+
+
+def queue_order(spark, sf):
+    """All pending rows, largest first within a band, with their places."""
+    return queue.places(_queued(spark, sf), queue.order("size", descending=True)).select("id", "place")
+
+
+def queue_order_by_name(spark, sf):
+    return queue.places(_queued(spark, sf), queue.order("name")).select("id", "place")
+
+
+_PENDING = f"(SELECT id, status, band, updated_at, size, concat('f', id % 97) AS file_name FROM {_QUEUE.replace('{orders}', 'orders')} WHERE status = 'pending') p"
+
+
 def throughput_rates(spark, sf):
-    """Rates of the last sample against the one before and against those 5 and 15 minutes earlier, by type of event."""
-    rows = table(spark, sf, "events").select("event_type", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"))
-    w = Window.partitionBy("event_type").orderBy("t", "event_id")
-    rows = rows.withColumn("total", F.row_number().over(w).cast("long"))
-    out = rows.groupBy("event_type").agg(F.max_by("t", "total").alias("now"), F.max("total").alias("total"))
-    at = rows.join(F.broadcast(out.select("event_type", F.col("now"))), "event_type")
-    far = at.groupBy("event_type").agg(
-        F.coalesce(F.max_by(F.struct("t", "total"), F.when(F.col("t") <= F.col("now") - 86400, F.col("total"))), F.min_by(F.struct("t", "total"), "total")).alias("day"),
-        F.coalesce(F.max_by(F.struct("t", "total"), F.when(F.col("t") <= F.col("now") - 7 * 86400, F.col("total"))), F.min_by(F.struct("t", "total"), "total")).alias("week"),
-    )
-    rate = lambda b: F.round((F.col("total") - F.col(f"{b}.total")) / ((F.col("now") - F.col(f"{b}.t")) / 60.0), 6)
-    return out.join(far, "event_type").select("event_type", rate("day").alias("rate_day"), rate("week").alias("rate_week"))
-
-
-THROUGHPUT_SQL = """
-WITH r AS (SELECT event_type, CAST(floor(epoch(ts)) AS DOUBLE) AS t, row_number() OVER (PARTITION BY event_type ORDER BY floor(epoch(ts)), event_id) AS total FROM events), n AS (SELECT event_type, max_by(t, total) AS now, max(total) AS total FROM r GROUP BY event_type),
-f AS (SELECT r.event_type, n.now, n.total, coalesce(max_by({'t': t, 'c': r.total}, r.total) FILTER (WHERE t <= now - 86400), min_by({'t': t, 'c': r.total}, r.total)) AS d, coalesce(max_by({'t': t, 'c': r.total}, r.total) FILTER (WHERE t <= now - 604800), min_by({'t': t, 'c': r.total}, r.total)) AS w FROM r JOIN n USING (event_type) GROUP BY ALL)
-SELECT event_type, round((total - d.c) / ((now - d.t) / 60.0), 6) AS rate_day, round((total - w.c) / ((now - w.t) / 60.0), 6) AS rate_week FROM f
-"""
+    """Rates a minute of each type of event, from the last event against the counts 5 and 15 minutes (of this table's time: days and weeks are 288 and
+    2,016 of them) earlier: counts by minute are added up, so that no task numbers the events of a type."""
+    spans = {"5m": 300, "15m": 900, "day": 86400, "week": 604800}
+    rows = table(spark, sf, "events").select("event_type", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("t"))
+    last = rows.groupBy("event_type").agg(F.max("t").alias("now"), F.min("t").alias("from"), F.count("*").alias("total"))
+    late = rows.join(F.broadcast(last.select("event_type", "now")), "event_type")  # a row for each type
+    counts = late.groupBy("event_type").agg(*[F.count_if(F.col("t") > F.col("now") - n).alias(f"n_{k}") for k, n in spans.items()], *[F.max(F.when(F.col("t") <= F.col("now") - n, F.col("t"))).alias(f"t_{k}") for k, n in spans.items()])
+    rate = lambda k: F.round(F.when(F.col(f"t_{k}").isNull(), F.col("total") - 1).otherwise(F.col(f"n_{k}")) / ((F.col("now") - F.coalesce(f"t_{k}", "from")) / 60.0), 6)
+    return last.join(counts, "event_type").select("event_type", *[rate(k).alias(f"rate_{k}") for k in spans])
+
+
+def _throughput_sql() -> str:
+    spans = {"5m": 300, "15m": 900, "day": 86400, "week": 604800}
+    parts = ", ".join(f"count(*) FILTER (WHERE t > now - {n}) AS n_{k}, max(t) FILTER (WHERE t <= now - {n}) AS t_{k}" for k, n in spans.items())
+    rates = ", ".join(f"round(CASE WHEN t_{k} IS NULL THEN total - 1 ELSE n_{k} END / ((now - coalesce(t_{k}, since)) / 60.0), 6) AS rate_{k}" for k in spans)
+    return f"WITH r AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), l AS (SELECT event_type, max(t) AS now, min(t) AS since, count(*) AS total FROM r GROUP BY event_type), c AS (SELECT event_type, now, since, total, {parts} FROM r JOIN l USING (event_type) GROUP BY ALL) SELECT event_type, {rates} FROM c"
+
+
+THROUGHPUT_SQL = _throughput_sql()
 
 
 def latency_histogram(spark, sf):
@@ -325,7 +337,7 @@ def tumbling_counts(spark, sf):
 
 
 def rolling_memory(spark, sf):
-    """Summaries are refreshed at every second user turn; the last refresh stays."""
+    """Summaries are refreshed at every second user turn (a session's are at every eighth; few conversations here have so many); the last refresh stays."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf, "conversations").where("role = 'user'").withColumn("nth", F.row_number().over(w)).where("nth % 2 = 0")
     return rows.groupBy("conv_id").agg(F.max_by(F.substring("text", 1, 500), "turn").alias("summary"), F.max("nth").cast("long").alias("turns"))
@@ -363,8 +375,8 @@ QUERIES = {
     "graph_bfs": (graph_bfs, BFS_SQL),
     "graph_seed_match": (graph_seed_match, "SELECT word, 'n' || n_nationkey AS id, n_name AS name FROM nation JOIN (VALUES ('an'), ('uni'), ('zzz'), ('nation_1')) w(word) ON contains(lower(n_name), word)"),
     "ppr_scores": (ppr_scores, PPR_SQL),
-    "passage_from_facts": (passage_from_facts, f"{_PASS} SELECT passage, round(score, 6) AS score FROM pp"),
-    "memgraph_retrieve": (memgraph_retrieve, f"{_PASS} SELECT row_number() OVER (ORDER BY round(score, 6) DESC, passage) AS rank, passage, round(score, 6) AS score FROM pp ORDER BY rank LIMIT 5"),
+    "passage_from_facts": (passage_from_facts, f"{_PASS} SELECT passage, round(score, 9) AS score FROM pp"),
+    "memgraph_retrieve": (memgraph_retrieve, f"{_PASS} SELECT row_number() OVER (ORDER BY round(score, 9) DESC, passage) AS rank, passage, round(score, 9) AS score FROM pp ORDER BY rank LIMIT 5"),
     "cascade_prune": (cascade_prune, PRUNE_SQL),
     "orphan_sources": both("SELECT source, count(*) AS n FROM {documents} WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT concat('src', s_suppkey % 15) AS known FROM {supplier}) k WHERE known = source) GROUP BY source", "documents", "supplier"),
     "audit_by_source": (audit_by_source, AUDIT_SQL),
@@ -373,16 +385,16 @@ QUERIES = {
     "status_counts": both("SELECT o_orderstatus AS status, count(*) AS n FROM {orders} GROUP BY o_orderstatus", "orders"),
     "queue_stats": both(f"SELECT sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS pending, sum(CASE WHEN status = 'running' THEN 1 ELSE 0 END) AS running, sum(CASE WHEN status = 'running' AND updated_at < {NOW} - INTERVAL '30' DAY THEN 1 ELSE 0 END) AS stalled, sum(CASE WHEN status = 'indexed' THEN 1 ELSE 0 END) AS indexed, sum(chunks) AS total_chunks, sum(CASE WHEN status <> 'indexed' THEN chunks ELSE 0 END) AS queue_chunks FROM {_QUEUE}", "orders"),
     "queue_visible": both(f"SELECT id, status, priority, status = 'running' AND updated_at < {NOW} - INTERVAL '30' DAY AS is_stalled FROM {_QUEUE} WHERE NOT (status = 'indexed' AND updated_at < {NOW} - INTERVAL '90' DAY)", "orders"),
-    "queue_order": both(f"SELECT id, row_number() OVER (ORDER BY band, size DESC, updated_at, id) AS place FROM {_QUEUE} WHERE status = 'pending' ORDER BY place LIMIT 500", "orders"),
+    "queue_order": (queue_order, f"SELECT id, row_number() OVER (ORDER BY band, size DESC, updated_at, id) AS place FROM {_PENDING}"),
+    "queue_order_by_name": (queue_order_by_name, f"SELECT id, row_number() OVER (ORDER BY band, file_name, updated_at, id) AS place FROM {_PENDING}"),
     "claim_next": both(f"SELECT id, priority, updated_at FROM {_QUEUE} WHERE status = 'pending' ORDER BY band, updated_at, id LIMIT 1", "orders"),
     "pending_topn": both(f"SELECT id, priority, size FROM {_QUEUE} WHERE status = 'pending' ORDER BY updated_at DESC NULLS LAST, id LIMIT 10", "orders"),
     "status_transition": both(f"SELECT status, new_status, count(*) AS n FROM (SELECT status, CASE WHEN status = 'running' AND updated_at < {NOW} - INTERVAL '30' DAY THEN 'pending' WHEN status = 'indexed' AND size % 10 = 0 THEN 'pending' ELSE status END AS new_status FROM {_QUEUE}) t GROUP BY status, new_status", "orders"),
     "throughput_rates": (throughput_rates, THROUGHPUT_SQL),
     "stratified_alloc": (stratified_alloc, f"WITH {_ALLOC} SELECT source, n, take FROM al"),
     "stratified_sample": (stratified_sample, f"WITH {_ALLOC}, d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id)) AS nth FROM documents) SELECT source, doc_id FROM d JOIN al USING (source) WHERE nth <= take"),
-    "dedupe_consecutive": (dedupe_consecutive, "WITH t AS (SELECT conv_id, turn, role, text[1:1] AS text FROM conversations), g AS (SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AND lag(text) OVER w IS NOT DISTINCT FROM text AND row_number() OVER w > 1 AS again FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, role, text FROM g WHERE NOT again"),
-    "dedupe_consecutive_text": (dedupe_consecutive_text, "SELECT conv_id, turn, role, text FROM (SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AND lag(text) OVER w IS NOT DISTINCT FROM text AND row_number() OVER w > 1 AS again FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE NOT again"),
-    "export_finetune": (export_finetune, rf"SELECT conv_id, count(*) AS messages, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS example_md5 FROM conversations WHERE {TRIM.format('text')} <> '' AND role IS NOT NULL GROUP BY conv_id HAVING count(*) >= 2"),
+    "dedupe_consecutive": (dedupe_consecutive, "SELECT conv_id, turn, role, text FROM (SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AND lag(text) OVER w IS NOT DISTINCT FROM text AND row_number() OVER w > 1 AS again FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE NOT again"),
+    "export_finetune": (export_finetune, rf"WITH t AS (SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AND lag(text) OVER w IS NOT DISTINCT FROM text AND row_number() OVER w > 1 AS again FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, count(*) AS messages, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS example_md5 FROM t WHERE NOT again AND {TRIM.format('text')} <> '' AND role IS NOT NULL GROUP BY conv_id HAVING count(*) >= 2"),
     "promote_qa": (promote_qa, PROMOTE_SQL),
     "latest_per_package": (latest_per_package, _LATEST.replace("{str}", "VARCHAR").replace("{part}", "part")),
     "latency_histogram": (latency_histogram, "SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events CROSS JOIN (VALUES (1.0::DOUBLE), (5.0), (10.0), (25.0), (50.0), (100.0), (250.0)) b(le) GROUP BY event_type, le"),
@@ -402,7 +414,6 @@ QUERIES = {
     "tumbling_counts": (tumbling_counts, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
 }
 
-#: The same over whole tables.
-_ROWS = {"schema_frequency": " WHERE l_orderkey < 400", "fact_table": " WHERE l_orderkey < 400", "ontology_filter": " WHERE l_orderkey < 400", "cascade_prune": " WHERE l_orderkey < 400", "graph_bfs": " WHERE c_custkey < 200"}
-QUERIES |= {f"{name}_all": (lambda spark, sf, run=QUERIES[name][0]: run(spark, sf, "true"), QUERIES[name][1].replace(cut, "")) for name, cut in _ROWS.items()}
-QUERIES["queue_order_all"] = both(f"SELECT id, row_number() OVER (ORDER BY band, size DESC, updated_at, id) AS place FROM {_QUEUE} WHERE status = 'pending'", "orders")
+#: Names that some of these had while others took subsets.
+QUERIES |= {f"{name}_all": QUERIES[name] for name in ("schema_frequency", "fact_table", "ontology_filter", "cascade_prune", "graph_bfs", "queue_order")}
+QUERIES["dedupe_consecutive_text"] = QUERIES["dedupe_consecutive"]

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import STOP_WORDS, split_words, tokens
 from siltstone.operators import context, dense, fusion, sparse
-from siltstone.sources.tables import table
+from siltstone.operators.text import CONSTRAINT
+from siltstone.sources.tables import cut, spread, table
 
 STOPS = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+LINES = 100_000_000  # more than a document has lines
 NOW = 1704067200.0  # 2024-01-01 UTC; never the clock
 
 
@@ -17,8 +19,9 @@ def _points(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def _asks(spark, sf, ids):
-    return table(spark, sf, "embeddings").where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _asks(spark, sf, where="vec_id % 100 = 0"):
+    """Queries: every vector whose id is divisible by 100."""
+    return table(spark, sf, "embeddings").where(where).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _docs(spark, sf, by="'all'"):
@@ -31,37 +34,37 @@ def _items(spark, sf, where="true"):
 
 _COS = """
 v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT q.id AS query_id, v.id, list_dot_product(v.v, q.v) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(q.v, q.v))) AS score FROM v CROSS JOIN v q WHERE q.id IN {ids}),
+s AS (SELECT q.id AS query_id, v.id, list_dot_product(v.v, q.v) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(q.v, q.v))) AS score FROM v CROSS JOIN v q WHERE {ids}),
 d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s {where})
 """
 
 
 def dense_topk(spark, sf):
-    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf, [0, 1, 2, 3])), 5)
+    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf)), 5)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 def dense_threshold(spark, sf):
     """Top k first, threshold after: fewer than k rows may stay."""
-    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf, [0, 1, 2, 3])), 10).where("score >= 0.3")
+    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf)), 10).where("score >= 0.3")
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def dense_allowlist(spark, sf):
     allowed = table(spark, sf, "embeddings").where("label IN (1, 2)").select(F.col("vec_id").alias("id"))
-    hits = dense.top(dense.scores(_points(spark, sf).join(allowed, "id", "left_semi"), _asks(spark, sf, [0, 5])), 5)
+    hits = dense.top(dense.scores(_points(spark, sf).join(allowed, "id", "left_semi"), _asks(spark, sf)), 5)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def dense_late_payload(spark, sf):
     payload = table(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), "source", "lang")
-    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf, [0, 1])), 8).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf)), 8).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
     return dense.with_payload(hits, payload).select("query_id", "id", "rank", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
 
 
 def fact_scores(spark, sf):
     points = _points(spark, sf).withColumn("vector", F.when(F.col("id") % 50 == 7, F.transform("vector", lambda x: x * 0)).otherwise(F.col("vector")))
-    return dense.scores(points, _asks(spark, sf, [3])).select("id", F.round("score", 6).alias("score"))
+    return dense.scores(points, _asks(spark, sf, "vec_id = 3")).select("id", F.round("score", 6).alias("score"))
 
 
 def journal_replay(spark, sf):
@@ -85,7 +88,7 @@ def _tokens_sql(x: str) -> str:
 
 def tokenize_counts(spark, sf):
     found = tokens("text")
-    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.size(F.array_distinct(found)).cast("long").alias("n_distinct"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.size(found).cast("long").alias("n"), F.size(F.array_distinct(found)).cast("long").alias("n_distinct"))
 
 
 def bm25_df(spark, sf):
@@ -94,7 +97,7 @@ def bm25_df(spark, sf):
 
 
 def bm25_doclen(spark, sf):
-    sized = sparse.lengths(_docs(spark, sf)).select("id", "length")
+    sized = cut(sparse.lengths(spread(_docs(spark, sf))).select("id", "length"))
     return sized.crossJoin(F.broadcast(sized.agg(F.round(F.avg("length"), 6).alias("mean"))))
 
 
@@ -121,17 +124,19 @@ def bm25_multi_query(spark, sf):
 
 
 def bm25_per_collection(spark, sf):
-    return _bm25(spark, sf, 3, by="lang", where="item_id < 10").select("query_id", "collection", "id", F.round("score", 6).alias("score"))
+    return _bm25(spark, sf, 3, by="lang").select("query_id", "collection", "id", F.round("score", 6).alias("score"))
 
 
 def _legs(spark, sf, n=20):
-    """Dense and sparse hits of the same five query numbers: an item's text, and the vector with its number."""
-    d = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf, [0, 1, 2, 3, 4])), n)
-    s = _bm25(spark, sf, n, where="item_id < 5").select("query_id", "id", "score", "rank")
-    return d, s
+    """Dense and sparse hits of every benchmark item: by its text, and by the vector with its number. Both are used several times and written once."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    asks = _asks(spark, sf, "true").join(items, "query_id", "left_semi")
+    d = cut(dense.top(dense.scores(_points(spark, sf), asks), n))
+    s = _bm25(spark, sf, n).select("query_id", "id", "score", "rank")
+    return d, cut(s)
 
 
-_LEGS = f"WITH {_COS.format(ids='(0, 1, 2, 3, 4)', where='')}, {_bm25_sql(chr(39) + 'all' + chr(39), 20, 'item_id < 5')}, dl AS (SELECT * FROM d WHERE rank <= 20), sl AS (SELECT * FROM b WHERE rank <= 20)"
+_LEGS = f"WITH {_COS.format(ids='q.id IN (SELECT item_id FROM benchmark)', where='')}, {_bm25_sql(chr(39) + 'all' + chr(39), 20)}, dl AS (SELECT * FROM d WHERE rank <= 20), sl AS (SELECT * FROM b WHERE rank <= 20)"
 _FUSED = """, u AS (SELECT query_id, id, 0.7 / (60 + rank) AS share, 0 AS leg, rank FROM dl UNION ALL SELECT query_id, id, 0.3 / (60 + rank), 1, rank FROM sl),
 g AS (SELECT query_id, id, sum(share) AS fused, min({'leg': leg, 'at': rank}) AS seen FROM u GROUP BY ALL),
 fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, seen.leg, seen.at) AS rank FROM g)"""
@@ -175,7 +180,7 @@ FROM sl2 LEFT JOIN dl USING (query_id, id) LEFT JOIN sl USING (query_id, id) WHE
 def per_query_topk(spark, sf):
     """How many rows a query keeps depends on its decision."""
     k = F.when(F.col("query_id") % 2 == 0, 20).otherwise(3)
-    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf, [0, 1, 2, 3])).withColumn("k", k), F.col("k"))
+    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf)).withColumn("k", k), F.col("k"))
     return hits.select("query_id", "id", F.col("rank").cast("long"))
 
 
@@ -192,14 +197,14 @@ SELECT o_orderkey, round(CASE WHEN t IS NULL THEN score ELSE score + 0.1 * great
 
 
 def _hits(spark, sf):
-    """Chunks of a source as hits of a query: short lines, so that some hold others."""
-    docs = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 4)).alias("at", "text")).where("length(trim(text)) > 0")
-    return docs.select("source", (F.col("doc_id") * 10 + F.col("at")).alias("id"), "text")
+    """All lines of the documents of a source as hits of a query, so that some hold others."""
+    docs = spread(table(spark, sf, "documents").select("source", "doc_id", "text")).select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).where("length(trim(text)) > 0")
+    return docs.select("source", (F.col("doc_id") * LINES + F.col("at")).alias("id"), "text")
 
 
-_HITS = """
-h0 AS (SELECT source, doc_id, string_split(text, chr(10))[1:4] AS ls FROM documents), h1 AS (SELECT source, doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS k FROM h0),
-h AS (SELECT source, doc_id * 10 + k AS id, text FROM h1 WHERE length(trim(text, ' ')) > 0)"""
+_HITS = f"""
+h0 AS (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents), h1 AS (SELECT source, doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS k FROM h0),
+h AS (SELECT source, doc_id * {LINES} + k AS id, text FROM h1 WHERE length(trim(text, ' ')) > 0)"""
 _KEY = r"sha256(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), ' '))"
 
 
@@ -208,24 +213,38 @@ def dedupe_exact(spark, sf):
 
 
 def dedupe_containment(spark, sf):
-    best = context.dedupe(_hits(spark, sf).where("id % 10 < 2"), ["source"])
-    return context.drop_contained(best, ["source"]).select("source", "id")
+    return context.drop_contained(context.dedupe(_hits(spark, sf), ["source"]), ["source"]).select("source", "id")
 
 
 CONTAINMENT_SQL = f"""
-WITH {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY source, {_KEY} ORDER BY length(text) DESC, id) AS nth FROM h WHERE id % 10 < 2), e AS (SELECT source, id, text FROM k WHERE nth = 1)
+WITH {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY source, {_KEY} ORDER BY length(text) DESC, id) AS nth FROM h), e AS (SELECT source, id, text FROM k WHERE nth = 1)
 SELECT source, id FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.source = a.source AND length(b.text) > length(a.text) AND contains(b.text, a.text))
 """
 
 
 def context_budget(spark, sf):
-    hits = _hits(spark, sf).where("id % 10 = 1")
+    """A text that is taken uses 9 characters of the budget at least, so hits beyond a ninth of it cannot be reached and no row gathers more."""
     probe = spark.createDataFrame([("probe", 1, "filler " * 200), ("probe", 2, "ERROR: disk full on /dev/sda"), ("probe", 3, "tail")], "source string, id long, text string")
-    rows = hits.unionByName(probe).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("hits"))
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("id"))
+    near = _hits(spark, sf).unionByName(probe).withColumn("nth", nth).where(F.col("nth") <= 3000 // 9 + 1)
+    rows = near.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("hits"))
     budget = F.when(F.col("source") == "probe", 120).otherwise(3000)
     return rows.select("source", F.explode(context.fit(F.col("hits"), budget)).alias("k")).select("source", "k.id", "k.text")
 
 
+CONTEXT_SQL = rf"""
+WITH RECURSIVE {_HITS}, al AS (SELECT source, id, text FROM h UNION ALL SELECT * FROM (VALUES ('probe', 1, repeat('filler ', 200)), ('probe', 2, 'ERROR: disk full on /dev/sda'), ('probe', 3, 'tail')) p(source, id, text)),
+n AS (SELECT source, id, text, row_number() OVER (PARTITION BY source ORDER BY id) AS k, CASE WHEN source = 'probe' THEN 120 ELSE 3000 END AS budget,
+  array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CONSTRAINT}')), chr(10)) AS must, regexp_replace(text, '\s+', '', 'g') = '' AS blank FROM al),
+f AS (SELECT source, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, false AS ended, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS piece FROM n GROUP BY source
+  UNION ALL SELECT source, k, used + CASE WHEN taken THEN length(short) + 8 ELSE 0 END, ended OR cut, CASE WHEN taken THEN id END, CASE WHEN taken THEN short END
+  FROM (SELECT *, NOT blank AND NOT cut0 AS taken, NOT blank AND cut0 AS cut FROM (SELECT *, length(short) > room AS cut0 FROM (SELECT source, k, used, ended, id, blank, room,
+    CASE WHEN length(s1) > room THEN s1[1:greatest(room, 0)] ELSE s1 END AS short FROM (SELECT n.source, n.k, f.used, f.ended, n.id, n.blank, budget - used AS room, CASE WHEN length(n.text) > budget - used AND must <> '' THEN must ELSE n.text END AS s1
+    FROM f JOIN n ON n.source = f.source AND n.k = f.k + 1 WHERE NOT f.ended AND f.used < n.budget)))))
+SELECT source, id, piece AS text FROM f WHERE id IS NOT NULL AND piece <> ''
+"""
+
+
 def context_prefix_budget(spark, sf):
     """Hits in order as long as all before them fit, without constraint lines."""
     w = Window.partitionBy("source").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
@@ -245,42 +264,52 @@ SELECT conv_id, CAST(greatest(0, CASE conv_id % 3 WHEN 0 THEN 8000 WHEN 1 THEN C
 """
 
 
+def _firsts(spark, sf):
+    """The hits of a source that are within its context: all before 8,000 characters are used."""
+    w = Window.partitionBy("source").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return _hits(spark, sf).withColumn("used", F.coalesce(F.sum(F.length("text") + 7).over(w), F.lit(0))).where(F.col("used") + F.length("text") <= 8000)
+
+
 def assemble_context(spark, sf):
-    return context.assemble(_hits(spark, sf).where("id % 10 = 0"), ["source"], "id")
+    return context.assemble(_firsts(spark, sf), ["source"], "id")
 
 
-ASSEMBLE_SQL = f"WITH {_HITS} SELECT source, '{context.PREFIX.strip()}' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id) AS context FROM h WHERE id % 10 = 0 GROUP BY source"
+ASSEMBLE_SQL = f"WITH {_HITS} SELECT source, '{context.PREFIX.strip()}' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id) AS context FROM (SELECT *, coalesce(sum(length(text) + 7) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h) WHERE used + length(text) <= 8000 GROUP BY source"
 
 
 def note_recall(spark, sf):
-    """Notes by key, text and age: a phrase that stands in a note counts 1000, each shared word 1."""
+    """Notes by key, text and age for every item: a phrase that stands in a note counts 1000, each shared word 1. Notes meet the items whose words they
+    share; a note that holds a phrase holds its words but for the outer ones, which may be parts of its own, so phrases of one or two words are sought in every note."""
     words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0)))
-    notes = table(spark, sf, "documents").where("length(text) < 400").select("doc_id", F.concat_ws(" ", F.col("source"), "lang", "text").alias("hay"))
-    asks = table(spark, sf, "benchmark").where("item_id < 5").select("item_id", F.substring_index("text", " ", 3).alias("q"))
-    pairs = notes.crossJoin(F.broadcast(asks)).withColumn("shared", F.size(F.array_intersect(words(F.col("q")), words(F.col("hay")))))
-    score = F.when(F.contains(F.lower("hay"), F.lower("q")), 1000 + F.col("shared")).otherwise(F.col("shared"))
+    notes = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", F.lower(F.concat_ws(" ", F.col("source"), "lang", "text")).alias("hay"))
+    asks = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("q"), words(F.col("text")).alias("ws"))
+    wanted = asks.select("item_id", F.explode("ws").alias("w"))
+    shared = notes.select("doc_id", F.explode(words(F.col("hay"))).alias("w")).join(wanted, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    short = notes.join(asks.where("size(ws) <= 2 AND q <> ''"), F.contains("hay", "q")).select("item_id", "doc_id", F.lit(0).cast("long").alias("shared"))
+    pairs = shared.unionByName(short).groupBy("item_id", "doc_id").agg(F.max("shared").alias("shared"))
+    scored = pairs.join(notes, "doc_id").join(asks.select("item_id", "q"), "item_id").select("item_id", "doc_id", (F.col("shared") + F.when(F.contains("hay", "q"), 1000).otherwise(0)).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("doc_id")))
-    return pairs.select("item_id", "doc_id", score.cast("long").alias("score")).where("score > 0").withColumn("rank", rank).where("rank <= 5").select("item_id", "doc_id", "score")
+    return scored.where("score > 0").withColumn("rank", rank).where("rank <= 5").select("item_id", "doc_id", "score")
 
 
-_W = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_\p{{M}}]+'))"
+_W = r"list_distinct(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_\p{{M}}]+'))"
 NOTE_SQL = rf"""
-WITH n AS (SELECT doc_id, source || ' ' || lang || ' ' || text AS hay FROM documents WHERE length(text) < 400), a AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS q FROM benchmark WHERE item_id < 5),
-p AS (SELECT item_id, doc_id, CASE WHEN contains(lower(hay), lower(q)) THEN 1000 ELSE 0 END + len(list_intersect({_W.format("q")}, {_W.format("hay")})) AS score FROM n CROSS JOIN a),
+WITH n AS (SELECT doc_id, lower(concat_ws(' ', source, lang, text)) AS hay FROM documents), a AS (SELECT item_id, lower(text) AS q FROM benchmark), nw AS (SELECT *, {_W.format("hay")} AS hw FROM n), aw AS (SELECT *, {_W.format("q")} AS qw FROM a),
+p AS (SELECT item_id, doc_id, CASE WHEN contains(hay, q) THEN 1000 ELSE 0 END + len(list_intersect(qw, hw)) AS score FROM nw CROSS JOIN aw),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS rank FROM p WHERE score > 0) SELECT item_id, doc_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
 """
 
-_TOP = "WITH " + _COS.format(ids="(0, 1, 2, 3)", where="")
+_TOP = "WITH " + _COS.format(ids="q.id % 100 = 0", where="")
 QUERIES = {
     "dense_topk": (dense_topk, f"{_TOP} SELECT query_id, id, round(score, 6) AS score, rank FROM d WHERE rank <= 5"),
     "dense_threshold": (dense_threshold, f"{_TOP} SELECT query_id, id, round(score, 6) AS score FROM d WHERE rank <= 10 AND score >= 0.3"),
-    "dense_allowlist": (dense_allowlist, f"WITH {_COS.format(ids='(0, 5)', where='WHERE id IN (SELECT vec_id FROM embeddings WHERE label IN (1, 2))')} SELECT query_id, id, round(score, 6) AS score FROM d WHERE rank <= 5"),
+    "dense_allowlist": (dense_allowlist, f"WITH {_COS.format(ids='q.id % 100 = 0', where='WHERE id IN (SELECT vec_id FROM embeddings WHERE label IN (1, 2))')} SELECT query_id, id, round(score, 6) AS score FROM d WHERE rank <= 5"),
     "dense_late_payload": (
         dense_late_payload,
-        f"WITH {_COS.format(ids='(0, 1)', where='')} SELECT query_id, id, rank, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM d LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) p ON p.doc_id = d.id WHERE rank <= 8",
+        f"WITH {_COS.format(ids='q.id % 100 = 0', where='')} SELECT query_id, id, rank, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM d LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) p ON p.doc_id = d.id WHERE rank <= 8",
     ),
     "journal_replay": (journal_replay, JOURNAL_SQL),
-    "fact_scores": (fact_scores, f"WITH {_COS.format(ids='(3)', where='')} SELECT id, round(score, 6) AS score FROM s WHERE id % 50 <> 7"),
+    "fact_scores": (fact_scores, f"WITH {_COS.format(ids='q.id = 3', where='')} SELECT id, round(score, 6) AS score FROM s WHERE id % 50 <> 7"),
     "tokenize_counts": (tokenize_counts, f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents)"),
     "bm25_df": (
         bm25_df,
@@ -289,7 +318,7 @@ QUERIES = {
     "bm25_doclen": (bm25_doclen, f"SELECT doc_id AS id, CAST(len(t) AS BIGINT) AS length, round(avg(len(t)) OVER (), 6) AS mean FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents)"),
     "bm25_search": (bm25_search, f"WITH {_bm25_sql(chr(39) + 'all' + chr(39), 10, 'item_id = 0')} SELECT id, round(score, 6) AS score, rank FROM b WHERE rank <= 10"),
     "bm25_multi_query": (bm25_multi_query, f"WITH {_bm25_sql(chr(39) + 'all' + chr(39), 10)} SELECT query_id, id, round(score, 6) AS score, rank FROM b WHERE rank <= 10"),
-    "bm25_per_collection": (bm25_per_collection, f"WITH {_bm25_sql('lang', 3, 'item_id < 10')} SELECT query_id, collection, id, round(score, 6) AS score FROM b WHERE rank <= 3"),
+    "bm25_per_collection": (bm25_per_collection, f"WITH {_bm25_sql('lang', 3)} SELECT query_id, collection, id, round(score, 6) AS score FROM b WHERE rank <= 3"),
     "rrf_fusion": (rrf_fusion, f"{_LEGS}{_FUSED} SELECT query_id, id, round(fused, 9) AS fused, rank FROM fu WHERE rank <= 20"),
     "rrf_sparse_reserve": (rrf_sparse_reserve, f"{_LEGS}{_FUSED}{_RESERVE.format(limit=12)} SELECT query_id, id, slot FROM sl2 WHERE slot <= 12"),
     "hybrid_search": (hybrid_search, HYBRID_SQL),
@@ -300,7 +329,7 @@ QUERIES = {
         f"WITH {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY source, {_KEY} ORDER BY length(text) DESC, id) AS nth FROM h) SELECT source, id, sha256(text) AS text_sha FROM k WHERE nth = 1",
     ),
     "dedupe_containment": (dedupe_containment, CONTAINMENT_SQL),
-    "context_budget": (context_budget, None),
+    "context_budget": (context_budget, CONTEXT_SQL),
     "context_prefix_budget": (
         context_prefix_budget,
         f"WITH {_HITS}, u AS (SELECT *, coalesce(sum(length(text) + 8) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h) SELECT source, id, CAST(used AS BIGINT) AS used FROM u WHERE used + length(text) <= 3000",

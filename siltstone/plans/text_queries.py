@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as fx
 from siltstone.operators import html
 from siltstone.operators import text as op
-from siltstone.sources.tables import sql, table
+from siltstone.sources.tables import spread, sql, table
 
 #: Probe texts that reach every rule; the same rows are in the oracles.
 PROBES = [
@@ -78,7 +78,7 @@ SELECT page_id, href, min_by(name, pos) AS name, ends_with(href, '/') AS is_dire
 
 
 def sanitize_pages(spark, sf):
-    return html.sanitize_pages(table(spark, sf, "pages"))
+    return html.sanitize_pages(spread(table(spark, sf, "pages").select("page_id", "url", "html")))
 
 
 WIKI_ROWS = [("Category:Cats", "A/Category:Cats"), ("Cat", "https://x.org/wiki/Cat"), ("Plain", "https://x.org/a"), ("User: me", "b"), ("Disuser:", "c")]
@@ -138,7 +138,7 @@ CHUNK_SQL = f"WITH {_WINDOWS} SELECT doc_id, chunk_idx, 'chunk_' || chunk_idx ||
 
 def strip_boilerplate_lines(spark, sf):
     probe = spark.createDataFrame([(-1, "Keep\n\n\n\nAccept all cookies\n  Privacy policy  \nBody text\nsubscribe " + "x" * 200)], "doc_id long, text string")
-    return table(spark, sf, "documents").select("doc_id", "text").unionByName(probe).select("doc_id", op.drop_boilerplate("text").alias("cleaned"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).unionByName(probe).select("doc_id", op.drop_boilerplate("text").alias("cleaned"))
 
 
 _BP = re_sql(op.BOILERPLATE)
@@ -157,7 +157,7 @@ STRATEGY_ROWS = [
 
 def chunk_strategy(spark, sf):
     probe = spark.createDataFrame([(-i - 1, *r) for i, r in enumerate(STRATEGY_ROWS)], "doc_id long, kind string, path string, text string")
-    docs = table(spark, sf, "documents").select("doc_id", F.lit("text").alias("kind"), F.concat("source", F.lit(".txt")).alias("path"), "text").unionByName(probe)
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.lit("text").alias("kind"), F.concat("source", F.lit(".txt")).alias("path"), "text")).unionByName(probe)
     return docs.select("doc_id", op.chunk_strategy(F.col("kind"), F.col("path"), F.col("text")).alias("strategy"))
 
 
@@ -312,7 +312,7 @@ def token_jaccard(spark, sf):
     """Best benchmark item for each document that shares a word set with it: a join on shared tokens, then sizes."""
     docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(fx.split_words(F.lower("text"))).alias("ws"))
     items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(fx.split_words(F.lower("text"))).alias("bs"))
-    hits = docs.select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("w")).join(F.broadcast(items.select("item_id", F.size("bs").alias("m"), F.explode("bs").alias("w"))), "w")
+    hits = docs.select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("w")).join((items.select("item_id", F.size("bs").alias("m"), F.explode("bs").alias("w"))), "w")
     both = hits.groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("c"))
     score = F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6)
     return both.select("doc_id", "item_id", score.alias("jaccard")).where("jaccard >= 0.1")

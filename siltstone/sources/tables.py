@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.text import trimmed
+from siltstone.functions.text import title_case, trimmed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its files give fewer: for work that costs more than moving the rows. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and written to the checkpoint folder, without the plan behind it. The folder is the session's spark.checkpoint.dir; a temporary one only for local masters."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
+    return df.checkpoint()
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str, *names: str, **frames: DataFrame) -> DataFrame:
     """SQL over tables named in braces."""
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names}, **frames)
@@ -35,7 +54,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, text) of whole files; the title is the stem in words."""
     rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return rows.select("path", F.initcap(F.replace(stem, F.lit("_"), F.lit(" "))).alias("title"), "text")
+    return rows.select("path", title_case(F.replace(stem, F.lit("_"), F.lit(" "))).alias("title"), "text")
 
 
 def file_listing(spark: SparkSession, path: str) -> DataFrame:

@@ -114,13 +114,45 @@ def test_graph(spark):
     assert (p.count(), f.count(), s.count()) == (0, 0, 0)
 
 
-def test_pagerank_by_joins_equals_one_task(spark):
-    rng = [(f"n{i}", f"n{(i * 7 + k) % 30}") for i in range(25) for k in (1, 3, 4)]
-    adj = spark.createDataFrame(rng, "src string, dst string")
-    seeds = spark.createDataFrame([("n1", 2.0), ("n5", 1.0), ("gone", 1.0)], "node string, weight double")
-    one = {r["node"]: r["score"] for r in graph.pagerank(adj, seeds, steps=5).collect()}
-    many = {r["node"]: r["score"] for r in graph.pagerank(adj, seeds, steps=5, local_edges=0).collect()}
-    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)
+def brute_pagerank(pairs, seeds, steps):
+    nodes = sorted({x for p in pairs for x in p})
+    out = {n: [b for a, b in pairs if a == n] for n in nodes}
+    total = sum(seeds.values())
+    t = {n: seeds.get(n, 0) / total for n in nodes}
+    score = dict(t)
+    for _ in range(steps):
+        lost = sum(score[n] for n in nodes if not out[n]) / len(nodes)
+        score = {n: 0.15 * t[n] + 0.85 * sum(score[m] / len(out[m]) for m in nodes if n in out[m]) + lost for n in nodes}
+    return score
+
+
+def test_pagerank(spark):
+    pairs = {(f"n{i}", f"n{(i * 7 + k) % 30}") for i in range(25) for k in (1, 3, 4)}
+    seeds = {"n1": 2.0, "n5": 1.0, "gone": 1.0}
+    weights = spark.createDataFrame(list(seeds.items()), "node string, weight double")
+    got = {r["node"]: r["score"] for r in graph.pagerank(spark.createDataFrame(list(pairs), "src string, dst string"), weights, steps=5, least=0.0).collect()}
+    want = {n: s for n, s in brute_pagerank(pairs, seeds, 5).items() if s > 0}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_pagerank_of_groups(spark):
+    """Groups stand for all pairs of their members, and degrees agree."""
+    schema = {f"f{i:02d}": f"s{i % 5}" for i in range(23)} | {"alone": "own"}
+    members = [(f"f{i:02d}", (i * i + k) % 9) for i in range(23) for k in (0, 2)]
+    pairs = {(a, b) for a in schema for b in schema if a != b and (schema[a] == schema[b] or {p for f, p in members if f == a} & {p for f, p in members if f == b})}
+    facts, rows = spark.createDataFrame(list(schema.items()), "fact string, schema string"), spark.createDataFrame(members, "fact string, passage int")
+    found = graph.links(facts, rows)
+    assert {(r["src"], r["degree"], r["first"]) for r in graph.degrees(facts, found).collect()} == {(n, sum(a == n for a, _ in pairs), min(b for a, b in pairs if a == n)) for n in {a for a, _ in pairs}}
+    seeds = {"f01": 3.0, "f07": 1.0}
+    got = {r["node"]: r["score"] for r in graph.pagerank(found, spark.createDataFrame(list(seeds.items()), "node string, weight double"), steps=4, least=0.0, groups=facts.toDF("node", "g")).collect()}
+    want = {n: s for n, s in brute_pagerank(pairs, seeds, 4).items() if s > 0}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_seeds_by_name(spark):
+    nodes = spark.createDataFrame([(i, f"Node {i % 3}") for i in range(40)], "id int, name string")
+    got = graph.seeds_by_name(nodes, spark.createDataFrame([("node 1",), ("none",), ("node 1",)], "word string"), 4).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["id"])] == [1, 4, 7, 10]
 
 
 def test_partitions_do_not_matter(spark, sf):
@@ -159,7 +191,7 @@ def test_repeated_turns(spark, tmp_path):
     """Only a turn with the role and the whole text of the one before goes; the export leaves it out too."""
     rows = [(1, 0, "user", "hello"), (1, 1, "user", "hello"), (1, 2, "user", "help"), (1, 3, "assistant", "help"), (2, 0, "user", "x"), (2, 1, "user", "x"), (3, 0, None, None), (3, 1, None, None)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    kept = [tuple(r) for r in corpus_queries.dedupe_consecutive_text(spark, str(tmp_path)).orderBy("conv_id", "turn").collect()]
+    kept = [tuple(r) for r in corpus_queries.dedupe_consecutive(spark, str(tmp_path)).orderBy("conv_id", "turn").collect()]
     assert kept == [rows[0], rows[2], rows[3], rows[4], rows[6]]
     assert [tuple(r) for r in corpus_queries.export_finetune(spark, str(tmp_path)).collect()] == [(1, 3, hashlib.md5(b"user: hello\nuser: help\nassistant: help").hexdigest())]
 
@@ -169,6 +201,16 @@ def test_whole_tables(spark, sf):
     run = lambda name: corpus_queries.QUERIES[name][0](spark, sf)
     lines, pending = tables.table(spark, sf, "lineitem"), tables.table(spark, sf, "orders").where("o_orderstatus = 'O'").count()
     n = lines.select("l_orderkey", "l_linenumber").distinct().count()
-    assert run("schema_frequency_all").agg(F.sum("frequency")).first()[0] == n == run("fact_table_all").agg(F.sum("mentions")).first()[0]
-    assert pending > 500 and run("queue_order_all").count() == pending
-    assert "400" not in corpus_queries.QUERIES["fact_table_all"][1] and "200" not in corpus_queries.QUERIES["graph_bfs_all"][1]
+    assert run("schema_frequency").agg(F.sum("frequency")).first()[0] == n == run("fact_table").agg(F.sum("mentions")).first()[0]
+    assert pending > 500 and run("queue_order").count() == pending
+    assert run("passage_from_facts").count() == lines.select("l_orderkey").distinct().count()
+
+
+def test_contained(spark):
+    import random
+
+    rng = random.Random(1)
+    text = lambda: " ".join(rng.choice("ab abc b bc c ca".split()) for _ in range(rng.randrange(1, 7)))
+    rows = [(rng.randrange(3), i, text()[rng.randrange(2) :] + rng.choice(["", " ", "\t"])) for i in range(300)]
+    got = {r["id"] for r in context.drop_contained(spark.createDataFrame(rows, "g int, id int, text string"), ["g"]).collect()}
+    assert got == {i for g, i, t in rows if not any(g == h and len(u) > len(t) and t in u for h, _, u in rows)}
