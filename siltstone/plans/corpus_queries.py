@@ -373,7 +373,7 @@ QUERIES = {
     "ontology_filter": (ontology_filter, f"WITH {_MENTIONS} SELECT seq, schema, fact FROM mentions QUALIFY count(*) OVER (PARTITION BY schema) >= 5"),
     "fact_adjacency": (fact_adjacency, f"WITH {_ADJ} SELECT src, count(*) AS degree, min(dst) AS first FROM adj GROUP BY src"),
     "graph_bfs": (graph_bfs, BFS_SQL),
-    "graph_seed_match": (graph_seed_match, "SELECT word, 'n' || n_nationkey AS id, n_name AS name FROM nation JOIN (VALUES ('an'), ('uni'), ('zzz'), ('nation_1')) w(word) ON contains(lower(n_name), word)"),
+    "graph_seed_match": (graph_seed_match, "SELECT word, 'n' || n_nationkey AS id, n_name AS name FROM nation JOIN (VALUES ('an'), ('uni'), ('zzz'), ('nation_1')) w(word) ON contains(lower(n_name), word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY 'n' || n_nationkey) <= 10"),
     "ppr_scores": (ppr_scores, PPR_SQL),
     "passage_from_facts": (passage_from_facts, f"{_PASS} SELECT passage, round(score, 9) AS score FROM pp"),
     "memgraph_retrieve": (memgraph_retrieve, f"{_PASS} SELECT row_number() OVER (ORDER BY round(score, 9) DESC, passage) AS rank, passage, round(score, 9) AS score FROM pp ORDER BY rank LIMIT 5"),

@@ -185,6 +185,20 @@ def merge_small_lines(spark, sf):
     return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.size("merged").cast("long").alias("n_merged"), F.md5(F.array_join("merged", "\x1e")).alias("merged_md5"))
 
 
+_WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
+#: A step of the recursion takes the next piece of each document: it is joined to what is held, or that is given out.
+MERGE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {TRIM.format("x")} <> '') AS ps FROM documents),
+p AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM d), q AS (SELECT *, {_WORDS.format("piece")} AS n FROM p),
+f AS (SELECT doc_id, k, piece AS held, n, CAST(NULL AS VARCHAR) AS given FROM q WHERE k = 1
+  UNION ALL SELECT doc_id, k, CASE WHEN joins THEN held || chr(10) || chr(10) || piece ELSE piece END, CASE WHEN joins THEN m + n ELSE n END, CASE WHEN NOT joins THEN held END
+  FROM (SELECT q.doc_id, q.k, q.piece, q.n, f.held, f.n AS m, f.n < 20 AND f.n + q.n <= 120 AS joins FROM f JOIN q ON q.doc_id = f.doc_id AND q.k = f.k + 1)),
+g AS (SELECT doc_id, k, given AS chunk FROM f WHERE given IS NOT NULL UNION ALL SELECT doc_id, max(k) + 1, max_by(held, k) FROM f GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n, string_agg(chunk, chr(30) ORDER BY k) AS merged FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_pieces, coalesce(n, 0) AS n_merged, md5(coalesce(merged, '')) AS merged_md5 FROM d LEFT JOIN m USING (doc_id)
+"""
+
+
 def page_carry(spark, sf):
     """The last paragraph of the previous turn that is not blank goes before each turn, as pages of a file carry over."""
     from pyspark.sql import Window
@@ -459,7 +473,7 @@ QUERIES = {
     "chunk_windows": (chunk_windows, CHUNK_SQL),
     "strip_boilerplate_lines": (strip_boilerplate_lines, BOILERPLATE_SQL),
     "chunk_strategy": (chunk_strategy, STRATEGY_SQL),
-    "merge_small_lines": (merge_small_lines, None),
+    "merge_small_lines": (merge_small_lines, MERGE_SQL),
     "page_carry": (page_carry, PAGE_CARRY_SQL),
     "chunk_prefix": (chunk_prefix, PREFIX_SQL),
     "point_ids": (point_ids, POINT_SQL),

@@ -38,9 +38,9 @@ def test_query(spark, sf, duck, name):
     assert shown(rows) == shown([tuple(r[i] for i in at) for r in got.fetchall()])
 
 
-def test_every_operator_has_a_query():
-    assert len(registry.queries()) >= 95
-    assert set(registry.queries()) - set(ORACLES) == {"sanitize_pages", "merge_small_lines", "context_budget"}
+def test_what_has_no_oracle_is_known():
+    """These are held against plain Python in test_chunking and test_semantics."""
+    assert set(registry.queries()) - set(ORACLES) == {"sanitize_pages", "sanitize_compare", "chunk_dispatch", "ingest_chunks"}
 
 
 def test_entry(spark):
