@@ -344,8 +344,3 @@ def test_pipeline_keeps_the_mix(spark, sf, tmp_path, monkeypatch):
     for i, f in enumerate(files):
         f.rename(tmp_path / "t" / f"part-{99_998 + i:05d}-x.parquet")
     assert corpus_pipeline.placed(spark.read.parquet(f"{path}/*.parquet")).where("place <> id").count() == 0
-
-
-@pytest.mark.parametrize("name", sorted(queries.queries()))
-def test_registered(name):
-    assert re.fullmatch(r"op\d+_\w+", name)
