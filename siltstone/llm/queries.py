@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, chat, cross_polytope, html_density, minhash, mixing, pii, suffix_dedup, toxicity, vafile
 from siltstone.llm.common import table
+from siltstone.llm.oracles import OP1_SQL, OP2_SQL, OP10_SQL
 
 
 def tokenizer_path() -> str:
@@ -135,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op5_cross_polytope": OP5_SQL, "op7_vafile": OP7_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_minhash": OP2_SQL, "op3_chat": OP3_SQL, "op5_cross_polytope": OP5_SQL, "op7_vafile": OP7_SQL, "op10_mixing": OP10_SQL}
