@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import trimmed
+
 MOST_QUERIES, MOST_POINTS = 5_000, 50_000
 
 
@@ -53,3 +55,31 @@ def replay(journal: DataFrame) -> DataFrame:
     """journal (seq, op, id, vector): the state after all entries; the last entry of an id decides."""
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))
     return journal.withColumn("nth", last).where("nth = 1 AND op = 'add'").drop("nth")
+
+
+def quantised(points: DataFrame, bits: int = 4) -> DataFrame:
+    """points (id, vector) -> (id, low, step, codes): each component in the nearest of 2**bits even steps between its vector's extremes, a byte each."""
+    if not 1 <= bits <= 7:
+        raise ValueError("bits: 1 to 7")
+    most = (1 << bits) - 1
+    p = points.select("id", doubles("vector").alias("v")).where("size(v) > 0").select("id", "v", F.array_min("v").alias("low"), ((F.array_max("v") - F.array_min("v")) / most).alias("step"))
+    code = lambda x: F.when(F.col("step") > 0, F.floor((x - F.col("low")) / F.col("step") + 0.5)).otherwise(0).cast("tinyint")
+    return p.select("id", "low", "step", F.transform("v", code).alias("codes"))
+
+
+def approximate(index: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
+    """The k (1 to 200) best of index, as quantised gives it, for each query by cosine to the restored vectors; the threshold comes after the top k."""
+    restored = F.transform("codes", lambda c: F.col("low") + c * F.col("step"))
+    hits = top(scores(index.select("id", restored.alias("vector")), queries), min(max(k, 1), 200))
+    return hits if least is None else hits.where(F.col("score") >= least)
+
+
+def writable(points: DataFrame) -> DataFrame:
+    """Points that an index takes: with an id and a vector that is not empty; the others are skipped."""
+    return points.where(F.col("id").isNotNull() & (F.size("vector") > 0))
+
+
+def cached(texts: DataFrame, cache: DataFrame, now: float, ttl: float = 600.0) -> DataFrame:
+    """texts (id, text) with key (SHA-256 of the trimmed text) and vector: the newest of cache (key, vector, stored_at) that is not older than ttl; null: to be embedded."""
+    fresh = cache.where(F.lit(now) - F.col("stored_at") <= ttl).groupBy("key").agg(F.max_by("vector", "stored_at").alias("vector"))
+    return texts.withColumn("key", F.sha2(trimmed("text"), 256)).join(fresh, "key", "left")

@@ -309,3 +309,12 @@ def smells(text: Column) -> dict[str, Column]:
 
 def canonical_id(x: Column) -> Column:
     return F.lower(F.replace(F.trim(x), F.lit("-"), F.lit("")))
+
+
+def sample_each(rows: DataFrame, target: int, seed: int = 42) -> DataFrame:
+    """Of rows (id, source), target rows: the first of each source in the order of a hash, the largest sources first, then the first of all others. Aggregates and
+    a top k; a hot source is never one task."""
+    keyed = rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))))
+    first = keyed.groupBy("source").agg(F.count("*").alias("n"), F.min("h").alias("h")).orderBy(F.desc("n"), "source").limit(target).select(F.col("source").alias("s"), F.col("h").alias("first"))
+    picked = keyed.join(F.broadcast(first), F.col("source").eqNullSafe(F.col("s")) & (F.col("h") == F.col("first")), "left")  # target rows at most
+    return picked.orderBy(F.col("first").isNull(), "h").limit(target).select("id", "source")

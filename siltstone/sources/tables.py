@@ -75,3 +75,9 @@ def key_values(spark: SparkSession, path: str) -> DataFrame:
 def append_records(records: DataFrame, path: str) -> None:
     """JSON records, one folder for each record_type."""
     records.write.mode("append").partitionBy("record_type").json(path)
+
+
+def save_tables(folder: str, **frames: DataFrame) -> None:
+    """Each frame in place of the table of its name below folder; none may be read from there."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
