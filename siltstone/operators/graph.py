@@ -72,13 +72,14 @@ def pagerank(pairs: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: fl
 
     Neighbours are those of pairs and, without a pair being built, all others of the same group: what a group gives is its sum less a node's own share.
     As the reference computes it: teleport = weight / sum of all weights, also of seeds outside the graph; what nodes without
-    neighbours hold goes to every node in equal parts, undamped. A step is two aggregates and two joins; each is written.
+    neighbours hold goes to every node in equal parts, undamped. A step is two aggregates and two joins; each is written. Nodes are
+    numbered first, so that the steps move numbers and never names.
     """
-    edges = cut(pairs.select("src", "dst").distinct())
+    pairs = cut(pairs.select("src", "dst").distinct())
     total = seeds.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
     share = seeds.groupBy("node").agg((F.sum("weight") / total).alias("t"))
-    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    degree = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
+    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     if groups is None:
         base = nodes.withColumns({"g": F.lit(None).cast("string"), "many": F.lit(0).cast("long")})
     else:
@@ -86,22 +87,26 @@ def pagerank(pairs: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: fl
         grouped = groups.join(several, "g").select("node", "g", "many")
         base = nodes.join(grouped, "node", "full_outer").select("node", "g", F.coalesce("many", F.lit(0)).alias("many"))
     base = base.join(share, "node", "left").join(degree, "node", "left")
-    t = F.coalesce("t", F.lit(0.0))
-    state = cut(base.select("node", "g", t.alias("t"), (F.coalesce("out", F.lit(0)) + F.col("many")).cast("double").alias("deg"), t.alias("score")))
+    deg = (F.coalesce("out", F.lit(0)) + F.col("many")).cast("double")
+    numbered = cut(base.select(F.monotonically_increasing_id().alias("id"), "node", "g", F.coalesce("t", F.lit(0.0)).alias("t"), deg.alias("deg")))
+    names = numbered.select("id", "node")
+    ends = pairs.join(names.toDF("from", "src"), "src").select("from", "dst").join(names.toDF("to", "dst"), "dst")
+    edges = cut(ends.select("from", "to"))
+    state = numbered.select("id", "g", "t", "deg", F.col("t").alias("score"))
     size = state.agg(F.count("*").alias("n"), F.count_if(F.col("deg") == 0).alias("ends")).first()
     for _ in range(steps):
         lost = state.where("deg = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"] if size["ends"] else 0.0
         given = F.when(F.col("deg") > 0, F.col("score") / F.col("deg")).otherwise(0.0)
-        flow = edges.join(state.select(F.col("node").alias("src"), given.alias("given")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("given").alias("flow"))
-        after = state.join(flow, "node", "left")
+        flow = edges.join(state.select(F.col("id").alias("from"), given.alias("given")).where("given > 0"), "from").groupBy(F.col("to").alias("id")).agg(F.sum("given").alias("flow"))
+        after = state.join(flow, "id", "left")
         if groups is not None:
             sums = state.where("g IS NOT NULL").groupBy("g").agg(F.sum(given).alias("all"))
             after = after.join(sums, "g", "left")
             got = F.coalesce("flow", F.lit(0.0)) + F.coalesce(F.col("all") - given, F.lit(0.0))
         else:
             got = F.coalesce("flow", F.lit(0.0))
-        state = cut(after.select("node", "g", "t", "deg", ((1 - damping) * F.col("t") + damping * got + lost / max(size["n"], 1)).alias("score")))
-    return state.where(F.col("score") > least).select("node", "score")
+        state = cut(after.select("id", "g", "t", "deg", ((1 - damping) * F.col("t") + damping * got + lost / max(size["n"], 1)).alias("score")))
+    return state.where(F.col("score") > least).join(names, "id").select("node", "score")
 
 
 def prune(passages: DataFrame, links: DataFrame, facts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
