@@ -7,8 +7,9 @@ are within ``LEAST_SD`` standard deviations of what chance gives.
 Logistic regression with an L2 penalty then learns the weights of the scaled features. As the model is linear and
 features are per word, a document's score is a sum over its distinct words, which workers look up in a bounded memo.
 
-The fit takes a bounded sample of labelled rows (``FIT_TOXIC`` and ``FIT_CLEAN`` rows, by hash of doc_id), in one task;
-scoring covers every whole text, in one pass without a shuffle.
+The fit takes a bounded sample of labelled rows (``FIT_TOXIC`` and ``FIT_CLEAN`` rows, by hash of doc_id). Where a row is read, its
+text becomes counts of slots, at most ``2**BITS`` of them however long it is; one task gets these counts, never texts, and fits.
+Scoring covers every whole text, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; rows with null labels are not
 used to fit; without labelled rows of both classes every score is the share of toxic ones (0 without any). Repeated
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,17 +50,13 @@ def grams(word: str) -> list[int]:
     return [*{zlib.crc32(padded[i : i + n].encode()) & ((1 << BITS) - 1) for n in SIZES for i in range(len(padded) - n + 1)}]
 
 
-def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
-    """(weight of each slot, bias)."""
-    y = np.array(labels, np.float64)
-    weights = np.zeros(1 << BITS, np.float32)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return weights, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def features(texts: Iterable[str | None]) -> Iterator[Counts]:
+    """Of each text its slots, ascending, and in how many distinct words each occurs."""
     memo: dict[str, np.ndarray] = {}
-    counts = np.zeros((2, 1 << BITS))
-    rows = []
-    for text, label in zip(texts, labels, strict=True):
+    for text in texts:
         found = []
         for w in words(text or ""):
             if (g := memo.get(w)) is None:
@@ -68,8 +65,19 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
                     memo[w] = g
             found.append(g)
         slots, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        yield slots.astype(np.int32), times.astype(np.float32)
+
+
+def fit(rows: list[Counts], labels: list[int]) -> tuple[np.ndarray, float]:
+    """(weight of each slot, bias)."""
+    y = np.array(labels, np.float64)
+    weights = np.zeros(1 << BITS, np.float32)
+    if not len(y) or y.min() == y.max():
+        share = float(y.mean()) if len(y) else 0.0
+        return weights, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+    counts = np.zeros((2, 1 << BITS))
+    for (slots, _), label in zip(rows, labels, strict=True):
         counts[int(label), slots] += 1
-        rows.append((slots.astype(np.int32), times.astype(np.float32)))
     clean, toxic = counts
     share = toxic.sum() / max(counts.sum(), 1)
     # Smoothing in proportion to the class's mass: a feature that was never seen has the ratio 0.
@@ -113,18 +121,23 @@ def sample(documents: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clea
 
 
 def train(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """Fit on (text, label) rows of bounded number, in one task; the driver gets the weights alone."""
+    """Fit on (text, label) rows of bounded number, in one task that gets their counts; the driver gets the weights alone."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels = [], []
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts += batch.column(0).to_pylist()
-            labels += batch.column(1).to_pylist()
-        order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i] or ""))  # the same fit whatever the order of rows
-        weights, bias = fit([texts[i] for i in order], [labels[i] for i in order])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                slots, times = zip(*((s.tobytes(), t.tobytes()) for s, t in features(part.column(0).to_pylist())), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), pa.array(times, pa.binary()), part.column(1)], names=["slots", "times", "label"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        got.sort(key=lambda r: (r[2], r[0], r[1]))  # the same fit whatever the order of rows
+        weights, bias = fit([(np.frombuffer(s, np.int32), np.frombuffer(t, np.float32)) for s, t, _ in got], [r[2] for r in got])
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
-    got = rows.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    counts = rows.mapInArrow(count, "slots binary, times binary, label int")
+    got = counts.repartition(1).mapInArrow(run, "weights binary, bias double").first()
     if got is None:  # no row, no task
         return fit([], [])
     return np.frombuffer(got["weights"], np.float32), got["bias"]

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html as stdlib
+import itertools
 import math
 import random
 import re
@@ -11,6 +12,7 @@ import struct
 import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,38 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def test_toxicity_by_hand(spark):
+    """Counts, naive Bayes ratios and scores against plain Python over n-grams; the fit leaves no feature out and keeps none that chance explains."""
+    def slots(text):
+        found = collections.Counter()
+        for word in {"".join(g) for letter, g in itertools.groupby((text or "").lower(), str.isalpha) if letter}:
+            padded = f" {word} "
+            found.update({zlib.crc32(padded[i:j].encode()) % 2**toxicity.BITS for i in range(len(padded)) for j in range(i + 3, min(i + 5, len(padded)) + 1)})
+        return found
+
+    known = [(f"You VILE, vile wretch number{chr(97 + i % 20)}" if i % 3 == 0 else f"a kind reader of number{chr(97 + i % 20)} " * 3, int(i % 3 == 0)) for i in range(240)]
+    odd = [None, "", "vile", "kind reader", "Vile 李 vile", "unseen words here", "vile " * 50_000]
+    got = list(toxicity.features([t for t, _ in known] + odd))
+    assert [dict(zip(s.tolist(), n.tolist(), strict=True)) for s, n in got] == [dict(slots(t)) for t in [t for t, _ in known] + odd]
+
+    weights, bias = toxicity.train(spark.createDataFrame(known, "text string, label int").repartition(5))
+    assert (weights == toxicity.train(spark.createDataFrame(known[::-1], "text string, label int"))[0]).all()
+    share = sum(label for _, label in known) / len(known)
+    seen = [collections.Counter(s for t, label in known if label == v for s in slots(t)) for v in (0, 1)]
+    for s in seen[0] | seen[1]:
+        expected = (seen[0][s] + seen[1][s]) * share
+        apart = abs(seen[1][s] - expected) >= toxicity.LEAST_SD * math.sqrt(expected * (1 - share) + 0.1)
+        assert np.sign(weights[s]) == (np.sign(seen[1][s] - expected) if apart else 0)
+    assert not weights[sorted(set(range(2**toxicity.BITS)) - set(seen[0]) - set(seen[1]))].any()
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd + odd)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in toxicity.score(docs, (weights, bias)).collect()}
+    for i, t in enumerate(odd + odd):
+        z = bias + sum(n * float(weights[s]) for s, n in slots(t).items())
+        assert rows[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and rows[i]["predicted"] == int(z >= 0)
+    assert rows[2]["predicted"] == 1 and rows[3]["predicted"] == 0 and rows[0]["score"] == rows[1]["score"]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (None, "")], "doc_id long, text string").withColumn("score", F.lit("old"))
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
