@@ -47,15 +47,26 @@ def stream_tumbling(stream: DataFrame, length: str, late: str, out: str, checkpo
     return flat.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _last(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row of each key that is last by order, then by the other columns; pre-aggregated, so a hot key is no burden."""
+    rest = [c for c in rows.columns if c not in (key, *order)]
+    return rows.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("w")).select(key, "w.*")
+
+
 def stream_upsert(stream: DataFrame, key: str, order: list[str], out: str, checkpoint: str):
-    """Last write wins: each batch is merged into the table at out, in folders named by batch, so a repeated batch changes nothing."""
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        best = lambda rows: rows.groupBy(key).agg(F.max(F.struct(*order, *[c for c in rows.columns if c not in (key, *order)])).alias("w")).select(key, "w.*")
-        new = best(batch)
-        if number > 0:
-            old = spark.read.parquet(f"{out}/v={number - 1}")
-            new = best(old.unionByName(new.select(*old.columns)))
-        new.write.mode("overwrite").parquet(f"{out}/v={number}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Last write wins: the last rows of each batch go to a folder of out named by the batch. A batch writes no more than its own rows, and
+    once repeated it replaces its own folder, so it changes nothing; ``latest`` gives the table."""
+    def write(batch: DataFrame, number: int) -> None:
+        _last(batch, key, order).write.mode("overwrite").parquet(f"{out}/v={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str, key: str, order: list[str]) -> DataFrame:
+    """The table that the batches at out add up to, whichever of them are there."""
+    return _last(spark.read.parquet(out).drop("v"), key, order)
+
+
+def compact(spark: SparkSession, out: str, into: str, key: str, order: list[str]) -> None:
+    """The table of out as the first batch of another folder, for a stream to go on with; out stays as it is."""
+    latest(spark, out, key, order).write.mode("overwrite").parquet(f"{into}/v=-1")
