@@ -35,9 +35,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def cuts_folder(spark: SparkSession) -> str:
+    """Where this application's lineage cuts lie."""
+    return f"{shared_folder(spark)}/siltstone/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's lineage cuts: to be called once the results that came through them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cuts_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and written as Parquet below the shared folder, without the plan behind it: later steps read the columns that they need, and joins know its size."""
-    path = f"{shared_folder(df.sparkSession)}/siltstone/{uuid.uuid4().hex}"
+    path = f"{cuts_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -193,6 +193,20 @@ def test_sources(spark, tmp_path):
     assert tables.file_listing(spark, str(tmp_path)).count() == 2
 
 
+def test_clean(spark):
+    """Cuts can be read again until they are cleaned; other folders of the shared one stay."""
+    rows = tables.cut(spark.range(10))
+    assert rows.count() == 10 == rows.count()
+    folder = tables.cuts_folder(spark)
+    kept = f"{tables.shared_folder(spark)}/siltstone/other/x"
+    spark.range(3).write.parquet(kept)
+    tables.clean(spark)
+    tables.clean(spark)  # nothing left: nothing to do
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{folder}/*")
+    assert spark.read.parquet(kept).count() == 3 and tables.cut(spark.range(2)).count() == 2
+
+
 def test_repeated_turns(spark, tmp_path):
     """Only a turn with the role and the whole text of the one before goes; the export leaves it out too."""
     rows = [(1, 0, "user", "hello"), (1, 1, "user", "hello"), (1, 2, "user", "help"), (1, 3, "assistant", "help"), (2, 0, "user", "x"), (2, 1, "user", "x"), (3, 0, None, None), (3, 1, None, None)]
