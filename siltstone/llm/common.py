@@ -38,12 +38,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application's scratch tables lie."""
+    return f"{scratch_dir(spark)}/siltstone/llm-{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's scratch tables: to be called once the results that came through them are written."""
+    delete(spark, own_folder(spark))
+
+
 class Scratch:
     """Tables of one operator call, in a folder of their own."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.path = f"{scratch_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+        self.path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -59,15 +74,11 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in tables:
-            self._delete(df.scratch_path)
+            delete(self.spark, df.scratch_path)
 
     def drop_part(self, df: DataFrame, folder: str) -> None:
         """Delete a folder of a table written by a column."""
-        self._delete(f"{df.scratch_path}/{folder}")
-
-    def _delete(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{df.scratch_path}/{folder}")
 
 
 def release(spark: SparkSession) -> None:

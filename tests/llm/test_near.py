@@ -7,9 +7,10 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import cross_polytope, minhash, mixing, vafile
+from siltstone.llm import common, cross_polytope, minhash, mixing, vafile
 from siltstone.llm.common import Scratch, table
 from siltstone.llm.components import components
 
@@ -99,6 +100,18 @@ def test_chance_of_a_miss():
     assert 1 - (1 - (1 - s) ** minhash.SIDE) ** 2 < 2e-4
 
 
+def test_clean(spark, tmp_path):
+    work = common.Scratch(spark, "test")
+    rows = work.table(spark.range(10).withColumn("part", F.col("id") % 2), "rows", "part")
+    work.drop_part(rows, "part=1")
+    assert spark.read.parquet(rows.scratch_path).count() == 5
+    common.clean(spark)
+    common.clean(spark)  # nothing left: nothing to do
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(rows.scratch_path)
+    assert common.Scratch(spark, "test").table(spark.range(3), "rows").count() == 3
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(300, 340)]
