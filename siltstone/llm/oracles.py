@@ -45,3 +45,30 @@ n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc
 SELECT doc_id, n.source, block AS mix_block, phase AS mix_phase, slot AS mix_slot, released AS mix_release, due AS mix_deadline, slot * 64 + n % 64 AS mix_place
 FROM n JOIN placed ON n.source IS NOT DISTINCT FROM placed.source AND n.n // 64 = block
 """
+
+#: Of op12: all windows of 20 words by the digest of their words, those that stand anywhere before, their union, and the words left. doc_ids are unique.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, p, md5_number(array_to_string(w[p + 1:p + 20], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS p FROM d WHERE len(w) >= 20)),
+again AS (SELECT doc_id, p FROM s QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, p + i AS i FROM again, range(20) AS r(i)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: Of op13: every anchor against every row, its positives, and every row of another label within the window of each.
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS anchor_id, v.vec_id, q.label = v.label AS same, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+), positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+fits AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank FROM fits)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""

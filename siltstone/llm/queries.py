@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, cross_polytope, html_density, minhash, mixing, pii, suffix_dedup, toxicity, vafile
+from siltstone.llm import bpe, chat, cross_polytope, html_density, minhash, mixing, norm_buckets, pii, suffix_dedup, super_kmers, toxicity, vafile
 from siltstone.llm.common import table
-from siltstone.llm.oracles import OP1_SQL, OP2_SQL, OP10_SQL
+from siltstone.llm.oracles import OP1_SQL, OP2_SQL, OP10_SQL, OP12_SQL, OP13_SQL
 
 
 def tokenizer_path() -> str:
@@ -120,6 +120,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op12_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_kmers.digests(super_kmers.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved on first, so that some neighbours of one place carry another label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return norm_buckets.hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -132,8 +143,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
         "op10_mixing": op10_mixing,
+        "op12_super_kmers": op12_super_kmers,
+        "op13_norm_buckets": op13_norm_buckets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1_SQL, "op2_minhash": OP2_SQL, "op3_chat": OP3_SQL, "op5_cross_polytope": OP5_SQL, "op7_vafile": OP7_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_minhash": OP2_SQL, "op3_chat": OP3_SQL, "op5_cross_polytope": OP5_SQL, "op7_vafile": OP7_SQL, "op10_mixing": OP10_SQL, "op12_super_kmers": OP12_SQL, "op13_norm_buckets": OP13_SQL}
