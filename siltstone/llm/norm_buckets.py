@@ -50,6 +50,11 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return whole(a) @ whole(b).T
 
 
+def _exact(scores: np.ndarray) -> np.ndarray:
+    """Scores as Python integers; infinite limits stay."""
+    return scores if scores.dtype == object else np.array([int(x) if np.isfinite(x) else x for x in scores.tolist()], object)
+
+
 class Best:
     """The running k best (score, vec_id) of each window, best first, and its k-th score."""
 
@@ -59,7 +64,9 @@ class Best:
         self.window, self.score, self.id = np.zeros(0, np.int64), np.zeros(0, low.dtype), np.zeros(0, np.int64)
 
     def add(self, window: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
-        window, score, id_ = (np.concatenate(x) for x in ((self.window, window), (self.score, score.astype(self.score.dtype)), (self.id, id_)))
+        if object in (score.dtype, self.score.dtype):  # scores beyond what doubles tell apart have come up
+            self.score, self.bar, score = _exact(self.score), _exact(self.bar), _exact(score)
+        window, score, id_ = (np.concatenate(x) for x in ((self.window, window), (self.score, score), (self.id, id_)))
         order = np.lexsort((id_, -score, window)) if score.dtype != object else np.array(sorted(range(len(score)), key=lambda i: (window[i], -score[i], id_[i])), np.int64)
         window, score, id_ = window[order], score[order], id_[order]
         nth = np.arange(len(window)) - np.searchsorted(window, window)
@@ -79,7 +86,7 @@ def scan(anchors: dict, k: int, same_label: bool) -> Callable[[Iterator[pa.Recor
         first = np.searchsorted(of, np.arange(len(a) + 1))
         for norm, label, ids, v in buckets(batches, a.shape[1]):
             with np.errstate(over="ignore", invalid="ignore"):
-                bound = np.nan_to_num(length * norm * 65536, nan=np.inf)[of]
+                bound = np.nan_to_num(length * norm * 65536, nan=np.inf, posinf=np.inf)[of]
             alive = np.array(best.bar <= bound, bool)
             if not alive.any():
                 break  # norms only fall

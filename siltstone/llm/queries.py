@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, cross_polytope, html_density, minhash, mixing, norm_buckets, pii, suffix_dedup, super_kmers, toxicity, vafile
+from siltstone.llm import alignment, bpe, chat, cross_polytope, html_density, minhash, mixing, norm_buckets, pii, suffix_dedup, super_kmers, toxicity, vafile
 from siltstone.llm.common import table
 from siltstone.llm.oracles import OP1_SQL, OP2_SQL, OP10_SQL, OP12_SQL, OP13_SQL
 
@@ -120,6 +120,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def piece_path() -> str:
+    """Where the sentencepiece model is on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), piece_path())
+
+
 def op12_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return super_kmers.digests(super_kmers.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -143,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
         "op10_mixing": op10_mixing,
+        "op11_alignment": op11_alignment,
         "op12_super_kmers": op12_super_kmers,
         "op13_norm_buckets": op13_norm_buckets,
     }

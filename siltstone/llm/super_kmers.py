@@ -38,6 +38,8 @@ GRAM = 4
 MOST, HOT_BITS = 8192, 18
 #: Bytes of packed strings of a bucket, and words that are sorted at once.
 BUCKET_BYTES, SORTED_WORDS = 32 << 20, 2_000_000
+#: Strings are about three times as long as the texts. They travel in so many rounds, each of a share of the minimisers, so that no more lies on disk than about the texts themselves.
+ROUNDS = 2
 #: Bytes of text that are hashed at once.
 STRETCH = 1 << 20
 LONG_WORD = 64
@@ -156,16 +158,16 @@ def keys_of(window: int):
 STRINGS = "key long, doc_id long, version long, at int, windows int, packed binary"
 
 
-def strings_of(window: int, hot: np.ndarray, want_hot: bool):
-    """The packed strings whose minimiser is in hot (sorted), or those of all others."""
+def strings_of(window: int, hot: np.ndarray, share: int | None):
+    """The packed strings whose minimiser is in hot (sorted), or, of all others, those of one of ROUNDS shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in _texts(batches, "text"):
             raw, ids, versions = data.tobytes(), rows.column("doc_id"), rows.column("version")
             for key, row, at, n, a, b in super_kmers(data, offsets, window):
-                if len(hot) or want_hot:
-                    is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
-                    key, row, at, n, a, b = (x[is_hot == want_hot] for x in (key, row, at, n, a, b))
+                is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
+                asked = is_hot if share is None else ~is_hot & (key.view(np.uint64) % np.uint64(ROUNDS) == share)
+                key, row, at, n, a, b = (x[asked] for x in (key, row, at, n, a, b))
                 packed = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
                 arrays = [pa.array(key), ids.take(pa.array(row)), versions.take(pa.array(row)), pa.array(at, pa.int32()), pa.array(n, pa.int32()), packed]
                 for x in range(0, len(key), 8192):
@@ -288,13 +290,19 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, most: int | None = No
     total = seen.get.get("n") or 0
     limit = most or max(MOST, total >> HOT_BITS)
     hot = np.sort(np.array([r["key"] for r in counts.where(F.col("count") > limit).select("key").collect()], np.int64))  # at most total / limit
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 200 // BUCKET_BYTES)
-    strings = docs.mapInArrow(strings_of(window, hot, False), STRINGS).repartition(buckets, "key")
-    # The bucket's rows are sorted once: the count of places of each key and the bucket's kernel read the same order.
-    strings = strings.withColumn("places", F.count("*").over(Window.partitionBy("key"))).where("places > 1").drop("places")
-    ranges = work.table(strings.mapInArrow(bucket(window), RANGES), "ranges")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 200 // BUCKET_BYTES // ROUNDS)
+
+    def told(share: int) -> DataFrame:
+        """Rows are sorted by minimiser once, for the count of its places and for the bucket's kernel."""
+        strings = docs.mapInArrow(strings_of(window, hot, share), STRINGS).repartition(buckets, "key")
+        strings = strings.withColumn("places", F.count("*").over(Window.partitionBy("key"))).where("places > 1").drop("places")
+        return work.table(strings.mapInArrow(bucket(window), RANGES), "ranges")
+
+    ranges = told(0)
+    for share in range(1, ROUNDS):
+        ranges = ranges.unionByName(told(share))
     if len(hot):
-        ranges = ranges.unionByName(work.table(hot_ranges(docs.mapInArrow(strings_of(window, hot, True), STRINGS), window, work), "hot_ranges"))
+        ranges = ranges.unionByName(work.table(hot_ranges(docs.mapInArrow(strings_of(window, hot, None), STRINGS), window, work), "hot_ranges"))
     return ranges
 
 
