@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import Scratch, as_bytes, mix64, slices, unused
+from siltstone.llm.common import Scratch, as_bytes, mix64, release, slices, unused
 
 WINDOW = 20
 GRAM = 4
-#: Strings of a minimiser that one bucket takes, at least; 2 ** HOT_BITS bounds the number of minimisers beyond.
-MOST, HOT_BITS = 8192, 18
 #: Bytes of packed strings of a bucket, and words that are sorted at once.
-BUCKET_BYTES, SORTED_WORDS = 32 << 20, 2_000_000
+BUCKET_BYTES, SORTED_WORDS = 32 << 20, 1_000_000
+#: Strings of a minimiser that one bucket takes, at least: what it sorts at once. 2 ** HOT_BITS bounds the number of minimisers beyond.
+MOST, HOT_BITS = 1 << 15, 21
 #: Strings are about three times as long as the texts. They travel in so many rounds, each of a share of the minimisers, so that no more lies on disk than about the texts themselves.
 ROUNDS = 2
 #: Bytes of text that are hashed at once.
@@ -272,6 +272,7 @@ def hot_ranges(strings: DataFrame, window: int, work: Scratch) -> DataFrame:
     each = distinct.withColumn("words", words).select("key", "packed", "p", "n", F.inline(cut))
     first = each.groupBy("w").agg(F.min((F.col("p") + F.col("j")).cast("decimal(38,0)")).alias("first"), F.sum("n").alias("times")).where("times > 1").select("w", "first")
     told = each.join(first, "w").groupBy("key", "packed").agg(F.collect_list(F.struct("j", "first")).alias("told"))  # at most window - GRAM + 1 entries each
+    told = work.table(told, "hot_told")  # so that a frequent string is split in the join
     back = strings.withColumn("p", p).join(told, ["key", "packed"])
     hit = F.filter("told", lambda t: t["first"] != F.col("p") + t["j"])
     return back.select("doc_id", "version", F.explode(F.transform(hit, lambda t: t["j"] + F.col("at"))).alias("from")).select("doc_id", "version", "from", (F.col("from") + window).alias("to"))
@@ -300,6 +301,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, most: int | None = No
 
     ranges = told(0)
     for share in range(1, ROUNDS):
+        release(spark)  # the strings of the round before
         ranges = ranges.unionByName(told(share))
     if len(hot):
         ranges = ranges.unionByName(work.table(hot_ranges(docs.mapInArrow(strings_of(window, hot, None), STRINGS), window, work), "hot_ranges"))
