@@ -82,8 +82,8 @@ def chunks(df: DataFrame, kind: str = "kind", path: str = "path", text: str = "t
     return rows.withColumn("_cut", cut).withColumn("chunks", op.merge_small(F.col("_cut"), least, size)).drop("_text", "_cut")
 
 
-def ingest(files: DataFrame) -> DataFrame:
-    """files (path, kind, part, text, title, prefix): one row for each chunk (path, part, chunk_idx, title, chunk, point_id).
+def ingest(files: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
+    """files (path, kind, part, text, title, prefix): one row for each chunk (path, part, chunk_idx, title, chunk, point_id). cut gives rows their chunks (array).
 
     Parts are pages of a pdf, articles of an archive or records of a corpus. A page that is not blank begins with the last paragraph of the page before
     that is not blank; chunks of a record begin with its prefix; chunk numbers run through the file."""
@@ -92,9 +92,9 @@ def ingest(files: DataFrame) -> DataFrame:
     before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     rows = files.where(trimmed("text") != "")
     carry = F.when(F.col("kind") == "pdf", F.last(op.last_paragraph("text"), ignorenulls=True).over(before))
-    rows = chunks(rows.withColumn("text", F.concat_ws("\n\n", carry, F.col("text"))))
-    cut = rows.select("path", "part", "title", "prefix", F.posexplode("chunks").alias("at", "piece"))
+    rows = cut(rows.withColumn("text", F.concat_ws("\n\n", carry, F.col("text"))))
+    pieces = rows.select("path", "part", "title", "prefix", F.posexplode("chunks").alias("at", "piece"))
     number = F.row_number().over(Window.partitionBy("path").orderBy("part", "at")) - 1
     chunk = F.when(F.col("prefix") != "", F.concat("prefix", F.lit("\n\n"), "piece")).otherwise(F.col("piece"))
-    out = cut.select("path", "part", "title", number.cast("long").alias("chunk_idx"), chunk.alias("chunk"))
+    out = pieces.select("path", "part", "title", number.cast("long").alias("chunk_idx"), chunk.alias("chunk"))
     return out.withColumn("point_id", op.point_id(F.col("path"), F.col("chunk_idx"), F.col("chunk")))

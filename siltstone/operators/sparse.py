@@ -50,8 +50,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int, most_query_terms: int =
     small = wanted.limit(most_query_terms + 1).count() <= most_query_terms
     hint = F.broadcast if small else (lambda x: x)
     found, stats = index(docs, wanted.select("term").distinct(), small)
+    return ranked(found, stats, hint(wanted), k)
+
+
+def ranked(found: DataFrame, stats: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Search over postings found (collection, id, length, term, tf) of all terms of wanted (query_id, term, times), with statistics (collection, n, mean)."""
     df = found.groupBy("collection", "term").agg(F.count("*").alias("df"))
-    scored = found.join(df, ["collection", "term"]).join(stats, "collection").join(hint(wanted), "term")
+    scored = found.join(df, ["collection", "term"]).join(stats, "collection").join(wanted, "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     totals = scored.groupBy("query_id", "collection", "id").agg(F.sum(part).alias("score")).where("score > 0")
