@@ -77,7 +77,7 @@ class CellIndex:
             left = x - centres[nearest(x, centres)[0]]
             step = width // parts
             codes = [k_means(np.ascontiguousarray(left[:, p * step : (p + 1) * step]), CODES) for p in range(parts)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(parts)]), pa.array([c.astype("<f8").tobytes() for c in (centres, *codes)], pa.binary())], names=["part", "centres"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(parts)], pa.int32()), pa.array([c.astype("<f8").tobytes() for c in (centres, *codes)], pa.binary())], names=["part", "centres"])
 
         model = self.table.write(sample.mapInArrow(fit, "part int, centres binary"), "model")
         self.table.append(lambda now, at: [{"name": model, "kind": "model", "width": width, "cells": cells, "parts": parts}])

@@ -18,6 +18,26 @@ def order(sort: str, descending: bool = False) -> list[Column]:
     return [F.coalesce("band", F.lit(1)).asc(), *second, F.coalesce(F.col("updated_at").cast("string"), F.lit("")).asc(), F.col("id").asc()]
 
 
+def _age(updated_at: Column, now: Column) -> Column:
+    """Seconds since an update, never below 0; null without one."""
+    return F.greatest(F.lit(0.0), now.cast("double") - updated_at.cast("timestamp").cast("double"))
+
+
+def _over(updated_at: Column, now: Column, limit: int) -> Column:
+    """F.greatest skips nulls, so a missing time is asked for by itself."""
+    return updated_at.isNull() | (_age(updated_at, now) > limit)
+
+
+def stalled(status: Column, updated_at: Column, now: Column, limit: int) -> Column:
+    """A running row that has not moved for more than limit seconds, or has no time. A limit of 0 or less finds none."""
+    return F.lit(False) if limit <= 0 else F.coalesce((status == "running") & _over(updated_at, now, limit), F.lit(False))
+
+
+def shown(status: Column, updated_at: Column, now: Column, limit: int, indexed: bool = False) -> Column:
+    """All rows but those that were indexed more than limit seconds ago, or at no known time. indexed, or a limit of 0 or less: all rows."""
+    return F.lit(True) if indexed or limit <= 0 else ~F.coalesce((status == "indexed") & _over(updated_at, now, limit), F.lit(False))
+
+
 def places(rows: DataFrame, by: list[Column], least: int = 8) -> DataFrame:
     """rows with place, from 1, in the order of by: sorted by range into parts, whose sizes are added up; no task sees all rows."""
     parts = max(least, -(-rows.count() // PART))

@@ -212,9 +212,9 @@ b AS (SELECT *, coalesce(sum(want) OVER (ORDER BY n DESC, source ROWS BETWEEN UN
 
 
 def stratified_sample(spark, sf):
-    """The allocated number of rows of each source, in the order of a hash."""
+    """The allocated number of rows of each source, in the order of a hash. No source is given more than all 100, so each task drops the others before rows are shuffled."""
     order = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string")))))
-    docs = table(spark, sf, "documents").select("doc_id", "source").withColumn("nth", order)
+    docs = table(spark, sf, "documents").select("doc_id", "source").withColumn("nth", order).where("nth <= 100")
     return docs.join(F.broadcast(_alloc(spark, sf).select("source", "take")), "source").where("nth <= take").select("source", "doc_id")
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import catalogue_queries, corpus_queries, retrieval_queries, service_queries, text_queries
+from siltstone.plans import catalogue_queries, corpus_queries, retrieval_queries, service_queries, stored_queries, text_queries
 
 FLAGSHIP = "hybrid_search"
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (text_queries, retrieval_queries, corpus_queries, service_queries, catalogue_queries)
+FAMILIES = (text_queries, retrieval_queries, corpus_queries, service_queries, catalogue_queries, stored_queries)
 
 
 def queries() -> dict[str, Query]:

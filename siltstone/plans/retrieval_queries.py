@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import STOP_WORDS, split_words, tokens
-from siltstone.operators import context, dense, fusion, sparse
+from siltstone.operators import context, dense, fusion, ordered, sparse
 from siltstone.operators.text import CONSTRAINT
 from siltstone.sources.tables import cut, spread, table
 
@@ -247,8 +247,7 @@ SELECT source, id, piece AS text FROM f WHERE id IS NOT NULL AND piece <> ''
 
 def context_prefix_budget(spark, sf):
     """Hits in order as long as all before them fit, without constraint lines."""
-    w = Window.partitionBy("source").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = _hits(spark, sf).withColumn("used", F.coalesce(F.sum(F.length("text") + 8).over(w), F.lit(0)))
+    rows = ordered.before(_hits(spark, sf), ["source"], [F.col("id").asc()], {"used": F.length("text") + 8})
     return rows.where(F.col("used") + F.length("text") <= 3000).select("source", "id", F.col("used").cast("long"))
 
 
@@ -266,8 +265,7 @@ SELECT conv_id, CAST(greatest(0, CASE conv_id % 3 WHEN 0 THEN 8000 WHEN 1 THEN C
 
 def _firsts(spark, sf):
     """The hits of a source that are within its context: all before 8,000 characters are used."""
-    w = Window.partitionBy("source").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return _hits(spark, sf).withColumn("used", F.coalesce(F.sum(F.length("text") + 7).over(w), F.lit(0))).where(F.col("used") + F.length("text") <= 8000)
+    return ordered.before(_hits(spark, sf), ["source"], [F.col("id").asc()], {"used": F.length("text") + 7}).where(F.col("used") + F.length("text") <= 8000)
 
 
 def assemble_context(spark, sf):

@@ -207,27 +207,6 @@ def _tiers_sql() -> str:
     return f"WITH n AS (SELECT s_suppkey, lower([{names}][s_suppkey % {len(GPUS)} + 1]) AS name FROM supplier), h AS (SELECT s_suppkey, min_by(tier, pos) AS tier FROM n JOIN (VALUES {rules}) r(pos, pattern, tier) ON contains(name, pattern) GROUP BY s_suppkey) SELECT s_suppkey, coalesce(tier, 'mid') AS tier FROM n LEFT JOIN h USING (s_suppkey)"
 
 
-def _statuses(spark, sf):
-    stalled = (F.col("status") == "running") & (F.coalesce(F.col("updated_at") < F.lit("1998-11-01").cast("timestamp"), F.lit(False)))
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("indexed").alias("status"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate").cast("timestamp")).alias("updated_at"), F.col("o_custkey").alias("chunks"))
-    return orders.withColumn("is_stalled", stalled)
-
-
-def ingest_status(spark, sf):
-    """Files that are shown, with figures over all files, hidden ones included: one aggregate beside the filtered rows. Rows without a time are never stalled or hidden."""
-    rows = _statuses(spark, sf)
-    stats = rows.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if("is_stalled").alias("stalled"), F.sum("chunks").alias("chunks"))
-    shown = rows.where(~((F.col("status") == "indexed") & F.coalesce(F.col("updated_at") < F.lit("1998-09-02").cast("timestamp"), F.lit(False))))
-    return shown.crossJoin(F.broadcast(stats.select(F.col("pending").alias("all_pending"), F.col("stalled").alias("all_stalled"), F.col("chunks").alias("all_chunks")))).select("id", "status", "is_stalled", "all_pending", "all_stalled", "all_chunks")
-
-
-STATUS_SQL = """
-WITH r AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'running' ELSE 'indexed' END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS updated_at, o_custkey AS chunks FROM orders),
-s AS (SELECT *, status = 'running' AND coalesce(updated_at < TIMESTAMP '1998-11-01', false) AS is_stalled FROM r), a AS (SELECT count(*) FILTER (WHERE status = 'pending') AS all_pending, count(*) FILTER (WHERE is_stalled) AS all_stalled, CAST(sum(chunks) AS BIGINT) AS all_chunks FROM s)
-SELECT id, status, is_stalled, all_pending, all_stalled, all_chunks FROM s CROSS JOIN a WHERE NOT (status = 'indexed' AND coalesce(updated_at < TIMESTAMP '1998-09-02', false))
-"""
-
-
 def pending_downloads(spark, sf):
     """The five that have waited longest."""
     rows = table(spark, sf, "orders").where("o_orderstatus IN ('O', 'P')").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"))
@@ -312,7 +291,6 @@ QUERIES = {
     "hit_rows": (hit_rows, "SELECT event_id, CAST(event_id AS VARCHAR) AS id, round(value, 2) AS score FROM events WHERE event_id % 7 <> 0 AND event_id % 4 <> 0 UNION ALL SELECT event_id, 'x', 0.0 FROM events WHERE event_id % 7 <> 0"),
     "sanitize_compare": (sanitize_compare, None),
     "gpu_tiers": (gpu_tiers, _tiers_sql()),
-    "ingest_status": (ingest_status, STATUS_SQL),
     "pending_downloads": (pending_downloads, "SELECT o_orderkey AS id, o_orderdate AS updated_at FROM orders WHERE o_orderstatus IN ('O', 'P') ORDER BY o_orderdate, o_orderkey LIMIT 5"),
     "check_updates": (check_updates, "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'missing' WHEN p_partkey % 10 = 0 THEN 'size' ELSE 'date' END AS why FROM part WHERE p_partkey % 6 = 0 OR p_partkey % 10 = 0 OR (p_partkey % 9 = 0 AND p_partkey % 8 <> 0)"),
     "dashboard_stats": (dashboard_stats, "SELECT docs, chars, points, format('{:,} indexed · {:,} corpus chunks', docs, points) AS shown FROM (SELECT count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents) CROSS JOIN (SELECT count(*) AS points FROM embeddings)"),
