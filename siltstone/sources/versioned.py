@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Stale(RuntimeError):
@@ -50,19 +51,14 @@ class Versioned:
         version = self.version() if version is None else version
         if version == 0:
             return {"version": 0, "segments": [], "notes": {}}
-        stream = self._fs.open(self._path(self._number(version)))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(self._get(self._number(version)))
 
     def commit(self, base: int, segments: list[dict[str, Any]], notes: dict[str, Any] | None = None) -> int:
         """Version base + 1; Stale if there is one already."""
         out = {"version": base + 1, "segments": segments, "notes": notes or {}}
-        written = self._path(f"versions/.{uuid.uuid4().hex}")
-        stream = self._fs.create(written, False)
-        stream.write(bytearray(json.dumps(out).encode()))
-        stream.close()
+        name = f"versions/.{uuid.uuid4().hex}"
+        self._put(name, json.dumps(out), False)
+        written = self._path(name)
         gateway = self.spark.sparkContext._gateway
         no_overwriting = gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(written.toUri(), self._conf)
@@ -80,11 +76,27 @@ class Versioned:
         name = name if bare else f"{name}-{uuid.uuid4().hex[:12]}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.folder}/segments/{name}")
+        self._put(f"schemas/{name}.json", df.schema.json(), True)  # a segment without rows may have no file that tells it
         return name
 
     def read(self, name: str) -> DataFrame:
-        """A segment. Its schema comes from its files; a folder column is part of it."""
-        return self.spark.read.parquet(f"{self.folder}/segments/{name}")
+        """A segment, folder columns included."""
+        schema = StructType.fromJson(json.loads(self._get(f"schemas/{name}.json")))
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/segments/{name}")
+
+    def _put(self, name: str, text: str, overwrite: bool) -> None:
+        stream = self._fs.create(self._path(name), overwrite)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def _get(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def tagged(self, kind: str, version: int | None = None, where: Column | None = None) -> DataFrame | None:
         """All segments of a kind as one frame, with the number of the entry (at) that each row came with as _at; where is put before the union, so that it prunes folders."""
@@ -116,6 +128,7 @@ class Versioned:
             gone = [s.getPath().getName() for s in self._fs.listStatus(self._path("segments")) if s.getPath().getName() not in kept]
         for name in gone:
             self._fs.delete(self._path(f"segments/{name}"), True)
+            self._fs.delete(self._path(f"schemas/{name}.json"), False)
         for v in range(1, last - keep + 1):
             self._fs.delete(self._path(self._number(v)), False)
         return sorted(gone)
