@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,22 +26,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.bpe import byte_letters
+from siltstone.llm.bpe import WORDS, byte_letters
 from siltstone.llm.common import Scratch, as_bytes, slices
 
 CHUNK = 4 << 20
-#: Bytes of the memo of stretches in a worker (half of them in each of two generations), what an entry needs beside its own text, and the longest stretch that is kept.
-MEMO_BYTES, ENTRY_BYTES, LONGEST = 128 << 20, 260, 64
+#: Bytes of the memo of stretches in a worker (half of them in each of two generations), what an entry needs beside its own texts, and the longest stretch that is kept.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 128 << 20, 250, 64
 #: Where a stretch ends: between anything but a space, and a space with anything but white space behind it.
 STRETCHES = re.compile(r"(?<=[^ ])(?= \S)")
+#: A space that starts none.
+LOOSE = re.compile(r" (?:\s|$)")
 
 
 def merge(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[int, int]]:
-    """Two pointers over the tokens of the same bytes: (tokens of A, tokens of B) before each common end."""
-    cuts, i, j, end_a, end_b = [], 0, 0, 0, 0
-    while i < len(a):
-        end_a += size_a[a[i]]
-        i += 1
+    """Two pointers over the tokens of the same bytes: how many tokens of A and of B stand before each common end."""
+    cuts, j, end_a, end_b = [], 0, 0, 0
+    for i, x in enumerate(a, 1):
+        end_a += size_a[x]
         while end_b < end_a:
             end_b += size_b[b[j]]
             j += 1
@@ -50,7 +52,8 @@ def merge(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> l
 
 
 class Aligner:
-    """Both vocabularies, loaded once for each Python worker, and the memo of stretches."""
+    """Both vocabularies, loaded once for each Python worker, and the memo of stretches (their space left out): text of the groups, pairs as a << 32 | b, number of
+    tokens as a << 32 | b."""
 
     _loaded: dict[tuple[str, str], "Aligner"] = {}
 
@@ -66,11 +69,13 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         back = {c: b for b, c in byte_letters().items()}
         with open(path_a, encoding="utf-8") as f:
-            added = {t["id"] for t in json.load(f)["added_tokens"]}
+            spec = json.load(f)
+        added = {t["id"] for t in spec["added_tokens"]}
         vocab = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (1 + max(vocab.values()))
         for text, i in vocab.items():
             self.bytes_a[i] = text.encode() if i in added and any(c not in back for c in text) else bytes(back[c] for c in text)
+        self.ranks = self._by_rank(spec, added)
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -78,10 +83,23 @@ class Aligner:
         if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())):
             raise ValueError(f"{path_b} has pieces with a space behind other letters")
         self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.text_a, self.text_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.held = 0
 
+    def _by_rank(self, spec: dict, added: set[int]):
+        """A's words by the quicker library, where A is what that one can be told: single bytes, then one token for each merge in the order of ranks, and the usual words."""
+        vocab, pre = spec["model"]["vocab"], spec["pre_tokenizer"]
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+        plain = sorted((i, t) for t, i in vocab.items() if i not in added)
+        by_rank = [t for _, t in plain[256:]] == made and [i for i, _ in plain] == list(range(len(plain))) and all(len(t) == 1 for _, t in plain[:256])
+        if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or not by_rank:
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={self.bytes_a[i]: i for i, _ in plain}, special_tokens={})
+
     @classmethod
     def of(cls, path_a: str, path_b: str) -> "Aligner":
         if (path_a, path_b) not in cls._loaded:
@@ -89,54 +107,55 @@ class Aligner:
         return cls._loaded[path_a, path_b]
 
     def aligned(self, stretch: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, tokens of B, groups, text of the groups, pairs as a << 32 | b); None if the tokens are not the bytes of the stretch."""
+        """What the memo holds of a stretch; None if the tokens are not its bytes."""
         data = stretch.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
+        if b"".join([self.bytes_a[x] for x in a]) != data or b"".join([self.bytes_b[x] for x in b]) != data:
             return None
-        cuts, groups, pairs, i, j = merge(a, b, self.size_a, self.size_b), [], [], 0, 0
-        for x, y in cuts:
-            groups.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
+        groups, pairs, i, j, text_a, text_b = [], [], 0, 0, self.text_a, self.text_b
+        for x, y in merge(a, b, self.size_a, self.size_b):
+            groups.append((text_a[a[i]] if x - i == 1 else ",".join([text_a[t] for t in a[i:x]])) + "|" + (text_b[b[j]] if y - j == 1 else ",".join([text_b[t] for t in b[j:y]])))
             pairs.append(a[x - 1] << 32 | b[y - 1])
             i, j = x, y
-        return len(a), len(b), len(cuts), ";".join(groups), np.array(pairs, np.int64).tobytes()
-
-    def find(self, stretches: set[str]) -> dict[str, tuple | None]:
-        """What each stretch (a space first) gives: from the memo, or encoded all together."""
-        out, missing = {}, []
-        for s in stretches:
-            hit = self.new.get(s)
-            if hit is None and (hit := self.old.get(s)) is not None:
-                self._keep(s, hit)
-            if hit is None:
-                missing.append(s)
-            else:
-                out[s] = hit
-        if missing:
-            ids_a = [e.ids for e in self.a.encode_batch(missing, add_special_tokens=False)]
-            ids_b = self.b.encode([s[1:] for s in missing], num_threads=1)
-            for s, a, b in zip(missing, ids_a, ids_b, strict=True):
-                out[s] = found = self.aligned(s, a, b)
-                if found is not None and len(s) <= LONGEST:
-                    self._keep(s, found)
+        return ";".join(groups), array("q", pairs).tobytes(), len(a) << 32 | len(b)
+
+    def _find(self, missing: list[str]) -> dict[str, tuple | None]:
+        """What stretches give that the newer half of the memo does not have: from the older half, or encoded all together."""
+        out = {s: hit for s in missing if (hit := self.old.get(s)) is not None}
+        rest = [s for s in missing if s not in out]
+        spaced = [" " + s for s in rest]
+        ids_a = map(self.ranks.encode_ordinary, spaced) if self.ranks else (e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False))
+        for s, t, a, b in zip(rest, spaced, ids_a, self.b.encode(rest, num_threads=1) if rest else [], strict=True):
+            out[s] = self.aligned(t, a, b)
+        for s, found in out.items():
+            if found is not None and len(s) <= LONGEST:
+                if self.held >= MEMO_BYTES // 2:
+                    self.old, self.new, self.held = self.new, {}, 0
+                self.new[s] = found
+                self.held += ENTRY_BYTES + 2 * len(s) + len(found[0]) + len(found[1])
         return out
 
-    def _keep(self, stretch: str, found: tuple) -> None:
-        if self.held >= MEMO_BYTES // 2:
-            self.old, self.new, self.held = self.new, {}, 0
-        self.new[stretch] = found
-        self.held += ENTRY_BYTES + 2 * len(stretch) + len(found[3]) + len(found[4])
-
     def documents(self, texts: list[str | None]) -> Iterator[tuple]:
-        """(tokens of A, tokens of B, groups, text of the groups, pairs) of each text."""
-        cut = [STRETCHES.split(" " + t) if t else [] for t in texts]
-        known = self.find({s for parts in cut for s in parts})
-        for parts in cut:
-            found = [known[s] for s in parts]
-            if not found or None in found:
-                yield 0, 0, 0, "", b""
+        """(tokens of A, tokens of B, text of the groups, pairs) of each text."""
+        cut = [stretches(t) if t else [] for t in texts]
+        found = [list(map(self.new.get, parts)) for parts in cut]
+        known = self._find(list(dict.fromkeys(s for parts, hits in zip(cut, found, strict=True) if None in hits for s, h in zip(parts, hits, strict=True) if h is None)))
+        for parts, hits in zip(cut, found, strict=True):
+            if None in hits:
+                hits = [known[s] if h is None else h for s, h in zip(parts, hits, strict=True)]
+            if not hits or None in hits:
+                yield 0, 0, "", b""
                 continue
-            a, b, n, groups, pairs = zip(*found, strict=True)
-            yield sum(a), sum(b), sum(n), ";".join(groups), b"".join(pairs)
+            groups, pairs, counts = zip(*hits, strict=True)
+            n = sum(counts)
+            yield n >> 32, n & 0xFFFFFFFF, ";".join(groups), b"".join(pairs)
+
+
+def stretches(text: str) -> list[str]:
+    """The stretches of a space and the text, each without its first space."""
+    text = " " + text
+    if LOOSE.search(text):
+        return [s[1:] for s in STRETCHES.split(text)]
+    return text[1:].split(" ")  # every space starts a stretch
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, groups: bool = False) -> DataFrame:
@@ -152,14 +171,14 @@ def align(docs: DataFrame, path_a: str, path_b: str, groups: bool = False) -> Da
 
         def chunk() -> pa.RecordBatch:
             ids, found = [i for x, _ in held for i in x], [r for _, x in held for r in x]
-            n_a, n_b, n_groups, texts, links = zip(*found, strict=True)
-            count = np.array([len(x) // 8 for x in links])
+            n_a, n_b, texts, links = zip(*found, strict=True)
+            count = np.array([len(x) // 8 for x in links])  # one link for each group
             pairs, local, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True, return_counts=True)
             at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             first = np.concatenate([[0], np.full(len(found), len(pairs))]).astype(np.int32)
             others = pa.array(np.arange(len(found)) > 0)
             listed = lambda v: pa.ListArray.from_arrays(pa.array(first), pa.array(v.astype(np.int64)), mask=others)
-            columns = [pa.array(np.full(len(found), base + n)), pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups))]
+            columns = [pa.array(np.full(len(found), base + n)), pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (n_a, n_b, count))]
             columns += [pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]), pa.ListArray.from_arrays(pa.array(at), pa.array(local.astype(np.int32))), listed(pairs), listed(times)]
             names = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "pairs", "times"]
             return pa.RecordBatch.from_arrays(columns + ([pa.array(texts)] if groups else []), names=names + (["groups"] if groups else []))

@@ -115,11 +115,20 @@ def test_memo_is_bounded_in_bytes(monkeypatch):
     monkeypatch.setattr(alignment, "MEMO_BYTES", 1 << 16)
     aligner = alignment.Aligner(A, B)
     list(aligner.documents([" ".join(f"w{i}" for i in range(n, n + 500)) for n in range(0, 20000, 500)] + ["字" * 5000]))
-    size = lambda memo: sum(alignment.ENTRY_BYTES + 2 * len(k) + len(v[3]) + len(v[4]) for k, v in memo.items())
+    size = lambda memo: sum(alignment.ENTRY_BYTES + 2 * len(k) + len(v[0]) + len(v[1]) for k, v in memo.items())
     assert size(aligner.new) <= (1 << 15) + 1000 and size(aligner.old) <= (1 << 15) + 1000
     assert max(map(len, aligner.new)) <= alignment.LONGEST
 
 
+def test_ids_are_those_of_the_file_by_either_library(libraries):
+    """The quicker library is used where it can be told the vocabulary; without it results are the same."""
+    texts = [t for _, t in odd_rows()]
+    one, two = alignment.Aligner(A, B), alignment.Aligner(A, B)
+    assert one.ranks is not None
+    two.ranks = None
+    assert list(one.documents(texts)) == list(two.documents(texts))
+
+
 def test_merge():
     sizes = list(range(10))
     assert alignment.merge([2, 3, 1], [1, 4, 1], sizes, sizes) == [(2, 2), (3, 3)]
