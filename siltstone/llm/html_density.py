@@ -66,7 +66,7 @@ _APART_NAMES = re.compile(
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl blockquote pre table figure".split())
 #: The share of the main content's score that another part has to reach to be its like.
 ALIKE = 0.2
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"(?:[^\"]*+\")?+|'(?:[^']*+')?+)*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
@@ -82,51 +82,65 @@ class Node:
         self.density = self.score = 0.0
 
 
+class Open:
+    """The open elements, innermost last, with the places of each tag, so that no tag walks through them: a page takes time in proportion to its length."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost element with one of these tags; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close the element at place and all in it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+
 def parse(html: str) -> Node:
     root = Node("html", {}, None)
-    open_ = [root]
+    open_ = Open(root)
     at = 0
     n = len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
-            open_[-1].items.append(html[at:])
+            open_.nodes[-1].items.append(html[at:])
             break
         if m.start() > at:
-            open_[-1].items.append(html[at : m.start()])
+            open_.nodes[-1].items.append(html[at : m.start()])
         at = max(m.end(), m.start() + 1)
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
-                    break
-                if open_[k].tag in SCOPE and tag not in SCOPE:
-                    break
+            k = open_.last((tag,))
+            if k and (tag in SCOPE or open_.last(SCOPE) < k):
+                open_.cut(k)
             continue
         if tag == "html":
             continue
         if rule := CLOSES.get(tag):
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag in rule[0]:
-                    del open_[k:]
-                    if tag in ("li", "dt", "dd", "tr", "tbody", "thead", "tfoot"):
-                        continue
-                    break
-                if open_[k].tag in rule[1]:
+            while (k := open_.last(rule[0])) and k >= open_.last(rule[1]):
+                open_.cut(k)
+                if tag not in ("li", "dt", "dd", "tr", "tbody", "thead", "tfoot"):
                     break
         attrs = {a[0].lower(): unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(m[3])} if m[3].strip(" \t\r\n\f/") else {}
-        node = Node(tag, attrs, open_[-1])
-        open_[-1].items.append(node)
+        node = Node(tag, attrs, open_.nodes[-1])
+        open_.nodes[-1].items.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             node.items.append(html[at : close.start()] if close else html[at:])
             at = close.end() if close else n
         elif tag not in VOID and not m[3].endswith("/"):
-            open_.append(node)
+            open_.push(node)
     return root
 
 
