@@ -2,7 +2,7 @@
 
 ``Bpe`` reads a ``tokenizers`` JSON file (byte-level pre-tokenizer with the usual word pattern, BPE model, added
 tokens) and gives the ids that library gives with ``add_special_tokens=False``. Each pre-token is merged once per
-Python worker and then found in a bounded memo, so the queue runs once per distinct pre-token.
+Python worker and then found in a memo that is bounded in bytes, so the queue runs once per distinct pre-token.
 
 Defined cases: null and empty texts have no ids and decode to the empty string; strings of special tokens inside a text become
 that token's id, as in the library; one long run without spaces is a single pre-token, merged in O(n log n).
@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 #: The word pattern of byte-level BPE (a fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pre-tokens, and runs between spaces, kept per worker; the older half is forgotten when the newer is full.
-MEMO = 600_000
+#: Bytes of the memos of pre-tokens and of runs between spaces in a worker, each in an older and a newer half of which the older is forgotten when the newer is full;
+#: what an entry needs beside its key and ids; the longest key that is kept.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 192 << 20, 170, 64
 #: A space that does not start a pre-token: white space or the end follows.
 LOOSE = re.compile(r" (?:\s|$)")
 
@@ -41,19 +42,23 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """pre-token -> its ids as little-endian 32-bit integers."""
+    """pre-token -> its ids as little-endian 32-bit integers, of at most limit bytes; long keys are made anew each time."""
 
     def __init__(self, make, limit: int) -> None:
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.held = make, limit, {}, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
         out = self.old.get(word)
         if out is None:
             out = self.make(word)
+            if len(word) > LONGEST:
+                return out
+        self.held += ENTRY_BYTES + 2 * len(word) + len(out)
+        if self.held > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.held = ENTRY_BYTES + 2 * len(word) + len(out)
         self[word] = out
         return out
 
@@ -96,8 +101,8 @@ class Bpe:
         self.added = added
         self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.words = regex.compile(WORDS)
-        self.memo = _Memo(self._word, MEMO // 2)
-        self.runs = _Memo(self._spaced, MEMO // 2)
+        self.memo = _Memo(self._word, MEMO_BYTES // 4)
+        self.runs = _Memo(self._spaced, MEMO_BYTES // 4)
 
     @classmethod
     def of(cls, path: str) -> "Bpe":
