@@ -13,7 +13,7 @@ Scoring covers every whole text, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; rows with null labels are not
 used to fit; without labelled rows of both classes every score is the share of toxic ones (0 without any). Repeated
-labels of one document count as often as they stand. Other columns pass through; columns named like new ones go.
+labels and repeated rows of one document count once, labels that differ each. Other columns pass through; columns named like new ones go.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ LEAST_SD = 5.0
 SMOOTH = 10.0
 PENALTY = 1e-3
 STEPS = 300
-MEMO = 500_000
+#: Words that a worker remembers, and the longest of them.
+MEMO, LONGEST = 500_000, 64
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -61,7 +62,7 @@ def features(texts: Iterable[str | None]) -> Iterator[Counts]:
         for w in words(text or ""):
             if (g := memo.get(w)) is None:
                 g = np.array(grams(w), np.int32)
-                if len(memo) < MEMO // 2:
+                if len(memo) < MEMO // 2 and len(w) <= LONGEST:
                     memo[w] = g
             found.append(g)
         slots, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
@@ -113,11 +114,12 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def sample(documents: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN) -> DataFrame:
-    """The labelled rows to fit on: text and label, at most toxic + clean rows, never a held-out one."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(~held_out("doc_id") & F.col("label").isin(0, 1))
+    """The labelled rows to fit on: text and label, at most toxic + clean rows, never a held-out one. Of rows that repeat a doc_id the least text counts, of repeated labels each one once."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(~held_out("doc_id") & F.col("label").isin(0, 1)).distinct()
     picked = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, toxic), (0, clean))]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # its size is bounded by the two limits
-    return documents.select("doc_id", "text").join(ids, "doc_id").select("text", "label")
+    found = documents.select("doc_id", "text").join(ids, "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")  # no id gives more than one row of a label
 
 
 def train(rows: DataFrame) -> tuple[np.ndarray, float]:
@@ -152,7 +154,9 @@ class _Scores(dict):
         if len(self) >= MEMO:
             self.clear()
         w = self.weights
-        self[word] = out = sum([w[g] for g in grams(word)])
+        out = sum([w[g] for g in grams(word)])
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
 
