@@ -10,6 +10,7 @@ from siltstone.operators import chunking, ordered, queue
 from siltstone.operators.cells import CellIndex
 from siltstone.operators.stored_sparse import SparseStore
 from siltstone.plans.retrieval_queries import _asks, _bm25_sql, _docs, _items, _points
+from siltstone.sources import paged
 from siltstone.sources.tables import cuts_folder, spread, table
 from siltstone.sources.versioned import KeyedTable
 from siltstone.streaming.ingest import ChunkTable, stream_ingest
@@ -145,7 +146,19 @@ a AS (SELECT count(*) FILTER (WHERE status = 'pending') AS all_pending, count(*)
 SELECT id, status, is_stalled, all_pending, all_stalled, all_chunks FROM s CROSS JOIN a WHERE CASE WHEN status <> 'indexed' THEN true WHEN age IS NULL THEN false ELSE age <= 2000 * 86400 END
 """
 
+def paged_points(spark, sf):
+    """All vectors as points of a paged collection, with the source of the document of their number, written and scrolled back in parallel."""
+    paged.register(spark)
+    folder = _folder(spark, "paged")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.to_json(F.struct("label")).alias("payload")).join(docs, "id", "left")
+    points.select("id", "source", "vector", "payload").write.format("paged").mode("append").save(folder)
+    read = spark.read.format("paged").load(folder)
+    return read.select("id", "source", F.get_json_object("payload", "$.label").cast("long").alias("label"), F.size("vector").cast("long").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 QUERIES = {
+    "paged_points": (paged_points, "SELECT vec_id AS id, source, CAST(label AS BIGINT) AS label, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings LEFT JOIN documents ON doc_id = vec_id"),
     "ingest_stream": (ingest_stream, INGEST_STREAM_SQL),
     "snapshot_swap": (snapshot_swap, "SELECT vec_id, CAST(label + CASE WHEN vec_id % 14 = 0 THEN 20 WHEN vec_id % 5 = 0 THEN 10 ELSE 1 END AS BIGINT) AS label FROM embeddings WHERE (vec_id % 7 <> 0 OR vec_id % 14 = 0) AND vec_id % 11 <> 0"),
     "bm25_stored": (bm25_stored, BM25_STORED_SQL),
