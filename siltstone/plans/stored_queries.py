@@ -13,6 +13,7 @@ from siltstone.plans.retrieval_queries import _asks, _bm25_sql, _docs, _items, _
 from siltstone.sources import paged
 from siltstone.sources.tables import cuts_folder, spread, table
 from siltstone.sources.versioned import KeyedTable
+from siltstone.streaming import timers
 from siltstone.streaming.ingest import ChunkTable, stream_ingest
 
 
@@ -157,7 +158,26 @@ def paged_points(spark, sf):
     return read.select("id", "source", F.get_json_object("payload", "$.label").cast("long").alias("label"), F.size("vector").cast("long").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+def timed_sessions(spark, sf):
+    """Sessions of users that end when a day passes without an event, by a stream whose timers close them; a last row far ahead lets its watermark pass all others."""
+    source, out, seen = (_folder(spark, n) for n in ("events", "sessions", "timers"))
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    events.write.parquet(source)
+    events.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id")).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    timers.use(spark)
+    timers.run_timed(spark, timers.timed(stream, timers.Sessions(86400), "1 hour", "user_id", "ts", "event_id"), out, seen).awaitTermination()
+    return spark.read.parquet(out).where("key >= 0").select(F.col("key").alias("user_id"), F.unix_micros("start").alias("start"), "n", "seconds")
+
+
+TIMED_SQL = """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER w AS k, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 86400000000, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY k) AS session FROM e)
+SELECT user_id, min(t) AS start, count(*) AS n, CAST(floor((max(t) - min(t)) / 1000000) AS BIGINT) AS seconds FROM s GROUP BY user_id, session
+"""
+
 QUERIES = {
+    "timed_sessions": (timed_sessions, TIMED_SQL),
     "paged_points": (paged_points, "SELECT vec_id AS id, source, CAST(label AS BIGINT) AS label, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings LEFT JOIN documents ON doc_id = vec_id"),
     "ingest_stream": (ingest_stream, INGEST_STREAM_SQL),
     "snapshot_swap": (snapshot_swap, "SELECT vec_id, CAST(label + CASE WHEN vec_id % 14 = 0 THEN 20 WHEN vec_id % 5 = 0 THEN 10 ELSE 1 END AS BIGINT) AS label FROM embeddings WHERE (vec_id % 7 <> 0 OR vec_id % 14 = 0) AND vec_id % 11 <> 0"),
