@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import chunking, ordered, queue
 from siltstone.operators.cells import CellIndex
+from siltstone.operators.memory import GraphMemory
 from siltstone.operators.stored_sparse import SparseStore
+from siltstone.plans.corpus_queries import _MENTIONS, _mentions
 from siltstone.plans.retrieval_queries import _asks, _bm25_sql, _docs, _items, _points
 from siltstone.sources import paged
-from siltstone.sources.tables import cuts_folder, spread, table
+from siltstone.sources.tables import cut, cuts_folder, spread, table
 from siltstone.sources.versioned import KeyedTable
 from siltstone.streaming import timers
 from siltstone.streaming.ingest import ChunkTable, stream_ingest
@@ -176,7 +178,48 @@ s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY k) AS sessio
 SELECT user_id, min(t) AS start, count(*) AS n, CAST(floor((max(t) - min(t)) / 1000000) AS BIGINT) AS seconds FROM s GROUP BY user_id, session
 """
 
+def graph_memory(spark, sf):
+    """Facts of a memory that was built from even orders first, then from odd ones on top: numbers, schemas, mentions and passages."""
+    memory, mentions = GraphMemory(spark, _folder(spark, "memory")), cut(_mentions(spark, sf))
+    memory.merge(mentions.where("passage % 2 = 0"))
+    memory.merge(mentions.where("passage % 2 = 1"))
+    return memory.facts().select("idx", F.col("key").alias("fact"), "schema_idx", "mentions", "passages")
+
+
+MEMORY_SQL = f"""
+WITH {_MENTIONS}, m AS (SELECT *, row_number() OVER (ORDER BY passage % 2, seq) AS k FROM mentions),
+s AS (SELECT schema, row_number() OVER (ORDER BY min(k)) - 1 AS schema_idx FROM m GROUP BY schema), f AS (SELECT fact, min_by(schema, k) AS schema, min(k) AS k, count(*) AS mentions, count(DISTINCT passage) AS passages FROM m GROUP BY fact)
+SELECT row_number() OVER (ORDER BY k) - 1 AS idx, fact, schema_idx, mentions, passages FROM f JOIN s USING (schema)
+"""
+
+def chunk_semantic(spark, sf):
+    """Every document cut at the valleys of its sentences' similarity; the vector of sentence i is that of number (31 * document + i), all round, among the given ones."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = vectors.count()
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    each = docs.select("doc_id", F.posexplode(chunking.sentence_list(F.col("text"))).alias("i", "s")).withColumn("vec_id", (F.col("doc_id") * 31 + F.col("i")) % n)
+    rows = each.join(vectors, "vec_id", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "s", "v"))).alias("r"))
+    rows = cut(rows)
+    starts = chunking.valleys(chunking.similarities(F.col("r.v")))
+    parts = rows.withColumn("starts", starts).withColumn("parts", chunking.segments(F.col("r.s"), F.col("starts")))
+    return parts.select("doc_id", F.lit("semantic").alias("strategy"), F.size("r").cast("long").alias("n_sentences"), F.size("parts").cast("long").alias("n_segments"), F.md5(F.array_join(F.transform("parts", lambda p: F.array_join(p, " ")), "\x1e")).alias("segments_md5"))
+
+
+SEMANTIC_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS ss FROM documents),
+e AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM d), n AS (SELECT count(*) AS n FROM embeddings),
+v AS (SELECT doc_id, i, s, CAST(embedding AS DOUBLE[]) AS v FROM e CROSS JOIN n LEFT JOIN embeddings ON vec_id = (doc_id * 31 + i) % n),
+c AS (SELECT *, CASE WHEN p IS NOT NULL AND v IS NOT NULL THEN list_dot_product(p, v) / (sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(v, v))) END AS c FROM (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM v)),
+m AS (SELECT *, avg(c) OVER w - stddev_pop(c) OVER w AS least, lag(c) OVER o AS c0, lead(c) OVER o AS c1 FROM c WINDOW w AS (PARTITION BY doc_id), o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, s, sum(coalesce(round(c, 9) < round(least, 9) AND coalesce(c0, 2) >= c AND coalesce(c1, 2) >= c, false)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM m),
+q AS (SELECT doc_id, part, string_agg(s, ' ' ORDER BY i) AS t, count(*) AS k FROM g GROUP BY ALL)
+SELECT doc_id, 'semantic' AS strategy, CAST(sum(k) AS BIGINT) AS n_sentences, count(*) AS n_segments, md5(string_agg(t, chr(30) ORDER BY part)) AS segments_md5 FROM q GROUP BY doc_id
+"""
+
+
 QUERIES = {
+    "chunk_semantic": (chunk_semantic, SEMANTIC_SQL),
+    "graph_memory": (graph_memory, MEMORY_SQL),
     "timed_sessions": (timed_sessions, TIMED_SQL),
     "paged_points": (paged_points, "SELECT vec_id AS id, source, CAST(label AS BIGINT) AS label, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings LEFT JOIN documents ON doc_id = vec_id"),
     "ingest_stream": (ingest_stream, INGEST_STREAM_SQL),

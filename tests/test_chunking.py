@@ -53,6 +53,24 @@ def merge(pieces, least, most):
     return out
 
 
+def plain_blocks(text):
+    """Top-level blocks by marking the lines that begin one, after strings and comments are blanked out letter by letter."""
+    lines, depth, leads, marks = text.split("\n"), 0, False, []
+    for k, line in enumerate(lines):
+        flat = line[:1] not in ("", " ", "\t") and line.strip() != ""
+        on = re.match(r"(else|elif|except|finally|catch|end)\b", line) or line[:1] in (")", "]", "}") or re.match(r"```\s*$", line)
+        marks.append(k == 0 or bool(flat and depth <= 0 and not leads and not on))
+        if line.strip():
+            leads = bool(flat and depth <= 0 and line.startswith(("@", "#", "//", "/*", "*", "--")))
+            bare = re.sub(r"""\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|(?:#|//).*""", lambda m: " " * len(m[0]), line)
+            for c in bare:
+                depth += (c in "([{") - (c in ")]}")
+            depth = max(depth, 0)
+    at = [k for k, m in enumerate(marks) if m] + [len(lines)]
+    out = ["\n".join(lines[a:b]).strip("\n") for a, b in zip(at, at[1:], strict=False)]
+    return [x for x in out if x.strip()]
+
+
 def brute(strategy, text, cleaned, size=SIZE, overlap=OVERLAP, least=LEAST):
     text = text.strip()
     by_sentence = lambda x: re.split(r"(?<=[.!?。！？])\s+", x)
@@ -60,6 +78,9 @@ def brute(strategy, text, cleaned, size=SIZE, overlap=OVERLAP, least=LEAST):
         return []
     if strategy == "token" and cleaned:
         got = windows(cleaned, size, overlap)
+    elif strategy == "code":
+        parts = split(plain_blocks(text), size, lambda x: re.split(r"\n\s*\n", x), lambda x: x.split("\n"))
+        got = pack(parts, size, "\n\n")
     elif strategy in ("sentence", "semantic"):
         got = pack(split([x for x in by_sentence(text) if x.strip()], size), size, " ")
     else:
@@ -88,6 +109,96 @@ def test_small_sizes(spark, size, overlap, least):
         assert r["chunks"] == (brute(r["strategy"], r["text"], r["text"].strip(), size, overlap, least) if least else brute(r["strategy"], r["text"], r["text"].strip(), size, overlap, -1)), r
 
 
+CODE = """import os
+from x import (
+    a,
+b,
+)
+
+# About f.
+# More.
+@wrap
+def f(x):
+    s = "({[ not a bracket"  # nor here (
+    if x:
+        return [1,
+2]
+
+    return None
+else_ = 1
+try:
+    g()
+except E:
+    pass
+class C { // (
+  void m() { }
+}
+x = {
+"a": 1 }
+"""
+
+
+def test_top_level_blocks():
+    got = chunking.top_level(CODE)
+    assert [b.split("\n")[0] for b in got] == ["import os", "from x import (", "# About f.", "else_ = 1", "try:", "class C { // (", "x = {"]
+    assert "\n".join(got).replace("\n", "") == CODE.replace("\n", "")
+    assert chunking.top_level("") == [] and chunking.top_level("\n \n") == [] and chunking.top_level("  a\n  b") == ["  a\n  b"]
+    for text in (CODE, CODE * 3, "}\n)\na\n", "(" * 50 + "\na\nb", "```\na = 1\n```\nb = 2"):
+        assert chunking.top_level(text) == plain_blocks(text)
+    assert len(chunking.top_level("x = 1\n" * 200_000)) == 200_000  # in proportion to the text
+
+
+@pytest.mark.parametrize("size", [4, 12, 60])
+def test_code_chunks(spark, size):
+    texts = [f"```\n{t}\n```" for t in (CODE, CODE * 4)] + ["def f():\n" + "    y = 1\n" * 60 + "\n    z = 2\n", "x = (" + "1,\n" * 50 + ")\nimport q\nimport r\nimport s\n```\n```"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumns({"kind": F.lit("text"), "path": F.lit("a.py")})
+    got = chunking.chunks(df, size=size, overlap=3, least=2).collect()
+    assert "code" in {r["strategy"] for r in got}
+    for r in got:
+        assert r["chunks"] == brute(r["strategy"], r["text"], r["text"].strip(), size, 3, 2), r
+        assert max(len(c.split()) for c in r["chunks"]) <= size + 3
+
+
+def plain_valleys(vectors, depth=1.0):
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or not any(a) or not any(b):
+            return None
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
+
+    s = [cosine(a, b) for a, b in zip(vectors, vectors[1:], strict=False)]
+    known = [x for x in s if x is not None]
+    if not known:
+        return []
+    mean = sum(known) / len(known)
+    least = mean - depth * (sum((x - mean) ** 2 for x in known) / len(known)) ** 0.5
+    beside = lambda i: [x for k in (i - 1, i + 1) if 0 <= k < len(s) and (x := s[k]) is not None]
+    return [i + 1 for i, x in enumerate(s) if x is not None and round(x, 9) < round(least, 9) and all(x <= y for y in beside(i))]
+
+
+def test_semantic_chunks(spark):
+    """Sentences of two topics by turns, with vectors, with too few of them, with null and zero ones, and without."""
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for n in (1, 2, 3, 12, 40):
+        topics = [(i // 4) % 2 for i in range(n)]
+        text = "\n".join(f"Sentence {i} about {'cats' if t else 'rocks'} and so on." for i, t in enumerate(topics))
+        vectors = [[1.0 - t + rnd.random() / 9, t + rnd.random() / 9, 0.1] for t in topics]
+        rows += [(text, vectors), (text, vectors[:-1]), (text, [None if i % 5 == 2 else [0.0, 0.0, 0.0] if i % 5 == 4 else v for i, v in enumerate(vectors)]), (text, None)]
+    df = spark.createDataFrame([(i, t, v, "pdf", "arxiv.pdf") for i, (t, v) in enumerate(rows)], "id long, text string, vs array<array<double>>, kind string, path string")
+    split_into = 0
+    for r in chunking.chunks(df, size=30, overlap=0, least=0, vectors="vs").collect():
+        assert r["strategy"] == "semantic"
+        parts = re.split(r"(?<=[.!?。！？])\s+", r["text"])
+        starts = plain_valleys(r["vs"]) if r["vs"] is not None and len(r["vs"]) == len(parts) else []
+        at = [0, *starts, len(parts)]
+        want = [c for a, b in zip(at, at[1:], strict=False) for c in pack(split(parts[a:b], 30), 30, " ")]
+        assert r["chunks"] == merge(want, 0, 30) if len(want) > 1 else want
+        split_into += len(starts)
+    assert split_into > 5
+
+
 def test_ingest(spark):
     rows = [("f.pdf", "pdf", i, t, f"p{i}", "") for i, t in enumerate(["first page.\n\nlast words", " \n", "second page", None])] + [("r.jsonl", "corpus_jsonl", 0, "record text", "R", "Cited | Topics: x"), ("t.txt", "text", 0, "plain", "T", "")]
     got = [tuple(r) for r in chunking.ingest(spark.createDataFrame(rows, "path string, kind string, part long, text string, title string, prefix string")).orderBy("path", "chunk_idx").select("path", "part", "chunk_idx", "title", "chunk").collect()]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import dense, sparse
+from siltstone.operators.memory import GraphMemory
 from siltstone.operators.cells import CellIndex, k_means, nearest
 from siltstone.operators.stored_sparse import SparseStore
 from siltstone.sources.tables import table
@@ -167,3 +168,52 @@ def test_k_means():
     centres = k_means(x, 2)
     assert sorted(map(tuple, centres)) == [(0, 0), (9, 9)]
     assert k_means(x[:1], 4).shape == (4, 2) and nearest(x, centres)[1].max() == 0
+
+
+# Graph memory.
+def mentions(n, seed, start=0):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(start, start + n):
+        fact = min(rnd.randint(0, 60), rnd.randint(0, 60))
+        out.append((i, f"s{fact % 7}" if rnd.random() > 0.1 else f"s{rnd.randint(0, 9)}", f"f{fact}", f"p{rnd.randint(0, 25)}"))
+    return out
+
+
+def state(memory):
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    return rows(memory.schemas()), rows(memory.facts()), rows(memory.links()), rows(memory.keys("passage"))
+
+
+def test_two_builds_equal_one(spark, tmp_path):
+    frame = lambda r: spark.createDataFrame(r, "seq long, schema string, fact string, passage string")
+    one, two = GraphMemory(spark, f"{tmp_path}/one"), GraphMemory(spark, f"{tmp_path}/two")
+    first, second = mentions(150, 1), mentions(250, 2, 150)
+    one.merge(frame(first + second + [(999, None, "f", "p")]))
+    assert two.merge(frame(first)) == 1
+    half = state(two)
+    assert two.merge(frame(second)) == 2
+    assert state(two) == state(one)
+    known = {k: i for i, k, *_ in half[1]}
+    assert known == {k: i for i, k, *_ in state(two)[1] if k in known}  # numbers of the first build stay
+    for layer in ("schema", "fact", "passage"):
+        assert sorted(r["idx"] for r in two.keys(layer).collect()) == list(range(two.keys(layer).count()))
+    assert sorted(tuple(r) for r in two.facts(1).collect()) == half[1]  # the first build, as it was
+    by = {k: i for i, k, *_ in state(two)[1]}
+    passages = {k: i for i, k in state(two)[3]}
+    assert set(state(two)[2]) == {(by[f], passages[p]) for _, _, f, p in first + second}
+
+
+def test_a_build_on_a_stale_version_is_worked_out_again(spark, tmp_path, monkeypatch):
+    frame = lambda r: spark.createDataFrame(r, "seq long, schema string, fact string, passage string")
+    memory, real, done = GraphMemory(spark, f"{tmp_path}/m"), GraphMemory._build, []
+
+    def build(self, rows, now):
+        if not done:
+            done.append(1)
+            GraphMemory(spark, f"{tmp_path}/m").merge(frame([(1, "s", "f0", "p")]))
+        return real(self, rows, now)
+
+    monkeypatch.setattr(GraphMemory, "_build", build)
+    memory.merge(frame([(5, "s", "f1", "p"), (6, "t", "f0", "q")]))
+    assert sorted((r["idx"], r["key"], r["mentions"], r["passages"]) for r in memory.facts().collect()) == [(0, "f0", 2, 2), (1, "f1", 1, 1)]
