@@ -140,3 +140,15 @@ def fact_hits(scores: DataFrame, facts: DataFrame, passages: DataFrame, k: int,
     rows = best.join(facts, "fact").join(first, "fact", "left")
     text = F.concat_ws("\n\n", "triple", none_if_blank("excerpt"))
     return rows.select("query_id", "rank", F.col("triple").alias("title"), F.lit("memory").alias("source"), "score", F.lit("facts").alias("retrieval"), text.alias("text"), "fact")
+
+
+def latest_examples(records: DataFrame) -> DataFrame:
+    """records (conversation_id, trace_id, ts, messages, assistant; a message has role and content) -> (key, messages): the latest record by ts (as text, null first; of ties the greatest) of each conversation, or of each trace
+    where there is none, or by itself where there is neither. A message that repeats the one before goes, then those without role or content; two have to be left."""
+    named = lambda c: F.when(F.col(c) != "", F.col(c))
+    rows = records.select(F.coalesce(named("conversation_id"), named("trace_id"), F.expr("uuid()")).alias("key"), F.coalesce(F.col("ts").cast("string"), F.lit("")).alias("ts"), F.concat(F.coalesce("messages", F.array().cast(records.schema["messages"].dataType)), F.array("assistant")).alias("said"))
+    rows = rows.groupBy("key").agg(F.max(F.struct("ts", "said")).alias("last")).select("key", "last.said")
+    same = lambda a, b: a["role"].eqNullSafe(b["role"]) & a["content"].eqNullSafe(b["content"])
+    kept = F.filter("said", lambda m, i: (i == 0) | ~same(m, F.get("said", i - 1)))
+    kept = F.filter(kept, lambda m: (F.coalesce(m["role"], F.lit("")) != "") & (F.coalesce(m["content"], F.lit("")) != ""))
+    return rows.select("key", kept.alias("messages")).where("size(messages) >= 2")

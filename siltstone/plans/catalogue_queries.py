@@ -114,7 +114,7 @@ def request_stages(spark, sf):
     )
     steps = [
         stages.Stage("gate", {"retrieve": F.length(F.coalesce("query", F.lit(""))) >= 40}, F.lit(True), 0.0, 10.0),
-        stages.Stage("rewrite", {"query": F.substring("query", 1, 100)}, F.col("retrieve"), 150.0, 120.0),
+        stages.Stage("rewrite", {"query": F.concat(F.lit("Find: "), "query")}, F.col("retrieve"), 150.0, 120.0),
         stages.Stage("graph", {"query": F.lit("never")}, F.lit(True), enabled=False),
         stages.Stage("memory", {"memory": F.lit(True)}, F.col("turn") > 0, 100.0, 50.0),
     ]
@@ -124,7 +124,7 @@ def request_stages(spark, sf):
 STAGES_SQL = """
 WITH r AS (SELECT conv_id, turn, text, 90.0::DOUBLE + (conv_id * 7 + turn * 13) % 300 AS b FROM conversations WHERE role = 'user'), w AS (SELECT *, length(coalesce(text, '')) >= 40 AND b >= 150 AS rw FROM r),
 m AS (SELECT *, b - CASE WHEN rw THEN 120 ELSE 0 END AS c FROM w), f AS (SELECT *, turn > 0 AND c >= 100 AS mem FROM m)
-SELECT conv_id, turn, md5(CASE WHEN rw THEN text[1:100] ELSE text END) AS query_md5, mem AS memory, c - CASE WHEN mem THEN 50 ELSE 0 END AS budget_ms, 'gate' || CASE WHEN rw THEN '>rewrite' ELSE '' END || CASE WHEN mem THEN '>memory' ELSE '' END AS trace FROM f
+SELECT conv_id, turn, md5(CASE WHEN rw THEN 'Find: ' || text ELSE text END) AS query_md5, mem AS memory, c - CASE WHEN mem THEN 50 ELSE 0 END AS budget_ms, 'gate' || CASE WHEN rw THEN '>rewrite' ELSE '' END || CASE WHEN mem THEN '>memory' ELSE '' END AS trace FROM f
 """
 
 

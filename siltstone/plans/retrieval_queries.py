@@ -64,7 +64,7 @@ def dense_late_payload(spark, sf):
 
 def fact_scores(spark, sf):
     points = _points(spark, sf).withColumn("vector", F.when(F.col("id") % 50 == 7, F.transform("vector", lambda x: x * 0)).otherwise(F.col("vector")))
-    return dense.scores(points, _asks(spark, sf, "vec_id = 3")).select("id", F.round("score", 6).alias("score"))
+    return dense.scores(points, _asks(spark, sf)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def journal_replay(spark, sf):
@@ -223,10 +223,11 @@ SELECT source, id FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.source =
 
 
 def context_budget(spark, sf):
-    """A text that is taken uses 9 characters of the budget at least, so hits beyond a ninth of it cannot be reached and no row gathers more."""
+    """A text that is taken uses 9 characters of the budget at least, so hits beyond a ninth of it cannot be reached and no row gathers more. Blank ones use none, are never taken, and are not counted."""
     probe = spark.createDataFrame([("probe", 1, "filler " * 200), ("probe", 2, "ERROR: disk full on /dev/sda"), ("probe", 3, "tail")], "source string, id long, text string")
     nth = F.row_number().over(Window.partitionBy("source").orderBy("id"))
-    near = _hits(spark, sf).unionByName(probe).withColumn("nth", nth).where(F.col("nth") <= 3000 // 9 + 1)
+    full = _hits(spark, sf).unionByName(probe).where(F.regexp_replace("text", r"\s+", "") != "")
+    near = full.withColumn("nth", nth).where(F.col("nth") <= 3000 // 9 + 1)
     rows = near.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("hits"))
     budget = F.when(F.col("source") == "probe", 120).otherwise(3000)
     return rows.select("source", F.explode(context.fit(F.col("hits"), budget)).alias("k")).select("source", "k.id", "k.text")
@@ -307,7 +308,7 @@ QUERIES = {
         f"WITH {_COS.format(ids='q.id % 100 = 0', where='')} SELECT query_id, id, rank, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM d LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) p ON p.doc_id = d.id WHERE rank <= 8",
     ),
     "journal_replay": (journal_replay, JOURNAL_SQL),
-    "fact_scores": (fact_scores, f"WITH {_COS.format(ids='q.id = 3', where='')} SELECT id, round(score, 6) AS score FROM s WHERE id % 50 <> 7"),
+    "fact_scores": (fact_scores, f"WITH {_COS.format(ids='q.id % 100 = 0', where='')} SELECT query_id, id, round(score, 6) AS score FROM s WHERE id % 50 <> 7"),
     "tokenize_counts": (tokenize_counts, f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents)"),
     "bm25_df": (
         bm25_df,

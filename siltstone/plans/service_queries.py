@@ -140,12 +140,12 @@ def fact_search(spark, sf):
     scores, _, k = _near(spark, sf, 5)
     facts = table(spark, sf, "embeddings").select(F.col("vec_id").alias("fact"), F.concat(F.lit("("), F.col("label"), F.lit(", has, "), F.col("vec_id"), F.lit(")")).alias("triple"))
     docs = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("fact"), F.col("doc_id").alias("position"), "text")
-    out = messages.fact_hits(scores.select("query_id", F.col("id").alias("fact"), "score"), facts, docs, k, 50)
+    out = messages.fact_hits(scores.select("query_id", F.col("id").alias("fact"), "score"), facts, docs, k, 2000)
     return out.select("query_id", "fact", F.col("rank").cast("long"), F.round("score", 6).alias("score"), "text")
 
 
 FACT_SQL = f"""
-WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0), p AS (SELECT doc_id % 50 AS fact, min_by(text[1:50], doc_id) AS excerpt FROM documents GROUP BY 1)
+WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0), p AS (SELECT doc_id % 50 AS fact, min_by(text[1:2000], doc_id) AS excerpt FROM documents GROUP BY 1)
 SELECT query_id, id AS fact, rank, round(score, 6) AS score, '(' || label || ', has, ' || vec_id || ')' || CASE WHEN {TRIM.format("excerpt")} <> '' THEN chr(10) || chr(10) || {TRIM.format("excerpt")} ELSE '' END AS text
 FROM r JOIN embeddings ON vec_id = id LEFT JOIN p ON p.fact = id WHERE rank <= 5
 """

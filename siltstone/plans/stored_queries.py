@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunking, ordered, queue
+from siltstone.operators import chunking, messages, ordered, queue
 from siltstone.operators.cells import CellIndex
 from siltstone.operators.memory import GraphMemory
 from siltstone.operators.stored_sparse import SparseStore
@@ -217,7 +217,25 @@ SELECT doc_id, 'semantic' AS strategy, CAST(sum(k) AS BIGINT) AS n_sentences, co
 """
 
 
+def export_latest(spark, sf):
+    """Training examples from capture records: each conversation was captured at its first assistant turn and at its last, each time with all turns so far."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    convs = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("ts"), F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"))
+    at = convs.where("last IS NOT NULL").select("conv_id", "ts", F.explode(F.array_distinct(F.array("first", "last"))).alias("at"))
+    plain = lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
+    records = at.select(F.col("conv_id").cast("string").alias("conversation_id"), F.lit(None).cast("string").alias("trace_id"), F.format_string("%08d", "at").alias("ts"), F.transform(F.filter("ts", lambda t: t["turn"] < F.col("at")), plain).alias("messages"), F.get(F.transform(F.filter("ts", lambda t: t["turn"] == F.col("at")), plain), F.lit(0)).alias("assistant"))
+    out = messages.latest_examples(records)
+    return out.select("key", F.size("messages").cast("long").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")).alias("example_md5"))
+
+
+EXPORT_LATEST_SQL = """
+WITH l AS (SELECT conv_id, max(turn) FILTER (WHERE role = 'assistant') AS last FROM conversations GROUP BY conv_id),
+t AS (SELECT conv_id, turn, role, text, coalesce(lag(role) OVER w IS NOT DISTINCT FROM role AND lag(text) OVER w IS NOT DISTINCT FROM text AND row_number() OVER w > 1, false) AS again FROM conversations JOIN l USING (conv_id) WHERE turn <= last WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT CAST(conv_id AS VARCHAR) AS key, count(*) AS n, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS example_md5 FROM t WHERE NOT again AND coalesce(role, '') <> '' AND coalesce(text, '') <> '' GROUP BY conv_id HAVING count(*) >= 2
+"""
+
 QUERIES = {
+    "export_latest": (export_latest, EXPORT_LATEST_SQL),
     "chunk_semantic": (chunk_semantic, SEMANTIC_SQL),
     "graph_memory": (graph_memory, MEMORY_SQL),
     "timed_sessions": (timed_sessions, TIMED_SQL),
