@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import Scratch
 from siltstone.llm.vafile import integers, usable
 
-#: Rows of a bucket, anchors of a pass, and anchors multiplied at once.
-BUCKET, ANCHORS, AT_ONCE = 2048, 8192, 256
+#: Rows of a bucket, anchors of a pass, anchors multiplied at once, and rows of a file of candidates.
+BUCKET, ANCHORS, AT_ONCE, ROWS = 2048, 8192, 256, 1 << 18
 #: Whole numbers up to here are exact in a double.
 EXACT = float(1 << 53)
 LONG = 1 << 63
@@ -144,12 +144,12 @@ def buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[flo
             yield norm[x], label[x : x + BUCKET], ids[x : x + BUCKET], v[x : x + BUCKET]
 
 
-def by_norm(rows: DataFrame, work: Scratch) -> DataFrame:
-    """rows (label, vec_id, v) with their norm, written so that each file holds every n-th bucket of the order by norm, greatest first."""
+def by_norm(rows: DataFrame, n: int, work: Scratch) -> DataFrame:
+    """n rows (label, vec_id, v) with their norm, written so that each file holds every m-th bucket of the order by norm, greatest first."""
     spark = rows.sparkSession
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    ordered_ = rows.withColumn("norm", F.sqrt(squares)).repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered_ = rows.withColumn("norm", F.sqrt(squares)).repartitionByRange(max(1, n // ROWS, spark.sparkContext.defaultParallelism), F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // ROWS)
     # Rows of a range partition are numbered in order; BUCKET of them make a bucket. Ranges need no common numbering to be dealt evenly.
     dealt = ordered_.withColumn("bucket", F.shiftright(F.monotonically_increasing_id(), 11))
     dealt = dealt.repartition(tasks, "bucket").sortWithinPartitions(F.desc("norm"), "vec_id")
@@ -197,12 +197,12 @@ def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, nega
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), integers(F.col("embedding")).alias("v"), F.coalesce(anchors, F.lit(False)).alias("asks"))
     rows = rows.groupBy("vec_id").agg(F.min(F.struct("v", "label")).alias("least"), F.max("asks").alias("asks")).select("vec_id", "least.label", "least.v", "asks")
     rows = work.table(rows, "rows")
-    shape = rows.agg(F.max(F.size("v")).alias("width"), F.count_if("asks").alias("asks")).first()
+    shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count_if("asks").alias("asks")).first()
     empty = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not shape["asks"]:
         return spark.createDataFrame([], empty)
     width, blocks = shape["width"], -(-shape["asks"] // ANCHORS)
-    candidates = by_norm(rows.drop("asks"), work)
+    candidates = by_norm(rows.drop("asks"), shape["n"], work)
     none = F.lit(None).cast("string")
     asking = rows.where("asks").select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "label", "v")
     first = search(candidates, asking.select("block", F.col("vec_id").alias("w"), "vec_id", "label", "v", none.alias("low"), none.alias("high")), width, positives, True, work)
