@@ -1,21 +1,27 @@
 """PII: detected entities get keyed surrogates of the same type, format, script and gender, equal for equal entities.
 
-Kinds: e-mail addresses, phone numbers, payment cards (by check digit), IPv4 addresses, IBANs, national ids of the form 3-2-4,
-secrets of any length (``password=``, ``token = "..."``, keys that tell their kind), PEM blocks of private keys, and names: after a form of
-address, and wherever the full name or its last word stands again in the same text. A surrogate is made from an HMAC, under the caller's
-key, of the entity's canonical form, so one entity has one surrogate in every document and spelling ("+1 (212) 555-0100" and
-"+12125550100" keep their own punctuation), digits stay digits, letters keep their case and script, cards keep their check
-digit and first digit, addresses stay valid and given names keep their gender.
-
-The words of a name are entities of their own: the last word is a surname, whatever the title, the words before it are given names of
-the gender that a title in the text tells. So "Mr John Smith", "Dr Smith" and a later "John Smith" get the same surname.
+Kinds: e-mail addresses, phone numbers, payment cards (by check digit), IPv4 and IPv6 addresses, IBANs, national ids of the form 3-2-4,
+numbers after the word passport, secrets of any length (``password=``, ``token = "..."``, keys that tell their kind), PEM blocks of private keys,
+and names: after a form of address, and wherever the full name (in any case), its surname or its given name (with a capital) stands again in the
+same text. Titles in capitals count before names in capitals; those that are also abbreviations (MS, DR, SR, PROF) need a full stop then. Birth dates
+are not looked for. A surrogate is made from an HMAC, under the caller's key, of the entity's canonical form, so one entity has one surrogate in every
+document and spelling ("+1 (212) 555-0100" and "+12125550100", or "+44 20 7946 0958" and "020 7946 0958", keep their own punctuation, country
+code and trunk zero), digits stay digits, letters keep their case and script, cards keep their check digit and first digit, addresses stay valid and
+given names keep their gender.
+
+The words of a name are entities of their own: the last word is a surname, whatever the title, the word before it is a given name of
+the gender that a title in the text tells; initials and particles ("de la", "van") stay. Where no title of a text tells it ("Dr John Smith"), the gender is
+what titles tell of the same full name elsewhere in the corpus, else of the same given name, by majority; without one, or at a tie, it is left open. So "Mr John Smith" here and
+"Dr John Smith", "JOHN SMITH" and "John" there get the same surrogate.
 
 Distinctness is checked, not assumed: the distinct entities of the corpus are listed, and where two have the same surrogate as
 it is printed, or a surrogate is another entity that occurs, all but the first (by canonical form) get another try, until none collide. Later tries have
-more syllables or letters to choose from, so small spaces do not run out; after ``MOST_TRIES`` tries (a corpus that holds nearly all numbers of a fixed
-format) a ValueError says so. Only entities that needed a second try are carried back; up to ``MOST_RETRIED`` of them as a broadcast table, more by a join.
+more syllables or letters to choose from, so small spaces do not run out. Numbers of a fixed format can: where some of a kind still collide after
+``MOST_TRIES`` tries (a corpus that holds nearly all of them), all of that kind go by a keyed permutation of their format, which cannot collide and leaves none
+as it was; a surrogate may then be another number that occurs. Only entities that needed a second try, and names whose gender other texts tell, are
+carried back; up to ``MOST_RETRIED`` of them as a broadcast table, more by a join.
 
-Defined cases: null stays null and empty stays empty; overlapping finds go to the leftmost, then to the kind named first above;
+Defined cases: null stays null and empty stays empty; overlapping finds go to the leftmost, then to the longest, then to the kind named first above;
 texts without entities are returned as they are; very long texts are read whole; rows that repeat get the same text; extra columns pass
 through whatever their names, one called like the new column is replaced.
 """
@@ -24,10 +30,13 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt, prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,8 +71,17 @@ SYLLABLES = {
     "latin": ("b br c d dr f g gr h j k l m n p r s st t tr v w".split(), "a e i o u".split(), {"m": "an o us ek in".split(), "f": "a ia ina ella etta".split(), "n": "e y el is".split(), "last": "mann berg son well ter ler ner ard ens itz".split()}),
     "cyrillic": ("б в г д ж з к л м н п р с т ф х".split(), "а е и о у".split(), {"m": "ан ор ин слав".split(), "f": "а ина ия ана".split(), "n": "я ни".split(), "last": "ов ев ин ский".split()}),
 }
-_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
-_CAP = r"[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+(?:-[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+)?"
+#: Words before a surname that stay as they are, and country codes of two digits; 1 and 7 have one, all others three (fixed values).
+PARTICLES = "al bin da de del della den der di do dos du el la las le los ten ter van von zu".split()
+CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+ABBREVIATIONS = ("MS", "DR", "SR", "PROF")
+_GENDER = {t.lower(): g for g, titles in TITLES.items() for t in titles}
+_SMALL = {w for p in PARTICLES for w in (p, p.upper())}
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яё]"
+_CAP = rf"(?:{_CAPITAL}['’])?{_CAPITAL}[^\W\d_]+(?:-{_CAPITAL}[^\W\d_]+)?"
+_PARTS = "(?:(?:" + "|".join(sorted(_SMALL)) + ") ){0,3}"
+_TITLE = "|".join(sorted(map(re.escape, (t for titles in TITLES.values() for t in titles)), key=len, reverse=True))
+_LOUD = "|".join(rf"{re.escape(t)}\." if t in ABBREVIATIONS else rf"{re.escape(t)}\.?" for t in sorted({t.upper() for titles in TITLES.values() for t in titles if t.upper() != t}, key=len, reverse=True))
 _PEM = r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"
 _FIND = {
     # To the block's own end; without one, as far as lines of base64 go.
@@ -72,17 +90,24 @@ _FIND = {
         r"""(?i:\b(?:password|passwd|pwd|passwort|contraseña|token|secret|api[_-]?key|access[_-]?key|auth)\b["']?\s{0,3}[:=]\s{0,3}["']?)(?P<secret>(?=[A-Za-z0-9+/_.\-]{8})(?:[A-Za-z0-9+/_.]++|-(?!----BEGIN ))++)"""
         r"|\b(?P<key>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})\b"
     ),
-    "email": re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}\b"),
+    "email": re.compile(r"(?<![\w.+-])[\w.+-]++@(?:[\w-]++\.)+[^\W\d_]{2,}+\b"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
+    "ipv6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\w)"),
     "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w])"),
     "nid": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    "passport": re.compile(r"(?i:\bpassport\b(?:\s{1,3}(?:no|nr|number)\b)?\.?\s{0,3}[:#]?\s{0,3})(?P<number>(?=[A-Z]{0,9}\d)[A-Z0-9]{6,9})\b"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w]|[.,]\d)|(?<![\w.])\+\d{8,15}(?!\w)"),
-    "name": re.compile(r"\b(?P<title>" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")\.? (?P<name>(?:[^\W\d_]\. )?" + _CAP + r"(?:(?: [^\W\d_]\.)? " + _CAP + r")?)"),
+    "name": re.compile(
+        rf"\b(?:(?P<title>{_TITLE})\.?|(?P<loud>{_LOUD})(?= (?:[^\W\d_]\. )?{_PARTS}(?:{_CAPITAL}|['’-]){{2,}}\b)) (?P<name>(?:[^\W\d_]\. )?{_PARTS}{_CAP}(?:(?: [^\W\d_]\.)? {_PARTS}{_CAP})?)"
+    ),
 }
 #: What a text must hold for a kind to be worth a search.
-_HINT = {"private_key": re.compile("PRIVATE KEY"), "email": re.compile("@"), "name": re.compile("|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)))}
-_WORD = re.compile(r"\b" + _CAP)
+_HINT = {"private_key": re.compile("PRIVATE KEY"), "email": re.compile("@"), "passport": re.compile("(?i:passport)"), "name": re.compile(f"{_TITLE}|{_LOUD}")}
+_WORD = re.compile(rf"\b(?:[^\W\d_]['’])?[^\W\d_]+(?:-{_CAPITAL}[^\W\d_]+)?")
+_BETWEEN = re.compile(rf"\s{{1,4}}(?:(?:[^\W\d_]\.|{'|'.join(sorted(_SMALL))})\s{{1,4}}){{0,4}}")
+_SPACED = re.compile(r"(\s+)")
+_DATE = re.compile(r"(?:19|20)\d\d[.-]\d\d[.-]\d\d(?!\d)|\d\d[.-]\d\d[.-](?:19|20)\d\d(?!\d)")
 _INITIAL = re.compile(r"[^\W\d_]\.")
 _MARK = re.compile(r"(?:AKIA|gh[pousr]_|sk-|xox[abprs]-)?")
 _DIGITS = re.compile(r"\d")
@@ -102,12 +127,32 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _core(words: list[str]) -> list[bool]:
+    """Which words of a name get surrogates: not initials and particles, but the last in any case."""
+    return [i == len(words) - 1 or not (_INITIAL.fullmatch(w) or w in _SMALL) for i, w in enumerate(words)]
+
+
+def _lower(name: str) -> str:
+    return name.lower().replace("’", "'")
+
+
+def _national(x: str) -> str:
+    """The digits of a phone number without country code and trunk zero."""
+    form = _digits(x)
+    abroad = x.startswith("+") or form.startswith("00")
+    if abroad:
+        form = form.removeprefix("00") if not x.startswith("+") else form
+        form = form[1 if form[0] in "17" else 2 if form[:2] in CODES else 3 :]
+    return form.removeprefix("0")
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of each entity, in order, without overlaps."""
+    """(start, end, kind, canonical form) of each entity, in order, without overlaps. The form of a name is gender:given|surname, in
+    lower case, with |given behind it where the given name stands alone; either may be empty."""
     found, people = [], {}
     digits = _DIGITS.search(text) is not None
     for rank, (kind, pattern) in enumerate(_FIND.items()):
-        if kind in _HINT and not _HINT[kind].search(text) or kind in ("iban", "ip", "card", "nid", "phone") and not digits:
+        if kind in _HINT and not _HINT[kind].search(text) or kind in ("iban", "ip", "ipv6", "card", "nid", "passport", "phone") and not digits:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
@@ -133,27 +178,40 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 if not luhn(form) and not (len(form) == 16 and form[0] in "3456"):
                     continue
             elif kind == "phone":
-                form = _digits(x)
-                if not 9 <= len(form) <= 15 or not (x[0] in "+(" or "(" in x or len(form) == 10):
+                n = len(_digits(x))
+                form = _national(x)
+                trunk = x[0] == "0" and (n > 11 if x[1] == "0" else n == 11)
+                if not 9 <= n <= 15 or len(form) < 6 or not (x[0] in "+(" or "(" in x or n == 10 or trunk) or _DATE.match(x):
                     continue
-                form = form[-10:] if x.startswith("+1") or len(form) == 10 else form
             elif kind == "name":
                 a, b = m.span("name")
-                x = text[a:b]
-                if x[0].islower():
+                words = text[a:b].split(" ")
+                core = [_lower(w) for w, own in zip(words, _core(words), strict=True) if own]
+                if next(w for w, own in zip(words, _core(words), strict=True) if own)[0].islower():
                     continue
-                gender = _GENDER[m["title"]]
-                if people.get(x, "n") == "n":
-                    people[x] = gender
-                form = x
+                who = ("|" + core[-1]) if len(core) == 1 else f"{core[0]}|{core[-1]}"
+                gender = _GENDER[(m["title"] or m["loud"].rstrip(".")).lower()]
+                if people.get(who, "n") == "n":
+                    people[who] = gender
+                form = who
             elif kind == "ip":
                 form = ".".join(str(int(n)) for n in x.split("."))
+            elif kind == "ipv6":
+                try:
+                    form = ipaddress.IPv6Address(x).exploded
+                except ValueError:
+                    continue
+                if sum(map(bool, x.split(":"))) < 3:  # ::1, or names in code
+                    continue
+            elif kind == "passport":
+                a, b = m.span("number")
+                form = m["number"]
             else:
-                form = _digits(x) if kind == "nid" else x
+                form = _digits(x)
             found.append((a, -b, rank, kind, form))
     if people:
         found += _mentions(text, people, len(_FIND))
-        found = [(a, b, rank, kind, f"{people.get(form) or 'n'}:{form}" if kind == "name" else form) for a, b, rank, kind, form in found]
+        found = [(a, b, rank, kind, f"{people.get(form.removesuffix('|given'), 'n')}:{form}" if kind == "name" else form) for a, b, rank, kind, form in found]
     out, end = [], -1
     for a, b, _, kind, form in sorted(found):
         if a >= end:
@@ -163,29 +221,47 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _mentions(text: str, people: dict[str, str], rank: int) -> Iterator[tuple[int, int, int, str, str]]:
-    """Where full names of people, or their last words, stand without a title."""
-    full, last = {}, {}
-    for name in people:
-        words = name.split(" ")
-        last.setdefault(words[-1], words[-1])
-        if len(words) > 1:
-            full.setdefault(words[0], []).append(name)
+    """Where full names of people, or their surnames or given names, stand without a title."""
+    known, last = {}, set()
+    for who in people:
+        given, _, surname = who.partition("|")
+        last.add(surname)
+        if given:
+            known.setdefault(given, []).append(surname)
+    # A given name alone is that of the first person whose gender is told, else of the first.
+    alone = {given: min(surnames, key=lambda s: people[f"{given}|{s}"] == "n") for given, surnames in known.items()}
     for m in _WORD.finditer(text):
-        for name in full.get(m[0], ()):
-            b = m.start() + len(name)
-            if text.startswith(name, m.start()) and not text[b : b + 1].isalnum():
-                yield m.start(), -b, rank, "name", name
-        if m[0] in last and len(m[0]) > 2:
-            yield m.start(), -m.end(), rank, "name", m[0]
-
-
-def parts(kind: str, form: str) -> list[tuple[str, str]]:
-    """What gets a surrogate of its own: the entity, or the words of a name in lower case. Initials stay."""
+        word = _lower(m[0])
+        if word in known:
+            gap = _BETWEEN.match(text, m.end())
+            then = gap and _WORD.match(text, gap.end())
+            if then and _lower(then[0]) in known[word]:
+                yield m.start(), -then.end(), rank, "name", f"{word}|{_lower(then[0])}"
+        if len(word) > 2 and not m[0][0].islower():
+            if word in last:
+                yield m.start(), -m.end(), rank, "name", f"|{word}"
+            elif word in known:
+                yield m.start(), -m.end(), rank, "name", f"{word}|{alone[word]}|given"
+
+
+def parts(kind: str, form: str, known: dict[tuple[str, str], int] | None = None) -> list[tuple[str, str]]:
+    """What gets a surrogate of its own: the entity, or the words of a name. known: ("who", given|surname) is 1 or 2 where other texts tell a man or a woman."""
     if kind != "name":
         return [(kind, form)]
-    gender, _, full = form.partition(":")
-    *given, last = full.lower().split(" ")
-    return [("given", f"{gender}:{x}") for x in given if not _INITIAL.fullmatch(x)] + [("surname", last)]
+    gender, _, who = form.partition(":")
+    given, surname, *alone = who.split("|")
+    if gender == "n" and known:
+        gender = "nmf"[known.get(("who", f"{given}|{surname}"), 0)]
+    return [("given", f"{gender}:{given}")] * (given != "") + [("surname", surname)] * (not alone)
+
+
+def needs(kind: str, form: str) -> set[tuple[str, str]]:
+    """All that ``replace`` may ask about an entity."""
+    out = {*parts(kind, form), ("permuted", kind)}
+    if kind == "name" and form.startswith("n:"):
+        given, surname = form[2:].split("|")[:2]
+        out |= {("who", f"{given}|{surname}"), ("given", f"m:{given}"), ("given", f"f:{given}")}
+    return out
 
 
 class _Stream:
@@ -257,8 +333,68 @@ def _name(form: str, stream: _Stream, role: str, attempt: int) -> str:
     return made
 
 
+def _walk(x: int, n: int, key: bytes, what: str, back: bool = False) -> int:
+    """A keyed permutation of 0..n-1, or its inverse: eight rounds of a Feistel network, walked on while beyond n."""
+    side = isqrt(n - 1) + 1
+    part = lambda i, y: int.from_bytes(hmac.new(key, f"{what}\0{i}\0{y}".encode(), hashlib.sha256).digest()[:16], "big") % side
+    while True:
+        a, b = divmod(x, side)
+        for i in reversed(range(8)) if back else range(8):
+            a, b = ((b - part(i, a)) % side, a) if back else (b, (a + part(i, b)) % side)
+        x = a * side + b
+        if x < n:
+            return x
+
+
+def permuted(kind: str, form: str, key: bytes) -> str:
+    """Another number of the same format, by a keyed permutation of all of that format without fixed points: two never get the same."""
+    if kind == "ip":
+        octets = form.split(".")
+        private = octets[0] in ("10", "127")
+        first = [o for o in range(256) if o not in (10, 127)]
+        digits = [*([] if private else [first.index(int(octets[0]))]), *map(int, octets[1:])]
+        radices = [256] * 3 if private else [len(first), *[256] * 3]
+        new = _shuffled(digits, radices, key, f"ip {octets[0] if private else ''}")
+        return ".".join(map(str, [octets[0], *new] if private else [first[new[0]], *new[1:]]))
+    if kind == "card":
+        good = lambda body: next(d for d in range(10) if luhn(f"{body}{d}"))
+        body = form[0] + _reshaped("card " + form[0], form[1:-1], key)
+        return f"{body}{(int(form[-1]) - good(form[:-1]) + good(body)) % 10}"
+    if kind == "iban":
+        body = _reshaped("iban " + form[:2], form[4:], key)
+        return f"{form[:2]}{98 - int(''.join(str(int(c, 36)) for c in f'{body}{form[:2]}00')) % 97:02d}{body}"
+    return _reshaped(kind, form, key, kind == "phone" and form[0] != "0")
+
+
+def _shuffled(digits: list[int], radices: list[int], key: bytes, what: str) -> list[int]:
+    """Digits of mixed radices under the permutation: one step along a keyed cycle of all numbers."""
+    n, x = prod(radices), 0
+    for d, r in zip(digits, radices, strict=True):
+        x = x * r + d
+    x = _walk((_walk(x, n, key, what) + 1) % n, n, key, what, back=True)
+    out = []
+    for r in reversed(radices):
+        x, d = divmod(x, r)
+        out.append(d)
+    return out[::-1]
+
+
+def _reshaped(what: str, form: str, key: bytes, no_zero: bool = False) -> str:
+    """Digits and capitals of form under the permutation of its shape; no_zero: the first digit is not 0, before and after."""
+    low = [49 if no_zero and i == 0 else 48 if c.isdigit() else 65 for i, c in enumerate(form)]
+    radices = [{48: 10, 49: 9, 65: 26}[x] for x in low]
+    new = _shuffled([ord(c) - x for c, x in zip(form, low, strict=True)], radices, key, f"{what} {bytes(low)!r}")
+    return "".join(chr(x + d) for x, d in zip(low, new, strict=True))
+
+
+#: Kinds of a fixed format, which can run out of tries.
+FIXED = ("phone", "nid", "card", "iban", "ip", "passport")
+
+
 def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
-    """The canonical surrogate of an entity (a part of one, see ``parts``); never the entity itself."""
+    """The canonical surrogate of an entity (a part of one, see ``parts``); never the entity itself. attempt: -1 for the permutation of a format."""
+    if attempt < 0:
+        return permuted(kind, form, key)
     for again in range(MOST_TRIES):
         s = _Stream(key, kind, form, str(attempt), str(again))
         more = "".join(chr(97 + s.below(26)) for _ in range(max(0, attempt - 2, again - 8)))  # later tries are longer
@@ -278,6 +414,13 @@ def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
         elif kind == "ip":
             first = int(form.split(".")[0])
             out = ".".join([str(first if first in (10, 127) else 11 + s.below(100)), *(str(1 + s.below(254)) for _ in range(3))])
+        elif kind == "ipv6":
+            # Empty groups stay empty and lengths are kept at first; later tries have more to choose from.
+            tries, new = max(attempt, again), []
+            for g in (g.lstrip("0") for g in form.split(":")[1:]):
+                n = "".join("0123456789abcdef"[s.below(16)] for _ in range(len(g) if tries < 3 else 4 if g or tries > 9 else 0))
+                new.append((f"1{n[1:]}" if n[:1] == "0" else n).zfill(4))
+            out = ":".join([form[:4], *new])
         elif kind == "card":
             body = form[0] + _like(form[1:-1], s)
             good = next(d for d in range(10) if luhn(f"{body}{d}"))
@@ -304,8 +447,12 @@ def render(kind: str, original: str, made: list[str]) -> str:
     """The surrogate, given for each of the entity's parts, in the spelling of the original."""
     if kind == "name":
         rest = iter(made)
-        new = (x if _INITIAL.fullmatch(x) else printed("given", next(rest)) for x in original.split(" "))
-        return " ".join(n.upper() if len(o) > 1 and o.isupper() else n[:1].upper() + n[1:] for o, n in zip(original.split(" "), new, strict=True))
+        words = _SPACED.split(original)
+        for i, own in enumerate(_core(words[::2])):
+            if own:
+                old, new = words[2 * i], printed("given", next(rest))
+                words[2 * i] = new.upper() if len(old) > 1 and old.isupper() else new if old.islower() else new[:1].upper() + new[1:]
+        return "".join(words)
     made = made[0]
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, made, strict=True)) if len(original) == len(made) else made
@@ -320,6 +467,9 @@ def render(kind: str, original: str, made: list[str]) -> str:
             else:
                 out.append(c)
         return "".join(out)
+    if kind == "ipv6":
+        short = str(ipaddress.IPv6Address(made))
+        return short.upper() if original.isupper() else short
     if kind == "iban":
         rest = iter(made)
         return "".join(c if c == " " else next(rest) for c in original)
@@ -329,14 +479,35 @@ def render(kind: str, original: str, made: list[str]) -> str:
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
-            seen = {p for t in batch.column(0).slice(a, 512).to_pylist() if t for _, _, kind, form in find(t) for p in parts(kind, form)}
+            seen = Counter(x[2:] for t in batch.column(0).slice(a, 512).to_pylist() if t for x in find(t))
             if seen:
-                kinds, forms = zip(*sorted(seen), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(forms)], names=["kind", "form"])
+                kinds, forms = zip(*seen, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(forms), pa.array(seen.values(), pa.int64())], names=["kind", "form", "n"])
+
+
+def _told(found: DataFrame) -> DataFrame:
+    """(given, surname, gender) of full names of open gender whose gender, m or f, other texts tell."""
+    who = F.split(F.substring("form", 3, 1 << 30), r"\|")
+    names = found.where("kind = 'name'").select(F.substring("form", 1, 1).alias("gender"), who[0].alias("given"), who[1].alias("surname"), "n").where("given <> ''")
+    count = names.groupBy("given", "surname").agg(*(F.sum(F.when(F.col("gender") == g, F.col("n")).otherwise(0)).alias(g) for g in "mfn"))
+    more = lambda a, b: F.when(F.col(a) > F.col(b), "m").when(F.col(a) < F.col(b), "f")
+    by_given = count.groupBy("given").agg(F.sum("m").alias("ms"), F.sum("f").alias("fs")).where("ms <> fs")
+    return count.where("n > 0").join(by_given, "given", "left").select("given", "surname", F.coalesce(more("m", "f"), more("ms", "fs")).alias("gender")).where("gender is not null")
+
+
+def _parted(found: DataFrame, told: DataFrame) -> DataFrame:
+    """(kind, form) of the distinct parts of entities, names of open gender with what other texts tell."""
+    who = F.split(F.substring("form", 3, 1 << 30), r"\|")
+    names = found.where("kind = 'name'").select(F.substring("form", 1, 1).alias("own"), who[0].alias("given"), who[1].alias("surname"), (F.size(who) > 2).alias("alone"))
+    gender = F.when(F.col("own") == "n", F.coalesce("gender", "own")).otherwise(F.col("own"))
+    given = names.where("given <> ''").join(told, ["given", "surname"], "left").select(F.lit("given").alias("kind"), F.concat(gender, F.lit(":"), "given").alias("form"))
+    surname = names.where(~F.col("alone")).select(F.lit("surname").alias("kind"), F.col("surname").alias("form"))
+    return found.where("kind <> 'name'").select("kind", "form").unionByName(given).unionByName(surname).distinct()
 
 
 def retried(texts: DataFrame, work: Scratch, key: bytes) -> DataFrame:
-    """(kind, form, attempt) of the entities whose first surrogate collided; texts: one column."""
+    """(kind, form, attempt) of the entities whose first surrogate collided, 1 or 2 as the attempt of ("who", given|surname) where other texts tell
+    a man or a woman, and 1 as that of ("permuted", kind) for kinds that ran out of tries; texts: one column."""
 
     def surrogates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,7 +518,10 @@ def retried(texts: DataFrame, work: Scratch, key: bytes) -> DataFrame:
     def tried(entities: DataFrame) -> DataFrame:
         return entities.select("kind", "form", "attempt").mapInArrow(surrogates, "kind string, form string, attempt int, shown string")
 
-    known = work.table(texts.mapInArrow(_entities, "kind string, form string").distinct(), "entities")
+    found = work.table(texts.mapInArrow(_entities, "kind string, form string, n long").groupBy("kind", "form").agg(F.sum("n").alias("n")), "found")
+    told = work.table(_told(found), "told")
+    who = told.select(F.lit("who").alias("kind"), F.concat("given", F.lit("|"), "surname").alias("form"), F.when(F.col("gender") == "m", 1).otherwise(2).alias("attempt"))
+    known = work.table(_parted(found, told), "entities")
     # Given names of either gender are one and the same to a reader.
     taken = known.select("kind", F.when(F.col("kind") == "given", F.substring("form", 3, 1 << 30)).otherwise(F.col("form")).alias("shown")).distinct()
     current = work.table(tried(known.withColumn("attempt", F.lit(0))), "surrogates")
@@ -357,18 +531,22 @@ def retried(texts: DataFrame, work: Scratch, key: bytes) -> DataFrame:
         good = work.table(first.join(taken, ["kind", "shown"], "left_anti").select("kind", "form"), "settled")
         again = work.table(current.join(good, ["kind", "form"], "left_anti").select("kind", "form", F.lit(attempt).alias("attempt")), "again")
         if again.isEmpty():
-            return current.where("attempt > 0").select("kind", "form", "attempt")
+            return current.where("attempt > 0").select("kind", "form", "attempt").unionByName(who)
         if attempt < MOST_TRIES:
             current = work.table(current.join(good, ["kind", "form"], "left_semi").unionByName(tried(again)), "surrogates")
     kinds = sorted(r["kind"] for r in again.select("kind").distinct().collect())
-    raise ValueError(f"after {MOST_TRIES} tries, entities of these kinds have no surrogate of their own: {', '.join(kinds)}")
+    if open_ended := [k for k in kinds if k not in FIXED]:
+        raise ValueError(f"after {MOST_TRIES} tries, entities of these kinds have no surrogate of their own: {', '.join(open_ended)}")
+    full = texts.sparkSession.createDataFrame([("permuted", k, 1) for k in kinds], "kind string, form string, attempt int")
+    return current.where((F.col("attempt") > 0) & ~F.col("kind").isin(kinds)).select("kind", "form", "attempt").unionByName(who).unionByName(full)
 
 
 def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and (kind, start, end) of each in the result."""
     out, at, size, spans = [], 0, 0, []
     for a, b, kind, form in find(text):
-        new = render(kind, text[a:b], [surrogate(*p, attempts.get(p, 0), key) for p in parts(kind, form)])
+        whole = ("permuted", kind) in attempts
+        new = render(kind, text[a:b], [surrogate(*p, -1 if whole else attempts.get(p, 0), key) for p in parts(kind, form, attempts)])
         out += [text[at:a], new]
         size += a - at
         spans.append((kind, size, size + len(new)))
@@ -398,7 +576,7 @@ def pseudonymize(df: DataFrame, key: bytes, text: str = "text", spans: str = "pi
         # Too many for a broadcast: each text gets the retried entities that it holds.
         def mentions(batches):
             for batch in batches:
-                found = [(h, *p) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for p in {p for x in find(t) for p in parts(*x[2:])}]
+                found = [(h, *p) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for p in {p for x in find(t) for p in needs(*x[2:])}]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["hash", "kind", "form"])
 
         hashed = unused(df, "hash")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,12 @@ def tokenizer_path() -> str:
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The key of surrogates, from the session's ``spark.siltstone.pii.key``; synthetic tables do without a secret one."""
-    return spark.conf.get("spark.siltstone.pii.key", "synthetic tables only").encode()
+    """The key of surrogates, from the session's ``spark.siltstone.pii.key``; without one, a fixed text for synthetic tables and a warning:
+    whoever reads it here can link those surrogates to entities."""
+    key = spark.conf.get("spark.siltstone.pii.key", None)
+    if key is None:
+        warnings.warn("spark.siltstone.pii.key is not set: surrogates are made under a public key", stacklevel=2)
+    return (key or "synthetic tables only").encode()
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,15 +281,107 @@ def test_pii_of_every_script():
 
 
 def test_pii_people():
-    """One person keeps one name, with a title or without; a doctor's gender comes from another title in the text."""
-    text = "Mr John Smith met Frau Smith. John Smith left, Dr John Smith came, SMITH stayed; Smithson and John did not. Mr. J. Smith"
+    """One person keeps one name, with a title or without, in capitals, and by either name alone."""
+    text = "Mr John Smith met Frau Smith. John Smith left, Dr John Smith came, SMITH stayed, JOHN SMITH and john smith too; Smithson and a john did not. Mr. J. Smith and John\n Smith, John's"
     new, spans = pii.replace(text, {}, KEY)
     said = [new[a:b] for _, a, b in spans]
     first, last = said[0].split(" ")
-    assert said == [f"{first} {last}", last, f"{first} {last}", f"{first} {last}", f"J. {last}"] and first in pii.NAMES["latin"]["m"]
-    assert "SMITH stayed; Smithson and John did not" in new
-    upper = pii.replace("Mr SMITH", {}, KEY)[0]
-    assert upper == f"Mr {last.upper()}"
+    full = f"{first} {last}"
+    assert said == [full, last, full, full, last.upper(), full.upper(), full.lower(), f"J. {last}", f"{first}\n {last}", first] and first in pii.NAMES["latin"]["m"]
+    assert "; Smithson and a john did not" in new and new.endswith(f"{first}'s")
+    assert pii.replace("Mr SMITH", {}, KEY)[0] == pii.replace("MR SMITH", {}, KEY)[0].replace("MR", "Mr") == f"Mr {last.upper()}"
+    assert pii.replace("Ms Anna Petrova, later ANNA PETROVA and Anna", {}, KEY)[1][-1][0] == "name"
+    found = {t: [t[a:b] for a, b, _, _ in pii.find(t)] for t in ("Mr. O'Brien, O’Brien, O’BRIEN", "Mr. de la Cruz", "Mrs van Dyke", "Mr Juan de la Cruz; JUAN DE LA CRUZ", "MS SQL, MS Word, SR LATCH", "MS. HALL, HALL", "mr smith")}
+    assert list(found.values()) == [["O'Brien", "O’Brien", "O’BRIEN"], ["de la Cruz"], ["van Dyke"], ["Juan de la Cruz", "JUAN DE LA CRUZ"], [], ["HALL", "HALL"], []]
+    assert pii.replace("Mrs van Dyke", {}, KEY)[0].startswith("Mrs van ") and "Cruz" not in pii.replace("Mr. de la Cruz", {}, KEY)[0]
+
+
+def test_pii_phones():
+    """Country code and trunk zero stay, and a number is one entity in its national and international spellings; times are no numbers."""
+    digits = lambda x: re.sub(r"\D", "", x)
+    said = [pii.replace(t, {}, KEY)[0] for t in ("+44 20 7946 0958", "020 7946 0958", "0044 20 7946 0958", "+44 (0)20 7946 0958", "+442079460958")]
+    assert len({digits(x)[-10:] for x in said}) == 1 and digits(said[0]) != "442079460958"
+    assert [x[:4] for x in said] == ["+44 ", said[1][:4], "0044", "+44 ", "+44" + said[4][3]] and said[1][0] == "0" and "(0)" in said[3]
+    assert pii.replace("+353 1 234 5678", {}, KEY)[0].startswith("+353 ") and pii.replace("+7 495 123 45 67", {}, KEY)[0].startswith("+7 ")
+    assert pii.find("2024-01-02 12:30, 01.02.2024 12, 12:30:45") == []
+
+
+def test_pii_more_kinds():
+    new, spans = pii.replace("at 2001:db8::1, 2001:0DB8:0:0:0:0:0:1; ::1, a::b, std::vector; passport no. C01X00T47; x" + "y" * 90 + "@" + "a." * 12 + "com", {}, KEY)
+    said = [new[a:b] for _, a, b in spans]
+    assert [k for k, _, _ in spans] == ["ipv6", "ipv6", "passport", "email"] and said[0].upper() == said[1] and said[0].startswith("2001:") and "::" in said[0]
+    assert re.fullmatch(r"[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d", said[2]) and "::1, a::b, std::vector" in new and "yyyyyyyyy" not in new
+
+
+def test_pii_permutation():
+    for n in (2, 3, 10, 1000):
+        to = [pii._walk(x, n, KEY, "a") for x in range(n)]
+        assert sorted(to) == list(range(n)) and [pii._walk(x, n, KEY, "a", back=True) for x in to] == list(range(n))
+    octets = [f"10.{a}.0.{b}" for a in range(20) for b in range(100)]
+    made = [pii.permuted("ip", x, KEY) for x in octets]
+    assert len(set(made)) == len(made) and all(m.startswith("10.") and m != x for m, x in zip(made, octets, strict=True))
+    assert pii.luhn(pii.permuted("card", "4111111111111111", KEY)) and len({pii.permuted("nid", f"{i:09d}", KEY) for i in range(500)}) == 500
+    assert [k for _, _, k, _ in pii.find(pii.permuted("iban", "DE89370400440532013000", KEY))] == ["iban"] and pii.permuted("phone", "2079460958", KEY)[0] != "0"
+
+
+def brute(texts, key):
+    """Genders, surrogates and collisions over a list of texts, by plain loops."""
+    full, first = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    found = [(kind, form) for t in texts for _, _, kind, form in pii.find(t or "")]
+    for kind, form in found:
+        if kind == "name":
+            given, surname = form[2:].split("|")[:2]
+            if given:
+                full[given, surname][form[0]] += 1
+                first[given][form[0]] += 1
+    who = {}
+    for (given, surname), n in full.items():
+        for among in (n, first[given]):
+            if n["n"] and ("who", f"{given}|{surname}") not in who and among["m"] != among["f"]:
+                who["who", f"{given}|{surname}"] = 1 if among["m"] > among["f"] else 2
+    entities = {p for kind, form in found for p in pii.parts(kind, form, who)}
+    taken = {(k, pii.printed(k, f)) for k, f in entities}
+    at, settled, rest = {}, {}, sorted(entities)
+    for attempt in range(64):
+        shown = collections.defaultdict(list)
+        for p in rest:
+            shown[p[0], pii.printed(p[0], pii.surrogate(*p, attempt, key))].append(p)
+        rest = []
+        for s, among in shown.items():
+            free = s not in taken and s not in settled.values()
+            at |= dict.fromkeys(among, attempt)
+            if free:
+                settled[min(among)] = s
+            rest += [p for p in among if not free or p != min(among)]
+    return [pii.replace(t, at | who, key)[0] if t else t for t in texts]
+
+
+def test_pii_brute_force(spark, monkeypatch):
+    """Documents that share people, numbers and addresses: one surrogate for a person over titles, cases and documents."""
+    rng = random.Random(7)
+    given, last = ["John", "Anna", "Andrea", "Kim", "Jo", "Ivan", "Mia"] + [f"{a}{b}an" for a in "BCDFG" for b in "aeiou"], [f"{a}{b}{c}ner" for a in "BCDFG" for b in "aeiou" for c in "kl"]
+    texts = [None, "", "plain", "Mr John Smith", "Dr John Smith", "Prof. Andrea Rossi", "Ms Andrea Rossi", "Mr Andrea Weber", "Mr Andrea Wolf", "Dr Andrea Wolf and Andrea", "Dr Kim Lee"]
+    for _ in range(400):
+        g, s, t = rng.choice(given), rng.choice(last), rng.choice(["Mr", "Ms", "Dr", "Prof.", "Frau"])
+        texts.append(rng.choice([f"{t} {g} {s} wrote. {g.upper()} {s.upper()} and {g}", f"{t} {s} at 10.0.0.{rng.randrange(9)}", f"{t} {g} {s}: +44 20 7946 {rng.randrange(20):04d}, 020 7946 {rng.randrange(20):04d}", f"a{rng.randrange(30)}@b.org"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    want = brute(texts, KEY)
+    assert [r["text"] for r in pii.pseudonymize(df, KEY).orderBy("doc_id").collect()] == want
+    assert want[4] == want[3].replace("Mr", "Dr") and want[5].removeprefix("Prof. ") == want[6].removeprefix("Ms ") and want[9].split()[1] == want[8].split()[1]
+    monkeypatch.setattr(pii, "MOST_RETRIED", 0)
+    assert [r["text"] for r in pii.pseudonymize(df, KEY).orderBy("doc_id").collect()] == want
+
+
+def test_pii_full_format(spark, monkeypatch):
+    """Where a format is used up, all of its kind go by the permutation; other kinds keep their surrogates."""
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "MOST_TRIES", 2)
+    monkeypatch.setattr(pii, "surrogate", lambda kind, form, attempt, key: "123456789" if kind == "nid" and attempt >= 0 else real(kind, form, attempt, key))
+    rows = [(i, f"ssn {i:03d}-11-2222, write to a{i}@b.org") for i in range(100)]
+    for most in (20_000, 0):
+        monkeypatch.setattr(pii, "MOST_RETRIED", most)
+        got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+        assert len({t[4:15] for t in got}) == 100 and all(t[:15] != old[:15] and re.fullmatch(r"ssn \d{3}-\d\d-\d{4}, .*", t) for t, (_, old) in zip(got, rows, strict=True))
 
 
 def checked(spark, rows):
