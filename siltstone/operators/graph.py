@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.sources.tables import cut
 
 DAMPING, STEPS, LEAST = 0.85, 20, 0.01
-#: Words to look up that are broadcast.
-MOST_WORDS = 10_000
 
 
 def encode(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,14 +55,36 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return out.groupBy("src", "dst", "rel").agg(F.min("hop").alias("hop"))
 
 
+def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct runs of characters of text, of the given sizes."""
+    one = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array())
+    return F.array_distinct(F.concat(*map(one, sizes)))
+
+
+def holding(hay: DataFrame, needles: DataFrame) -> DataFrame:
+    """hay (id, text), needles (needle) -> (needle, id) of texts that hold a needle. null holds and is held by nothing; an empty needle has no
+    characters to meet by and is left to the caller. A needle meets the texts that hold its rarest run of three characters (of its own size, if
+    shorter), never all texts, and those are compared; a needle with a run that no text holds meets none."""
+    wanted = needles.where("needle <> ''").select("needle").distinct()
+    size = F.least(F.length("needle"), F.lit(3))
+    runs = wanted.select("needle", F.explode(F.when(size == 3, _grams(F.col("needle"), (3,))).otherwise(F.array("needle"))).alias("run"))
+    texts = hay.where("text IS NOT NULL").select("id", F.col("text").alias("hay"))
+    held = cut(texts.select("id", F.explode(_grams(F.col("hay"), (1, 2, 3))).alias("run")).join(runs.select("run").distinct(), "run", "left_semi"))
+    often = held.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = runs.join(often, "run", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("w")).where("w.n > 0")
+    met = rarest.select("needle", F.col("w.run").alias("run")).join(held, "run").select("needle", "id")
+    return met.join(texts.where(F.length("hay") > 0), "id").where(F.contains("hay", "needle")).select("needle", "id").distinct()
+
+
 def seeds_by_name(nodes: DataFrame, words: DataFrame, limit: int = 10) -> DataFrame:
-    """nodes (id, name), words (word): for each word the first limit nodes, by id, whose lower-case name holds it. Words are the small side: they are
-    counted before they are broadcast."""
-    words = words.distinct()
-    hint = F.broadcast if words.limit(MOST_WORDS + 1).count() <= MOST_WORDS else (lambda x: x)
+    """nodes (id, one for each, and name), words (word): for each word the first limit nodes, by id, whose lower-case name holds it (see ``holding``); the empty word is in every name."""
+    low = nodes.select("id", F.lower("name").alias("text"))
     nth = F.row_number().over(Window.partitionBy("word").orderBy("id"))
-    found = nodes.join(hint(words), F.contains(F.lower("name"), F.col("word"))).withColumn("nth", nth)
-    return found.where(F.col("nth") <= limit).select("word", "id", "name")
+    found = holding(low, words.select(F.col("word").alias("needle"))).withColumnRenamed("needle", "word")
+    first = found.withColumn("nth", nth).where(F.col("nth") <= limit).select("word", "id")
+    every = nodes.where("name IS NOT NULL").select("id").distinct().orderBy("id").limit(limit)
+    empty = words.where("word = ''").select("word").limit(1).crossJoin(every)  # one row by limit rows
+    return first.unionByName(empty).join(nodes.select("id", "name"), "id").select("word", "id", "name")
 
 
 def pagerank(pairs: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING, least: float = LEAST, groups: DataFrame | None = None) -> DataFrame:

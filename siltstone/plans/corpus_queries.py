@@ -299,7 +299,7 @@ def throughput_rates(spark, sf):
     spans = {"5m": 300, "15m": 900, "day": 86400, "week": 604800}
     rows = table(spark, sf, "events").select("event_type", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("t"))
     last = rows.groupBy("event_type").agg(F.max("t").alias("now"), F.min("t").alias("from"), F.count("*").alias("total"))
-    late = rows.join(F.broadcast(last.select("event_type", "now")), "event_type")  # a row for each type
+    late = rows.join(last.select("event_type", "now"), "event_type")  # a row for each type: broadcast at run time if they are few
     counts = late.groupBy("event_type").agg(*[F.count_if(F.col("t") > F.col("now") - n).alias(f"n_{k}") for k, n in spans.items()], *[F.max(F.when(F.col("t") <= F.col("now") - n, F.col("t"))).alias(f"t_{k}") for k, n in spans.items()])
     rate = lambda k: F.round(F.when(F.col(f"t_{k}").isNull(), F.col("total") - 1).otherwise(F.col(f"n_{k}")) / ((F.col("now") - F.coalesce(f"t_{k}", "from")) / 60.0), 6)
     return last.join(counts, "event_type").select("event_type", *[rate(k).alias(f"rate_{k}") for k in spans])

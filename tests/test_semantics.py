@@ -1,6 +1,7 @@
 """Small literal cases of the operators' meaning."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,17 @@ def test_seeds_by_name(spark):
     assert [r["id"] for r in sorted(got, key=lambda r: r["id"])] == [1, 4, 7, 10]
 
 
+def test_names_that_hold_words(spark):
+    """All pairs, compared one by one; short and empty words, null, names that repeat and many words of one beginning."""
+    rng = random.Random(4)
+    names = [None, "", "Ab", "A"] + ["".join(rng.choice("abcAé 🙂") for _ in range(rng.randrange(12))) for _ in range(300)] + ["same name"] * 40
+    words = ["", "a", "ab", "zz", "same", "same name", "é", "🙂", None] + ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 6))) for _ in range(80)]
+    nodes = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = graph.seeds_by_name(nodes, spark.createDataFrame([(w,) for w in words], "word string"), 4).collect()
+    want = {(w, i, names[i]) for w in set(words) - {None} for i in [i for i, n in enumerate(names) if n is not None and w in n.lower()][:4]}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_partitions_do_not_matter(spark, sf):
     docs = tables.table(spark, sf, "documents").selectExpr("lang AS collection", "doc_id AS id", "text")
     ask = tables.table(spark, sf, "benchmark").limit(3).selectExpr("item_id AS query_id", "text")
