@@ -1,16 +1,24 @@
 """Dense search by cosine similarity, exact: top k first, threshold and payload after.
 
-The query set is a table; its rows are counted before it is broadcast (a query is one vector), and beyond ``MOST_QUERIES`` queries the scan goes by blocks: queries
-are dealt into blocks of that many, and each part of the points meets each block in a task of its own. Scores are computed once, in a projection below the top k."""
+The query set is a table; queries are dealt into blocks, points into parts, and each part meets each block in a task of its own, where NumPy computes scores (Spark's expressions, where
+ids are no whole numbers). For a top k (``nearest``), only what can be among the best leaves a task."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.text import trimmed
+from siltstone.operators.best import NULL_ID, best, order
 
 MOST_QUERIES, MOST_POINTS = 5_000, 50_000
+#: Points of a part that a task scans, scores that it holds at a time, and points and queries of a task that gives all pairs.
+PART, CELLS, SIDE = 20_000, 1 << 21, 1_400
+#: A product of matrices and the sum in order differ by less.
+LOOSE = 1e-8
 
 
 def doubles(v: str | Column) -> Column:
@@ -25,8 +33,30 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def _whole(points: DataFrame, queries: DataFrame) -> bool:
+    """Whether ids are whole numbers, which NumPy sorts as Spark does."""
+    kinds = (T.LongType, T.IntegerType, T.ShortType)
+    return isinstance(points.schema["id"].dataType, kinds) and isinstance(queries.schema["query_id"].dataType, kinds)
+
+
+def _meet(points: DataFrame, queries: DataFrame, task, part: int, block: int) -> DataFrame:
+    """task(points, queries) for each part of about part points and each block of about block queries, in a task of its own: (query_id, id, score)."""
+    n, m = points.count(), queries.count()
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    parts, blocks = max(-(-n // part), min(cores, -(-n // 500)), 1), max(-(-m // block), 1)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    p = points.select(F.col("id").cast("long").alias("id"), doubles("vector").alias("v")).where("v IS NOT NULL").withColumn("part", deal(parts)).withColumn("block", each(blocks))
+    q = queries.select(F.col("query_id").cast("long").alias("id"), doubles("vector").alias("v")).where("v IS NOT NULL").withColumn("block", deal(blocks)).withColumn("part", each(parts))
+    found = p.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInArrow(task, "query_id long, id long, score double")
+    kind = lambda df, c: F.col(c).cast(df.schema[c].dataType).alias(c)
+    return found.select(kind(queries, "query_id"), kind(points, "id"), "score")
+
+
 def scores(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """points (id, vector), queries (query_id, vector) -> (query_id, id, score); vectors without length or of another size are out."""
+    """points (id, vector), queries (query_id, vector) -> (query_id, id, score) of all pairs; vectors without length or of another size are out. For the best of them see ``nearest``."""
+    if _whole(points, queries):
+        return _meet(points, queries, _all, SIDE, SIDE)
     p = points.select("id", doubles("vector").alias("v")).withColumn("vn", norm(F.col("v"))).where("vn > 0")
     q = queries.select("query_id", doubles("vector").alias("q")).withColumn("qn", norm(F.col("q"))).where("qn > 0")
     asked = q.count()
@@ -46,6 +76,81 @@ def top(scored: DataFrame, k: int | Column, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """top(scores(points, queries), k), without a row for each pair: a task gets a part of the points and a block of the queries, finds by products of matrices
+    what can be among the k best of each query, and computes the scores of that in order. Pairs are many by nature (queries by points); rows that leave a task are not."""
+    if not _whole(points, queries):
+        return top(scores(points, queries), k)
+    return top(_meet(points, queries, lambda a, b: _met(a, b, k), PART, MOST_QUERIES), k)
+
+
+def _rows(query: np.ndarray, ident: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({"query_id": pa.array(query, mask=query == NULL_ID), "id": pa.array(ident, mask=ident == NULL_ID), "score": pa.array(score)})
+
+
+def _by_size(rows: pa.Table) -> dict[int, tuple]:
+    """size -> (ids, vectors, lengths) of the vectors without nulls that have a length; NaN counts as one, as in Spark."""
+    out = {}
+    v = rows["v"].combine_chunks()
+    ids = rows["id"].combine_chunks().fill_null(NULL_ID).to_numpy()
+    size = v.value_lengths().to_numpy()
+    for n in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == n)
+        flat = v.take(pa.array(at)).flatten()
+        whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, n).any(axis=1)
+        x = flat.fill_null(0.0).to_numpy().reshape(-1, n)
+        total = np.zeros(len(x))
+        for d in range(n):
+            total += x[:, d] * x[:, d]
+        length = np.sqrt(total)
+        good = whole & ~(length <= 0)
+        out[n] = ids[at][good], np.ascontiguousarray(x[good]), length[good]
+    return out
+
+
+def _met(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    asked = _by_size(queries)
+    with np.errstate(all="ignore"):
+        for n, (ids, x, length) in _by_size(points).items():
+            if n not in asked or not len(ids):
+                continue
+            names, y, asking = asked[n]
+            step = max(1, CELLS // len(ids))
+            for a in range(0, len(names), step):
+                b = min(a + step, len(names))
+                close = order((y[a:b] @ x.T) / (asking[a:b, None] * length))
+                least = np.partition(close, close.shape[1] - k, axis=1)[:, close.shape[1] - k] if close.shape[1] > k else np.full(b - a, -np.inf)
+                i, j = np.nonzero(close >= least[:, None] - LOOSE)
+                for c in range(0, max(len(i), 1), CELLS):
+                    u, w = i[c : c + CELLS], j[c : c + CELLS]
+                    total = np.zeros(len(u))
+                    for d in range(n):
+                        total += x[w, d] * y[a + u, d]
+                    score = total / (length[w] * asking[a + u])
+                    chosen = best(a + u, score, ids[w], k)
+                    kept.append((names[a + u][chosen], ids[w][chosen], score[chosen]))
+    query, ident, score = (np.concatenate(c) for c in zip(*kept))
+    return _rows(query, ident, score)
+
+
+def _all(points: pa.Table, queries: pa.Table) -> pa.Table:
+    """A score for each pair, its sum in order of the components."""
+    kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    asked = _by_size(queries)
+    with np.errstate(all="ignore"):
+        for n, (ids, x, length) in _by_size(points).items():
+            if n in asked:
+                names, y, asking = asked[n]
+                across = np.ascontiguousarray(x.T)
+                for u in range(len(names)):
+                    total = np.zeros(len(ids))
+                    for d in range(n):
+                        total += across[d] * y[u, d]
+                    kept.append((np.full(len(ids), names[u]), ids, total / (length * asking[u])))
+    return _rows(*(np.concatenate(c) for c in zip(*kept)))
+
+
 def with_payload(hits: DataFrame, payload: DataFrame) -> DataFrame:
     """Late materialisation: payload (id, ...) joined to the few hits; hits without payload stay."""
     return hits.join(payload, "id", "left")
@@ -70,7 +175,7 @@ def quantised(points: DataFrame, bits: int = 4) -> DataFrame:
 def approximate(index: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """The k (1 to 200) best of index, as quantised gives it, for each query by cosine to the restored vectors; the threshold comes after the top k."""
     restored = F.transform("codes", lambda c: F.col("low") + c * F.col("step"))
-    hits = top(scores(index.select("id", restored.alias("vector")), queries), min(max(k, 1), 200))
+    hits = nearest(index.select("id", restored.alias("vector")), queries, min(max(k, 1), 200))
     return hits if least is None else hits.where(F.col("score") >= least)
 
 

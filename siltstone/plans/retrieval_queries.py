@@ -40,25 +40,25 @@ d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 
 
 def dense_topk(spark, sf):
-    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf)), 5)
+    hits = dense.nearest(_points(spark, sf), _asks(spark, sf), 5)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 def dense_threshold(spark, sf):
     """Top k first, threshold after: fewer than k rows may stay."""
-    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf)), 10).where("score >= 0.3")
+    hits = dense.nearest(_points(spark, sf), _asks(spark, sf), 10).where("score >= 0.3")
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def dense_allowlist(spark, sf):
     allowed = table(spark, sf, "embeddings").where("label IN (1, 2)").select(F.col("vec_id").alias("id"))
-    hits = dense.top(dense.scores(_points(spark, sf).join(allowed, "id", "left_semi"), _asks(spark, sf)), 5)
+    hits = dense.nearest(_points(spark, sf).join(allowed, "id", "left_semi"), _asks(spark, sf), 5)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def dense_late_payload(spark, sf):
     payload = table(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), "source", "lang")
-    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf)), 8).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    hits = dense.nearest(_points(spark, sf), _asks(spark, sf), 8).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
     return dense.with_payload(hits, payload).select("query_id", "id", "rank", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
 
 
@@ -131,7 +131,7 @@ def _legs(spark, sf, n=20):
     """Dense and sparse hits of every benchmark item: by its text, and by the vector with its number. Both are used several times and written once."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
     asks = _asks(spark, sf, "true").join(items, "query_id", "left_semi")
-    d = cut(dense.top(dense.scores(_points(spark, sf), asks), n))
+    d = cut(dense.nearest(_points(spark, sf), asks, n))
     s = _bm25(spark, sf, n).select("query_id", "id", "score", "rank")
     return d, cut(s)
 
@@ -180,7 +180,7 @@ FROM sl2 LEFT JOIN dl USING (query_id, id) LEFT JOIN sl USING (query_id, id) WHE
 def per_query_topk(spark, sf):
     """How many rows a query keeps depends on its decision."""
     k = F.when(F.col("query_id") % 2 == 0, 20).otherwise(3)
-    hits = dense.top(dense.scores(_points(spark, sf), _asks(spark, sf)).withColumn("k", k), F.col("k"))
+    hits = dense.nearest(_points(spark, sf), _asks(spark, sf), 20).where(F.col("rank") <= k)
     return hits.select("query_id", "id", F.col("rank").cast("long"))
 
 

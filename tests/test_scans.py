@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltstone.operators import sparse
+from siltstone.operators import dense, sparse
 from siltstone.operators.best import best
 
 
@@ -36,3 +36,19 @@ def test_bm25_scan_equals_joined_rows(spark, monkeypatch):
     got = sparse.ranked(found, stats, wanted, 6)
     assert shown(got.select("query_id", "collection", "id", "score", "rank")) == shown(sparse.ranked(found, stats, wanted, 6, most_weights=0).select("query_id", "collection", "id", "score", "rank"))
     assert got.where(F.col("query_id") == 20).count() == 12
+
+
+def test_nearest_and_all_pairs_equal_spark_expressions(spark, monkeypatch):
+    """Copies in plenty, vectors of other sizes, null, empty, zero, with null, NaN and infinite components, null ids; parts and blocks of a few."""
+    rng = random.Random(6)
+    vector = lambda n=6: [rng.gauss(0, 1) for _ in range(n)]
+    same, nan = vector(), float("nan")
+    rows = [(i, vector()) for i in range(300)] + [(300 + i, same) for i in range(150)] + [(500, None), (501, []), (502, [0.0] * 6), (503, [None] + vector(5)), (504, [nan] + vector(5)), (505, [float("inf")] + vector(5)), (None, vector()), (507, vector(3))]
+    points = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asks = points.where("id % 7 = 0 OR id > 495").select(F.col("id").cast("int").alias("query_id"), "vector")
+    text = lambda df: df.withColumn("id", F.struct("id"))  # noqa: E731  ids that take the other way, and sort alike
+    for name, value in (("PART", 90), ("SIDE", 70), ("MOST_QUERIES", 20), ("CELLS", 1000)):
+        monkeypatch.setattr(dense, name, value)
+    assert shown(dense.scores(points, asks).select("query_id", "id", "score")) == shown(dense.scores(text(points), asks).select("query_id", "id.id", "score"))
+    want = dense.top(dense.scores(text(points), asks), 9).select("query_id", "id.id", "score", "rank")
+    assert shown(dense.nearest(points, asks, 9).select("query_id", "id", "score", "rank")) == shown(want)
