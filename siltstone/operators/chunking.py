@@ -28,9 +28,12 @@ def _full(pieces: Column) -> Column:
 
 def word_windows(text: Column, size: int, overlap: int = 0) -> Column:
     """Windows of words, one every size - overlap words."""
-    words = split_words(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size - overlap if size > overlap else size))
-    return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def windows(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size - overlap if size > overlap else size))
+        return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(split_words(text), windows)  # one list for all windows: in the lambda, the expression would be evaluated for each
 
 
 def _split(pieces: Column, size: int, *ways: Callable[[Column], Column]) -> Column:
@@ -44,14 +47,16 @@ def pack(pieces: Column, size: int, glue: str) -> Column:
     """Neighbours joined as long as both fit into size words; no piece is longer. The fold holds one chunk and appends it once."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"), F.lit(0).alias("n"))
 
-    def step(s: Column, x: Column) -> Column:
-        n = F.size(split_words(x))
+    def joined(s: Column, x: Column, n: Column) -> Column:
         return (
             F.when(s["held"] == "", F.struct(s["out"].alias("out"), x.alias("held"), n.alias("n")))
             .when(s["n"] + n <= size, F.struct(s["out"].alias("out"), F.concat(s["held"], F.lit(glue), x).alias("held"), (s["n"] + n).alias("n")))
             .otherwise(F.struct(F.array_append(s["out"], s["held"]).alias("out"), x.alias("held"), n.alias("n")))
         )
 
+    def step(s: Column, x: Column) -> Column:
+        return let(F.size(split_words(x)), lambda n: joined(s, x, n))
+
     return F.aggregate(pieces, start, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.array_append(s["out"], s["held"])))
 
 
@@ -65,8 +70,8 @@ def recursive(text: Column, size: int, overlap: int) -> Column:
     if not overlap:
         return chunks
     # Each chunk after the first begins with the last words of the one before.
-    tail = lambda x: F.array_join(F.slice(split_words(x), F.greatest(F.size(split_words(x)) - overlap + 1, F.lit(1)), F.lit(overlap)), " ")
-    return F.transform(chunks, lambda x, i: F.when(i > 0, F.concat(tail(F.get(chunks, i - 1)), F.lit("\n\n"), x)).otherwise(x))
+    tail = lambda x: let(split_words(x), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - overlap + 1, F.lit(1)), F.lit(overlap)), " "))
+    return let(chunks, lambda c: F.transform(c, lambda x, i: F.when(i > 0, F.concat(tail(F.get(c, i - 1)), F.lit("\n\n"), x)).otherwise(x)))
 
 
 def sentence_list(text: Column) -> Column:
@@ -100,7 +105,8 @@ def valleys(alike: Column, depth: float = 1.0) -> Column:
 def segments(sentences_: Column, starts: Column) -> Column:
     """sentences in runs that begin at 0 and at starts."""
     none = F.array(F.lit(0))
-    return let(starts, lambda s: F.zip_with(F.concat(none, s), F.concat(s, F.array(F.size(sentences_))), lambda a, b: F.slice(sentences_, a + 1, b - a)))
+    runs = lambda told, s: F.zip_with(F.concat(none, s), F.concat(s, F.array(F.size(told))), lambda a, b: F.slice(told, a + 1, b - a))
+    return let(sentences_, lambda told: let(starts, lambda s: runs(told, s)))
 
 
 def semantic(sentences_: Column, vectors: Column, size: int) -> Column:
@@ -175,9 +181,10 @@ def ingest(files: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) ->
 
     before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     rows = files.where(trimmed("text") != "")
-    carry = F.when(F.col("kind") == "pdf", F.last(op.last_paragraph("text"), ignorenulls=True).over(before))
+    carry = F.when(F.col("kind") == "pdf", F.last(F.when(F.col("kind") == "pdf", op.last_paragraph("text")), ignorenulls=True).over(before))
     rows = cut(rows.withColumn("text", F.concat_ws("\n\n", carry, F.col("text"))))
-    pieces = rows.select("path", "part", "title", "prefix", F.posexplode("chunks").alias("at", "piece"))
+    # Before an inner explode, Spark filters rows by the size of their chunks, and computes all chunks once more for that.
+    pieces = rows.select("path", "part", "title", "prefix", F.posexplode_outer("chunks").alias("at", "piece")).where("piece IS NOT NULL")
     number = F.row_number().over(Window.partitionBy("path").orderBy("part", "at")) - 1
     chunk = F.when(F.col("prefix") != "", F.concat("prefix", F.lit("\n\n"), "piece")).otherwise(F.col("piece"))
     out = pieces.select("path", "part", "title", number.cast("long").alias("chunk_idx"), chunk.alias("chunk"))

@@ -146,8 +146,7 @@ def merge_small(pieces: Column, least: int, most: int) -> Column:
     words = lambda x: F.size(split_words(x))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"), F.lit(0).alias("n"))
 
-    def step(s: Column, x: Column) -> Column:
-        n = words(x)
+    def joined(s: Column, x: Column, n: Column) -> Column:
         joins = (s["n"] < least) & (s["n"] + n <= most)
         return (
             F.when(s["held"] == "", F.struct(s["out"].alias("out"), x.alias("held"), n.alias("n")))
@@ -155,6 +154,9 @@ def merge_small(pieces: Column, least: int, most: int) -> Column:
             .otherwise(F.struct(F.array_append(s["out"], s["held"]).alias("out"), x.alias("held"), n.alias("n")))
         )
 
+    def step(s: Column, x: Column) -> Column:
+        return let(words(x), lambda n: joined(s, x, n))
+
     if least <= 0:
         return pieces
     return F.when(F.size(pieces) <= 1, pieces).otherwise(F.aggregate(pieces, start, step, lambda s: F.when(s["held"] != "", F.array_append(s["out"], s["held"])).otherwise(s["out"])))
@@ -163,7 +165,7 @@ def merge_small(pieces: Column, least: int, most: int) -> Column:
 def last_paragraph(text: str | Column) -> Column:
     """The last paragraph that is not blank, trimmed; null without one."""
     full = F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), "\n\n"), trimmed), lambda x: x != "")
-    return F.when(F.size(full) > 0, F.element_at(full, -1))
+    return let(full, lambda x: F.when(F.size(x) > 0, F.element_at(x, -1)))
 
 
 def chunk_prefix(prefix: Column, citation: Column, court: Column, year: Column, topics: Column) -> Column:

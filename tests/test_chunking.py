@@ -3,6 +3,8 @@
 import hashlib
 import json
 import re
+import time
+
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +226,14 @@ def test_capture_is_sampled_by_trace(spark):
     assert 120 < len(some) < 280 and some == {r["trace_id"] for r in messages.capture(df.repartition(3), 0.5).collect()} and messages.capture(df, 0.0).count() == 0
     records = [json.loads(r["record"]) for r in messages.capture(df.limit(1)).collect()]
     assert [r["record_type"] for r in records] == ["rag_turn", "finetune_turn"] and records[0]["qa_pair"] == {"question": "why", "answer": "so"} and records[1]["messages"] == [{"role": "user", "content": "why"}]
+
+
+def test_texts_are_cut_once(spark):
+    """Many chunks of one text take time in proportion; before an explode, no filter computes all chunks once more."""
+    text = "".join(f"w{i} " for i in range(60_000))
+    start = time.time()
+    cut = spark.createDataFrame([(text, text.replace("0 ", "0\n\n"))], "a string, b string").select(chunking.word_windows(F.col("a"), 6, 1).alias("a"), chunking.recursive(F.col("b"), 6, 2).alias("b")).first()
+    assert len(cut["a"]) == 12_000 and len(cut["b"]) > 6_000 and time.time() - start < 25
+    files = spark.createDataFrame([("f", "text", 0, "One. Two.", "t", "")], "path string, kind string, part long, text string, title string, prefix string")
+    plan = chunking.ingest(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
