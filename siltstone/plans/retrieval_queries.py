@@ -278,7 +278,8 @@ ASSEMBLE_SQL = f"WITH {_HITS} SELECT source, '{context.PREFIX.strip()}' || chr(1
 
 def note_recall(spark, sf):
     """Notes by key, text and age for every item: a phrase that stands in a note counts 1000, each shared word 1. Notes meet the items whose words they
-    share; a note that holds a phrase holds its words but for the outer ones, which may be parts of its own, so phrases of one or two words are sought in every note."""
+    share; a note that holds a phrase holds its words but for the outer ones, which may be parts of its own, so phrases of one or two words are sought in every note,
+    longer ones in notes that share all words but two."""
     words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0)))
     notes = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", F.lower(F.concat_ws(" ", F.col("source"), "lang", "text")).alias("hay"))
     asks = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("q"), words(F.col("text")).alias("ws"))
@@ -286,7 +287,10 @@ def note_recall(spark, sf):
     shared = notes.select("doc_id", F.explode(words(F.col("hay"))).alias("w")).join(wanted, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     short = notes.join(asks.where("size(ws) <= 2 AND q <> ''"), F.contains("hay", "q")).select("item_id", "doc_id", F.lit(0).cast("long").alias("shared"))
     pairs = shared.unionByName(short).groupBy("item_id", "doc_id").agg(F.max("shared").alias("shared"))
-    scored = pairs.join(notes, "doc_id").join(asks.select("item_id", "q"), "item_id").select("item_id", "doc_id", (F.col("shared") + F.when(F.contains("hay", "q"), 1000).otherwise(0)).alias("score"))
+    pairs = cut(pairs)
+    near = pairs.join(F.broadcast(asks), "item_id").where(F.col("shared") >= F.size("ws") - 2).select("item_id", "doc_id", "q")  # no other note can hold the phrase; only these meet texts
+    held = near.join(notes, "doc_id").where(F.contains("hay", "q")).select("item_id", "doc_id", F.lit(1000).alias("whole")).distinct()
+    scored = pairs.join(held, ["item_id", "doc_id"], "left").select("item_id", "doc_id", (F.col("shared") + F.coalesce("whole", F.lit(0))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("doc_id")))
     return scored.where("score > 0").withColumn("rank", rank).where("rank <= 5").select("item_id", "doc_id", "score")
 
