@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import split_words
+from siltstone.operators.containment import drop_contained as drop_contained
 from siltstone.operators.text import CONSTRAINT
 
 #: What stands between texts and before them (fixed values).
@@ -24,29 +25,6 @@ def dedupe(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.withColumn("_key", text_key(F.col("text"))).withColumn("_nth", best).where("_nth = 1").drop("_key", "_nth")
 
 
-def drop_contained(hits: DataFrame, by: list[str]) -> DataFrame:
-    """Without hits (by, id, text) whose text stands inside a longer one of the same group.
-
-    A text's inner words stand as whole words in any text that holds it, so a text meets only those that hold its longest inner word (then
-    the one of least hash). Texts of one or two words, which have none, meet the longer texts of their group; equal ones do so once."""
-    words = lambda x: F.split(x, r"\s")
-    inner = F.filter(F.slice(words(F.col("text")), 2, F.greatest(F.size(words(F.col("text"))) - 2, F.lit(0))), lambda w: w != "")
-    best = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), F.xxhash64(w).alias("h"))))
-    rows = hits.withColumn("_key", best["h"])
-    longer = rows.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("text").alias("_longer"), F.length("text").alias("_n"))
-    same = [F.col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
-    holds = (F.col("_n") > F.length("text")) & F.contains("_longer", "text")
-    every = longer.select("*", F.explode(F.array_distinct(F.transform(F.filter(words(F.col("_longer")), lambda w: w != ""), lambda w: F.xxhash64(w)))).alias("_word"))
-    on = holds & (F.col("_key") == F.col("_word"))
-    for c in same:
-        on = on & c
-        holds = holds & c
-    some = rows.where("_key IS NOT NULL").join(every, on, "left_anti")
-    few = rows.where("_key IS NULL")
-    held = few.select(*by, "text").distinct().join(longer, holds, "left_semi")
-    return some.drop("_key").unionByName(few.join(held, [*by, "text"], "left_anti").select(*hits.columns))
-
-
 def fit(hits: Column, budget: Column, separator: int = 8) -> Column:
     """hits: array of struct(text, id, ...), best first. The greedy choice within budget characters: whole texts; else their
     constraint lines; else what is left of the budget. Array of struct(id, text)."""

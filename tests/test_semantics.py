@@ -246,3 +246,36 @@ def test_contained(spark):
     rows = [(rng.randrange(3), i, text()[rng.randrange(2) :] + rng.choice(["", " ", "\t"])) for i in range(300)]
     got = {r["id"] for r in context.drop_contained(spark.createDataFrame(rows, "g int, id int, text string"), ["g"]).collect()}
     assert got == {i for g, i, t in rows if not any(g == h and len(u) > len(t) and t in u for h, _, u in rows)}
+
+
+def test_contained_moves_few_rows(spark):
+    """Long lines are met by narrow keys: what is shuffled stays a small multiple of the texts; before, a text was repeated for each of its words."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    words = [word() for _ in range(3000)]
+    long = [" ".join(rng.choice(words) for _ in range(rng.randrange(100, 300))) for _ in range(600)]
+    part = [t[a : a + rng.randrange(20, 400)] for t in long[:200] for a in [rng.randrange(len(t) // 2)]]
+    near = [long[0].replace(w, w + "x", 1) for w in long[0].split()[3:60]]
+    odd = ["", " ", "\t", words[5], words[6][1:], f"{words[7]} ", f" {words[8]}", long[3][100:112], long[4].split()[3] + "\t", "zz", "q r s", f"{long[5].split()[4]} {long[5].split()[5][:1]}"]
+    texts = long + part + near + odd
+    rows = spark.createDataFrame([(i % 2 if i % 400 else None, i, t) for i, t in enumerate(texts)] + [(0, 9000, None)], "g int, id int, text string").repartition(4)
+    store = lambda: sum(s.shuffleWriteBytes() + s.diskBytesSpilled() for s in _stages(spark))
+    before = store()
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        got = {r["id"] for r in context.drop_contained(rows, ["g"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    moved = store() - before
+    data = [tuple(r) for r in rows.collect()]
+    assert got == {i for g, i, t in data if t is None or g is None or not any(g == h and u is not None and len(u) > len(t) and t in u for h, _, u in data)}
+    assert moved < 12 * sum(len(t) for t in texts)  # 8 times; 17 with a copy for each word
+
+
+def _stages(spark):
+    gateway = spark.sparkContext._gateway
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
