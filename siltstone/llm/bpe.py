@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm.common import thrifty
+
 #: The word pattern of byte-level BPE (a fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes of the memos of pre-tokens and of runs between spaces in a worker, each in an older and a newer half of which the older is forgotten when the newer is full;
@@ -197,7 +199,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
                     columns.append(pa.array([bpe.decode(x) for x in out], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(thrifty(run), schema)
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -211,7 +213,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text")
             out = [bpe.decode(x) if x else "" for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(thrifty(run), schema)
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

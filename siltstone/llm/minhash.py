@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, as_bytes, mix64, slices
+from siltstone.llm.common import Scratch, as_bytes, mix64, slices, thrifty
 from siltstone.llm.components import components
 
 WORDS = 5
@@ -152,7 +152,7 @@ def sign(documents: DataFrame) -> DataFrame:
                         columns.append(pa.nulls(y - x, kind))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "a", "b", "bits"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, a array<long>, b array<long>, bits array<long>")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(thrifty(run), "doc_id long, n long, f1 long, f2 long, a array<long>, b array<long>, bits array<long>")
 
 
 def _possible(x: str, y: str) -> Column:
@@ -180,7 +180,7 @@ def confirm(documents: DataFrame, pairs: DataFrame) -> DataFrame:
                 got = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), got], names=["id", "set"])
 
-    sets = work.table(texts.mapInArrow(run, "id long, set array<long>"), "sets")
+    sets = work.table(texts.mapInArrow(thrifty(run), "id long, set array<long>"), "sets")
     busy = ends.where(F.col("partners") > PARTNERS)
     both = pairs.join(busy.toDF("x", "px"), "x", "left").join(busy.toDF("y", "py"), "y", "left")
     turn = F.coalesce("px", F.lit(0)) > F.coalesce("py", F.lit(0))

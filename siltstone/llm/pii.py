@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import Scratch, unused
+from siltstone.llm.common import Scratch, thrifty, unused
 
 MOST_RETRIED = 20_000
 MOST_TRIES = 64
@@ -516,9 +516,9 @@ def retried(texts: DataFrame, work: Scratch, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown, pa.string())], names=["kind", "form", "attempt", "shown"])
 
     def tried(entities: DataFrame) -> DataFrame:
-        return entities.select("kind", "form", "attempt").mapInArrow(surrogates, "kind string, form string, attempt int, shown string")
+        return entities.select("kind", "form", "attempt").mapInArrow(thrifty(surrogates), "kind string, form string, attempt int, shown string")
 
-    found = work.table(texts.mapInArrow(_entities, "kind string, form string, n long").groupBy("kind", "form").agg(F.sum("n").alias("n")), "found")
+    found = work.table(texts.mapInArrow(thrifty(_entities), "kind string, form string, n long").groupBy("kind", "form").agg(F.sum("n").alias("n")), "found")
     told = work.table(_told(found), "told")
     who = told.select(F.lit("who").alias("kind"), F.concat("given", F.lit("|"), "surname").alias("form"), F.when(F.col("gender") == "m", 1).otherwise(2).alias("attempt"))
     known = work.table(_parted(found, told), "entities")
@@ -581,7 +581,7 @@ def pseudonymize(df: DataFrame, key: bytes, text: str = "text", spans: str = "pi
 
         hashed = unused(df, "hash")
         df = df.withColumn(hashed, F.xxhash64(F.col(text)))
-        held = df.select(F.col(hashed).alias("hash"), F.col(text).alias("text")).mapInArrow(mentions, "hash long, kind string, form string").distinct().join(retry, ["kind", "form"])
+        held = df.select(F.col(hashed).alias("hash"), F.col(text).alias("text")).mapInArrow(thrifty(mentions), "hash long, kind string, form string").distinct().join(retry, ["kind", "form"])
         extra = held.groupBy(F.col("hash").alias(hashed)).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(tries))
         df = df.join(extra, hashed, "left").drop(hashed)
 
@@ -601,4 +601,4 @@ def pseudonymize(df: DataFrame, key: bytes, text: str = "text", spans: str = "pi
                 columns.append(pa.array([[{"kind": k, "start": x, "end": y} for k, x, y in o[1]] for o in out], _ARROW_SPANS))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(thrifty(run), schema)

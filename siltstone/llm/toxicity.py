@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm.common import thrifty
+
 BITS = 18
 SIZES = (3, 4, 5)
 FIT_TOXIC, FIT_CLEAN = 2_500, 6_000
@@ -138,8 +140,8 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float]:
         weights, bias = fit([(np.frombuffer(s, np.int32), np.frombuffer(t, np.float32)) for s, t, _ in got], [r[2] for r in got])
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
-    counts = rows.mapInArrow(count, "slots binary, times binary, label int")
-    got = counts.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    counts = rows.mapInArrow(thrifty(count), "slots binary, times binary, label int")
+    got = counts.repartition(1).mapInArrow(thrifty(run), "weights binary, bias double").first()
     if got is None:  # no row, no task
         return fit([], [])
     return np.frombuffer(got["weights"], np.float32), got["bias"]
@@ -178,4 +180,4 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text") ->
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(thrifty(run), schema)
