@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.text import trimmed
-from siltstone.operators.best import NULL_ID, best, order
+from siltstone.functions.text import let, trimmed
+from siltstone.operators.best import NULL_ID, best
+from siltstone.sources.tables import cut
 
 MOST_QUERIES, MOST_POINTS = 5_000, 50_000
 #: Points of a part that a task scans, scores that it holds at a time, and points and queries of a task that gives all pairs.
 PART, CELLS, SIDE = 20_000, 1 << 21, 1_400
-#: A product of matrices and the sum in order differ by less.
-LOOSE = 1e-8
+#: Scores in double precision that ranks to 9 digits may take for one another; points that meet queries at a time, of which the first bound what later ones must reach.
+LOOSE, TILE = 1e-8, 4_096
 
 
 def doubles(v: str | Column) -> Column:
@@ -109,6 +110,8 @@ def _by_size(rows: pa.Table) -> dict[int, tuple]:
 
 
 def _met(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """What can be among the k best of each query: a product in single precision of vectors of length 1, with the error that it can have, finds it, and only that is scored in order.
+    The best of the first points bound what later ones must reach, so most scores are compared once and never sorted."""
     kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     asked = _by_size(queries)
     with np.errstate(all="ignore"):
@@ -116,12 +119,36 @@ def _met(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
             if n not in asked or not len(ids):
                 continue
             names, y, asking = asked[n]
+            p, q = (x / length[:, None]).astype(np.float32), (y / asking[:, None]).astype(np.float32)
+            # What is not finite, or too short or long to divide well, is always scored.
+            odd = lambda v, size: ~(np.isfinite(v).all(axis=1) & (size > 1e-140) & (size < 1e140))
+            aside, strange = odd(p, length), odd(q, asking)
+            p[aside], q[strange] = 0, 0
+            loose = np.flatnonzero(aside)
+            margin = np.float32(2 * (n + 8) * 2.0**-23 + LOOSE)
             step = max(1, CELLS // len(ids))
             for a in range(0, len(names), step):
                 b = min(a + step, len(names))
-                close = order((y[a:b] @ x.T) / (asking[a:b, None] * length))
-                least = np.partition(close, close.shape[1] - k, axis=1)[:, close.shape[1] - k] if close.shape[1] > k else np.full(b - a, -np.inf)
-                i, j = np.nonzero(close >= least[:, None] - LOOSE)
+                least = np.full(b - a, -np.inf, np.float32)
+                found = []
+                for c in range(0, len(ids), TILE):
+                    close = q[a:b] @ p[c : c + TILE].T
+                    if loose.size:
+                        close[:, aside[c : c + TILE]] = -np.inf
+                    if close.shape[1] > k and c == 0:
+                        least = np.partition(close, close.shape[1] - k, axis=1)[:, close.shape[1] - k] - margin
+                        least[strange[a:b]] = -np.inf
+                    i, j = np.divmod(np.flatnonzero(close >= least[:, None]), close.shape[1])
+                    found.append((i, j + c, close[i, j]))
+                    if sum(len(f[0]) for f in found) > 2 * (b - a) * k + CELLS // 8:
+                        found, least = _closer(found, least, strange[a:b], k, margin)
+                i, j, _ = (np.concatenate(f) for f in zip(*found))
+                if loose.size:
+                    usual = ~np.isin(j, loose)
+                    i, j = np.r_[i[usual], np.repeat(np.arange(b - a), loose.size)], np.r_[j[usual], np.tile(loose, b - a)]
+                # Some queries at a time: what a task holds is bounded also where very many points are alike.
+                some = np.argsort(i, kind="stable")
+                i, j = i[some], j[some]
                 for c in range(0, max(len(i), 1), CELLS):
                     u, w = i[c : c + CELLS], j[c : c + CELLS]
                     total = np.zeros(len(u))
@@ -134,6 +161,21 @@ def _met(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     return _rows(query, ident, score)
 
 
+def _closer(found: list, least: np.ndarray, strange: np.ndarray, k: int, margin: np.float32) -> tuple[list, np.ndarray]:
+    """Candidates (query, point, coarse score) that still can be among the k best, and what later ones must reach."""
+    i, j, close = (np.concatenate(f) for f in zip(*found))
+    at = np.lexsort((-close, i))
+    i, j, close = i[at], j[at], close[at]
+    first = np.searchsorted(i, np.arange(len(least)))
+    last = first + k - 1
+    full = np.flatnonzero((last < len(i)) & ~strange)
+    full = full[i[last[full]] == full]
+    least = least.copy()
+    least[full] = np.maximum(least[full], close[last[full]] - margin)
+    good = close >= least[i]
+    return [(i[good], j[good], close[good])], least
+
+
 def _all(points: pa.Table, queries: pa.Table) -> pa.Table:
     """A score for each pair, its sum in order of the components."""
     kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -167,15 +209,18 @@ def quantised(points: DataFrame, bits: int = 4) -> DataFrame:
     if not 1 <= bits <= 7:
         raise ValueError("bits: 1 to 7")
     most = (1 << bits) - 1
-    p = points.select("id", doubles("vector").alias("v")).where("size(v) > 0").select("id", "v", F.array_min("v").alias("low"), ((F.array_max("v") - F.array_min("v")) / most).alias("step"))
-    code = lambda x: F.when(F.col("step") > 0, F.floor((x - F.col("low")) / F.col("step") + 0.5)).otherwise(0).cast("tinyint")
-    return p.select("id", "low", "step", F.transform("v", code).alias("codes"))
+    p = points.select("id", doubles("vector").alias("v")).where("size(v) > 0")
+    bounds = lambda x: let(F.struct(F.array_min(x).alias("low"), F.array_max(x).alias("high")), lambda b: F.struct(b["low"].alias("low"), ((b["high"] - b["low"]) / most).alias("step")))
+    code = lambda x, b: F.when(b["step"] > 0, F.floor((x - b["low"]) / b["step"] + 0.5)).otherwise(0).cast("tinyint")
+    # Bounds are taken once for a vector: as columns of an earlier step Spark would take them again for each component.
+    found = let(F.col("v"), lambda v: let(bounds(v), lambda b: F.struct(b["low"].alias("low"), b["step"].alias("step"), F.transform(v, lambda x: code(x, b)).alias("codes"))))
+    return p.select("id", found.alias("q")).select("id", "q.low", "q.step", "q.codes")
 
 
 def approximate(index: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """The k (1 to 200) best of index, as quantised gives it, for each query by cosine to the restored vectors; the threshold comes after the top k."""
-    restored = F.transform("codes", lambda c: F.col("low") + c * F.col("step"))
-    hits = nearest(index.select("id", restored.alias("vector")), queries, min(max(k, 1), 200))
+    restored = let(F.struct("low", "step", "codes"), lambda q: F.transform(q["codes"], lambda c: q["low"] + c * q["step"]))
+    hits = nearest(cut(index.select("id", restored.alias("vector"))), queries, min(max(k, 1), 200))
     return hits if least is None else hits.where(F.col("score") >= least)
 
 

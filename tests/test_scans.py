@@ -52,3 +52,38 @@ def test_nearest_and_all_pairs_equal_spark_expressions(spark, monkeypatch):
     assert shown(dense.scores(points, asks).select("query_id", "id", "score")) == shown(dense.scores(text(points), asks).select("query_id", "id.id", "score"))
     want = dense.top(dense.scores(text(points), asks), 9).select("query_id", "id.id", "score", "rank")
     assert shown(dense.nearest(points, asks, 9).select("query_id", "id", "score", "rank")) == shown(want)
+
+
+def test_nearest_sorts_few_scores(monkeypatch):
+    """Points of a part are met some at a time and the first bound the later ones; before, all scores of a part were sorted for each query."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    sorted_, plain = [], np.partition
+    monkeypatch.setattr(dense, "TILE", 500)
+    monkeypatch.setattr(np, "partition", lambda x, *a, **k: sorted_.append(x.size) or plain(x, *a, **k))
+    table = lambda first, x: pa.table({"id": np.arange(first, first + len(x)), "v": pa.array(x.tolist())})
+    x, y = rng.standard_normal((5000, 16)), rng.standard_normal((40, 16))
+    x[900:1000], x[4000:4050] = x[4100:4200], x[17] * 3
+    y[3], x[30, 2], x[40], y[5] = x[17], np.nan, 1e-170, y[5] * 1e200
+    got = dense._met(table(0, x), table(0, y), 7).to_pandas()
+    with np.errstate(all="ignore"):
+        cos = (y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1))
+    for q in set(range(40)) - {5}:
+        mine = got[got.query_id == q]
+        assert 30 in set(mine.id)
+        ranked = lambda ids, s: [i for _, i in sorted((-round(v, 9), i) for i, v in zip(ids, s) if i not in (30, 40))][:6]  # noqa: E731  NaN comes before them
+        assert ranked(mine.id, cos[q][mine.id]) == ranked(range(5000), cos[q])
+    assert sum(sorted_) <= 40 * 500
+
+
+def test_quantised_takes_bounds_once(spark):
+    """The bounds of a vector stand once in the plan; before, they were taken again for each component."""
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(50)] + [(50, [2.0] * 8), (51, []), (52, None)]
+    index = dense.quantised(spark.createDataFrame(rows, "id long, vector array<double>"))
+    plan = index.select("id", "codes")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min") == 1
+    for (i, v), got in zip(rows[:51], index.orderBy("id").collect(), strict=True):
+        step = (max(v) - min(v)) / 15
+        assert tuple(got) == (i, min(v), step, [int((x - min(v)) / step + 0.5) if step else 0 for x in v])
