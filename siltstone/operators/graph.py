@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.sources.tables import cut
 
 DAMPING, STEPS, LEAST = 0.85, 20, 0.01
+#: Pairs that a part of a graph should hold, pairs in a row of it, and how an id tells its part and its place there.
+PAIRS, ROW, BITS = 1 << 23, 1 << 20, 33
+PLACE = (1 << BITS) - 1
+#: What a part holds, what moves in a step, and the sums that are no group's: what nodes without neighbours hold, and how many nodes there are.
+OWN, MOVED = "part int, other int, a binary, b binary", "part int, source int, v binary, g long, s double"
+_OWN = pa.schema([("part", pa.int32()), ("other", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+_MOVED = pa.schema([("part", pa.int32()), ("source", pa.int32()), ("v", pa.binary()), ("g", pa.int64()), ("s", pa.float64())])
+LOST, SIZE = -2, -1
 
 
 def encode(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,46 +98,182 @@ def seeds_by_name(nodes: DataFrame, words: DataFrame, limit: int = 10) -> DataFr
     return first.unionByName(empty).join(nodes.select("id", "name"), "id").select("word", "id", "name")
 
 
+def numbered(nodes: DataFrame, parts: int, *by: str) -> DataFrame:
+    """nodes with id: the number of its part (parts are ranges of by, so that neighbours should be near by it) above the lowest 33 bits, and in those its place in the part, without gaps."""
+    return cut(nodes.repartitionByRange(parts, *by).withColumn("id", F.monotonically_increasing_id()))
+
+
+def parts_of(spark: SparkSession, pairs: int) -> int:
+    """How many parts a graph of so many pairs is dealt into."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-pairs // PAIRS))
+
+
+def sized(groups: DataFrame, g: str) -> DataFrame:
+    """(g, number, many): the groups of two members or more, numbered, and how many others a member has."""
+    return cut(groups.groupBy(g).agg((F.count("*") - 1).alias("many")).where(F.col(g).isNotNull() & (F.col("many") > 0)).withColumn("number", F.monotonically_increasing_id()))
+
+
+def shares(seeds: DataFrame) -> DataFrame:
+    """seeds (node, weight) -> (node, t): their part of all weights, also of seeds outside the graph."""
+    total = seeds.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
+    return seeds.groupBy("node").agg((F.sum("weight") / total).alias("t"))
+
+
 def pagerank(pairs: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING, least: float = LEAST, groups: DataFrame | None = None) -> DataFrame:
     """pairs (src, dst), seeds (node, weight), groups (node, g: at most one each) -> (node, score) above least.
 
     Neighbours are those of pairs and, without a pair being built, all others of the same group: what a group gives is its sum less a node's own share.
     As the reference computes it: teleport = weight / sum of all weights, also of seeds outside the graph; what nodes without
-    neighbours hold goes to every node in equal parts, undamped. A step is two aggregates and two joins; each is written. Nodes are
-    numbered first, so that the steps move numbers and never names.
+    neighbours hold goes to every node in equal parts, undamped. Nodes are numbered first, so that the steps (see ``flow``) move numbers and never names.
     """
-    pairs = cut(pairs.select("src", "dst").distinct())
-    total = seeds.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
-    share = seeds.groupBy("node").agg((F.sum("weight") / total).alias("t"))
-    degree = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
+    pairs = cut(pairs.select("src", "dst"))
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     if groups is None:
-        base = nodes.withColumns({"g": F.lit(None).cast("string"), "many": F.lit(0).cast("long")})
+        base = nodes.withColumns({"number": F.lit(None).cast("long"), "many": F.lit(0).cast("long")})
     else:
-        several = groups.groupBy("g").agg((F.count("*") - 1).alias("many")).where("many > 0")
-        grouped = groups.join(several, "g").select("node", "g", "many")
-        base = nodes.join(grouped, "node", "full_outer").select("node", "g", F.coalesce("many", F.lit(0)).alias("many"))
-    base = base.join(share, "node", "left").join(degree, "node", "left")
-    deg = (F.coalesce("out", F.lit(0)) + F.col("many")).cast("double")
-    numbered = cut(base.select(F.monotonically_increasing_id().alias("id"), "node", "g", F.coalesce("t", F.lit(0.0)).alias("t"), deg.alias("deg")))
-    names = numbered.select("id", "node")
-    ends = pairs.join(names.toDF("from", "src"), "src").select("from", "dst").join(names.toDF("to", "dst"), "dst")
-    edges = cut(ends.select("from", "to"))
-    state = numbered.select("id", "g", "t", "deg", F.col("t").alias("score"))
-    size = state.agg(F.count("*").alias("n"), F.count_if(F.col("deg") == 0).alias("ends")).first()
-    for _ in range(steps):
-        lost = state.where("deg = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"] if size["ends"] else 0.0
-        given = F.when(F.col("deg") > 0, F.col("score") / F.col("deg")).otherwise(0.0)
-        flow = edges.join(state.select(F.col("id").alias("from"), given.alias("given")).where("given > 0"), "from").groupBy(F.col("to").alias("id")).agg(F.sum("given").alias("flow"))
-        after = state.join(flow, "id", "left")
-        if groups is not None:
-            sums = state.where("g IS NOT NULL").groupBy("g").agg(F.sum(given).alias("all"))
-            after = after.join(sums, "g", "left")
-            got = F.coalesce("flow", F.lit(0.0)) + F.coalesce(F.col("all") - given, F.lit(0.0))
-        else:
-            got = F.coalesce("flow", F.lit(0.0))
-        state = cut(after.select("id", "g", "t", "deg", ((1 - damping) * F.col("t") + damping * got + lost / max(size["n"], 1)).alias("score")))
-    return state.where(F.col("score") > least).join(names, "id").select("node", "score")
+        base = nodes.join(groups.join(sized(groups, "g"), "g").select("node", "number", "many"), "node", "full_outer")
+    parts = parts_of(pairs.sparkSession, pairs.count())
+    all_nodes = numbered(base.join(shares(seeds), "node", "left"), parts, "node")
+    names = all_nodes.select("id", "node")
+    ends = pairs.join(names.toDF("from", "src"), "src").join(names.toDF("to", "dst"), "dst").select("from", "to")
+    return flow(all_nodes, ends, parts, steps, damping).where(F.col("score") > least).join(names, "id").select("node", "score")
+
+
+def shared(members: DataFrame) -> DataFrame:
+    """members (passage, facts: array of (id, number)) -> (from, to) of facts of different groups that share a passage, both ways and once for each passage."""
+    one = members.select(F.explode("facts").alias("a"), "facts").select("a", F.explode("facts").alias("b"))
+    return one.where("a.id <> b.id AND NOT (a.number <=> b.number AND a.number IS NOT NULL)").select(F.col("a.id").alias("from"), F.col("b.id").alias("to"))
+
+
+def flow(nodes: DataFrame, pairs: DataFrame, parts: int, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+    """nodes (id as ``numbered`` gives it, number of the group or null, many: others in it, t: teleport or null), pairs (from, to; repeated ones count once) -> (id, score) after so many steps
+    of personalised PageRank; nodes without any neighbour are left out.
+
+    Pairs lie with the part of their end and stay there. In a step a part gets from each other part one number for each node of it that it has pairs from, in an order that
+    both know, so neither pairs nor ids are moved; and from each group that it has members of, the sum. A step is a cogroup of parts, its result is written.
+    """
+    rows = pairs.mapInArrow(_packed, "part int, a binary, b binary").groupBy("part").applyInArrow(_settled, OWN)
+    ranks = nodes.select(F.shiftright("id", 33).cast("int").alias("part"), "id", F.coalesce("number", F.lit(-1)).alias("number"), F.coalesce("many", F.lit(0)).cast("double").alias("many"), F.coalesce("t", F.lit(0.0)).alias("t"))
+    own = rows.unionByName(ranks.groupBy("part").applyInArrow(_listed, OWN)).repartition(parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        state = cut(own.groupBy("part").applyInArrow(lambda mine: _moved(mine, None, damping, steps == 0), MOVED))
+        for step in range(steps):
+            sums = state.where("source = -2").select("part", "g", "s")
+            totals = sums.select("part", "g").join(sums.groupBy("g").agg(F.sum("s").alias("s")), "g").select("part", F.lit(-2).alias("source"), F.lit(None).cast("binary").alias("v"), "g", "s")
+            came = state.where("source <> -2").unionByName(totals)
+            state = cut(own.groupBy("part").cogroup(came.groupBy("part")).applyInArrow(_step(damping, step == steps - 1), MOVED))
+    finally:
+        own.unpersist()
+    return state.where("source = -1").select("part", "v").mapInArrow(_unpacked, "id long, score double")
+
+
+def _packed(batches):
+    """Pairs (from, to) without repetition among each ROW of them, packed by the part of their end: (part, from ids, places of their ends)."""
+    held, count = [], 0
+
+    def emit():
+        source, target = (np.concatenate(c) for c in zip(*held))
+        at = np.lexsort((source, target))
+        source, target = source[at], target[at]
+        new = np.r_[True, (source[1:] != source[:-1]) | (target[1:] != target[:-1])]
+        source, target = source[new], target[new]
+        part = target >> BITS
+        cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        place = (target & PLACE).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([int(part[i]) for i, _ in spans], pa.int32()), pa.array([source[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([place[i:j].tobytes() for i, j in spans], pa.binary())], ["part", "a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            count += batch.num_rows
+        if count >= ROW:
+            yield emit()
+            held, count = [], 0
+    if count:
+        yield emit()
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
+
+
+def _numbers(rows: pa.Table, column: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(b.as_buffer(), kind) for b in rows[column]]
+
+
+def _settled(rows: pa.Table) -> pa.Table:
+    """The pairs that end in a part: (part, -1, sources as indices, places of ends) in rows of ROW pairs, and for each part that sources are of (that part, this part, places there, pairs of each)."""
+    part = rows["part"][0].as_py()
+    source, place = np.concatenate(_numbers(rows, "a", np.int64)), np.concatenate(_numbers(rows, "b", np.int32)).astype(np.int64)
+    ids, at = np.unique(source, return_inverse=True)
+    width = int(place.max()) + 1
+    at, place = (x.astype(np.int32) for x in np.divmod(np.unique(at * width + place), width))
+    out = [(part, -1, at[i : i + ROW].tobytes(), place[i : i + ROW].tobytes()) for i in range(0, len(at), ROW)]
+    times, home, there = np.bincount(at, minlength=len(ids)).astype(np.int32), ids >> BITS, (ids & PLACE).astype(np.int32)
+    cuts = np.r_[0, np.flatnonzero(home[1:] != home[:-1]) + 1, len(home)].tolist()
+    out += [(int(home[i]), part, there[i:j].tobytes(), times[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+    return _table(out, _OWN)
+
+
+def _listed(rows: pa.Table) -> pa.Table:
+    """The nodes of a part by place: (part, -2, teleports, numbers of groups) and (part, -3, others in the group)."""
+    part, at = rows["part"][0].as_py(), np.argsort(rows["id"].to_numpy())
+    t, number, many = (rows[c].to_numpy()[at].tobytes() for c in ("t", "number", "many"))
+    return _table([(part, -2, t, number), (part, -3, many, b"")], _OWN)
+
+
+def _moved(own: pa.Table, came: pa.Table | None, damping: float, last: bool) -> pa.Table:
+    """A step of a part: from what came (its scores, numbers of other parts, sums of groups; nothing yet: scores are teleports) its new scores and, if another step follows, what it gives to others."""
+    part, kind = own["part"][0].as_py(), own["other"].to_numpy()
+    of = lambda k: own.filter(pa.array(kind == k))
+    t, number, deg = _numbers(of(-2), "a", np.float64)[0], _numbers(of(-2), "b", np.int64)[0], _numbers(of(-3), "a", np.float64)[0].copy()
+    grouped = np.flatnonzero(number >= 0)
+    asks = [(o, there) for o, there in zip(kind[kind >= 0].tolist(), _numbers(own.filter(pa.array(kind >= 0)), "a", np.int32))]
+    for (_, there), times in zip(asks, _numbers(own.filter(pa.array(kind >= 0)), "b", np.int32)):
+        deg[there] += times
+    edges = list(zip(_numbers(of(-1), "a", np.int32), _numbers(of(-1), "b", np.int32)))
+    present = deg > 0
+    for _, ends in edges:
+        present[ends] = True
+    given = lambda score: np.divide(score, deg, out=np.zeros(len(deg)), where=deg > 0)
+    if came is None:
+        score = np.where(present, t, 0.0)
+    else:
+        source = came["source"].to_numpy()
+        before = given(_numbers(came.filter(pa.array(source == -1)), "v", np.float64)[0])
+        values = dict(zip(source[source >= 0].tolist(), _numbers(came.filter(pa.array(source >= 0)), "v", np.float64)))
+        values |= {o: before[there] for o, there in asks if o == part}
+        got = np.concatenate([values[o] for o in sorted(values)]) if values else np.zeros(0)
+        total = np.zeros(len(t))
+        for starts, ends in edges:
+            total += np.bincount(ends, weights=got[starts], minlength=len(t))
+        sums = came.filter(pa.array(source == -2)).sort_by("g")
+        keys, sum_of = sums["g"].to_numpy(), sums["s"].to_numpy()
+        total[grouped] += sum_of[np.searchsorted(keys, number[grouped])] - before[grouped]
+        lost, size = (sum_of[np.searchsorted(keys, k)] for k in (LOST, SIZE))
+        score = np.where(present, (1 - damping) * t + damping * total + lost / max(size, 1.0), 0.0)
+    out = [(part, -1, score.tobytes(), None, None)]
+    if not last:
+        give = given(score)
+        out += [(o, part, give[there].tobytes(), None, None) for o, there in asks if o != part]
+        keys, at = np.unique(number[grouped], return_inverse=True)
+        out += [(part, -2, None, int(k), float(x)) for k, x in zip(keys, np.bincount(at, weights=give[grouped], minlength=len(keys)))]
+        out += [(part, -2, None, LOST, float(score[deg == 0].sum())), (part, -2, None, SIZE, float(present.sum()))]
+    return _table(out, _MOVED)
+
+
+def _step(damping: float, last: bool):
+    return lambda own, came: _moved(own, came, damping, last)
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for part, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            score = np.frombuffer(v.as_buffer(), np.float64)
+            at = np.flatnonzero(score)
+            for i in range(0, len(at), ROW):
+                yield pa.RecordBatch.from_arrays([pa.array((part << BITS) + at[i : i + ROW]), pa.array(score[at[i : i + ROW]])], ["id", "score"])
 
 
 def prune(passages: DataFrame, links: DataFrame, facts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -101,15 +101,20 @@ def graph_seed_match(spark, sf):
 
 
 def _ppr(spark, sf):
-    """Scores of all facts, and (node, passage) rows. The walk starts at the five facts that are mentioned most."""
-    facts, members = _facts(spark, sf)
-    seeds = facts.orderBy(F.desc("mentions"), "fact").limit(5).select(F.col("fact").alias("node"), F.col("mentions").cast("double").alias("weight"))
-    groups = facts.select(F.col("fact").alias("node"), F.col("schema").alias("g"))
-    return graph.pagerank(graph.links(facts, members), seeds, least=0.0, groups=groups), members.withColumnRenamed("fact", "node")
+    """(id, score) of all facts, the facts by id, and (passage, facts) rows. The walk starts at the five facts that are mentioned most."""
+    m = cut(_mentions(spark, sf))
+    found = cut(m.groupBy("fact").agg(F.min_by("schema", "seq").alias("schema"), F.count("*").alias("mentions"), F.min("seq").alias("first")))
+    seeds = found.orderBy(F.desc("mentions"), "fact").limit(5).select(F.col("fact").alias("node"), F.col("mentions").cast("double").alias("weight"))
+    parts = graph.parts_of(spark, 4 * m.count())  # a passage has about four facts
+    named = found.join(graph.sized(found, "schema"), "schema", "left").join(F.broadcast(graph.shares(seeds).withColumnRenamed("node", "fact")), "fact", "left")
+    facts = graph.numbered(named.select("fact", "number", "many", "t", "first"), parts, "first", "fact")
+    members = cut(m.select("fact", "passage").join(facts.select("fact", "id", "number"), "fact").repartition("passage").groupBy("passage").agg(F.collect_set(F.struct("id", "number")).alias("facts")))
+    return graph.flow(facts, graph.shared(members), parts), facts, members
 
 
 def ppr_scores(spark, sf):
-    return _ppr(spark, sf)[0].select("node", F.round("score", 9).alias("score"))
+    scores, facts, _ = _ppr(spark, sf)
+    return scores.where("score > 0").join(facts.select("id", F.col("fact").alias("node")), "id").select("node", F.round("score", 9).alias("score"))
 
 
 def _ppr_sql() -> str:
@@ -125,8 +130,8 @@ PPR_SQL = f"{_ppr_sql()} SELECT node, round(score, 9) AS score FROM p{graph.STEP
 
 
 def _passages(spark, sf):
-    scores, members = _ppr(spark, sf)
-    return scores.join(members, "node").groupBy("passage").agg((F.sum("score") * 0.5).alias("score"))
+    scores, _, members = _ppr(spark, sf)
+    return scores.where("score > 0").join(members.select("passage", F.explode("facts.id").alias("id")), "id").groupBy("passage").agg((F.sum("score") * 0.5).alias("score"))
 
 
 def passage_from_facts(spark, sf):

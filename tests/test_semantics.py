@@ -150,6 +150,44 @@ def test_pagerank_of_groups(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
 
 
+def test_pagerank_moves_no_pairs(spark):
+    """A step moves a number for a node and part, not pairs; before, what flowed along every pair was shuffled in each step."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 2000
+    a, b = rng.integers(0, n, 100_000), rng.integers(0, n - 20, 100_000)
+    a, b = a[(a != b) & (a % 97 != 5)], b[(a != b) & (a % 97 != 5)]  # some nodes give nothing on, some get nothing
+    group = np.where(np.arange(n) % 3 == 0, np.arange(n) % 7, -1 - np.arange(n))
+    names = spark.range(n).selectExpr("id AS i", "concat('node ', id) AS name")
+    ends = spark.createDataFrame(np.stack([np.r_[a, a[:500]], np.r_[b, b[:500]]], axis=1).tolist(), "a long, b long")  # 500 of them twice
+    pairs = tables.cut(ends.join(names.toDF("a", "src"), "a").join(names.toDF("b", "dst"), "b").select("src", "dst"))
+    groups = tables.cut(spark.createDataFrame(list(enumerate(group.tolist())), "i long, g long").where("g >= 0").join(names, "i").select(F.col("name").alias("node"), "g"))
+    seeds = spark.createDataFrame([("node 4", 2.0), ("node 6", 1.0), ("no node", 1.0)], "node string, weight double")
+    store = lambda: sum(s.shuffleWriteBytes() + s.diskBytesSpilled() for s in _stages(spark))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        moved = {}
+        for steps in (2, 6):
+            before = store()
+            got = {r["node"]: r["score"] for r in graph.pagerank(pairs, seeds, steps, least=0.0, groups=groups).collect()}
+            moved[steps] = store() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    linked = np.zeros((n, n))
+    linked[a, b] = 1
+    many = group[:, None] == group[None, :]
+    given = linked + (many & ~np.eye(n, dtype=bool))
+    deg, present = given.sum(1), (given.sum(1) > 0) | (given.sum(0) > 0)
+    t = np.where(np.arange(n) == 4, 0.5, np.where(np.arange(n) == 6, 0.25, 0.0))
+    score = t
+    for _ in range(6):
+        score = np.where(present, 0.15 * t + 0.85 * (given.T @ np.divide(score, deg, out=np.zeros(n), where=deg > 0)) + score[deg == 0].sum() / present.sum(), 0)
+    assert got.keys() == {f"node {i}" for i in np.flatnonzero(score > 0)} and all(got[f"node {i}"] == pytest.approx(score[i], rel=1e-9) for i in np.flatnonzero(score > 0))
+    assert (moved[6] - moved[2]) / 4 < 4 * len(a)
+
+
 def test_seeds_by_name(spark):
     nodes = spark.createDataFrame([(i, f"Node {i % 3}") for i in range(40)], "id int, name string")
     got = graph.seeds_by_name(nodes, spark.createDataFrame([("node 1",), ("none",), ("node 1",)], "word string"), 4).collect()
