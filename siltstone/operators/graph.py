@@ -19,6 +19,8 @@ OWN, MOVED = "part int, other int, a binary, b binary", "part int, source int, v
 _OWN = pa.schema([("part", pa.int32()), ("other", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 _MOVED = pa.schema([("part", pa.int32()), ("source", pa.int32()), ("v", pa.binary()), ("g", pa.int64()), ("s", pa.float64())])
 LOST, SIZE = -2, -1
+#: Steps after which all that moves is written; between, it is kept.
+WRITTEN = 5
 
 
 def encode(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,20 +152,29 @@ def flow(nodes: DataFrame, pairs: DataFrame, parts: int, steps: int = STEPS, dam
     of personalised PageRank; nodes without any neighbour are left out.
 
     Pairs lie with the part of their end and stay there. In a step a part gets from each other part one number for each node of it that it has pairs from, in an order that
-    both know, so neither pairs nor ids are moved; and from each group that it has members of, the sum. A step is a cogroup of parts, its result is written.
+    both know, so neither pairs nor ids are moved; and from each group that it has members of, the sum. A step is a cogroup of parts; sums are written, what else a step gives is kept (memory and disk) and
+    written each WRITTEN steps, so that plans do not grow and a lost executor costs no more than these.
     """
     rows = pairs.mapInArrow(_packed, "part int, a binary, b binary").groupBy("part").applyInArrow(_settled, OWN)
     ranks = nodes.select(F.shiftright("id", 33).cast("int").alias("part"), "id", F.coalesce("number", F.lit(-1)).alias("number"), F.coalesce("many", F.lit(0)).cast("double").alias("many"), F.coalesce("t", F.lit(0.0)).alias("t"))
     own = rows.unionByName(ranks.groupBy("part").applyInArrow(_listed, OWN)).repartition(parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
+    held = [own]
     try:
         state = cut(own.groupBy("part").applyInArrow(lambda mine: _moved(mine, None, damping, steps == 0), MOVED))
         for step in range(steps):
-            sums = state.where("source = -2").select("part", "g", "s")
-            totals = sums.select("part", "g").join(sums.groupBy("g").agg(F.sum("s").alias("s")), "g").select("part", F.lit(-2).alias("source"), F.lit(None).cast("binary").alias("v"), "g", "s")
+            sums = state.where("source = -2").groupBy("g").agg(F.sum("s").alias("s"), F.collect_list("part").alias("parts"))
+            totals = cut(sums.select(F.explode("parts").alias("part"), F.lit(-2).alias("source"), F.lit(None).cast("binary").alias("v"), "g", "s"))  # a kept state is computed here
+            while len(held) > 1 and held[1] is not state:
+                held.pop(1).unpersist()
             came = state.where("source <> -2").unionByName(totals)
-            state = cut(own.groupBy("part").cogroup(came.groupBy("part")).applyInArrow(_step(damping, step == steps - 1), MOVED))
+            state = own.groupBy("part").cogroup(came.groupBy("part")).applyInArrow(_step(damping, step == steps - 1), MOVED)
+            if step == steps - 1 or step % WRITTEN == WRITTEN - 1:
+                state = cut(state)
+            else:
+                held.append(state.persist(StorageLevel.MEMORY_AND_DISK))
     finally:
-        own.unpersist()
+        for df in held:
+            df.unpersist()
     return state.where("source = -1").select("part", "v").mapInArrow(_unpacked, "id long, score double")
 
 

@@ -188,6 +188,38 @@ def test_pagerank_moves_no_pairs(spark):
     assert (moved[6] - moved[2]) / 4 < 4 * len(a)
 
 
+def test_pagerank_writes_sums_of_a_step(spark):
+    """Between written steps only the sums of groups are written, and nothing stays persisted; before, each step wrote the scores and all that moves."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    n = 5000
+    a, b = rng.integers(0, n, (2, 20_000))
+    a, b = a[a != b], b[a != b]
+    pairs = tables.cut(spark.createDataFrame(np.stack([a, b], axis=1).tolist(), "src long, dst long"))
+    seeds = spark.createDataFrame([(4, 1.0), (9, 2.0)], "node long, weight double")
+    groups = spark.range(n).where("id % 3 = 0").selectExpr("id AS node", "id % 11 AS g")
+    stored = lambda: sum(s.outputBytes() for s in _stages(spark))
+    kept, wrote = spark.sparkContext._jsc.getPersistentRDDs().size(), {}
+    for steps in (6, 10):
+        before = stored()
+        got = {r["node"]: r["score"] for r in graph.pagerank(pairs, seeds, steps, least=0.0, groups=groups).collect()}
+        wrote[steps] = stored() - before
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+    given = np.zeros((n, n))
+    given[a, b] = 1
+    group = np.where(np.arange(n) % 3 == 0, np.arange(n) % 11, -1 - np.arange(n))
+    given += (group[:, None] == group[None, :]) & ~np.eye(n, dtype=bool)
+    deg = given.sum(1)
+    present = (deg > 0) | (given.sum(0) > 0)
+    t = np.where(np.arange(n) == 4, 1 / 3, np.where(np.arange(n) == 9, 2 / 3, 0.0))
+    score = t
+    for _ in range(10):
+        score = np.where(present, 0.15 * t + 0.85 * (np.divide(score, deg, out=np.zeros(n), where=deg > 0) @ given) + score[deg == 0].sum() / present.sum(), 0)
+    assert got.keys() == set(np.flatnonzero(score > 0).tolist()) and all(got[i] == pytest.approx(score[i], rel=1e-9) for i in got)
+    assert (wrote[10] - wrote[6]) / 4 < 8 * n
+
+
 def test_seeds_by_name(spark):
     nodes = spark.createDataFrame([(i, f"Node {i % 3}") for i in range(40)], "id int, name string")
     got = graph.seeds_by_name(nodes, spark.createDataFrame([("node 1",), ("none",), ("node 1",)], "word string"), 4).collect()
