@@ -5,6 +5,8 @@ ids are no whole numbers). For a top k (``nearest``), only what can be among the
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Context, Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ MOST_QUERIES, MOST_POINTS = 5_000, 50_000
 PART, CELLS, SIDE = 20_000, 1 << 21, 1_400
 #: Scores in double precision that ranks to 9 digits may take for one another; points that meet queries at a time, of which the first bound what later ones must reach.
 LOOSE, TILE = 1e-8, 4_096
+#: Scores that are summed at a time where all are given, and digits that rounding can need.
+NEAR, DECIMALS = 1 << 14, Context(prec=400)
 
 
 def doubles(v: str | Column) -> Column:
@@ -54,10 +58,12 @@ def _meet(points: DataFrame, queries: DataFrame, task, part: int, block: int) ->
     return found.select(kind(queries, "query_id"), kind(points, "id"), "score")
 
 
-def scores(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """points (id, vector), queries (query_id, vector) -> (query_id, id, score) of all pairs; vectors without length or of another size are out. For the best of them see ``nearest``."""
+def scores(points: DataFrame, queries: DataFrame, digits: int | None = None) -> DataFrame:
+    """points (id, vector), queries (query_id, vector) -> (query_id, id, score, rounded to digits if given) of all pairs; vectors without length or of another size are out. For the best of them see ``nearest``."""
     if _whole(points, queries):
-        return _meet(points, queries, _all, SIDE, SIDE)
+        return _meet(points, queries, lambda a, b: _all(a, b, digits), SIDE, SIDE)
+    if digits is not None:
+        return scores(points, queries).withColumn("score", F.round("score", digits))
     p = points.select("id", doubles("vector").alias("v")).withColumn("vn", norm(F.col("v"))).where("vn > 0")
     q = queries.select("query_id", doubles("vector").alias("q")).withColumn("qn", norm(F.col("q"))).where("qn > 0")
     asked = q.count()
@@ -176,8 +182,8 @@ def _closer(found: list, least: np.ndarray, strange: np.ndarray, k: int, margin:
     return [(i[good], j[good], close[good])], least
 
 
-def _all(points: pa.Table, queries: pa.Table) -> pa.Table:
-    """A score for each pair, its sum in order of the components."""
+def _all(points: pa.Table, queries: pa.Table, digits: int | None = None) -> pa.Table:
+    """A score for each pair, its sum in order of the components; a few queries at a time, so that what is summed stays near."""
     kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     asked = _by_size(queries)
     with np.errstate(all="ignore"):
@@ -185,14 +191,32 @@ def _all(points: pa.Table, queries: pa.Table) -> pa.Table:
             if n in asked:
                 names, y, asking = asked[n]
                 across = np.ascontiguousarray(x.T)
-                for u in range(len(names)):
-                    total = np.zeros(len(ids))
+                step = max(1, NEAR // max(len(ids), 1))
+                for u in range(0, len(names), step):
+                    w = y[u : u + step]
+                    total, one = np.zeros((len(w), len(ids))), np.empty((len(w), len(ids)))
                     for d in range(n):
-                        total += across[d] * y[u, d]
-                    kept.append((np.full(len(ids), names[u]), ids, total / (length * asking[u])))
+                        total += np.multiply(across[d], w[:, d, None], out=one)
+                    total /= length * asking[u : u + step, None]
+                    score = total.ravel()
+                    kept.append((np.repeat(names[u : u + step], len(ids)), np.tile(ids, len(w)), score if digits is None else rounded(score, digits)))
     return _rows(*(np.concatenate(c) for c in zip(*kept)))
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """x as Spark rounds it: half up in its shortest decimal form. What is near a half, or too large to tell, is rounded in decimals."""
+    with np.errstate(all="ignore"):
+        size = np.abs(x) * 10.0**digits
+        whole = np.floor(size + 0.5)
+        out = np.copysign(whole / 10.0**digits, x) + 0.0  # no negative zero
+        unsure = np.flatnonzero((np.abs(size - np.floor(size) - 0.5) < 1e-4) | (size > 1e10))
+    for i in unsure[np.isfinite(x[unsure])].tolist():
+        d = Decimal(repr(float(x[i])))
+        out[i] = float(d if d.as_tuple().exponent >= -digits else d.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, DECIMALS)) + 0.0
+    out[~np.isfinite(x)] = x[~np.isfinite(x)]
+    return out
+
+
 def with_payload(hits: DataFrame, payload: DataFrame) -> DataFrame:
     """Late materialisation: payload (id, ...) joined to the few hits; hits without payload stay."""
     return hits.join(payload, "id", "left")

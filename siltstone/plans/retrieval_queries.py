@@ -64,7 +64,7 @@ def dense_late_payload(spark, sf):
 
 def fact_scores(spark, sf):
     points = _points(spark, sf).withColumn("vector", F.when(F.col("id") % 50 == 7, F.transform("vector", lambda x: x * 0)).otherwise(F.col("vector")))
-    return dense.scores(points, _asks(spark, sf)).select("query_id", "id", F.round("score", 6).alias("score"))
+    return dense.scores(points, _asks(spark, sf), digits=6)
 
 
 def journal_replay(spark, sf):

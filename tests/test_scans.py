@@ -87,3 +87,18 @@ def test_quantised_takes_bounds_once(spark):
     for (i, v), got in zip(rows[:51], index.orderBy("id").collect(), strict=True):
         step = (max(v) - min(v)) / 15
         assert tuple(got) == (i, min(v), step, [int((x - min(v)) / step + 0.5) if step else 0 for x in v])
+
+
+def test_all_scores_rounded_as_spark_does(spark):
+    """Half up in shortest decimal form, in the task; before, Spark rounded each row of all pairs."""
+    rng = np.random.default_rng(11)
+    x = np.r_[rng.uniform(-1, 1, 20_000), rng.integers(-(10**7), 10**7, 20_000) / 1e7, rng.integers(-(10**8), 10**8, 2000) / 1e7 + 1e-16, [0.0, -0.0, -1e-9, 5e-7, -5e-7, 4.9999999e-7, 1e300, -1.5, 123456789.1234565, 12345.0000005, np.inf, -np.inf, np.nan]]
+    want = [r["y"] for r in spark.createDataFrame(x.tolist(), "double").select(F.round("value", 6).alias("y")).collect()]
+    assert [repr(v) for v in dense.rounded(x, 6).tolist()] == [repr(v) for v in want]
+    v = lambda n: rng.integers(-3, 4, (n, 4)).astype(float).tolist()
+    points = spark.createDataFrame(list(enumerate(v(300) + [[0.0] * 4, [1.0], [float("nan")] * 4])), "id long, vector array<double>")
+    asks = spark.createDataFrame(list(enumerate(v(40))), "query_id long, vector array<double>")
+    rows = lambda df: sorted(repr(tuple(r)) for r in df.select("query_id", "id", "score").collect())
+    plain = dense.scores(points, asks).withColumn("score", F.round("score", 6))
+    assert rows(dense.scores(points, asks, digits=6)) == rows(plain)
+    assert rows(dense.scores(points, asks.select(F.col("query_id").cast("string"), "vector"), digits=6)) == rows(plain.withColumn("query_id", F.col("query_id").cast("string")))
