@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import split_words
+from siltstone.operators.containment import contained, marked, marks
 from siltstone.operators.containment import drop_contained as drop_contained
 from siltstone.operators.text import CONSTRAINT
+from siltstone.sources.tables import cut, spread
 
 #: What stands between texts and before them (fixed values).
 SEPARATOR = "\n\n---\n\n"
@@ -19,10 +21,24 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.array_join(split_words(text), " "), 256)
 
 
+def _nth(hits: DataFrame, by: list[str], length: Column, key: Column) -> DataFrame:
+    """hits (by, id, ...) with _nth: their number, from 1, among those of their key: the longest first, then the smallest id."""
+    best = F.row_number().over(Window.partitionBy(*by, "_key").orderBy(length.desc(), "id"))
+    return hits.withColumn("_key", key).withColumn("_nth", best)
+
+
 def dedupe(hits: DataFrame, by: list[str]) -> DataFrame:
     """The longest of each group of equal texts (up to white space), then the smallest id."""
-    best = F.row_number().over(Window.partitionBy(*by, "_key").orderBy(F.length("text").desc(), "id"))
-    return hits.withColumn("_key", text_key(F.col("text"))).withColumn("_nth", best).where("_nth = 1").drop("_key", "_nth")
+    return _nth(hits, by, F.length("text"), text_key(F.col("text"))).where("_nth = 1").drop("_key", "_nth")
+
+
+def dedupe_contained(hits: DataFrame, by: list[str]) -> DataFrame:
+    """drop_contained of dedupe of hits (by, id, text), whose texts are written once: what is shuffled for dedupe are keys, lengths and ids."""
+    rows = cut(hits.withColumn("_row", F.monotonically_increasing_id()))
+    keyed = rows.select(*by, "id", "_row", F.length("text").alias("_n"), F.unhex(text_key(F.col("text"))).alias("_text"))
+    again = cut(marks(_nth(keyed, by, F.col("_n"), F.col("_text")).where("_nth > 1").select("_row")))
+    gone = contained(marked(spread(rows), again, False), by)
+    return marked(rows, again, False).join(gone, "_row", "left_anti").select(*hits.columns)
 
 
 def fit(hits: Column, budget: Column, separator: int = 8) -> Column:

@@ -213,7 +213,7 @@ def dedupe_exact(spark, sf):
 
 
 def dedupe_containment(spark, sf):
-    return context.drop_contained(context.dedupe(_hits(spark, sf), ["source"]), ["source"]).select("source", "id")
+    return context.dedupe_contained(_hits(spark, sf), ["source"]).select("source", "id")
 
 
 CONTAINMENT_SQL = f"""
