@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.sources.tables import cut
+from siltstone.sources.tables import cut, drop, release
 
 DAMPING, STEPS, LEAST = 0.85, 20, 0.01
 #: Pairs that a part of a graph should hold, pairs in a row of it, and how an id tells its part and its place there.
@@ -101,8 +103,9 @@ def seeds_by_name(nodes: DataFrame, words: DataFrame, limit: int = 10) -> DataFr
 
 
 def numbered(nodes: DataFrame, parts: int, *by: str) -> DataFrame:
-    """nodes with id: the number of its part (parts are ranges of by, so that neighbours should be near by it) above the lowest 33 bits, and in those its place in the part, without gaps."""
-    return cut(nodes.repartitionByRange(parts, *by).withColumn("id", F.monotonically_increasing_id()))
+    """nodes (number: of their group, ...) with id: the number of its part (parts are ranges of by, so that neighbours should be near by it) above the lowest 33 bits, and in those its place
+    in the part, without gaps. Groups stand together there: what their nodes give is much alike and moves in few bytes (see ``_thin``)."""
+    return cut(nodes.repartitionByRange(parts, *by).sortWithinPartitions("number").withColumn("id", F.monotonically_increasing_id()))
 
 
 def parts_of(spark: SparkSession, pairs: int) -> int:
@@ -153,23 +156,28 @@ def flow(nodes: DataFrame, pairs: DataFrame, parts: int, steps: int = STEPS, dam
 
     Pairs lie with the part of their end and stay there. In a step a part gets from each other part one number for each node of it that it has pairs from, in an order that
     both know, so neither pairs nor ids are moved; and from each group that it has members of, the sum. A step is a cogroup of parts; sums are written, what else a step gives is kept (memory and disk) and
-    written each WRITTEN steps, so that plans do not grow and a lost executor costs no more than these.
+    written each WRITTEN steps, so that plans do not grow and a lost executor costs no more than these. Numbers move as differences by bytes (``_thin``), and a state that was written is deleted when a later one is.
     """
     rows = pairs.mapInArrow(_packed, "part int, a binary, b binary").groupBy("part").applyInArrow(_settled, OWN)
     ranks = nodes.select(F.shiftright("id", 33).cast("int").alias("part"), "id", F.coalesce("number", F.lit(-1)).alias("number"), F.coalesce("many", F.lit(0)).cast("double").alias("many"), F.coalesce("t", F.lit(0.0)).alias("t"))
     own = rows.unionByName(ranks.groupBy("part").applyInArrow(_listed, OWN)).repartition(parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
     held = [own]
     try:
-        state = cut(own.groupBy("part").applyInArrow(lambda mine: _moved(mine, None, damping, steps == 0), MOVED))
+        state = written = cut(own.groupBy("part").applyInArrow(lambda mine: _moved(mine, None, damping, steps == 0), MOVED))
         for step in range(steps):
             sums = state.where("source = -2").groupBy("g").agg(F.sum("s").alias("s"), F.collect_list("part").alias("parts"))
             totals = cut(sums.select(F.explode("parts").alias("part"), F.lit(-2).alias("source"), F.lit(None).cast("binary").alias("v"), "g", "s"))  # a kept state is computed here
-            while len(held) > 1 and held[1] is not state:
+            while len(held) > 2:
                 held.pop(1).unpersist()
             came = state.where("source <> -2").unionByName(totals)
             state = own.groupBy("part").cogroup(came.groupBy("part")).applyInArrow(_step(damping, step == steps - 1), MOVED)
             if step == steps - 1 or step % WRITTEN == WRITTEN - 1:
                 state = cut(state)
+                drop(written)
+                written = state
+                while len(held) > 1:
+                    held.pop().unpersist()
+                release(pairs.sparkSession)
             else:
                 held.append(state.persist(StorageLevel.MEMORY_AND_DISK))
     finally:
@@ -178,6 +186,21 @@ def flow(nodes: DataFrame, pairs: DataFrame, parts: int, steps: int = STEPS, dam
     return state.where("source = -1").select("part", "v").mapInArrow(_unpacked, "id long, score double")
 
 
+def _thin(x: np.ndarray) -> bytes:
+    """Numbers of 4 or 8 bytes as differences from the one before (of floats, in bits, so that nothing is lost), all first bytes, then all second ones, ..., deflated: near numbers take few bytes."""
+    u = x.view(f"u{x.itemsize}")
+    d = u.copy()
+    d[1:] = u[1:] ^ u[:-1] if x.dtype.kind == "f" else u[1:] - u[:-1]
+    packer = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
+    return packer.compress(d.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()) + packer.flush()
+
+
+def _thick(b, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    d = np.frombuffer(zlib.decompress(b, -15), np.uint8).reshape(kind.itemsize, -1).T.copy().view(f"u{kind.itemsize}").ravel()
+    return (np.bitwise_xor.accumulate(d) if kind.kind == "f" else np.cumsum(d, dtype=d.dtype)).view(kind)
+
+
 def _packed(batches):
     """Pairs (from, to) without repetition among each ROW of them, packed by the part of their end: (part, from ids, places of their ends)."""
     held, count = [], 0
@@ -192,7 +215,7 @@ def _packed(batches):
         cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
         place = (target & PLACE).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([int(part[i]) for i, _ in spans], pa.int32()), pa.array([source[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([place[i:j].tobytes() for i, j in spans], pa.binary())], ["part", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([int(part[i]) for i, _ in spans], pa.int32()), pa.array([_thin(source[i:j]) for i, j in spans], pa.binary()), pa.array([_thin(place[i:j]) for i, j in spans], pa.binary())], ["part", "a", "b"])
 
     for batch in batches:
         if batch.num_rows:
@@ -210,7 +233,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _numbers(rows: pa.Table, column: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(b.as_buffer(), kind) for b in rows[column]]
+    return [_thick(b.as_buffer(), kind) for b in rows[column]]
 
 
 def _settled(rows: pa.Table) -> pa.Table:
@@ -220,18 +243,18 @@ def _settled(rows: pa.Table) -> pa.Table:
     ids, at = np.unique(source, return_inverse=True)
     width = int(place.max()) + 1
     at, place = (x.astype(np.int32) for x in np.divmod(np.unique(at * width + place), width))
-    out = [(part, -1, at[i : i + ROW].tobytes(), place[i : i + ROW].tobytes()) for i in range(0, len(at), ROW)]
+    out = [(part, -1, _thin(at[i : i + ROW]), _thin(place[i : i + ROW])) for i in range(0, len(at), ROW)]
     times, home, there = np.bincount(at, minlength=len(ids)).astype(np.int32), ids >> BITS, (ids & PLACE).astype(np.int32)
     cuts = np.r_[0, np.flatnonzero(home[1:] != home[:-1]) + 1, len(home)].tolist()
-    out += [(int(home[i]), part, there[i:j].tobytes(), times[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+    out += [(int(home[i]), part, _thin(there[i:j]), _thin(times[i:j])) for i, j in zip(cuts, cuts[1:])]
     return _table(out, _OWN)
 
 
 def _listed(rows: pa.Table) -> pa.Table:
     """The nodes of a part by place: (part, -2, teleports, numbers of groups) and (part, -3, others in the group)."""
     part, at = rows["part"][0].as_py(), np.argsort(rows["id"].to_numpy())
-    t, number, many = (rows[c].to_numpy()[at].tobytes() for c in ("t", "number", "many"))
-    return _table([(part, -2, t, number), (part, -3, many, b"")], _OWN)
+    t, number, many = (_thin(rows[c].to_numpy()[at]) for c in ("t", "number", "many"))
+    return _table([(part, -2, t, number), (part, -3, many, None)], _OWN)
 
 
 def _moved(own: pa.Table, came: pa.Table | None, damping: float, last: bool) -> pa.Table:
@@ -264,10 +287,10 @@ def _moved(own: pa.Table, came: pa.Table | None, damping: float, last: bool) ->
         total[grouped] += sum_of[np.searchsorted(keys, number[grouped])] - before[grouped]
         lost, size = (sum_of[np.searchsorted(keys, k)] for k in (LOST, SIZE))
         score = np.where(present, (1 - damping) * t + damping * total + lost / max(size, 1.0), 0.0)
-    out = [(part, -1, score.tobytes(), None, None)]
+    out = [(part, -1, _thin(score), None, None)]
     if not last:
         give = given(score)
-        out += [(o, part, give[there].tobytes(), None, None) for o, there in asks if o != part]
+        out += [(o, part, _thin(give[there]), None, None) for o, there in asks if o != part]
         keys, at = np.unique(number[grouped], return_inverse=True)
         out += [(part, -2, None, int(k), float(x)) for k, x in zip(keys, np.bincount(at, weights=give[grouped], minlength=len(keys)))]
         out += [(part, -2, None, LOST, float(score[deg == 0].sum())), (part, -2, None, SIZE, float(present.sum()))]
@@ -281,7 +304,7 @@ def _step(damping: float, last: bool):
 def _unpacked(batches):
     for batch in batches:
         for part, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-            score = np.frombuffer(v.as_buffer(), np.float64)
+            score = _thick(v.as_buffer(), np.float64)
             at = np.flatnonzero(score)
             for i in range(0, len(at), ROW):
                 yield pa.RecordBatch.from_arrays([pa.array((part << BITS) + at[i : i + ROW]), pa.array(score[at[i : i + ROW]])], ["id", "score"])

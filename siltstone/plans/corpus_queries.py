@@ -9,7 +9,7 @@ from siltstone.functions.text import trimmed
 from siltstone.operators import graph, queue
 from siltstone.operators import text as op
 from siltstone.plans.text_queries import _SMELLS, _WINDOWS, TRIM
-from siltstone.sources.tables import cut, sql, table
+from siltstone.sources.tables import cut, drop, release, sql, table
 from siltstone.streaming import events as ev
 
 NOW = "TIMESTAMP '1998-12-01 00:00:00'"
@@ -26,9 +26,16 @@ def both(text: str, *names: str, spark_text: str | None = None):
     return run, plain
 
 
+#: Suppliers (two numbers each) that are sent to all, so that line items are not dealt once more.
+MOST_SENT = 1_000_000
+
+
 # Graph: facts are (supplier, returnflag, brand) of line items, a passage is an order, a schema (nation, flag, first word of the part's type).
 def _mentions(spark, sf):
     line, part, supp = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
+    supp = supp.select("s_suppkey", "s_nationkey")
+    if supp.count() <= MOST_SENT:
+        supp = F.broadcast(supp)
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
@@ -103,12 +110,15 @@ def graph_seed_match(spark, sf):
 def _ppr(spark, sf):
     """(id, score) of all facts, the facts by id, and (passage, facts) rows. The walk starts at the five facts that are mentioned most."""
     m = cut(_mentions(spark, sf))
+    release(spark)
     found = cut(m.groupBy("fact").agg(F.min_by("schema", "seq").alias("schema"), F.count("*").alias("mentions"), F.min("seq").alias("first")))
     seeds = found.orderBy(F.desc("mentions"), "fact").limit(5).select(F.col("fact").alias("node"), F.col("mentions").cast("double").alias("weight"))
     parts = graph.parts_of(spark, 4 * m.count())  # a passage has about four facts
     named = found.join(graph.sized(found, "schema"), "schema", "left").join(F.broadcast(graph.shares(seeds).withColumnRenamed("node", "fact")), "fact", "left")
     facts = graph.numbered(named.select("fact", "number", "many", "t", "first"), parts, "first", "fact")
     members = cut(m.select("fact", "passage").join(facts.select("fact", "id", "number"), "fact").repartition("passage").groupBy("passage").agg(F.collect_set(F.struct("id", "number")).alias("facts")))
+    drop(m, found)
+    release(spark)
     return graph.flow(facts, graph.shared(members), parts), facts, members
 
 
